@@ -1,2 +1,532 @@
-"""Named queries."""
-QUERIES: dict = {}
+"""Named queries over the test tables: one or more per operator of the inventory. Each runs over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwright.functions import spans as S
+from maskwright.functions import taxonomy as X
+from maskwright.operators import detect, documents, locate, records, review, scoring, search, transforms, voting
+from maskwright.streaming.detect import latency_windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+class Run:
+    """The tables most queries start from."""
+
+    def __init__(self, spark: SparkSession, d: str, level: str = "coarse") -> None:
+        self.records = records.distinct_records(t(spark, d, "fixtures"))
+        self.latest = records.latest_predictions(t(spark, d, "predictions"))
+        self.gold = records.gold_long(self.records, level)
+        self.calls = self.latest.where("error is null").select("id", "detector")
+        self.pred = records.predicted_long(self.latest, level)
+        known = self.records.select("id").distinct()
+        self.calls = self.calls.join(known, "id", "left_semi")
+        self.pred = self.pred.join(known, "id", "left_semi")
+
+    def outcomes(self) -> DataFrame:
+        return scoring.outcomes(self.gold, self.pred, self.calls, scoring.scope_rows(self.gold, self.pred))
+
+
+# scans, counts, coverage, latency ------------------------------------------------------------------------------------
+
+
+@query
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    return records.coverage(run.records, run.latest)
+
+
+@query
+def span_counts(spark: SparkSession, d: str) -> DataFrame:
+    return records.span_counts(Run(spark, d).latest)
+
+
+@query
+def gold_label_counts(spark: SparkSession, d: str) -> DataFrame:
+    return records.label_counts(Run(spark, d).records)
+
+
+@query
+def language_counts(spark: SparkSession, d: str) -> DataFrame:
+    return records.language_counts(Run(spark, d).records)
+
+
+@query
+def raw_label_counts(spark: SparkSession, d: str) -> DataFrame:
+    return records.raw_label_counts(Run(spark, d).latest)
+
+
+@query
+def latency_summary(spark: SparkSession, d: str) -> DataFrame:
+    return records.latency_summary(t(spark, d, "predictions").distinct())
+
+
+@query
+def latency_by_window(spark: SparkSession, d: str) -> DataFrame:
+    return latency_windows(t(spark, d, "predictions"), "1 day")
+
+
+@query
+def run_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests joined to their result rows: what each run really holds."""
+    calls = t(spark, d, "predictions").distinct().groupBy("run_id", "detector").agg(F.count(F.lit(1)).alias("n_rows"))
+    listed = t(spark, d, "runs").select("run_id", "dataset", "n_examples", F.explode("detectors").alias("detector"))
+    return listed.join(calls, ["run_id", "detector"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+
+
+@query
+def unlisted_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Result rows of detectors that their run's manifest does not list."""
+    listed = t(spark, d, "runs").select("run_id", F.explode("detectors").alias("detector"))
+    return t(spark, d, "predictions").select("id", "run_id", "detector").distinct().join(listed, ["run_id", "detector"], "left_anti").groupBy("run_id", "detector").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def reuse_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Record ids that a detector has no row for, counted (anti join)."""
+    run = Run(spark, d)
+    ids = run.records.select("id").distinct().withColumn("k", F.lit(1))
+    names = run.latest.select("detector").distinct().withColumn("k", F.lit(1))  # detectors are a dimension
+    return ids.join(F.broadcast(names), "k").drop("k").join(run.latest.select("id", "detector"), ["id", "detector"], "left_anti").groupBy("detector").agg(F.count(F.lit(1)).alias("missing"))
+
+
+@query
+def gold_dropped(spark: SparkSession, d: str) -> DataFrame:
+    return records.gold_dropped(Run(spark, d).records)
+
+
+@query
+def validate_fixtures(spark: SparkSession, d: str) -> DataFrame:
+    return records.validate(t(spark, d, "fixtures"))
+
+
+@query
+def sample_records(spark: SparkSession, d: str) -> DataFrame:
+    return records.sample(Run(spark, d).records.select("id").distinct(), 100)
+
+
+@query
+def holdout(spark: SparkSession, d: str) -> DataFrame:
+    return records.holdout_split(Run(spark, d).records.select("id").distinct(), 0.3)
+
+
+@query
+def baseline_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return records.baseline(Run(spark, d).records)
+
+
+@query
+def baseline_guard(spark: SparkSession, d: str) -> DataFrame:
+    """The records against a baseline of their documents' own first chunks."""
+    run = Run(spark, d)
+    whole = t(spark, d, "documents").select(F.concat("file_id", F.lit("#0")).alias("id"), F.sha1("text").alias("text_sha1"))
+    return records.baseline_covers(whole, run.records)
+
+
+@query
+def annotated_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Observed labels of both sides with their place in the taxonomy."""
+    run = Run(spark, d, "fine")
+    both = run.gold.select("label", F.lit("gold").alias("side")).distinct().unionByName(run.pred.select("label", F.lit("pred").alias("side")).distinct())
+    return both.withColumn("parent", X.parent_col(F.col("label")))
+
+
+# scoring ------------------------------------------------------------------------------------------------------------
+
+
+@query
+def semeval_overall(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(scoring.score(Run(spark, d).outcomes(), ["view", "detector"]))
+
+
+@query
+def semeval_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(scoring.score(Run(spark, d).outcomes(), ["view", "detector", "tag"]))
+
+
+@query
+def semeval_by_language(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    lang = run.records.groupBy("id").agg(F.min(X.normalize_language(F.col("language"))).alias("language"))
+    return _rounded(scoring.score(run.outcomes().join(lang, "id"), ["view", "detector", "language"]))
+
+
+@query
+def semeval_fine(spark: SparkSession, d: str) -> DataFrame:
+    """Fine level: fine labels survive where gold and detector both have them, else the parent."""
+    run = Run(spark, d, "fine")
+    gold_fine = run.gold.select("label").distinct()
+    own = run.pred.select("detector", "label").distinct()
+    keep = own.join(gold_fine, "label", "left_semi").withColumn("p", X.parent_col(F.col("label"))).where(F.col("p") != F.col("label")).select("detector", F.col("p").alias("kept")).distinct()
+    up = X.parent_col(F.col("label"))
+
+    def project(rows: DataFrame) -> DataFrame:
+        j = rows.withColumn("up", up).join(keep, (rows["detector"] == keep["detector"]) & (F.col("up") == F.col("kept")), "left")
+        return j.select(rows["detector"], "id", "start", "end", F.when(F.col("kept").isNotNull(), F.col("label")).otherwise(F.col("up")).alias("label")).distinct()
+
+    pred = project(run.pred)
+    asked = project(run.gold.join(run.calls, "id")).withColumnRenamed("detector", "gd")
+    p = pred.select("id", "detector", F.col("start").alias("ps"), F.col("end").alias("pe"), F.col("label").alias("pl"))
+    g = asked.select(F.col("id").alias("gid"), "gd", F.col("start").alias("gs"), F.col("end").alias("ge"), F.col("label").alias("gl"))
+    bounds = (F.col("ps") == F.col("gs")) & (F.col("pe") == F.col("ge"))
+    met = p.join(g, (F.col("id") == F.col("gid")) & (F.col("detector") == F.col("gd")) & S.overlaps(F.col("ps"), F.col("pe"), F.col("gs"), F.col("ge")))
+    best = met.groupBy("detector", "id", "ps", "pe", "pl").agg(F.min(F.when(bounds & (F.col("pl") == F.col("gl")), 0).when(bounds, 1).otherwise(2)).alias("r"))
+    per = best.groupBy("detector").agg(F.count_if(F.col("r") == 0).alias("exact"), F.count_if(F.col("r") == 1).alias("bounds"), F.count_if(F.col("r") == 2).alias("overlap"))
+    return per
+
+
+@query
+def headline(spark: SparkSession, d: str) -> DataFrame:
+    rows = scoring.headline(scoring.score(Run(spark, d).outcomes(), ["view", "detector"]))
+    return rows.select("view", "detector", *[F.round(c, 6).alias(c) for c in rows.columns[2:]])
+
+
+@query
+def per_label_f1(spark: SparkSession, d: str) -> DataFrame:
+    """Type F1 of every label per detector, 0.0 where a label has none."""
+    rows = scoring.score(Run(spark, d).outcomes(), ["view", "detector", "tag"]).where("view = 'raw' and schema = 'ent_type'")
+    return rows.groupBy("detector").pivot("tag", ["PERSON", "EMAIL", "PHONE", "ADDRESS"]).agg(F.round(F.max("f1"), 6)).fillna(0.0)
+
+
+def _rounded(scores: DataFrame) -> DataFrame:
+    keep = [c for c in scores.columns if c not in ("precision", "recall", "f1")]
+    return scores.select(*keep, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _errors(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    run = Run(spark, d)
+    return scoring.errors(run.gold, run.pred, run.calls, run.records.select("id", "text").distinct(), kind)
+
+
+@query
+def errors_missed(spark: SparkSession, d: str) -> DataFrame:
+    return _errors(spark, d, "missed")
+
+
+@query
+def errors_spurious(spark: SparkSession, d: str) -> DataFrame:
+    return _errors(spark, d, "spurious")
+
+
+@query
+def errors_mislabeled(spark: SparkSession, d: str) -> DataFrame:
+    return _errors(spark, d, "mislabeled")
+
+
+@query
+def errors_boundary(spark: SparkSession, d: str) -> DataFrame:
+    return _errors(spark, d, "boundary")
+
+
+@query
+def greedy_prf(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    return scoring.greedy_matches(run.records, run.latest)
+
+
+# pooling, voting, ensembles -----------------------------------------------------------------------------------------
+
+
+@query
+def pooled_spans(spark: SparkSession, d: str) -> DataFrame:
+    p = voting.pool(Run(spark, d).pred)
+    return p.select("id", "start", "end", "label", F.array_join("detectors", ",").alias("detectors"), "n")
+
+
+@query
+def pooled_fine(spark: SparkSession, d: str) -> DataFrame:
+    return voting.pool_fine(Run(spark, d).latest).select("id", "start", "end", "label", "fine_label", "n")
+
+
+@query
+def detector_agreement(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    rows = voting.agreement(run.pred, run.calls)
+    return rows.select("a", "b", "records", "n_a", "n_b", "same", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query
+def merge_union(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    return voting.merge_votes(run.pred, run.calls, "union")
+
+
+@query
+def merge_majority(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    return voting.merge_votes(run.pred, run.calls, "majority")
+
+
+@query
+def merge_intersection(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    return voting.merge_votes(run.pred, run.calls, "intersection")
+
+
+@query
+def silver_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Majority merge with overlaps resolved greedily."""
+    run = Run(spark, d)
+    return voting.resolve_overlaps(voting.merge_votes(run.pred, run.calls, "majority"))
+
+
+def _label_scores(run: Run) -> DataFrame:
+    return scoring.score(run.outcomes(), ["view", "detector", "tag"]).where("view = 'fair'")
+
+
+@query
+def recipe(spark: SparkSession, d: str) -> DataFrame:
+    return voting.recipe(_label_scores(Run(spark, d))).select("label", "detector", F.round("f1", 6).alias("f1"))
+
+
+@query
+def recipe_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return voting.top_candidates(_label_scores(Run(spark, d))).select("label", "place", "detector", F.round("f1", 6).alias("f1"))
+
+
+@query
+def ensemble_spans(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    return voting.apply_recipe(run.pred, voting.recipe(_label_scores(run)))
+
+
+@query
+def raw_label_hit_rate(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    raw = run.latest.where("error is null").select("id", "detector", F.explode("spans").alias("p")).select("id", "detector", "p.raw_label", "p.label", "p.start", "p.end")
+    return voting.hit_rate(raw, run.gold)
+
+
+@query
+def label_redundancy(spark: SparkSession, d: str) -> DataFrame:
+    return voting.redundancy(Run(spark, d).pred)
+
+
+# rewriting ----------------------------------------------------------------------------------------------------------
+
+
+def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return t(spark, d, "requests"), transforms.spans_by_request(t(spark, d, "detected_spans"))
+
+
+def _rewritten(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    requests, spans = _requests(spark, d)
+    return transforms.rewrite(requests.join(spans, "request_id", "left"), "spans", mode=mode).select("request_id", "replaced_text")
+
+
+@query
+def replace_redact(spark: SparkSession, d: str) -> DataFrame:
+    return _rewritten(spark, d, "redact")
+
+
+@query
+def replace_label(spark: SparkSession, d: str) -> DataFrame:
+    return _rewritten(spark, d, "label")
+
+
+@query
+def replace_label_number(spark: SparkSession, d: str) -> DataFrame:
+    return _rewritten(spark, d, "label_number")
+
+
+@query
+def replace_label_token(spark: SparkSession, d: str) -> DataFrame:
+    return _rewritten(spark, d, "label_token")
+
+
+@query
+def render_modes(spark: SparkSession, d: str) -> DataFrame:
+    requests, spans = _requests(spark, d)
+    return transforms.render_modes(requests.join(spans, "request_id", "left"), "spans").select("request_id", "plain", *transforms.MODES)
+
+
+@query
+def service_find(spark: SparkSession, d: str) -> DataFrame:
+    found = transforms.find(*_requests(spark, d))
+    return found.select("request_id", F.explode_outer("by_label").alias("label", "n"), "span_count")
+
+
+@query
+def service_replace(spark: SparkSession, d: str) -> DataFrame:
+    return transforms.replace(*_requests(spark, d)).select("request_id", "replaced_text")
+
+
+@query
+def service_spans(spark: SparkSession, d: str) -> DataFrame:
+    rows = transforms.replace(*_requests(spark, d)).where("coalesce(mode, 'label') in ('label', 'redact', 'label_number')")
+    return rows.select("request_id", F.explode("detected_spans").alias("s")).select("request_id", "s.label", "s.start", "s.end", "s.text", "s.replacement", "s.replaced")
+
+
+@query
+def token_collisions(spark: SparkSession, d: str) -> DataFrame:
+    return transforms.token_collisions(t(spark, d, "detected_spans").select("label", "text"))
+
+
+@query
+def detect_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rule spans with offsets, long form."""
+    found = detect.detect_rules(t(spark, d, "requests").where("text is not null"), ["email", "ip", "money"])
+    return found.select("request_id", F.explode("spans").alias("s")).select("request_id", "s.label", "s.start", "s.end", "s.text")
+
+
+@query
+def detect_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Two registered rule detectors over the requests: spans per detector and label."""
+    rows = detect.detect_all(t(spark, d, "requests"), ["regex_strict", "regex_loose"], key_col="request_id")
+    return rows.select("detector", F.explode("spans").alias("s")).groupBy("detector", F.col("s.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def masked_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Thirty code points around each request's first span, with spans masked, and whether anything is left."""
+    requests, spans = _requests(spark, d)
+    j = requests.join(spans, "request_id").withColumn("f", F.try_element_at("spans", F.lit(1))).where(S.in_bounds(F.col("f.start"), F.col("f.end"), F.col("text")))
+    lo, hi = F.greatest(F.col("f.start") - 30, F.lit(0)), F.least(F.col("f.end") + 30, F.length("text"))
+    out = transforms.mask(j, "spans", lo, hi)
+    return out.select("request_id", "masked", S.nothing_left(F.col("masked")).alias("nothing_left"))
+
+
+# documents ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def line_segments(spark: SparkSession, d: str) -> DataFrame:
+    return documents.line_segments(t(spark, d, "documents"))
+
+
+@query
+def document_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = documents.chunks(t(spark, d, "documents"))
+    return rows.select("doc_id", "k", "offset", F.length("text").alias("n_chars"))
+
+
+@query
+def documents_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    back = documents.rebuild(documents.chunks(t(spark, d, "documents")))
+    return back.select("doc_id", F.sha1("text").alias("text_sha1"), "complete")
+
+
+@query
+def document_map(spark: SparkSession, d: str) -> DataFrame:
+    return documents.document_map(Run(spark, d).records.join(t(spark, d, "fixtures").select("id", "doc_id", "offset").distinct(), "id"))
+
+
+@query
+def spans_in_documents(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    return documents.chunk_spans_to_documents(t(spark, d, "fixtures"), run.gold, t(spark, d, "documents").where("text is not null"))
+
+
+@query
+def interval_union(spark: SparkSession, d: str) -> DataFrame:
+    return documents.interval_union(Run(spark, d).pred, ["id"])
+
+
+@query
+def segment_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Segments per kind of document and key of their location."""
+    rows = t(spark, d, "documents").select("kind", F.explode("segments").alias("s"))
+    return rows.select("kind", F.explode(F.map_keys("s.where")).alias("place")).groupBy("kind", "place").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def located_items(spark: SparkSession, d: str) -> DataFrame:
+    """The service's values looked up again in their texts by the tiers of the labeler."""
+    items = t(spark, d, "detected_spans").distinct().groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct("span_id", F.col("text").alias("value"), "label"))).alias("items"))
+    items = items.withColumn("items", F.transform("items", lambda i: F.struct(i["value"].alias("value"), i["label"].alias("label"))))
+    return locate.locate(t(spark, d, "requests").join(items, "request_id"), "request_id")
+
+
+# reviews ------------------------------------------------------------------------------------------------------------
+
+
+def _reviewed(run: Run) -> tuple[DataFrame, DataFrame]:
+    pooled = voting.pool(run.pred)
+    return review.judge_from_gold(pooled, run.gold), review.missed_from_gold(pooled, run.gold)
+
+
+@query
+def review_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return review.verdict_counts(_reviewed(Run(spark, d))[0])
+
+
+@query
+def review_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = review.summarize(*_reviewed(Run(spark, d)))
+    return rows.select(*rows.columns[:-3], *[F.round(c, 6).alias(c) for c in rows.columns[-3:]])
+
+
+@query
+def review_missed(spark: SparkSession, d: str) -> DataFrame:
+    return _reviewed(Run(spark, d))[1].select("id", "start", "end", "label")
+
+
+@query
+def classifier_summary(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    return _few(review.classifier_summary(review.classifier_rows(voting.pool(run.pred), run.gold)))
+
+
+@query
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    return _few(review.threshold_sweep(review.classifier_rows(voting.pool(run.pred), run.gold), run.gold, [0.1, 0.3, 0.5, 0.7, 0.9]))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in rows.schema.fields])
+
+
+@query
+def residual_rate(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    return _few(review.residual_rate(run.records, run.pred, run.gold, run.calls))
+
+
+@query
+def plan_calls(spark: SparkSession, d: str) -> DataFrame:
+    return review.plan_calls(Run(spark, d).records)
+
+
+# search -------------------------------------------------------------------------------------------------------------
+
+
+@query
+def search_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out prompts as queries over all documents."""
+    q = t(spark, d, "eval_items").select(F.col("prompt").alias("text")).distinct().withColumn("query_id", F.md5("text"))
+    return search.bm25(t(spark, d, "documents").select("doc_id", "text"), q, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "place")
+
+
+@query
+def search_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Frequency of search words in the rewritten requests."""
+    rows = _rewritten(spark, d, "label_number")
+    return rows.select(F.explode(search.tokens(F.col("replaced_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Each client's requests as relevant set, e-mail domains as queries: plain retrieval."""
+    req = t(spark, d, "requests").where("text is not null").select(F.col("request_id").alias("doc_id"), "text")
+    words = F.array("archive", "clinic", "invoice") if False else F.array(F.lit("passport"), F.lit("invoice"), F.lit("tenant"))
+    q = spark.range(1).select(F.explode(words).alias("text")).withColumn("query_id", F.col("text"))
+    rel = req.select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term")).join(q.select(F.col("text").alias("term"), "query_id"), "term")
+    relevant = rel.groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
+    queries = q.join(relevant, "query_id").select("query_id", "text", "relevant")
+    return _few(search.retrieval_quality(search.bm25(req, q, 10), queries))
