@@ -73,6 +73,15 @@ QUANTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 EPS = 0.005
 
 
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per detector, run and day in one table, from summaries that each task makes of its own rows."""
+    by = F.explode(F.array(*[F.struct(F.lit(name).alias("grouping"), c.alias("key")) for name, c in (
+        ("detector", F.col("detector")), ("run_id", F.col("run_id")), ("day", F.to_date("started_at").cast("string")))]))
+    rows = _table(spark, d, "predictions").select("latency_ms", by.alias("g"))
+    parts = quantiles.summaries(rows, "latency_ms", {"grouping": F.col("g.grouping"), "key": F.col("g.key")}, EPS)
+    return quantiles.percentiles(parts, ["grouping", "key"], QUANTILES, EPS)
+
+
 def p5_latency(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per detector, merged from the summaries of single days."""
     rows = _table(spark, d, "predictions")
@@ -135,7 +144,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    p1_found, p1_languages, p2_found, p2_replaced, p3_found, p3_units, p4_found, p4_agreement, p4_reliability, p5_latency, p5_latency_runs,
+    p1_found, p1_languages, p2_found, p2_replaced, p3_found, p3_units, p4_found, p4_agreement, p4_reliability, p5_percentiles, p5_latency, p5_latency_runs,
     p5_latency_days, p6_found, p6_forms, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found, p10_scores)}
 
 # None of these operators is plain SQL over whole tables; tests/llm holds brute-force versions instead.
