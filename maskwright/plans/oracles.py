@@ -1,2 +1,350 @@
-"""SQL counterparts."""
-ORACLES: dict = {}
+"""SQL counterparts of the named queries, over the same tables."""
+
+from __future__ import annotations
+
+from maskwright.functions.taxonomy import ALL_LABELS, COARSE, PARENT
+from maskwright.operators.detect import RULES
+from maskwright.operators.search import TOKEN
+
+ORACLES: dict[str, str] = {}
+
+
+def _in(names: list[str]) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+_REC = "rec AS (SELECT DISTINCT id, text, language, gold_spans FROM fixtures)"
+_LATEST = """latest AS (SELECT id, detector, spans, latency_ms, error FROM (
+    SELECT *, row_number() OVER (PARTITION BY id, detector ORDER BY started_at DESC, run_id DESC, ingested_at DESC) AS rn FROM predictions) WHERE rn = 1)"""
+
+
+def _gold(label: str = "g.label") -> str:
+    return f"""gold AS (SELECT DISTINCT id, g."start" AS s, g."end" AS e, {label} AS label FROM (SELECT id, text, unnest(gold_spans) AS g FROM rec)
+    WHERE g."start" >= 0 AND g."start" < g."end" AND g."end" <= length(text) AND g.label IN {_in(COARSE)})"""
+
+
+def _pred(label: str = "p.label") -> str:
+    return f"""pred AS (SELECT DISTINCT id, detector, p."start" AS s, p."end" AS e, {label} AS label FROM (
+        SELECT id, detector, unnest(spans) AS p FROM latest WHERE error IS NULL) WHERE id IN (SELECT id FROM rec)),
+    calls AS (SELECT id, detector FROM latest WHERE error IS NULL AND id IN (SELECT id FROM rec))"""
+
+
+_BASE = f"{_REC}, {_LATEST}, {_gold()}, {_pred()}"
+_LANG = """CASE lower(trim(language)) WHEN 'english' THEN 'en' WHEN 'french' THEN 'fr' WHEN 'german' THEN 'de' WHEN 'italian' THEN 'it'
+    WHEN 'spanish' THEN 'es' WHEN 'dutch' THEN 'nl' ELSE CASE WHEN length(trim(language)) = 2 THEN lower(trim(language)) ELSE language END END"""
+_PARENT = "CASE {x} " + " ".join(f"WHEN '{f}' THEN '{p}'" for f, p in PARENT.items()) + " ELSE {x} END"
+_IOU = "(CASE WHEN least({a1}, {b1}) > greatest({a0}, {b0}) THEN (least({a1}, {b1}) - greatest({a0}, {b0}))::DOUBLE / (({a1} - {a0}) + ({b1} - {b0}) - (least({a1}, {b1}) - greatest({a0}, {b0}))) ELSE 0 END)"
+
+
+def _iou(a0: str, a1: str, b0: str, b1: str) -> str:
+    return _IOU.format(a0=a0, a1=a1, b0=b0, b1=b1)
+
+
+# counts ---------------------------------------------------------------------------------------------------------------
+
+ORACLES["coverage"] = f"""WITH {_REC}, {_LATEST}, n AS (SELECT count(DISTINCT id) AS n FROM rec)
+SELECT detector, n.n AS n, count(*) FILTER (error IS NULL) AS scored, count(*) FILTER (error IS NOT NULL) AS errors, n.n - count(*) AS missing
+FROM latest, n WHERE id IN (SELECT id FROM rec) GROUP BY detector, n.n"""
+ORACLES["span_counts"] = f"""WITH {_LATEST}
+SELECT detector, count(*) AS calls, sum(coalesce(len(spans), 0))::BIGINT AS n_spans, count(*) FILTER (len(spans) > 0) AS with_spans FROM latest GROUP BY detector"""
+ORACLES["gold_label_counts"] = f"WITH {_REC}, {_gold()} SELECT label, count(*) AS n FROM gold GROUP BY label"
+ORACLES["language_counts"] = f"WITH {_REC} SELECT {_LANG} AS language, count(*) AS n FROM rec GROUP BY 1"
+ORACLES["raw_label_counts"] = f"""WITH {_LATEST}, flat AS (SELECT detector, unnest(spans).raw_label AS raw_label FROM latest),
+few AS (SELECT detector, raw_label, count(*) AS n FROM flat GROUP BY 1, 2),
+bare AS (SELECT *, upper(CASE WHEN regexp_matches(raw_label, '^[BIESLUbieslu][-_].') AND NOT upper(raw_label) IN {_in(ALL_LABELS)} THEN raw_label[3:] ELSE raw_label END) AS b FROM few)
+SELECT detector, raw_label, n, CASE WHEN b IN {_in(ALL_LABELS)} THEN {_PARENT.format(x='b')} END AS canonical FROM bare"""
+ORACLES["latency_summary"] = """WITH v AS (SELECT DISTINCT * FROM predictions),
+x AS (SELECT detector, latency_ms AS v, row_number() OVER (PARTITION BY detector ORDER BY latency_ms) - 1 AS r, count(*) OVER (PARTITION BY detector) AS n
+    FROM v WHERE error IS NULL AND latency_ms IS NOT NULL AND NOT isnan(latency_ms))
+SELECT detector, n, (max(v) FILTER (r = floor((n - 1) / 2)) + max(v) FILTER (r = ceil((n - 1) / 2))) / 2 AS p50,
+    max(v) FILTER (r = round_even((n - 1) * 0.95, 0)) AS p95, max(v) FILTER (r = round_even((n - 1) * 0.99, 0)) AS p99
+FROM x GROUP BY detector, n"""
+ORACLES["latency_by_window"] = """WITH v AS (SELECT DISTINCT id, detector, run_id, started_at, error, latency_ms FROM predictions)
+SELECT date_trunc('day', started_at)::TIMESTAMP AS window_start, detector, count(*) AS calls, count(*) FILTER (error IS NOT NULL) AS errors,
+    round(avg(latency_ms) FILTER (error IS NULL AND latency_ms IS NOT NULL AND NOT isnan(latency_ms)), 6) AS mean_ms
+FROM v GROUP BY 1, 2"""
+ORACLES["run_rows"] = """WITH c AS (SELECT run_id, detector, count(*) AS n FROM (SELECT DISTINCT * FROM predictions) GROUP BY 1, 2),
+l AS (SELECT run_id, dataset, n_examples, unnest(detectors) AS detector FROM runs)
+SELECT l.run_id, l.detector, dataset, n_examples, coalesce(n, 0) AS n_rows FROM l LEFT JOIN c ON l.run_id = c.run_id AND l.detector = c.detector"""
+ORACLES["unlisted_rows"] = """WITH l AS (SELECT run_id, unnest(detectors) AS detector FROM runs)
+SELECT p.run_id, p.detector, count(*) AS n FROM (SELECT DISTINCT id, run_id, detector FROM predictions) p
+WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.run_id = p.run_id AND l.detector = p.detector) GROUP BY 1, 2"""
+ORACLES["reuse_missing"] = f"""WITH {_REC}, {_LATEST}
+SELECT d.detector, count(*) AS missing FROM (SELECT DISTINCT id FROM rec) r, (SELECT DISTINCT detector FROM latest) d
+WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.id = r.id AND l.detector = d.detector) GROUP BY 1"""
+ORACLES["gold_dropped"] = f"""WITH {_REC}, f AS (SELECT id, text, unnest(gold_spans) AS g FROM rec)
+SELECT id, count(*) AS n_dropped FROM f WHERE NOT coalesce(g."start" >= 0 AND g."start" < g."end" AND g."end" <= length(text) AND g.label IN {_in(COARSE)}, false) GROUP BY id"""
+ORACLES["validate_fixtures"] = f"""WITH flat AS (SELECT id, text, unnest(gold_spans) AS g FROM fixtures WHERE text IS NOT NULL),
+o AS (SELECT id, list_sort(list_transform(gold_spans, lambda g: {{'s': g['start'], 'e': g['end']}})) AS x FROM fixtures),
+e AS (
+    SELECT id, 'error' AS severity, 'missing id' AS issue FROM fixtures WHERE id IS NULL OR id = ''
+    UNION ALL SELECT id, 'error', 'repeated id' FROM fixtures WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1
+    UNION ALL SELECT id, 'error', 'missing text' FROM fixtures WHERE text IS NULL
+    UNION ALL SELECT id, 'error', 'offsets out of the text' FROM flat WHERE NOT coalesce(g."start" >= 0 AND g."start" < g."end" AND g."end" <= length(text), false)
+    UNION ALL SELECT id, 'warning', 'label outside the taxonomy' FROM flat WHERE NOT coalesce(g.label IN {_in(ALL_LABELS)}, false)
+    UNION ALL SELECT id, 'warning', 'overlapping gold' FROM o WHERE len(list_filter(x, lambda v, i: i > 1 AND v['s'] < x[i - 1]['e'])) > 0)
+SELECT id, severity, issue, count(*) AS n FROM e GROUP BY 1, 2, 3"""
+ORACLES["sample_records"] = "SELECT id FROM (SELECT DISTINCT id FROM fixtures) ORDER BY md5('42:' || id), id LIMIT 100"
+ORACLES["holdout"] = f"SELECT id, ('0x' || substr(md5('42:' || id), 1, 8))::BIGINT < {int(0.3 * 0xFFFFFFFF)} AS holdout FROM (SELECT DISTINCT id FROM fixtures)"
+ORACLES["baseline_hashes"] = "SELECT DISTINCT id, sha1(text) AS text_sha1 FROM fixtures"
+ORACLES["baseline_guard"] = """WITH b AS (SELECT file_id || '#0' AS id, sha1(text) AS h FROM documents), n AS (SELECT DISTINCT id, sha1(text) AS now FROM fixtures)
+SELECT count(*) FILTER (h IS NOT NULL AND h IS NOT DISTINCT FROM now) AS covered, count(*) FILTER (h IS NOT NULL AND h IS DISTINCT FROM now) AS changed,
+    count(*) FILTER (h IS NULL) AS missing FROM n LEFT JOIN b ON n.id = b.id"""
+_FINE_BASE = f"{_REC}, {_LATEST}, {_gold('coalesce(g.fine_label, g.label)')}, {_pred('coalesce(p.fine_label, p.label)')}"
+ORACLES["annotated_labels"] = f"""WITH {_FINE_BASE}, b AS (SELECT DISTINCT label, 'gold' AS side FROM gold UNION ALL SELECT DISTINCT label, 'pred' FROM pred)
+SELECT label, side, {_PARENT.format(x='label')} AS parent FROM b"""
+
+# scoring --------------------------------------------------------------------------------------------------------------
+
+_OUTCOMES = f"""{_BASE},
+sc AS (SELECT DISTINCT 'fair' AS view, detector, label FROM pred WHERE label IN (SELECT label FROM gold)
+    UNION ALL SELECT 'raw', d.detector, g.label FROM (SELECT DISTINCT detector FROM pred) d, (SELECT DISTINCT label FROM gold) g),
+p AS (SELECT sc.view, pred.* FROM pred JOIN sc USING (detector, label)),
+g AS (SELECT sc.view, calls.detector, gold.* FROM gold JOIN calls ON gold.id = calls.id JOIN sc ON sc.detector = calls.detector AND sc.label = gold.label),
+met AS (SELECT p.view, p.detector, p.id, p.s AS ps, p.e AS pe, p.label AS pl, g.s AS gs, g.e AS ge, g.label AS gl,
+    CASE WHEN p.s = g.s AND p.e = g.e THEN CASE WHEN p.label = g.label THEN 0 ELSE 1 END ELSE 2 END AS r
+    FROM p JOIN g ON p.view = g.view AND p.detector = g.detector AND p.id = g.id AND p.s < g.e AND g.s < p.e),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY view, detector, id, ps, pe, pl ORDER BY r, gs, ge, gl) AS rn FROM met) WHERE rn = 1),
+outcomes AS (
+    SELECT view, detector, id, gl AS tag, CASE WHEN r = 0 THEN 'exact' WHEN r = 1 THEN 'bounds' WHEN pl = gl THEN 'type' ELSE 'overlap' END AS kind FROM best
+    UNION ALL SELECT view, detector, id, label, 'spurious' FROM p WHERE NOT EXISTS (
+        SELECT 1 FROM best b WHERE b.view = p.view AND b.detector = p.detector AND b.id = p.id AND b.ps = p.s AND b.pe = p.e AND b.pl = p.label)
+    UNION ALL SELECT view, detector, id, label, 'missed' FROM g WHERE NOT EXISTS (
+        SELECT 1 FROM met m WHERE m.view = g.view AND m.detector = g.detector AND m.id = g.id AND m.gs = g.s AND m.ge = g.e AND m.gl = g.label))"""
+
+
+def _score(by: str, source: str = "outcomes") -> str:
+    k = {x: f"count(*) FILTER (kind = '{x}')" for x in ("exact", "bounds", "type", "overlap", "spurious", "missed")}
+    rows = {
+        "strict": (k["exact"], f"{k['bounds']} + {k['type']} + {k['overlap']}", "0"),
+        "exact": (f"{k['exact']} + {k['bounds']}", f"{k['type']} + {k['overlap']}", "0"),
+        "partial": (f"{k['exact']} + {k['bounds']}", "0", f"{k['type']} + {k['overlap']}"),
+        "ent_type": (f"{k['exact']} + {k['type']}", f"{k['bounds']} + {k['overlap']}", "0"),
+    }
+    parts = " UNION ALL ".join(
+        f"SELECT {by}, '{n}' AS schema, ({a})::BIGINT AS cor, ({b})::BIGINT AS inc, ({h})::BIGINT AS par, {k['missed']} AS mis, {k['spurious']} AS spu FROM {source} GROUP BY {by}"
+        for n, (a, b, h) in rows.items())
+    return f"""raw_scores AS ({parts}),
+pr AS (SELECT *, cor + inc + par + mis AS possible, cor + inc + par + spu AS actual, cor + CASE WHEN schema IN ('partial', 'ent_type') THEN 0.5 * par ELSE 0 END AS credit FROM raw_scores),
+pr2 AS (SELECT *, CASE WHEN actual = 0 THEN 0 ELSE credit::DOUBLE / actual END AS precision, CASE WHEN possible = 0 THEN 0 ELSE credit::DOUBLE / possible END AS recall FROM pr),
+scores AS (SELECT {by}, schema, cor, inc, par, mis, spu, possible, actual, precision, recall, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pr2)"""
+
+
+def _final(by: str) -> str:
+    return f"SELECT {by}, schema, cor, inc, par, mis, spu, possible, actual, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM scores"
+
+
+ORACLES["semeval_overall"] = f"WITH {_OUTCOMES}, {_score('view, detector')} {_final('view, detector')}"
+ORACLES["semeval_by_label"] = f"WITH {_OUTCOMES}, {_score('view, detector, tag')} {_final('view, detector, tag')}"
+ORACLES["semeval_by_language"] = f"""WITH {_OUTCOMES}, lang AS (SELECT id, min({_LANG}) AS language FROM rec GROUP BY id),
+ol AS (SELECT o.*, language FROM outcomes o JOIN lang USING (id)), {_score('view, detector, language', 'ol')} {_final('view, detector, language')}"""
+ORACLES["headline"] = f"""WITH {_OUTCOMES}, {_score('view, detector')}
+SELECT view, detector, {', '.join(f"round(max(f1) FILTER (schema = '{s}'), 6) AS f1_{s}" for s in ('strict', 'exact', 'partial', 'ent_type'))},
+    round(max(precision) FILTER (schema = 'strict'), 6) AS precision, round(max(recall) FILTER (schema = 'strict'), 6) AS recall FROM scores GROUP BY 1, 2"""
+ORACLES["per_label_f1"] = f"""WITH {_OUTCOMES}, {_score('view, detector, tag')}
+SELECT detector, {', '.join(f"coalesce(round(max(f1) FILTER (tag = '{x}'), 6), 0.0) AS {x}" for x in ('PERSON', 'EMAIL', 'PHONE', 'ADDRESS'))}
+FROM scores WHERE view = 'raw' AND schema = 'ent_type' GROUP BY 1"""
+ORACLES["semeval_fine"] = f"""WITH {_FINE_BASE},
+keep AS (SELECT DISTINCT detector, {_PARENT.format(x='label')} AS kept FROM pred WHERE label IN (SELECT label FROM gold) AND {_PARENT.format(x='label')} <> label),
+pp AS (SELECT DISTINCT p.detector, id, s, e, CASE WHEN kept IS NOT NULL THEN label ELSE {_PARENT.format(x='label')} END AS label FROM pred p LEFT JOIN keep k ON p.detector = k.detector AND {_PARENT.format(x='p.label')} = kept),
+gg AS (SELECT DISTINCT c.detector, g.id, s, e, CASE WHEN kept IS NOT NULL THEN label ELSE {_PARENT.format(x='label')} END AS label
+    FROM gold g JOIN calls c ON g.id = c.id LEFT JOIN keep k ON c.detector = k.detector AND {_PARENT.format(x='g.label')} = kept),
+m AS (SELECT pp.detector, pp.id, pp.s, pp.e, pp.label, min(CASE WHEN pp.s = gg.s AND pp.e = gg.e THEN CASE WHEN pp.label = gg.label THEN 0 ELSE 1 END ELSE 2 END) AS r
+    FROM pp JOIN gg ON pp.detector = gg.detector AND pp.id = gg.id AND pp.s < gg.e AND gg.s < pp.e GROUP BY 1, 2, 3, 4, 5)
+SELECT detector, count(*) FILTER (r = 0) AS exact, count(*) FILTER (r = 1) AS bounds, count(*) FILTER (r = 2) AS overlap FROM m GROUP BY 1"""
+
+_CTX = """CASE WHEN greatest({s} - 30, 0) > 0 THEN '…' ELSE '' END || substr(text, greatest({s} - 30, 0) + 1, least({e} + 30, length(text)) - greatest({s} - 30, 0))
+    || CASE WHEN least({e} + 30, length(text)) < length(text) THEN '…' ELSE '' END"""
+
+
+def _error(select: str, s: str, e: str) -> str:
+    return f"WITH {_BASE}, x AS ({select}) SELECT x.*, {_CTX.format(s=s, e=e)} AS context FROM x JOIN (SELECT DISTINCT id, text FROM rec) r ON x.id = r.id"
+
+
+_ES, _EE = 'x."start"', 'x."end"'
+ORACLES["errors_missed"] = _error("""SELECT c.id, c.detector, g.s AS "start", g.e AS "end", g.label AS gold_label, NULL::VARCHAR AS label FROM calls c JOIN gold g ON c.id = g.id
+    WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p.id = c.id AND p.detector = c.detector AND p.s < g.e AND g.s < p.e)""", _ES, _EE)
+ORACLES["errors_spurious"] = _error("""SELECT p.id, p.detector, p.s AS "start", p.e AS "end", NULL::VARCHAR AS gold_label, p.label FROM pred p
+    WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE p.id = g.id AND p.s < g.e AND g.s < p.e)""", _ES, _EE)
+ORACLES["errors_mislabeled"] = _error("""SELECT DISTINCT p.id, p.detector, p.s AS "start", p.e AS "end", g.label AS gold_label, p.label FROM pred p JOIN gold g ON p.id = g.id
+    AND p.s = g.s AND p.e = g.e AND p.label <> g.label AND p.s < g.e AND g.s < p.e""", _ES, _EE)
+ORACLES["errors_boundary"] = _error("""SELECT DISTINCT p.id, p.detector, p.s AS "start", p.e AS "end", g.label AS gold_label, p.label FROM pred p JOIN gold g ON p.id = g.id
+    AND NOT (p.s = g.s AND p.e = g.e) AND p.label = g.label AND p.s < g.e AND g.s < p.e""", _ES, _EE)
+
+# voting ---------------------------------------------------------------------------------------------------------------
+
+ORACLES["pooled_spans"] = f"""WITH {_BASE} SELECT id, s AS "start", e AS "end", label, string_agg(DISTINCT detector, ',' ORDER BY detector) AS detectors, count(DISTINCT detector) AS n FROM pred GROUP BY 1, 2, 3, 4"""
+ORACLES["pooled_fine"] = f"""WITH {_LATEST}, f AS (SELECT DISTINCT id, detector, p."start" AS s, p."end" AS e, p.label AS label, p.fine_label AS fine FROM (SELECT id, detector, unnest(spans) AS p FROM latest WHERE error IS NULL)),
+v AS (SELECT id, s, e, label, fine, count(DISTINCT detector) AS v, min(detector) AS d FROM f WHERE fine IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, s, e, label ORDER BY v DESC, d, fine) AS rn FROM v) WHERE rn = 1),
+n AS (SELECT id, s, e, label, count(DISTINCT detector) AS n FROM f GROUP BY 1, 2, 3, 4)
+SELECT n.id, n.s AS "start", n.e AS "end", n.label, b.fine AS fine_label, n.n FROM n LEFT JOIN b ON n.id = b.id AND n.s = b.s AND n.e = b.e AND n.label = b.label"""
+ORACLES["detector_agreement"] = f"""WITH {_BASE},
+k AS (SELECT c.id, c.detector, (SELECT count(*) FROM pred p WHERE p.id = c.id AND p.detector = c.detector) AS k FROM calls c),
+z AS (SELECT a.detector AS a, b.detector AS b, count(*) AS records, sum(a.k)::BIGINT AS n_a, sum(b.k)::BIGINT AS n_b FROM k a JOIN k b ON a.id = b.id AND a.detector < b.detector GROUP BY 1, 2),
+m AS (SELECT x.detector AS a, y.detector AS b, count(*) AS same FROM pred x JOIN pred y ON x.id = y.id AND x.s = y.s AND x.e = y.e AND x.label = y.label AND x.detector < y.detector GROUP BY 1, 2),
+j AS (SELECT z.*, coalesce(same, 0) AS same FROM z LEFT JOIN m ON z.a = m.a AND z.b = m.b)
+SELECT a, b, records, n_a, n_b, same,
+    round(CASE WHEN n_a = 0 AND n_b = 0 THEN 1.0 WHEN n_a = 0 THEN 0.0 ELSE same::DOUBLE / n_a END, 6) AS precision,
+    round(CASE WHEN n_a = 0 AND n_b = 0 THEN 1.0 WHEN n_b = 0 THEN 0.0 ELSE same::DOUBLE / n_b END, 6) AS recall,
+    round(CASE WHEN n_a = 0 AND n_b = 0 THEN 1.0 ELSE 2 * same::DOUBLE / (n_a + n_b) END, 6) AS f1 FROM j"""
+
+
+def _merge(need: str) -> str:
+    return f"""{_BASE}, pool AS (SELECT id, s, e, label, count(DISTINCT detector) AS exact FROM pred GROUP BY 1, 2, 3, 4),
+v AS (SELECT a.id, a.s, a.e, a.label, a.exact, count(DISTINCT b.detector) AS votes FROM pool a JOIN pred b ON a.id = b.id AND a.label = b.label AND {_iou('a.s', 'a.e', 'b.s', 'b.e')} >= 0.5 GROUP BY 1, 2, 3, 4, 5),
+q AS (SELECT id, count(DISTINCT detector) AS asked FROM calls GROUP BY 1),
+merged AS (SELECT v.* FROM v JOIN q ON v.id = q.id WHERE votes >= {need})"""
+
+
+for _name, _need in (("union", "1"), ("majority", "asked // 2 + 1"), ("intersection", "asked")):
+    ORACLES[f"merge_{_name}"] = f'WITH {_merge(_need)} SELECT id, s AS "start", e AS "end", label, votes, exact FROM merged'
+ORACLES["silver_spans"] = f"""WITH RECURSIVE {_merge('asked // 2 + 1')},
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, exact DESC, e - s DESC, s, e, label) AS rn FROM merged),
+step(id, rn, kept) AS (
+    SELECT id, rn, [{{'s': s, 'e': e, 'label': label, 'votes': votes}}] FROM r WHERE rn = 1
+    UNION ALL SELECT r.id, r.rn, CASE WHEN len(list_filter(step.kept, lambda k: k['s'] < r.e AND r.s < k['e'])) > 0 THEN step.kept
+        ELSE list_append(step.kept, {{'s': r.s, 'e': r.e, 'label': r.label, 'votes': r.votes}}) END FROM step JOIN r ON r.id = step.id AND r.rn = step.rn + 1),
+last AS (SELECT id, max(rn) AS rn FROM step GROUP BY 1), u AS (SELECT step.id, unnest(kept) AS k FROM step JOIN last ON step.id = last.id AND step.rn = last.rn)
+SELECT id, k.s AS "start", k.e AS "end", k.label AS label, k.votes AS votes FROM u"""
+_RECIPE = f"""{_OUTCOMES}, {_score('view, detector, tag')},
+cand AS (SELECT * FROM scores WHERE view = 'fair' AND schema = 'ent_type'),
+recipe AS (SELECT tag AS label, detector, f1 FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY f1 DESC, detector DESC) AS rn FROM cand WHERE f1 > 0) WHERE rn = 1)"""
+ORACLES["recipe"] = f"WITH {_RECIPE} SELECT label, detector, round(f1, 6) AS f1 FROM recipe"
+ORACLES["recipe_candidates"] = f"""WITH {_RECIPE} SELECT tag AS label, rn AS place, detector, round(f1, 6) AS f1
+FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY f1 DESC, detector DESC) AS rn FROM cand) WHERE rn <= 3"""
+ORACLES["ensemble_spans"] = f"""WITH RECURSIVE {_RECIPE},
+c AS (SELECT pred.id, s, e, pred.label, row_number() OVER (PARTITION BY pred.id ORDER BY s, e DESC, pred.label) AS rn FROM pred JOIN recipe ON pred.label = recipe.label AND pred.detector = recipe.detector),
+walk(id, rn, s, e, label, cursor, keep) AS (
+    SELECT id, rn, s, e, label, e, true FROM c WHERE rn = 1
+    UNION ALL SELECT c.id, c.rn, c.s, c.e, c.label, CASE WHEN c.s >= walk.cursor THEN c.e ELSE walk.cursor END, c.s >= walk.cursor FROM walk JOIN c ON c.id = walk.id AND c.rn = walk.rn + 1)
+SELECT id, s AS "start", e AS "end", label FROM walk WHERE keep"""
+ORACLES["raw_label_hit_rate"] = f"""WITH {_REC}, {_LATEST}, {_gold()},
+p AS (SELECT DISTINCT id, detector, p.raw_label AS raw_label, p.label AS label, p."start" AS s, p."end" AS e FROM (SELECT id, detector, unnest(spans) AS p FROM latest WHERE error IS NULL)),
+h AS (SELECT p.*, EXISTS (SELECT 1 FROM gold g WHERE g.id = p.id AND g.label = p.label AND {_iou('p.s', 'p.e', 'g.s', 'g.e')} >= 0.5) AS hit FROM p),
+n AS (SELECT detector, raw_label, count(*) AS n, count(*) FILTER (hit) AS hits FROM h GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT detector, raw_label, n, hits, round(100.0 * hits / n, 6) AS pct, CASE WHEN 100.0 * hits / n < 50 THEN 'DROP' WHEN 100.0 * hits / n < 70 THEN 'WEAK' ELSE 'KEEP' END AS verdict FROM n"""
+ORACLES["label_redundancy"] = f"""WITH {_BASE},
+m AS (SELECT DISTINCT a.id, a.detector, a.label AS general, b.label AS granular, a.s, a.e FROM pred a JOIN pred b ON a.id = b.id AND a.detector = b.detector AND a.label <> b.label AND {_iou('a.s', 'a.e', 'b.s', 'b.e')} > 0.5),
+c AS (SELECT detector, general, granular, count(*) AS covered FROM m GROUP BY 1, 2, 3), n AS (SELECT detector, label AS general, count(*) AS n FROM pred GROUP BY 1, 2)
+SELECT c.detector, c.general, granular, covered, n, round(100.0 * covered / n, 6) AS pct FROM c JOIN n ON c.detector = n.detector AND c.general = n.general"""
+
+# rewriting ------------------------------------------------------------------------------------------------------------
+
+_SPANS = """sp AS (SELECT DISTINCT r.request_id, d."start" AS s, d."end" AS e, d.label AS label, substr(r.text, d."start" + 1, d."end" - d."start") AS txt
+    FROM requests r JOIN detected_spans d ON r.request_id = d.request_id WHERE d."start" >= 0 AND d."start" < d."end" AND d."end" <= length(r.text){extra}),
+first AS (SELECT request_id, label, txt, min(s * 10000000 + e) AS pos FROM sp GROUP BY 1, 2, 3),
+num AS (SELECT *, row_number() OVER (PARTITION BY request_id, label ORDER BY pos) AS n FROM first),
+ord AS (SELECT sp.*, num.n, row_number() OVER (PARTITION BY sp.request_id ORDER BY s, e, sp.label) AS rn FROM sp JOIN num ON sp.request_id = num.request_id AND sp.label = num.label AND sp.txt = num.txt),
+rep AS (SELECT *, {rep} AS rep FROM ord),
+walk(request_id, rn, cursor, out, keep) AS (
+    SELECT q.request_id, 0::BIGINT, 0, '', false FROM requests q
+    UNION ALL SELECT w.request_id, rep.rn, CASE WHEN rep.s >= w.cursor THEN rep.e ELSE w.cursor END,
+        CASE WHEN rep.s >= w.cursor THEN w.out || substr(q.text, w.cursor + 1, rep.s - w.cursor) || rep.rep ELSE w.out END, rep.s >= w.cursor
+    FROM walk w JOIN rep ON rep.request_id = w.request_id AND rep.rn = w.rn + 1 JOIN requests q ON q.request_id = w.request_id),
+fin AS (SELECT w.* FROM walk w JOIN (SELECT request_id, max(rn) AS rn FROM walk GROUP BY 1) m ON w.request_id = m.request_id AND w.rn = m.rn)"""
+_TOKEN_SQL = """list_aggregate(list_transform(range(0, 7), lambda k: substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz',
+    ((('0x' || substr(sha256('maskwright' || chr(1) || label || chr(1) || txt), 1, 12))::BIGINT // (62 ** k)::BIGINT) % 62 + 1)::INTEGER, 1)), 'string_agg', '')"""
+_REPS = {
+    "redact": "'********'", "label": "'[' || label || ']'", "label_number": "'[' || label || '_' || n || ']'",
+    "label_token": f"'[' || label || '_' || {_TOKEN_SQL} || ']'",
+}
+_BY_MODE = f"""(SELECT CASE coalesce(q.mode, 'label') WHEN 'redact' THEN {_REPS['redact']} WHEN 'label_number' THEN {_REPS['label_number']}
+    WHEN 'label_token' THEN {_REPS['label_token']} ELSE {_REPS['label']} END FROM requests q WHERE q.request_id = ord.request_id)"""
+_CATS = " AND (r.categories IS NULL OR list_contains(r.categories, d.label))"
+
+
+def _walk(rep: str, extra: str = "") -> str:
+    return "WITH RECURSIVE " + _SPANS.format(rep=rep, extra=extra)
+
+
+_OUT = "q.text IS NULL, NULL, fin.out || substr(q.text, fin.cursor + 1)"
+for _m, _r in _REPS.items():
+    ORACLES[f"replace_{_m}"] = f"{_walk(_r)} SELECT q.request_id, if({_OUT}) AS replaced_text FROM requests q JOIN fin ON q.request_id = fin.request_id"
+ORACLES["service_replace"] = f"{_walk(_BY_MODE, _CATS)} SELECT q.request_id, if({_OUT}) AS replaced_text FROM requests q JOIN fin ON q.request_id = fin.request_id"
+ORACLES["service_spans"] = f"""{_walk(_BY_MODE, _CATS)} SELECT rep.request_id, rep.label, rep.s AS "start", rep.e AS "end", rep.txt AS text, rep.rep AS replacement, walk.keep AS replaced
+FROM rep JOIN walk ON rep.request_id = walk.request_id AND rep.rn = walk.rn JOIN requests q ON q.request_id = rep.request_id WHERE coalesce(q.mode, 'label') IN ('label', 'redact', 'label_number')"""
+ORACLES["service_find"] = f"""{_walk("''", _CATS)}, c AS (SELECT request_id, label, count(*) AS n FROM sp GROUP BY 1, 2), z AS (SELECT request_id, count(*) AS span_count FROM sp GROUP BY 1)
+SELECT q.request_id, c.label, coalesce(c.n, 0) AS n, coalesce(z.span_count, 0) AS span_count FROM requests q LEFT JOIN c ON q.request_id = c.request_id LEFT JOIN z ON q.request_id = z.request_id"""
+ORACLES["token_collisions"] = f"""WITH d AS (SELECT DISTINCT label, text AS txt FROM detected_spans), k AS (SELECT label, {_TOKEN_SQL} AS token FROM d)
+SELECT label, token, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) > 1"""
+
+
+def _rule(name: str) -> str:
+    label, _, pattern = RULES[name]
+    p = pattern.replace("'", "''")
+    return f"""SELECT request_id, '{label}' AS label, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s, m[i] AS text
+FROM (SELECT request_id, g, m, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT request_id, regexp_split_to_array(text, '{p}') AS g, regexp_extract_all(text, '{p}', 0) AS m FROM requests WHERE text IS NOT NULL))"""
+
+
+ORACLES["detect_rules"] = f"""WITH x AS ({' UNION ALL '.join(_rule(r) for r in ('email', 'ip', 'money'))})
+SELECT request_id, label, s::BIGINT AS "start", (s + length(text))::BIGINT AS "end", text FROM x"""
+
+# documents ------------------------------------------------------------------------------------------------------------
+
+ORACLES["line_segments"] = """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l),
+o AS (SELECT doc_id, i AS line, sum(length(ls[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(ls[i]) - 1 AS s, ls[i] AS t FROM f)
+SELECT doc_id, line, s::BIGINT AS "start", (s + length(t))::BIGINT AS "end" FROM o WHERE trim(t, ' ') <> ''"""
+ORACLES["documents_rebuilt"] = "SELECT doc_id, sha1(text) AS text_sha1, true AS complete FROM documents WHERE text <> ''"
+ORACLES["document_map"] = """SELECT doc_id, count(*) AS n_chunks, max("offset" + length(text)) AS length FROM (
+    SELECT DISTINCT r.id, r.text, r.language, r.gold_spans, f.doc_id, f."offset" FROM (SELECT DISTINCT id, text, language, gold_spans FROM fixtures) r
+    JOIN (SELECT DISTINCT id, doc_id, "offset" FROM fixtures) f ON r.id = f.id) WHERE doc_id IS NOT NULL GROUP BY 1"""
+ORACLES["spans_in_documents"] = f"""WITH {_REC}, {_gold()}, own AS (SELECT DISTINCT id, doc_id, "offset" AS o FROM fixtures WHERE doc_id IS NOT NULL AND "offset" IS NOT NULL),
+m AS (SELECT DISTINCT doc_id, s + o AS s, e + o AS e, label FROM gold JOIN own ON gold.id = own.id),
+x AS (SELECT m.*, list_filter(d.segments, lambda g: g['start'] < m.e AND g['end'] > m.s) AS f FROM m JOIN documents d ON m.doc_id = d.doc_id WHERE d.text IS NOT NULL)
+SELECT doc_id, s AS "start", e AS "end", label, len(f) AS n_segments, f[1]['start'] AS segment_start FROM x"""
+ORACLES["interval_union"] = f"""WITH {_BASE}, u AS (SELECT DISTINCT id, s, e FROM pred),
+t AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM u),
+i AS (SELECT *, sum(CASE WHEN top IS NULL OR s >= top THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s, e) AS island FROM t)
+SELECT id, min(s) AS "start", max(e) AS "end" FROM i GROUP BY id, island"""
+ORACLES["segment_kinds"] = """WITH s AS (SELECT kind, unnest(segments) AS g FROM documents), k AS (SELECT kind, unnest(map_keys(g['where'])) AS place FROM s)
+SELECT kind, place, count(*) AS n FROM k GROUP BY 1, 2"""
+
+# reviews --------------------------------------------------------------------------------------------------------------
+
+_REVIEW = f"""{_BASE}, pool AS (SELECT id, s, e, label, list(DISTINCT detector) AS detectors FROM pred GROUP BY 1, 2, 3, 4),
+b AS (SELECT p.id, p.s, p.e, p.label, min(CASE WHEN p.s = g.s AND p.e = g.e AND p.label = g.label THEN 0 WHEN p.s = g.s AND p.e = g.e THEN 1 WHEN p.label = g.label THEN 2 ELSE 3 END) AS r
+    FROM pool p JOIN gold g ON p.id = g.id AND p.s < g.e AND g.s < p.e GROUP BY 1, 2, 3, 4),
+rv AS (SELECT p.*, CASE WHEN r = 0 THEN 'correct' WHEN r IN (1, 3) THEN 'wrong_label' WHEN r = 2 THEN 'wrong_boundary' ELSE 'not_pii' END AS verdict
+    FROM pool p LEFT JOIN b ON p.id = b.id AND p.s = b.s AND p.e = b.e AND p.label = b.label),
+lost AS (SELECT * FROM gold g WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.id = g.id AND p.s < g.e AND g.s < p.e))"""
+ORACLES["review_verdicts"] = f"WITH {_REVIEW} SELECT verdict, count(*) AS n FROM rv GROUP BY 1"
+ORACLES["review_missed"] = f'WITH {_REVIEW} SELECT id, s AS "start", e AS "end", label FROM lost'
+ORACLES["review_summary"] = f"""WITH {_REVIEW}, f AS (SELECT *, unnest(detectors) AS detector FROM rv),
+n AS (SELECT detector, count(*) AS n_spans, {', '.join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in ('correct', 'wrong_label', 'wrong_boundary', 'not_pii'))} FROM f GROUP BY 1),
+z AS (SELECT *, (SELECT count(*) FROM rv WHERE verdict = 'correct') + (SELECT count(*) FROM lost) AS entities FROM n),
+q AS (SELECT *, correct::DOUBLE / n_spans AS p, CASE WHEN entities > 0 THEN correct::DOUBLE / entities END AS r FROM z)
+SELECT detector, n_spans, correct, wrong_label, wrong_boundary, not_pii, entities, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) END, 6) AS f1 FROM q"""
+_CLASS = f"""{_BASE}, pool AS (SELECT id, s, e, label, list(DISTINCT detector) AS detectors FROM pred GROUP BY 1, 2, 3, 4),
+b AS (SELECT p.id, p.s, p.e, p.label, max({_iou('p.s', 'p.e', 'g.s', 'g.e')}) AS a, max({_iou('p.s', 'p.e', 'g.s', 'g.e')}) FILTER (p.label = g.label) AS b
+    FROM pool p JOIN gold g ON p.id = g.id AND p.s < g.e AND g.s < p.e GROUP BY 1, 2, 3, 4),
+cr AS (SELECT p.id, p.s, p.e, p.label, unnest(detectors) AS detector, round(coalesce(a, 0), 4) AS p_pii, round(coalesce(b, 0), 4) AS p_label_ok
+    FROM pool p LEFT JOIN b ON p.id = b.id AND p.s = b.s AND p.e = b.e AND p.label = b.label)"""
+ORACLES["classifier_summary"] = f"""WITH {_CLASS} SELECT detector, count(*) AS n, round(avg((p_pii >= 0.5 AND p_label_ok >= 0.5)::INT), 6) AS precision,
+    round(avg((p_pii >= 0.5)::INT), 6) AS any_label, round(round(avg(p_pii), 9), 6) AS mean_p_pii FROM cr GROUP BY 1"""
+ORACLES["threshold_sweep"] = f"""WITH {_CLASS}, j AS (SELECT cr.*, (g.id IS NOT NULL)::INT AS truth FROM cr LEFT JOIN gold g ON cr.id = g.id AND cr.s = g.s AND cr.e = g.e AND cr.label = g.label),
+k AS (SELECT *, unnest([0.1, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS threshold FROM j),
+a AS (SELECT detector, threshold, round(avg((p_pii >= threshold AND p_label_ok >= threshold)::INT), 9) AS e, round(avg(truth), 9) AS t FROM k GROUP BY 1, 2)
+SELECT detector, threshold, round(e, 6) AS estimate, round(t, 6) AS truth, round(round(e - t, 9), 6) AS error FROM a"""
+ORACLES["residual_rate"] = f"""WITH {_BASE}, b AS (SELECT DISTINCT c.id, c.detector FROM calls c JOIN gold g ON c.id = g.id
+    WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p.id = c.id AND p.detector = c.detector AND p.s < g.e AND g.s < p.e)),
+x AS (SELECT detector, count(*) AS residual FROM b GROUP BY 1), n AS (SELECT detector, count(*) AS n FROM calls GROUP BY 1)
+SELECT n.detector, n, coalesce(residual, 0) AS residual, round(coalesce(residual, 0)::DOUBLE / n, 6) AS rate FROM n LEFT JOIN x ON n.detector = x.detector"""
+ORACLES["plan_calls"] = f"WITH {_REC} SELECT count(*) AS records, sum(length(text))::BIGINT AS chars, sum(ceil(length(text) / 4000))::BIGINT AS calls FROM rec WHERE trim(text, ' ') <> ''"
+
+# search ---------------------------------------------------------------------------------------------------------------
+
+_TOK = TOKEN.replace("'", "''")
+ORACLES["search_tokens"] = f"""{_walk(_REPS['label_number'])},
+o AS (SELECT if({_OUT}) AS text FROM requests q JOIN fin ON q.request_id = fin.request_id), w AS (SELECT lower(unnest(regexp_extract_all(text, '{_TOK}', 0))) AS term FROM o)
+SELECT term, count(*) AS n FROM w GROUP BY 1"""
+ORACLES["search_bm25"] = f"""WITH q AS (SELECT DISTINCT md5(prompt) AS query_id, prompt AS text FROM eval_items),
+qt AS (SELECT DISTINCT query_id, lower(unnest(regexp_extract_all(text, '{_TOK}', 0))) AS term FROM q),
+w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{_TOK}', 0))) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), dl AS (SELECT doc_id, count(*) AS dl FROM w GROUP BY 1),
+st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, tf.doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+    FROM tf JOIN qt ON tf.term = qt.term JOIN df ON df.term = tf.term JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY 1, 2)
+SELECT query_id, doc_id, round(score, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s) WHERE place <= 10"""

@@ -175,8 +175,9 @@ def semeval_fine(spark: SparkSession, d: str) -> DataFrame:
     up = X.parent_col(F.col("label"))
 
     def project(rows: DataFrame) -> DataFrame:
-        j = rows.withColumn("up", up).join(keep, (rows["detector"] == keep["detector"]) & (F.col("up") == F.col("kept")), "left")
-        return j.select(rows["detector"], "id", "start", "end", F.when(F.col("kept").isNotNull(), F.col("label")).otherwise(F.col("up")).alias("label")).distinct()
+        kept = keep.withColumnRenamed("detector", "kd")
+        j = rows.withColumn("up", up).join(kept, (F.col("detector") == F.col("kd")) & (F.col("up") == F.col("kept")), "left")
+        return j.select("detector", "id", "start", "end", F.when(F.col("kept").isNotNull(), F.col("label")).otherwise(F.col("up")).alias("label")).distinct()
 
     pred = project(run.pred)
     asked = project(run.gold.join(run.calls, "id")).withColumnRenamed("detector", "gd")
@@ -357,7 +358,7 @@ def render_modes(spark: SparkSession, d: str) -> DataFrame:
 @query
 def service_find(spark: SparkSession, d: str) -> DataFrame:
     found = transforms.find(*_requests(spark, d))
-    return found.select("request_id", F.explode_outer("by_label").alias("label", "n"), "span_count")
+    return found.select("request_id", F.explode_outer("by_label").alias("label", "n"), "span_count").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query
@@ -522,9 +523,9 @@ def search_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Each client's requests as relevant set, e-mail domains as queries: plain retrieval."""
+    """Three words as queries; relevant are all requests that hold the word."""
     req = t(spark, d, "requests").where("text is not null").select(F.col("request_id").alias("doc_id"), "text")
-    words = F.array("archive", "clinic", "invoice") if False else F.array(F.lit("passport"), F.lit("invoice"), F.lit("tenant"))
+    words = F.array(F.lit("passport"), F.lit("invoice"), F.lit("tenant"))
     q = spark.range(1).select(F.explode(words).alias("text")).withColumn("query_id", F.col("text"))
     rel = req.select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term")).join(q.select(F.col("text").alias("term"), "query_id"), "term")
     relevant = rel.groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
