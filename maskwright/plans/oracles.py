@@ -61,7 +61,8 @@ SELECT detector, n, (max(v) FILTER (r = floor((n - 1) / 2)) + max(v) FILTER (r =
 FROM x GROUP BY detector, n"""
 ORACLES["latency_by_window"] = """WITH v AS (SELECT DISTINCT id, detector, run_id, started_at, error, latency_ms FROM predictions)
 SELECT date_trunc('day', started_at)::TIMESTAMP AS window_start, detector, count(*) AS calls, count(*) FILTER (error IS NOT NULL) AS errors,
-    round(avg(latency_ms) FILTER (error IS NULL AND latency_ms IS NOT NULL AND NOT isnan(latency_ms)), 6) AS mean_ms
+    count(*) FILTER (error IS NULL AND latency_ms IS NOT NULL AND NOT isnan(latency_ms)) AS measured,
+    round(sum(latency_ms) FILTER (error IS NULL AND latency_ms IS NOT NULL AND NOT isnan(latency_ms)), 3) AS sum_ms
 FROM v GROUP BY 1, 2"""
 ORACLES["run_rows"] = """WITH c AS (SELECT run_id, detector, count(*) AS n FROM (SELECT DISTINCT * FROM predictions) GROUP BY 1, 2),
 l AS (SELECT run_id, dataset, n_examples, unnest(detectors) AS detector FROM runs)

@@ -27,9 +27,9 @@ def local_session(cores: int | str = "*", app: str = "maskwright", **conf: str)
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Adds the package as a zip to the job, once per session, so that Python workers on other machines can import it."""
+    """Adds the package as a zip to the job, once per session, so that Python workers can import it wherever they start."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_maskwright_shipped", False):
+    if getattr(sc, "_maskwright_shipped", False):
         return
     path = os.path.join(sc._temp_dir, "maskwright.zip")  # the driver's own folder; Spark serves it to the executors
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:

@@ -1,0 +1,374 @@
+"""Reading files into documents: text, segments with their place, warnings. Parsers use the standard library and run over Arrow batches.
+
+Text, Markdown, HTML, CSV/TSV, e-mail, DOCX and XLSX are read here; PDF needs ``pypdf`` and is skipped with a reason without it.
+Each file gives exactly one row: a document, or a reason why it was skipped.
+"""
+
+from __future__ import annotations
+
+import csv
+import hashlib
+import importlib.util
+import io
+import os
+import re
+import zipfile
+from collections.abc import Callable, Iterator
+from email import message_from_bytes, policy
+from email.message import EmailMessage
+from html.parser import HTMLParser
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+DOCUMENT = "id string, source string, kind string, text string, segments array<struct<start:int,end:int,where:map<string,string>>>, warnings array<string>, reason string"
+MAX_DEPTH = 4
+
+
+class Builder:
+    """Collects pieces of text with their place; blank pieces vanish, separators never lead."""
+
+    def __init__(self) -> None:
+        self.parts: list[str] = []
+        self.length = 0
+        self.segments: list[tuple[int, int, dict[str, str]]] = []
+
+    def gap(self, separator: str) -> None:
+        if self.length:
+            self.parts.append(separator)
+            self.length += len(separator)
+
+    def add(self, piece: str, where: dict[str, str], separator: str = "\n") -> None:
+        if not piece.strip():
+            return
+        self.gap(separator)
+        self.segments.append((self.length, self.length + len(piece), where))
+        self.parts.append(piece)
+        self.length += len(piece)
+
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
+
+Parsed = tuple[str, list[tuple[int, int, dict[str, str]]], list[str]]
+
+
+def newlines(text: str) -> str:
+    return text.replace("\r\n", "\n").replace("\r", "\n")
+
+
+def decode_bytes(data: bytes) -> tuple[str, list[str]]:
+    """Byte order mark, then UTF-16 without one (many zero bytes), UTF-8, Windows-1252, replacement characters."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if data.startswith(mark):
+            return data[len(mark) :].decode(name, "replace"), []
+    head = data[:2000]
+    if head and head.count(0) > len(head) // 4:
+        even, odd = head[::2].count(0), head[1::2].count(0)
+        return data.decode("utf-16-be" if even > odd else "utf-16-le", "replace"), ["decoded as UTF-16 without a mark"]
+    try:
+        return data.decode("utf-8"), []
+    except UnicodeDecodeError:
+        pass
+    try:
+        return data.decode("cp1252"), ["decoded as Windows-1252"]
+    except UnicodeDecodeError:
+        return data.decode("utf-8", "replace"), ["undecodable bytes were replaced"]
+
+
+def parse_text(data: bytes) -> Parsed:
+    text, warnings = decode_bytes(data)
+    text = newlines(text)
+    segments = []
+    at = 0
+    for number, line in enumerate(text.split("\n"), 1):
+        if line.strip():
+            lead = len(line) - len(line.lstrip())
+            segments.append((at + lead, at + len(line.rstrip()), {"line": str(number)}))
+        at += len(line) + 1
+    return text, segments, warnings
+
+
+class _Visible(HTMLParser):
+    """Visible text of a page: blocks to lines, cells to tabs, white space folded except in ``pre``."""
+
+    SKIP = frozenset("script style noscript template svg head".split())
+    BLOCK = frozenset("p div section article header footer main ul ol li h1 h2 h3 h4 h5 h6 table tr br hr pre blockquote title form dl dt dd figure body html".split())
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.lines: list[str] = []
+        self.cur = ""
+        self.skip = 0
+        self.pre = 0
+
+    def flush(self) -> None:
+        for line in self.cur.split("\n") if self.pre else [re.sub(r"[^\S\t]+", " ", self.cur)]:
+            if line.strip():
+                self.lines.append(line.rstrip() if self.pre else line.strip())
+        self.cur = ""
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in self.SKIP:
+            self.skip += 1
+        elif tag in self.BLOCK:
+            self.flush()
+        elif tag in ("td", "th") and self.cur.strip():
+            self.cur += "\t"
+        if tag == "pre":
+            self.pre += 1
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.SKIP and self.skip:
+            self.skip -= 1
+        elif tag in self.BLOCK:
+            self.flush()
+        if tag == "pre" and self.pre:
+            self.pre -= 1
+
+    def handle_data(self, data: str) -> None:
+        if not self.skip:
+            self.cur += data
+
+
+def html_lines(markup: str) -> list[str]:
+    parser = _Visible()
+    parser.feed(markup)
+    parser.close()
+    parser.flush()
+    return parser.lines
+
+
+def parse_html(data: bytes) -> Parsed:
+    text, warnings = decode_bytes(data)
+    b = Builder()
+    for i, line in enumerate(html_lines(newlines(text)), 1):
+        b.add(line, {"line": str(i)})
+    return b.text, b.segments, warnings
+
+
+def column_letters(i: int) -> str:
+    """0 -> A, 26 -> AA."""
+    out = ""
+    i += 1
+    while i:
+        i, r = divmod(i - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def parse_csv(data: bytes) -> Parsed:
+    """Non-empty cells, tab-joined per row; their place is row and column header (or letters where the header is blank)."""
+    text, warnings = decode_bytes(data)
+    text = newlines(text)
+    try:
+        dialect: type[csv.Dialect] | csv.Dialect = csv.Sniffer().sniff(text[:20_000], delimiters=",;\t|")
+    except csv.Error:
+        dialect = csv.excel
+    b = Builder()
+    header: list[str] = []
+    for number, row in enumerate(csv.reader(io.StringIO(text), dialect), 1):
+        if number == 1:
+            header = row
+        first = True
+        for i, cell in enumerate(row):
+            name = header[i].strip() if i < len(header) and header[i].strip() else column_letters(i)
+            if cell.strip():
+                b.add(newlines(cell).strip(), {"row": str(number), "column": name}, "\n" if first else "\t")
+                first = False
+    return b.text, b.segments, warnings
+
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def _word_text(node: ElementTree.Element) -> str:
+    """Text of a paragraph: insertions kept, deletions dropped, tabs and breaks as such."""
+    out = []
+    for el in node.iter():
+        if el.tag == f"{_W}t":
+            out.append(el.text or "")
+        elif el.tag == f"{_W}tab":
+            out.append("\t")
+        elif el.tag in (f"{_W}br", f"{_W}cr"):
+            out.append("\n")
+    return "".join(out)
+
+
+def parse_docx(data: bytes) -> Parsed:
+    """Body paragraphs and table cells in order, then headers and footers."""
+    b = Builder()
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = z.namelist()
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        n = 0
+        for p in body.iter(f"{_W}p") if body is not None else ():
+            n += 1
+            b.add(_word_text(p).strip("\n"), {"paragraph": str(n)})
+        for name in sorted(x for x in names if re.fullmatch(r"word/(header|footer)\d*\.xml", x)):
+            for p in ElementTree.fromstring(z.read(name)).iter(f"{_W}p"):
+                b.add(_word_text(p).strip("\n"), {"part": name[5:-4]})
+    return b.text, b.segments, []
+
+
+_X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def render_number(raw: str) -> str:
+    """Integral numbers without a fraction."""
+    try:
+        v = float(raw)
+    except ValueError:
+        return raw
+    return str(int(v)) if v == int(v) and abs(v) < 1e15 else repr(v)
+
+
+def parse_xlsx(data: bytes) -> Parsed:
+    """One segment per non-empty cell; a blank line between sheets."""
+    b = Builder()
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in si.iter(f"{_X}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_X}si")]
+        rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_X}sheet"):
+            target = str(rels[sheet.get(f"{_R}id")]).lstrip("/")
+            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
+            new_sheet = True
+            for row in root.iter(f"{_X}row"):
+                first = True
+                for c in row.iter(f"{_X}c"):
+                    kind = c.get("t", "n")
+                    v = c.find(f"{_X}v")
+                    if kind == "inlineStr":
+                        value = "".join(t.text or "" for t in c.iter(f"{_X}t"))
+                    elif v is None or v.text is None:
+                        continue
+                    else:
+                        value = shared[int(v.text)] if kind == "s" else ("TRUE" if v.text == "1" else "FALSE") if kind == "b" else v.text if kind == "str" else render_number(v.text)
+                    if value.strip():
+                        b.add(newlines(value).strip(), {"sheet": sheet.get("name", ""), "cell": c.get("r", "")}, ("\n\n" if new_sheet else "\n") if first else "\t")
+                        first = new_sheet = False
+    return b.text, b.segments, []
+
+
+# Headers that are read, in order.
+HEADERS = ("From", "To", "Cc", "Bcc", "Reply-To", "Subject", "Date")
+
+
+def parse_email(data: bytes, depth: int = 0) -> Parsed:
+    """Headers in order, plain body before HTML, attachments recursively up to a depth of four."""
+    msg = message_from_bytes(data, policy=policy.default)
+    b = Builder()
+    warnings: list[str] = []
+    for h in HEADERS:
+        for value in msg.get_all(h, []):
+            b.add(f"{h}: {value}", {"header": h})
+    body = msg.get_body(preferencelist=("plain", "html")) if isinstance(msg, EmailMessage) else None
+    if body is not None:
+        raw = body.get_payload(decode=True) or b""
+        try:
+            content = raw.decode(body.get_content_charset() or "utf-8")
+        except (LookupError, UnicodeDecodeError):
+            content, extra = decode_bytes(raw)
+            warnings += extra
+        lines = html_lines(content) if body.get_content_type() == "text/html" else newlines(content).split("\n")
+        b.gap("\n")
+        for i, line in enumerate(lines, 1):
+            b.add(line.rstrip(), {"line": str(i)})
+    for part in msg.iter_attachments():
+        name = part.get_filename() or "attachment"
+        payload = part.get_content() if part.get_content_type() == "message/rfc822" else part.get_payload(decode=True)
+        content = payload.as_bytes() if hasattr(payload, "as_bytes") else payload or b""
+        kind = "eml" if part.get_content_type() == "message/rfc822" else suffix_of(name)
+        if depth >= MAX_DEPTH:
+            warnings.append(f"{name}: nested too deeply")
+            continue
+        parser = PARSERS.get(kind)
+        if parser is None:
+            warnings.append(f"{name}: not read")
+            continue
+        try:
+            text, segments, extra = parse_email(content, depth + 1) if kind == "eml" else parser(content)
+        except Exception as e:  # noqa: BLE001 - one bad attachment is a warning
+            warnings.append(f"{name}: {type(e).__name__}")
+            continue
+        warnings += [f"{name}: {w}" for w in extra]
+        if text.strip():
+            b.gap("\n\n")
+            base = b.length
+            b.parts.append(text)
+            b.length += len(text)
+            b.segments += [(base + s, base + e, {"attachment": name, **w}) for s, e, w in segments]
+    return b.text, b.segments, warnings
+
+
+def parse_pdf(data: bytes) -> Parsed:
+    from pypdf import PdfReader
+
+    b = Builder()
+    warnings: list[str] = []
+    reader = PdfReader(io.BytesIO(data))
+    if reader.is_encrypted:
+        warnings.append("the file is encrypted")
+    for i, page in enumerate(reader.pages, 1):
+        text = newlines(page.extract_text() or "").strip()
+        if not text:
+            warnings.append(f"page {i} has no text layer")
+        b.add(text, {"page": str(i)}, "\n\n")
+    return b.text, b.segments, warnings
+
+
+PARSERS: dict[str, Callable[[bytes], Parsed]] = {
+    "txt": parse_text, "md": parse_text, "html": parse_html, "htm": parse_html, "csv": parse_csv, "tsv": parse_csv, "eml": parse_email, "docx": parse_docx, "xlsx": parse_xlsx}
+if importlib.util.find_spec("pypdf") is not None:
+    PARSERS["pdf"] = parse_pdf
+
+
+def suffix_of(name: str) -> str:
+    return name.rsplit(".", 1)[-1].lower() if "." in name else ""
+
+
+def parse_file(path: str, data: bytes, root: str = "") -> dict[str, object]:
+    """One document row, or a row with a reason."""
+    rel = path[len(root) :].lstrip("/") if root and path.startswith(root) else os.path.basename(path)
+    kind = suffix_of(path)
+    row: dict[str, object] = {"id": f"{hashlib.sha1(data).hexdigest()[:12]}:{rel}", "source": rel, "kind": kind, "text": None, "segments": [], "warnings": [], "reason": None}
+    base = os.path.basename(path)
+    if base.startswith("~$") or base.startswith(".~lock"):
+        return row | {"reason": "lock file"}
+    if kind not in PARSERS:
+        return row | {"reason": "pdf support is not installed" if kind == "pdf" else f"unsupported type {kind!r}"}
+    try:
+        text, segments, warnings = PARSERS[kind](data)
+    except Exception as e:  # noqa: BLE001 - a broken file is a row with a reason
+        return row | {"reason": f"{type(e).__name__}: {e}"[:300]}
+    if not text.strip():
+        warnings = [*warnings, "no text was extracted"]
+    return row | {"text": text, "segments": [{"start": a, "end": b, "where": w} for a, b, w in segments], "warnings": warnings}
+
+
+def parse_many(spark: SparkSession, path: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(documents, skipped) of a folder. Hidden files are not listed; of files with equal content and path one is kept."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    root = "file:" + os.path.abspath(path) if "://" not in path and not path.startswith("file:") else path
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([parse_file(p, c, root) for p, c in zip(pdf["path"], pdf["content"])], columns=[c.split()[0] for c in DOCUMENT.split(", ") if " " in c][:7])
+
+    rows = files.select("path", "content").mapInPandas(run, DOCUMENT)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("source"))
+    rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (place > 1), "duplicate").otherwise(F.col("reason")))
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("source", "reason")
+
+
+def from_text(text: str, source: str = "pasted") -> dict[str, object]:
+    """A pasted text as a document row; its id comes from the text."""
+    body, segments, _ = parse_text(text.encode("utf-8", "surrogatepass"))
+    return {"id": hashlib.sha1(text.encode("utf-8", "replace")).hexdigest()[:12], "source": source, "kind": "txt", "text": body, "segments": [{"start": a, "end": b, "where": w} for a, b, w in segments], "warnings": []}
