@@ -3,7 +3,7 @@
 Corpus counts of neighbouring words give each collocation its squared pointwise mutual information
 ``log(c(xy)^2 / (c(x.) c(.y)))``: near 0 for words that belong together, very negative for words that
 were only thrown together. The square makes the value independent of how large a part of the corpus a
-language or vocabulary is. A stretch of text is marked where the mean over a window of neighbouring words is
+language or vocabulary is. Pairs that come in either order alike lose up to two more. A stretch of text is marked where the mean over a window of neighbouring words is
 incoherent (word salad) or where the same collocation keeps coming back within a few dozen words
 (excessive repetition: link lists, product tags). A page is flagged if the marked words hold most of the
 characters of all its words.
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NEUTRAL = -3.5
+LOWEST = -7.5
 # words of a stretch without white space; links and addresses are recognised before
 _TOKEN = re.compile(
     r"#\w+|[$€£]?\d[\d.,:]*|[\u3040-\u30ff]{1,3}|[\u3400-\u9fff]{1,2}|[\u0e00-\u0e7f]{1,6}"
@@ -150,11 +151,16 @@ def pair_codes_of(xy: np.ndarray) -> np.ndarray:
 
 
 def collocation_scores(counts: DataFrame, rare: int = 3) -> DataFrame:
-    """``pair, pmi2``: squared pointwise mutual information of every collocation that is not rare."""
+    """``pair, pmi2`` of every collocation that is not rare: squared pointwise mutual information, less up to 2 where the
+    words occur as often in the other order (words of sentences have an order, listed words have none), at least ``LOWEST``."""
     left = counts.groupBy("x").agg(F.sum("n").alias("nx"))
     right = counts.groupBy("y").agg(F.sum("n").alias("ny"))
+    turned = counts.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("n").alias("back"))
     score = 2 * F.log(F.col("n").cast("double")) - F.log(F.col("nx").cast("double")) - F.log(F.col("ny").cast("double"))
-    return counts.where(F.col("n") >= rare).join(left, "x").join(right, "y").select("pair", score.alias("pmi2"))
+    back = F.coalesce("back", F.lit(0))
+    loose = F.least("n", back) / F.greatest("n", back)
+    often = counts.where(F.col("n") >= rare).join(turned, ["x", "y"], "left")
+    return often.join(left, "x").join(right, "y").select("pair", F.greatest(score - 2 * loose, F.lit(LOWEST)).alias("pmi2"))
 
 
 _WINDOW = np.ones(2 * _MARGIN + 1) / (2 * _MARGIN + 1)
@@ -182,12 +188,12 @@ def marked_share(pmi2: np.ndarray, pair: np.ndarray, lengths: np.ndarray, salad:
 
 
 def score_pages(
-    pages: DataFrame, key_col: str = "doc_id", text_col: str = "text", salad: float = -4.9, repetition: float = 0.85,
-    rare: int = 3, min_words: int = 12, most_pairs: int = 4_000_000,
+    pages: DataFrame, key_col: str = "doc_id", text_col: str = "text", salad: float = -5.2, repetition: float = 0.85,
+    rare: int = 3, min_words: int = 12, most_pairs: int = 2_000_000,
 ) -> DataFrame:
     """``doc_id, coherence, marked`` of every page.
 
-    The score table goes to the tasks as two sorted arrays if it has at most ``most_pairs`` rows (48 MB, checked);
+    The score table goes to the tasks as two sorted arrays if it has at most ``most_pairs`` rows (24 MB, checked);
     beyond that the pages' collocations are joined to it by a shuffle on the pair code, with the same result.
     """
     spark = pages.sparkSession
@@ -271,6 +277,6 @@ def _score_by_join(source: DataFrame, scores: DataFrame, fields: str, salad: flo
     return rows.join(scores, "pair", "left").groupBy("doc_id").applyInPandas(fold, fields)
 
 
-def stuffed_pages(pages: DataFrame, most: float = 0.55, **options: object) -> DataFrame:
+def stuffed_pages(pages: DataFrame, most: float = 0.52, **options: object) -> DataFrame:
     """Keys of the pages most of whose characters are keywords, links or tags."""
     return score_pages(pages, **options).where(F.col("marked") > most).select("doc_id")
