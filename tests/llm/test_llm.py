@@ -441,8 +441,11 @@ def test_leak_spans_and_removal(spark):
 
 def _pages():
     rng = random.Random(4)
-    subj, verb, obj = ["the clerk", "our team", "an auditor", "the help desk"], ["signed", "opened", "returned"], ["the form", "a scanned invoice", "the badge log"]
-    prose = [" ".join(f"{rng.choice(subj)} {rng.choice(verb)} {rng.choice(obj)} before the meeting, but nobody noticed it.".capitalize() for _ in range(8)) for _ in range(60)]
+    subj = [f"the {a} {b}" for a in ("young", "old", "new", "tired") for b in ("clerk", "auditor", "reviewer", "trainee")]
+    verb = "signed opened returned scanned copied moved checked masked".split()
+    obj = [f"{a} {b}" for a in ("the red", "a scanned", "every loose") for b in ("form", "invoice", "badge log", "lease")]
+    tail = ["before the meeting, but nobody noticed it", "while it rained outside", "because the archive was closed", "and went home at noon", "after a long call"]
+    prose = [" ".join(f"{rng.choice(subj)} {rng.choice(verb)} {rng.choice(obj)} {rng.choice(tail)}.".capitalize() for _ in range(8)) for _ in range(60)]
     words = "masker cheap best folder stamp tool free online badge paper shredder name".split()
     stuffed = [" ".join(rng.choice(words) for _ in range(90)) for _ in range(25)]
     links = ["\n".join(f"* https://shop.test/{rng.randint(0, 999)}-{rng.randint(0, 999)}.html" for _ in range(30)) for _ in range(10)]
