@@ -10,41 +10,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
+from maskwright.functions import taxonomy as X
 
 SCHEMAS = ("strict", "exact", "partial", "ent_type")
 
 
-def scope_rows(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """``view, detector, label``: raw = all labels of the gold side, fair = those the detector also emits. A small dimension."""
-    g = gold.select("label").distinct()
-    d = pred.select("detector", "label").distinct()
-    fair = d.join(g, "label").select(F.lit("fair").alias("view"), "detector", "label")
-    names = pred.select("detector").distinct()
-    # labels x detectors, both dimensions of some dozen rows
-    raw = names.withColumn("k", F.lit(1)).join(g.withColumn("k", F.lit(1)), "k").select(F.lit("raw").alias("view"), "detector", "label")
-    return fair.unionByName(raw)
+def answered(records: DataFrame, latest: DataFrame, level: str = "coarse") -> DataFrame:
+    """``id, detector, p, g``: each successful call on a known record with its predicted and gold spans as sorted arrays.
 
+    Spans stay nested as they are stored: matching is then an expression on one row, without a join of spans. Repeats count once.
+    """
+    name = (lambda s: s["label"]) if X.check_level(level) == "coarse" else (lambda s: F.coalesce(s["fine_label"], s["label"]))
+    plain = lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), name(s).alias("label"))
+    valid = F.filter("gold_spans", lambda s: S.in_bounds(s["start"], s["end"], F.col("text")) & s["label"].isin(X.COARSE))
+    gold = records.select("id", F.coalesce(F.transform(valid, plain), F.array().cast(_PLAIN)).alias("g")).groupBy("id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("g")))).alias("g"))
+    own = F.array_sort(F.array_distinct(F.coalesce(F.transform("spans", plain), F.array().cast(_PLAIN))))
+    return latest.where("error is null").select("id", "detector", own.alias("p")).join(gold, "id")
 
-def outcomes(gold: DataFrame, pred: DataFrame, calls: DataFrame, scope: DataFrame) -> DataFrame:
-    """One row per judged span: ``view, detector, id, tag, kind`` with kind in exact, bounds, type, overlap, spurious, missed.
 
-    ``calls`` are the (id, detector) pairs that answered. Everything is joined on (view, detector, id): one shuffle of each side.
-    """
-    p = pred.join(scope, ["detector", "label"]).select("view", "detector", "id", F.col("start").alias("ps"), F.col("end").alias("pe"), F.col("label").alias("pl"))
-    g = gold.join(calls, "id").join(scope, ["detector", "label"]).select("view", "detector", "id", F.col("start").alias("gs"), F.col("end").alias("ge"), F.col("label").alias("gl"))
-    key = ["view", "detector", "id"]
-    met = p.join(g, key).where(S.overlaps(F.col("ps"), F.col("pe"), F.col("gs"), F.col("ge")))
-    bounds = (F.col("ps") == F.col("gs")) & (F.col("pe") == F.col("ge"))
-    same = F.col("pl") == F.col("gl")
-    rank = F.when(bounds & same, 0).when(bounds, 1).otherwise(2)
-    best = met.groupBy(*key, "ps", "pe", "pl").agg(F.min(F.struct(rank.alias("rank"), "gs", "ge", "gl")).alias("m"))
-    kind = F.when(F.col("m.rank") == 0, "exact").when(F.col("m.rank") == 1, "bounds").when(F.col("pl") == F.col("m.gl"), "type").otherwise("overlap")
-    matched = best.select(*key, F.col("m.gl").alias("tag"), kind.alias("kind"))
-    hit = best.select(*key, "ps", "pe", "pl")
-    spurious = p.join(hit, [*key, "ps", "pe", "pl"], "left_anti").select(*key, F.col("pl").alias("tag"), F.lit("spurious").alias("kind"))
-    touched = met.select(*key, "gs", "ge", "gl").distinct()
-    missed = g.join(touched, [*key, "gs", "ge", "gl"], "left_anti").select(*key, F.col("gl").alias("tag"), F.lit("missed").alias("kind"))
-    return matched.unionByName(spurious).unionByName(missed)
+_PLAIN = "array<struct<start:int,end:int,label:string>>"
+
+
+def scopes(calls: DataFrame) -> DataFrame:
+    """``view, detector, labels``: raw = all labels of the gold side, fair = those the detector also emits. A dimension of some dozen rows."""
+    seen = calls.select("detector", F.array_distinct(F.transform("p", lambda s: s["label"])).alias("p"), F.array_distinct(F.transform("g", lambda s: s["label"])).alias("g"))
+    side = F.explode(F.concat(
+        F.transform("p", lambda x: F.struct(F.lit("p").alias("side"), x.alias("label"))), F.transform("g", lambda x: F.struct(F.lit("g").alias("side"), x.alias("label")))))
+    few = seen.select("detector", side.alias("x")).select("detector", "x.side", "x.label").distinct()
+    own = few.where("side = 'p'").groupBy("detector").agg(F.collect_set("label").alias("own"))
+    all_gold = few.where("side = 'g'").agg(F.collect_set("label").alias("gold"))
+    both = own.withColumn("one", F.lit(1)).join(all_gold.withColumn("one", F.lit(1)), "one")  # one row on the right
+    views = F.array(F.struct(F.lit("raw").alias("view"), F.col("gold").alias("labels")), F.struct(F.lit("fair").alias("view"), F.array_intersect("own", "gold").alias("labels")))
+    return both.select("detector", F.explode(views).alias("v")).select("v.view", "detector", "v.labels")
+
+
+def judged(p: Column, g: Column) -> Column:
+    """array<struct<tag, kind>> of one record: kind in exact, bounds, type, overlap, spurious, missed."""
+    over = lambda x, y: S.overlaps(x["start"], x["end"], y["start"], y["end"])
+
+    def partner(x: Column) -> Column:
+        bounds = lambda y: (x["start"] == y["start"]) & (x["end"] == y["end"])
+        ranked = F.transform(F.filter(g, lambda y: over(x, y)), lambda y: F.struct(
+            F.when(bounds(y) & (x["label"] == y["label"]), 0).when(bounds(y), 1).otherwise(2).alias("r"), y["start"].alias("s"), y["end"].alias("e"), y["label"].alias("l")))
+        return F.array_min(ranked)
+
+    def verdict(m: Column) -> Column:
+        best = m["best"]
+        kind = F.when(best["r"] == 0, "exact").when(best["r"] == 1, "bounds").when(best["l"] == m["label"], "type").when(best.isNotNull(), "overlap").otherwise("spurious")
+        return F.struct(F.coalesce(best["l"], m["label"]).alias("tag"), kind.alias("kind"))
+
+    matched = F.transform(F.transform(p, lambda x: F.struct(partner(x).alias("best"), x["label"].alias("label"))), verdict)
+    missed = F.transform(F.filter(g, lambda y: ~F.exists(p, lambda x: over(x, y))), lambda y: F.struct(y["label"].alias("tag"), F.lit("missed").alias("kind")))
+    return F.concat(matched, missed)
+
+
+def outcomes(calls: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """One row per judged span: ``view, detector, id, tag, kind``."""
+    scoped = calls.join(scope if scope is not None else scopes(calls), "detector")
+    inside = lambda c: F.filter(c, lambda s: F.array_contains(F.col("labels"), s["label"]))
+    own = scoped.select("view", "detector", "id", inside("p").alias("p"), inside("g").alias("g"))
+    return own.select("view", "detector", "id", F.explode(judged(F.col("p"), F.col("g"))).alias("o")).select("view", "detector", "id", "o.tag", "o.kind")
 
 
 def _counts() -> list[Column]:
@@ -77,37 +103,37 @@ def headline(scores: DataFrame) -> DataFrame:
         *[pick(s, "f1").alias(f"f1_{s}") for s in SCHEMAS], pick("strict", "precision").alias("precision"), pick("strict", "recall").alias("recall"))
 
 
-def errors(gold: DataFrame, pred: DataFrame, calls: DataFrame, records: DataFrame, kind: str, width: int = 30) -> DataFrame:
+def errors(calls: DataFrame, records: DataFrame, kind: str, width: int = 30) -> DataFrame:
     """Error rows of one kind: missed, spurious, mislabeled (same bounds, other label), boundary (overlap, same label, other bounds)."""
-    g = gold.select("id", F.col("start").alias("gs"), F.col("end").alias("ge"), F.col("label").alias("gl"))
-    p = pred.select("id", "detector", F.col("start").alias("ps"), F.col("end").alias("pe"), F.col("label").alias("pl"))
-    over = S.overlaps(F.col("ps"), F.col("pe"), F.col("gs"), F.col("ge"))
+    p, g = F.col("p"), F.col("g")
+    over = lambda x, y: S.overlaps(x["start"], x["end"], y["start"], y["end"])
+    row = lambda x, gold, own: F.struct(x["start"].alias("start"), x["end"].alias("end"), gold.alias("gold_label"), own.alias("label"))
+    none = F.lit(None).cast("string")
     if kind == "missed":
-        asked = calls.join(g, "id")
-        hit = p.withColumnsRenamed({"id": "pid", "detector": "pdet"})
-        rows = asked.join(hit, (F.col("id") == F.col("pid")) & (F.col("detector") == F.col("pdet")) & over, "left_anti")
-        rows = rows.select("id", "detector", F.col("gs").alias("start"), F.col("ge").alias("end"), F.col("gl").alias("gold_label"), F.lit(None).cast("string").alias("label"))
+        found = F.transform(F.filter(g, lambda y: ~F.exists(p, lambda x: over(x, y))), lambda y: row(y, y["label"], none))
     elif kind == "spurious":
-        rows = p.join(g.withColumnRenamed("id", "gid"), (F.col("id") == F.col("gid")) & over, "left_anti")
-        rows = rows.select("id", "detector", F.col("ps").alias("start"), F.col("pe").alias("end"), F.lit(None).cast("string").alias("gold_label"), F.col("pl").alias("label"))
+        found = F.transform(F.filter(p, lambda x: ~F.exists(g, lambda y: over(x, y))), lambda x: row(x, none, x["label"]))
     elif kind in ("mislabeled", "boundary"):
-        bounds = (F.col("ps") == F.col("gs")) & (F.col("pe") == F.col("ge"))
-        test = bounds & (F.col("pl") != F.col("gl")) if kind == "mislabeled" else ~bounds & (F.col("pl") == F.col("gl"))
-        rows = p.join(g, "id").where(over & test).select("id", "detector", F.col("ps").alias("start"), F.col("pe").alias("end"), F.col("gl").alias("gold_label"), F.col("pl").alias("label")).distinct()
+        def test(x: Column, y: Column) -> Column:
+            bounds = (x["start"] == y["start"]) & (x["end"] == y["end"])
+            return over(x, y) & (bounds & (x["label"] != y["label"]) if kind == "mislabeled" else ~bounds & (x["label"] == y["label"]))
+
+        found = F.array_distinct(F.flatten(F.transform(p, lambda x: F.transform(F.filter(g, lambda y: test(x, y)), lambda y: row(x, y["label"], x["label"])))))
     else:
         raise ValueError(f"unknown kind {kind!r}")
-    texts = records.select("id", "text")
-    return rows.join(texts, "id").select("id", "detector", "start", "end", "gold_label", "label", S.context(F.col("text"), F.col("start"), F.col("end"), width, None).alias("context"))
+    # the texts join before the rows multiply: one row per call, not per error
+    rows = calls.withColumn("found", found).where(F.size("found") > 0).select("id", "detector", "found").join(records.select("id", "text"), "id")
+    flat = rows.select("id", "detector", "text", F.explode("found").alias("e")).select("id", "detector", "text", "e.*")
+    return flat.select("id", "detector", "start", "end", "gold_label", "label", S.context(F.col("text"), F.col("start"), F.col("end"), width, None).alias("context"))
 
 
-def greedy_matches(records: DataFrame, latest: DataFrame, threshold: float = 0.5) -> DataFrame:
+def greedy_matches(calls: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One-to-one greedy matching by IoU within a label, in prediction order: ``detector, label, tp, n_pred, n_gold``.
 
     Sequential by nature; runs as a fold inside each record. Matching never crosses labels.
     """
-    gold = gold_arrays(records)
-    pred = latest.where("error is null").select("id", "detector", F.array_sort(F.array_distinct(F.transform("spans", lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"))))).alias("p"))
-    both = pred.join(gold, "id", "left").withColumn("g", F.coalesce("g", F.array().cast("array<struct<label:string,start:int,end:int>>")))
+    by_label = lambda c: F.array_sort(F.transform(c, lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"))))
+    both = calls.select("detector", by_label("p").alias("p"), by_label("g").alias("g"))
     zero = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<string>").alias("tp"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -120,18 +146,7 @@ def greedy_matches(records: DataFrame, latest: DataFrame, threshold: float = 0.5
             F.when(ok, F.concat(acc["used"], F.array(-best["order"]))).otherwise(acc["used"]).alias("used"),
             F.when(ok, F.concat(acc["tp"], F.array(best["label"]))).otherwise(acc["tp"]).alias("tp"))
 
-    done = both.select("detector", "p", "g", F.aggregate("p", zero, step)["tp"].alias("tp"))
-    part = lambda col, what: done.select("detector", F.explode(col).alias("x")).select("detector", what, F.lit(1).alias("one"))
-    tp = done.select("detector", F.explode("tp").alias("label")).groupBy("detector", "label").agg(F.count(F.lit(1)).alias("tp"))
-    n_p = part("p", F.col("x.label").alias("label")).groupBy("detector", "label").agg(F.count(F.lit(1)).alias("n_pred"))
-    n_g = part("g", F.col("x.label").alias("label")).groupBy("detector", "label").agg(F.count(F.lit(1)).alias("n_gold"))
-    all3 = n_p.join(n_g, ["detector", "label"], "full").join(tp, ["detector", "label"], "left")
-    return all3.select("detector", "label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "n_pred", "n_gold")])
-
-
-def gold_arrays(records: DataFrame) -> DataFrame:
-    """``id, g``: sorted distinct in-bounds gold spans of each record as an array."""
-    from maskwright.functions.taxonomy import COARSE
-
-    ok = F.filter("gold_spans", lambda s: S.in_bounds(s["start"], s["end"], F.col("text")) & s["label"].isin(COARSE))
-    return records.select("id", F.array_sort(F.array_distinct(F.transform(ok, lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"))))).alias("g"))
+    tag = lambda c, what: F.transform(c, lambda s: F.struct(F.lit(what).alias("what"), s["label"].alias("label")))
+    hits = F.transform(F.aggregate("p", zero, step)["tp"], lambda x: F.struct(F.lit("tp").alias("what"), x.alias("label")))
+    flat = both.select("detector", F.explode(F.concat(hits, tag("p", "n_pred"), tag("g", "n_gold"))).alias("x")).select("detector", "x.what", "x.label")
+    return flat.groupBy("detector", "label").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("tp", "n_pred", "n_gold")])

@@ -30,6 +30,7 @@ class Run:
     def __init__(self, spark: SparkSession, d: str, level: str = "coarse") -> None:
         self.records = records.distinct_records(t(spark, d, "fixtures"))
         self.latest = records.latest_predictions(t(spark, d, "predictions"))
+        self.answered = scoring.answered(self.records, self.latest, level)
         self.gold = records.gold_long(self.records, level)
         self.calls = self.latest.where("error is null").select("id", "detector")
         self.pred = records.predicted_long(self.latest, level)
@@ -38,7 +39,7 @@ class Run:
         self.pred = self.pred.join(known, "id", "left_semi")
 
     def outcomes(self) -> DataFrame:
-        return scoring.outcomes(self.gold, self.pred, self.calls, scoring.scope_rows(self.gold, self.pred))
+        return scoring.outcomes(self.answered)
 
 
 # scans, counts, coverage, latency ------------------------------------------------------------------------------------
@@ -97,11 +98,12 @@ def unlisted_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def reuse_missing(spark: SparkSession, d: str) -> DataFrame:
-    """Record ids that a detector has no row for, counted (anti join)."""
+    """How many known records each detector has no row for; detectors that lack none are left out."""
     run = Run(spark, d)
-    ids = run.records.select("id").distinct().withColumn("k", F.lit(1))
-    names = run.latest.select("detector").distinct().withColumn("k", F.lit(1))  # detectors are a dimension
-    return ids.join(F.broadcast(names), "k").drop("k").join(run.latest.select("id", "detector"), ["id", "detector"], "left_anti").groupBy("detector").agg(F.count(F.lit(1)).alias("missing"))
+    ids = run.records.select("id").distinct()
+    have = run.latest.join(ids, "id", "left_semi").groupBy("detector").agg(F.count(F.lit(1)).alias("have"))
+    total = ids.agg(F.count(F.lit(1)).alias("n"))  # one row
+    return have.withColumn("k", F.lit(1)).join(F.broadcast(total.withColumn("k", F.lit(1))), "k").select("detector", (F.col("n") - F.col("have")).alias("missing")).where("missing > 0")
 
 
 @query
@@ -210,7 +212,7 @@ def _rounded(scores: DataFrame) -> DataFrame:
 
 def _errors(spark: SparkSession, d: str, kind: str) -> DataFrame:
     run = Run(spark, d)
-    return scoring.errors(run.gold, run.pred, run.calls, run.records.select("id", "text").distinct(), kind)
+    return scoring.errors(run.answered, run.records.select("id", "text").distinct(), kind)
 
 
 @query
@@ -236,7 +238,7 @@ def errors_boundary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def greedy_prf(spark: SparkSession, d: str) -> DataFrame:
     run = Run(spark, d)
-    return scoring.greedy_matches(run.records, run.latest)
+    return scoring.greedy_matches(run.answered)
 
 
 # pooling, voting, ensembles -----------------------------------------------------------------------------------------

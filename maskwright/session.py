@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
 
@@ -40,3 +40,16 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(ROOT)))
     sc.addPyFile(path)
     sc._maskwright_shipped = True
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes a small intermediate table that a plan reads several times, and reads it back.
+
+    ``checkpoint()`` keeps its files in the shared folder that the session names in ``spark.checkpoint.dir``; all executors can
+    read them, so losing one costs nothing. A folder of our own is set only where the session names none (tests).
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(sc._temp_dir, "checkpoints"))
+    return df.checkpoint(eager=True)

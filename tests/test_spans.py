@@ -112,11 +112,15 @@ def test_taxonomy():
     assert X.prompts_for("records", ["EMAIL"]) == ["EMAIL", "MAIL_ADDR"]
 
 
+def _tables(spark, text, gold, pred):
+    span = lambda x: (x[2], None, None, x[0], x[1], None)
+    rec = spark.createDataFrame([("r", text, "en", [span(x) for x in gold])], f"id string, text string, language string, gold_spans {S.SPANS.simpleString()}")
+    return rec, spark.createDataFrame([("r", "d", [span(x) for x in pred], None)], f"id string, detector string, spans {S.SPANS.simpleString()}, error string")
+
+
 def _score(spark, gold, pred):
-    g = spark.createDataFrame([("r", *x) for x in gold], "id string, start int, end int, label string")
-    p = spark.createDataFrame([("r", "d", *x) for x in pred], "id string, detector string, start int, end int, label string")
-    calls = spark.createDataFrame([("r", "d")], "id string, detector string")
-    out = scoring.outcomes(g, p, calls, scoring.scope_rows(g, p))
+    rec, latest = _tables(spark, "x" * 60, gold, pred)
+    out = scoring.outcomes(scoring.answered(rec, latest))
     return {r["schema"]: r for r in scoring.score(out, ["view", "detector"]).where("view = 'raw'").collect()}
 
 
@@ -154,9 +158,8 @@ def test_majority_of_two_needs_both(spark):
 
 
 def test_greedy_matching_uses_each_gold_once(spark):
-    rec = spark.createDataFrame([("r", "x" * 30, "en", [("PERSON", None, None, 0, 10, None)])], f"id string, text string, language string, gold_spans {S.SPANS.simpleString()}")
-    latest = spark.createDataFrame([("r", "d", [("PERSON", None, None, 0, 9, None), ("PERSON", None, None, 0, 10, None)], None)], f"id string, detector string, spans {S.SPANS.simpleString()}, error string")
-    row = scoring.greedy_matches(rec, latest).first()
+    rec, latest = _tables(spark, "x" * 30, [(0, 10, "PERSON")], [(0, 9, "PERSON"), (0, 10, "PERSON")])
+    row = scoring.greedy_matches(scoring.answered(rec, latest)).first()
     assert (row["tp"], row["n_pred"], row["n_gold"]) == (1, 2, 1)
 
 
