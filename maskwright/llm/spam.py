@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.session import cut_lineage
+
 NEUTRAL = -3.5
 LOWEST = -7.5
 # words of a stretch without white space; links and addresses are recognised before
@@ -198,7 +200,8 @@ def score_pages(
     """
     spark = pages.sparkSession
     kind = pages.schema[key_col].dataType.simpleString()
-    scores = collocation_scores(collocation_counts(pages, text_col), rare)
+    counts = cut_lineage(collocation_counts(pages, text_col))  # one pass over the texts; the scores read the counts four times
+    scores = collocation_scores(counts, rare)
     scores = scores.where(F.abs(F.col("pmi2") - NEUTRAL) > 0.25).select("pair", F.col("pmi2").cast("float").alias("pmi2"))
     table = scores.limit(most_pairs + 1).toPandas()
     fields = f"doc_id {kind}, coherence double, marked double"
