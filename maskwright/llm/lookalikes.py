@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from maskwright.session import cut_lineage
+
 # Letters of other scripts with the shape of a Latin letter.
 SAME_SHAPE = dict(zip(
     "аеорсхуіѕјһԁԛԝҽӏ" "АВЕКМНОРСТХІЅЈҮԚԜ" "ονιϲϳ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ" "ɑɡɩⱭꓐ" "օսոհ",
@@ -150,6 +152,7 @@ def lookalike_pairs(df: DataFrame, key_col: str, text_col: str = "text", within:
     formed = with_consistent_text(rows, "_text", "_form0")
     small = formed.select(
         "key", "grp", *_id(F.col("_text")), F.xxhash64("_form0").alias("s1"), F.xxhash64(F.lit("second"), "_form0").alias("s2")).distinct()
+    small = cut_lineage(small)  # some 50 bytes a row; the pairs below read it four times
     ways = small.select("grp", "s1", "s2", "_h1", "_h2").distinct()
     several = ways.groupBy("grp", "s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     ways = ways.join(several, ["grp", "s1", "s2"])
