@@ -23,9 +23,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.session import cut_lineage
+
 MAX_ANNOTATORS = 2000
 MAX_LABELS = 64
 
@@ -260,19 +262,19 @@ def reliability_of(votes: DataFrame, items: DataFrame) -> Reliability:
 
 def consensus(df: DataFrame, **columns: str) -> DataFrame:
     """Consensus label and boundaries of every item."""
-    votes = latest_votes(df, **columns)
+    votes = cut_lineage(latest_votes(df, **columns))
     items = votes_by_item(votes)
     return combine(items, reliability_of(votes, items))
 
 
 def annotator_reliability(df: DataFrame, **columns: str) -> DataFrame:
     """``annotator, n, accuracy, start_accuracy, end_accuracy``."""
-    votes = latest_votes(df, **columns)
+    votes = cut_lineage(latest_votes(df, **columns))
     r = reliability_of(votes, votes_by_item(votes))
     rows = [(a, int(n), float(x), float(s), float(e)) for a, n, x, s, e in zip(r.annotators, r.n, r.accuracy, r.start, r.end)]
     return df.sparkSession.createDataFrame(rows, "annotator string, n bigint, accuracy double, start_accuracy double, end_accuracy double")
 
 
-def agreement(df: DataFrame, **columns: str) -> Column:
+def agreement(df: DataFrame, **columns: str) -> DataFrame:
     """Mean over the items of the share of agreeing pairs of votes, as a one-row table."""
     return consensus(df, **columns).agg(F.avg("agreement").alias("agreement"), F.count(F.lit(1)).alias("items"))
