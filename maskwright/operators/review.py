@@ -5,12 +5,15 @@ Judges are plug-ins; the deterministic stubs here answer from a gold table, whic
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 
-VERDICTS = ("correct", "wrong_label", "wrong_boundary", "not_pii")
+VERDICTS = ("correct", "wrong_label", "boundary", "not_pii")
 
 
 def judge_from_gold(pooled: DataFrame, gold: DataFrame) -> DataFrame:
@@ -22,7 +25,7 @@ def judge_from_gold(pooled: DataFrame, gold: DataFrame) -> DataFrame:
     rank = F.when(bounds & (F.col("label") == F.col("gl")), 0).when(bounds, 1).when(F.col("label") == F.col("gl"), 2).otherwise(3)
     best = near.groupBy("id", "start", "end", "label").agg(F.min(rank).alias("r"))
     j = p.join(best, ["id", "start", "end", "label"], "left")
-    verdict = F.when(F.col("r") == 0, "correct").when(F.col("r").isin(1, 3), "wrong_label").when(F.col("r") == 2, "wrong_boundary").otherwise("not_pii")
+    verdict = F.when(F.col("r") == 0, "correct").when(F.col("r").isin(1, 3), "wrong_label").when(F.col("r") == 2, "boundary").otherwise("not_pii")
     return j.select("id", "start", "end", "label", "detectors", verdict.alias("verdict"))
 
 
@@ -36,23 +39,83 @@ def verdict_counts(reviewed: DataFrame) -> DataFrame:
     return reviewed.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-def summarize(reviewed: DataFrame, missed: DataFrame, lenient: bool = False) -> DataFrame:
-    """Per detector: spans, verdict counts, precision, pooled entity recall and F1. Undefined ratios are null.
+def group_entities(spans: list[tuple[int, int, str]]) -> list[int]:
+    """Entity number of each accepted span (start, end, verdict) of one record.
 
-    Entities are the correct spans of the pool plus the missed ones; a detector finds an entity by a span judged correct
-    (``lenient``: or with a wrong label or boundary).
+    Chains of overlapping ``correct`` spans are the entities. Any other span joins the one entity whose extent it overlaps most
+    (the first of equals), so an over-long span never merges two; one that overlaps none founds an entity for those after it.
+    """
+    order = sorted(range(len(spans)), key=lambda i: spans[i][:2])
+    extent: list[list[int]] = []
+    number = [-1] * len(spans)
+    for i in order:
+        a, b, verdict = spans[i]
+        if verdict == "correct":
+            if extent and a < extent[-1][1]:
+                extent[-1][1] = max(extent[-1][1], b)
+            else:
+                extent.append([a, b])
+            number[i] = len(extent) - 1
+    for i in order:
+        a, b, verdict = spans[i]
+        if verdict != "correct":
+            shared = [min(b, y) - max(a, x) for x, y in extent]
+            best = max(range(len(shared)), key=lambda k: (shared[k], -k), default=-1)
+            if best < 0 or shared[best] <= 0:
+                extent.append([a, b])
+                best = len(extent) - 1
+            number[i] = best
+    return number
+
+
+def entities(reviewed: DataFrame) -> DataFrame:
+    """``id, entity, verdict, detectors`` of all spans that are personal data. Sequential inside a record, so it runs on the record's own list."""
+    kept = reviewed.where("verdict <> 'not_pii'").groupBy("id").agg(F.collect_list(F.struct("start", "end", "verdict", "detectors")).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                numbers = group_entities([(s["start"], s["end"], s["verdict"]) for s in spans])
+                rows += [(key, n, s["verdict"], s["detectors"]) for n, s in zip(numbers, spans)]
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "entity", "verdict", "detectors"])
+
+    return kept.mapInArrow(run, "id string, entity int, verdict string, detectors array<string>")
+
+
+def summarize(reviewed: DataFrame, missed: DataFrame, calls: DataFrame, lenient: bool = False) -> DataFrame:
+    """Per detector over the records it answered: judged spans and verdicts, precision, pooled entity recall, F1, spans missed by all.
+
+    A detector finds an entity if one of its spans there was judged correct (``lenient``: or boundary). Undefined ratios are null.
+    ``calls`` holds the (id, detector) pairs without an error; records the reviewer failed on must be left out of all three tables.
     """
+    hits = ["correct", "boundary"] if lenient else ["correct"]
     flat = reviewed.withColumn("detector", F.explode("detectors"))
-    good = F.col("verdict").isin("correct", "wrong_boundary", "wrong_label") if lenient else F.col("verdict") == "correct"
-    per = flat.groupBy("detector").agg(
-        F.count(F.lit(1)).alias("n_spans"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS], F.count_if(good).alias("good"))
-    entities = reviewed.where("verdict = 'correct'").agg(F.count(F.lit(1)).alias("pooled"))
-    lost = missed.agg(F.count(F.lit(1)).alias("lost"))
-    # two one-row tables, joined by a literal key
-    total = entities.withColumn("one", F.lit(1)).join(lost.withColumn("one", F.lit(1)), "one")
-    rows = per.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").withColumn("entities", F.col("pooled") + F.col("lost"))
-    p, r = S.ratio(F.col("good"), F.col("n_spans")), S.ratio(F.col("correct"), F.col("entities"))
-    return rows.select("detector", "n_spans", *VERDICTS, "entities", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
+    judged = flat.groupBy("detector").agg(F.count(F.lit(1)).alias("n_spans"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])
+    # per record: how many entities it has and which detectors found how many of them
+    ent = entities(reviewed)
+    finders = F.when(F.col("verdict").isin(hits), F.col("detectors")).otherwise(F.array().cast("array<string>"))
+    per_entity = ent.groupBy("id", "entity").agg(F.array_distinct(F.flatten(F.collect_list(finders))).alias("by"))
+    per_record = per_entity.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.flatten(F.collect_list("by")).alias("by"))
+    lost = missed.groupBy("id").agg(F.count(F.lit(1)).alias("lost"))
+    known = calls.join(per_record, "id", "left").join(lost, "id", "left")
+    found = F.size(F.filter(F.coalesce("by", F.array().cast("array<string>")), lambda x: x == F.col("detector")))
+    totals = known.groupBy("detector").agg(
+        F.count(F.lit(1)).alias("n_records"), F.sum(F.coalesce("k", F.lit(0))).alias("n_entities"), F.sum(found).alias("n_found"), F.sum(F.coalesce("lost", F.lit(0))).alias("missed_by_all"))
+    rows = totals.join(judged, "detector", "left").fillna(0, ["n_spans", *VERDICTS])
+    good = F.col("correct") + (F.col("boundary") if lenient else F.lit(0))
+    p, r = S.ratio(good, F.col("n_spans")), S.ratio(F.col("n_found"), F.col("n_entities") + F.col("missed_by_all"))
+    return rows.select("detector", "n_records", "n_spans", *VERDICTS, "n_entities", "missed_by_all", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
+
+
+def disagreements(reviewed: DataFrame, missed: DataFrame, records: DataFrame, limit: int | None = None, width: int = 30) -> DataFrame:
+    """Everything a reader should look at: spans not judged correct, then misses, with context; ``limit`` is for display."""
+    spans = reviewed.where("verdict <> 'correct'").select("id", "start", "end", "label", "verdict", F.lit(0).alias("part"))
+    rows = spans.unionByName(missed.select("id", "start", "end", "label", F.lit("missed").alias("verdict"), F.lit(1).alias("part")))
+    out = rows.join(records.select("id", "text"), "id").select("id", "start", "end", "label", "verdict", "part", S.context(F.col("text"), F.col("start"), F.col("end"), width).alias("context"))
+    return out.orderBy("part", "id", "start", "end").limit(limit) if limit else out
 
 
 def classifier_rows(pooled: DataFrame, gold: DataFrame) -> DataFrame:

@@ -308,16 +308,16 @@ SELECT kind, place, count(*) AS n FROM k GROUP BY 1, 2"""
 _REVIEW = f"""{_BASE}, pool AS (SELECT id, s, e, label, list(DISTINCT detector) AS detectors FROM pred GROUP BY 1, 2, 3, 4),
 b AS (SELECT p.id, p.s, p.e, p.label, min(CASE WHEN p.s = g.s AND p.e = g.e AND p.label = g.label THEN 0 WHEN p.s = g.s AND p.e = g.e THEN 1 WHEN p.label = g.label THEN 2 ELSE 3 END) AS r
     FROM pool p JOIN gold g ON p.id = g.id AND p.s < g.e AND g.s < p.e GROUP BY 1, 2, 3, 4),
-rv AS (SELECT p.*, CASE WHEN r = 0 THEN 'correct' WHEN r IN (1, 3) THEN 'wrong_label' WHEN r = 2 THEN 'wrong_boundary' ELSE 'not_pii' END AS verdict
+rv AS (SELECT p.*, CASE WHEN r = 0 THEN 'correct' WHEN r IN (1, 3) THEN 'wrong_label' WHEN r = 2 THEN 'boundary' ELSE 'not_pii' END AS verdict
     FROM pool p LEFT JOIN b ON p.id = b.id AND p.s = b.s AND p.e = b.e AND p.label = b.label),
 lost AS (SELECT * FROM gold g WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.id = g.id AND p.s < g.e AND g.s < p.e))"""
 ORACLES["review_verdicts"] = f"WITH {_REVIEW} SELECT verdict, count(*) AS n FROM rv GROUP BY 1"
 ORACLES["review_missed"] = f'WITH {_REVIEW} SELECT id, s AS "start", e AS "end", label FROM lost'
-ORACLES["review_summary"] = f"""WITH {_REVIEW}, f AS (SELECT *, unnest(detectors) AS detector FROM rv),
-n AS (SELECT detector, count(*) AS n_spans, {', '.join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in ('correct', 'wrong_label', 'wrong_boundary', 'not_pii'))} FROM f GROUP BY 1),
-z AS (SELECT *, (SELECT count(*) FROM rv WHERE verdict = 'correct') + (SELECT count(*) FROM lost) AS entities FROM n),
-q AS (SELECT *, correct::DOUBLE / n_spans AS p, CASE WHEN entities > 0 THEN correct::DOUBLE / entities END AS r FROM z)
-SELECT detector, n_spans, correct, wrong_label, wrong_boundary, not_pii, entities, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) END, 6) AS f1 FROM q"""
+ORACLES["review_disagreements"] = f"""WITH {_REVIEW}, x AS (SELECT id, s AS "start", e AS "end", label, verdict, 0 AS part FROM rv WHERE verdict <> 'correct'
+    UNION ALL SELECT id, s, e, label, 'missed', 1 FROM lost)
+SELECT x.*, CASE WHEN greatest("start" - 30, 0) > 0 THEN '…' ELSE '' END || substr(text, greatest("start" - 30, 0) + 1, "start" - greatest("start" - 30, 0)) || '⟦' || substr(text, "start" + 1, "end" - "start") || '⟧'
+    || substr(text, "end" + 1, least("end" + 30, length(text)) - "end") || CASE WHEN least("end" + 30, length(text)) < length(text) THEN '…' ELSE '' END AS context
+FROM x JOIN (SELECT DISTINCT id, text FROM rec) r ON x.id = r.id"""
 _CLASS = f"""{_BASE}, pool AS (SELECT id, s, e, label, list(DISTINCT detector) AS detectors FROM pred GROUP BY 1, 2, 3, 4),
 b AS (SELECT p.id, p.s, p.e, p.label, max({_iou('p.s', 'p.e', 'g.s', 'g.e')}) AS a, max({_iou('p.s', 'p.e', 'g.s', 'g.e')}) FILTER (p.label = g.label) AS b
     FROM pool p JOIN gold g ON p.id = g.id AND p.s < g.e AND g.s < p.e GROUP BY 1, 2, 3, 4),

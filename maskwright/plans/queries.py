@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 from maskwright.functions import taxonomy as X
-from maskwright.operators import detect, documents, locate, records, review, scoring, search, transforms, voting
+from maskwright.operators import detect, documents, locate, records, review, scoring, search, segments, transforms, voting
 from maskwright.streaming.detect import latency_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -470,8 +470,21 @@ def review_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def review_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = review.summarize(*_reviewed(Run(spark, d)))
-    return rows.select(*rows.columns[:-3], *[F.round(c, 6).alias(c) for c in rows.columns[-3:]])
+    run = Run(spark, d)
+    return _few(review.summarize(*_reviewed(run), run.calls))
+
+
+@query
+def review_entities(spark: SparkSession, d: str) -> DataFrame:
+    """How many entities the reviewed spans form, by the number of spans in them."""
+    rows = review.entities(_reviewed(Run(spark, d))[0])
+    return rows.groupBy("id", "entity").agg(F.count(F.lit(1)).alias("spans")).groupBy("spans").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def review_disagreements(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    return review.disagreements(*_reviewed(run), run.records.select("id", "text").distinct())
 
 
 @query
@@ -501,6 +514,17 @@ def residual_rate(spark: SparkSession, d: str) -> DataFrame:
     return _few(review.residual_rate(run.records, run.pred, run.gold, run.calls))
 
 
+@query
+def residual_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Per detector: segments left after masking, trivial ones and those that still hold a gold span."""
+    run = Run(spark, d)
+    texts = run.records.select("id", "text").distinct()
+    rows = segments.segments(run.answered.select("id", "detector", F.col("p").alias("spans")).join(texts, "id"))
+    marked = segments.residual_segments(rows, run.gold, run.pred)
+    return marked.groupBy("detector").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("trivial").alias("trivial"), F.count_if("residual").alias("residual"))
+
+
 @query
 def plan_calls(spark: SparkSession, d: str) -> DataFrame:
     return review.plan_calls(Run(spark, d).records)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 from maskwright.functions import taxonomy as X
-from maskwright.operators import detect, documents, records, review, scoring, transforms, voting
+from maskwright.operators import detect, documents, models, records, review, scoring, segments, transforms, voting
+from maskwright.sources import fixtures
 
 SP = "id string, text string, spans array<struct<start:int,end:int,label:string>>"
 
@@ -196,8 +197,53 @@ def test_interval_union_keeps_touching_apart(spark):
 def test_review_summary_nulls(spark):
     pooled = spark.createDataFrame([("r", 0, 3, "PERSON", ["a"])], "id string, start int, end int, label string, detectors array<string>")
     gold = spark.createDataFrame([("r", 0, 3, "PERSON"), ("r", 5, 9, "EMAIL")], "id string, start int, end int, label string")
-    s = review.summarize(review.judge_from_gold(pooled, gold), review.missed_from_gold(pooled, gold)).first()
-    assert (s["precision"], s["recall"], s["entities"]) == (1.0, 0.5, 2)
+    calls = spark.createDataFrame([("r", "a"), ("r", "b")], "id string, detector string")
+    rows = {r["detector"]: r for r in review.summarize(review.judge_from_gold(pooled, gold), review.missed_from_gold(pooled, gold), calls).collect()}
+    assert (rows["a"]["precision"], rows["a"]["recall"], rows["a"]["missed_by_all"]) == (1.0, 0.5, 1)
+    assert (rows["b"]["precision"], rows["b"]["recall"], rows["b"]["n_spans"]) == (None, 0.0, 0)
+
+
+def test_entities_are_never_merged_by_a_long_span():
+    spans = [(0, 5, "correct"), (3, 7, "correct"), (10, 15, "correct"), (4, 14, "boundary"), (20, 25, "wrong_label"), (22, 30, "boundary"), (14, 16, "wrong_label")]
+    assert review.group_entities(spans) == [0, 0, 1, 1, 2, 2, 1]
+
+
+def test_segments_never_cut_spans():
+    text = "Dr. Ann Lee came. She left at 5 p.m. today! Id\n12 34 is hers. " + "x" * 30 + " tail"
+    got = [text[a:b] for a, b in segments.split(text, 25, [(44, 52)])]
+    assert got[:2] == ["Dr. Ann Lee came.", "She left at 5 p.m. today!"] and "Id\n12 34 is hers." in got
+    assert all(len(x) <= 30 for x in got)
+    rng = random.Random(2)
+    for _ in range(200):
+        t = "".join(rng.choice("ab .!\n") for _ in range(rng.randint(1, 80)))
+        spans = [(a, min(len(t), a + rng.randint(1, 12))) for a in (rng.randrange(len(t)) for _ in range(3))]
+        out = segments.split(t, 10, spans)
+        assert all(x[1] <= y[0] for x, y in zip(out, out[1:])) and sum(c.isalnum() for c in t) == sum(sum(c.isalnum() for c in t[a:b]) for a, b in out)
+
+
+def test_models(spark):
+    assert models.parse_json("Sure: ```json\n[1]\n``` done") == [1] and models.parse_json("x {\"a\": 1} y") == {"a": 1}
+    schema = {"type": "array", "items": {"type": "object", "required": ["value"], "properties": {"value": {"type": "string"}}, "additionalProperties": False}}
+    assert models.problems([{"value": "x"}], schema) == [] and len(models.problems([{"v": 1}, 3], schema)) == 3
+    df = spark.createDataFrame([("1", "abc"), ("2", None), ("3", "y" * 500), ("4", "abc")], "id string, text string")
+    client = models.stub_client(lambda p: [{"value": "abc"}] if "abc" in p else 7, limit=300)
+    prompt = models.labels_prompt(F.col("text"), ["PERSON"])
+    rows = {r["id"]: r for r in models.ask(df, prompt, client, schema).collect()}
+    assert rows["1"]["error"] is None and rows["2"]["error"] == "no prompt" and rows["3"]["truncated"]
+    cache = spark.createDataFrame([], "key string, response string")
+    answers, new = models.ask_cached(df.where("id in ('1', '4')"), prompt, "m", client, cache, schema)
+    assert answers.count() == 2 and new.count() == 1
+    assert models.halves("aaa bbb") == [(0, 3), (3, 7)]
+
+
+def test_fixtures(spark, tmp_path):
+    rec, _ = _tables(spark, "Ann here", [(0, 3, "PERSON"), (5, 99, "EMAIL")], [])
+    rows, meta = fixtures.ensure(rec, str(tmp_path / "f"), 5, dataset="toy")
+    assert meta["dropped_spans"] == 1 and rows.first()["gold_spans"][0]["label"] == "PERSON" and fixtures.ensure(rec, str(tmp_path / "f"), 5, dataset="toy")[1] == meta
+    docs = spark.createDataFrame([(1, "one. " * 9 + " " * 30 + "two", None)], "doc_id bigint, text string, segments array<struct<start:int,end:int>>")
+    recs, blank = fixtures.from_documents(docs, 20)
+    back = documents.rebuild(recs.select("doc_id", "offset", "text").unionByName(blank.select("doc_id", "offset", "text"))).first()
+    assert back["complete"] and back["text"] == docs.first()["text"]
 
 
 def test_validation_issues(spark):
