@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import codepoints as cp
 from .crf import Adam, Layout, forward_backward
+from .sampling import lowest_hashes
 from .sentences import sentence_units
 
 # The languages of the test material.
@@ -267,11 +268,9 @@ def label_language(label: Column) -> Column:
 def train_on(docs: DataFrame, train_docs: int = 2500, max_train_chars: int = 3000,
              text_col: str = "text", label_col: str = "lang", key_col: str = "doc_id") -> LanguageModel:
     """Fits on at most ``train_docs`` labelled rows of at most ``max_train_chars`` code points, chosen by key hash."""
-    sample = (
-        docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), label_language(F.col(label_col)).alias("l"))
-        .where(F.col("l").isin(LANGUAGES) & (F.length("t") <= max_train_chars) & (F.length(F.trim("t")) > 0))
-        .orderBy(F.xxhash64("k"), "k").limit(train_docs).select("t", "l").toPandas()
-    )
+    rows = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), label_language(F.col(label_col)).alias("l")).where(
+        F.col("l").isin(LANGUAGES) & (F.length("t") <= max_train_chars) & (F.length(F.trim("t")) > 0))
+    sample = lowest_hashes(rows, F.col("k"), train_docs).select("t", "l").toPandas()
     return fit(sample["t"].tolist(), sample["l"].tolist())
 
 
