@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .crf import Adam, Layout, forward_backward, viterbi
 from .lookalikes import SAME_SHAPE, _simple
+from .sampling import lowest_hashes
 
 # Labels, and the coarse labels of the labelled table that stand for them.
 LABELS = ["EMAIL", "PHONE", "GOV_ID", "STREET_ADDRESS", "PERSON"]
@@ -170,7 +171,7 @@ def encode(views: list[str]) -> Encoded:
     lengths = np.fromiter(map(len, spans), np.int64, len(spans))
     n = int(lengths.sum())
     if not n:
-        return Encoded(spans, np.zeros((0, 22), np.int64), lengths)
+        return Encoded(spans, np.zeros((0, 22), np.int32), lengths)
     pad = 3
     # every text is followed by padding, so that windows stop at its ends
     starts = np.concatenate([[0], np.cumsum(lengths + pad)[:-1]]) + pad
@@ -188,7 +189,7 @@ def encode(views: list[str]) -> Encoded:
         for p in parts:
             h = (h ^ p) * np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
-        return (h & np.uint64(N_FEATURES - 1)).astype(np.int64)
+        return (h & np.uint64(N_FEATURES - 1)).astype(np.int32)
 
     W, S = (lambda o: word[at + o]), (lambda o: shape[at + o])
     feats = [
@@ -213,7 +214,7 @@ class PiiModel:
             out += self.weights[e.features[:, j]]
         return out
 
-    def decode(self, e: Encoded, credit: float = 0.6) -> np.ndarray:
+    def decode(self, e: Encoded, credit: float = 1.0) -> np.ndarray:
         """Best path; ``credit`` log-odds in favour of mentions make up for the gaps of the labelled table."""
         emissions = self.emissions(e)
         emissions[:, 0] -= credit
@@ -250,7 +251,7 @@ class _Trainer:
         self.legal = _legal()
         self.start_legal = np.asarray([-1e4 if t[0] == "I" else 0.0 for t in TAGS], np.float32)
         self.used, short = np.unique(e.features, return_inverse=True)
-        self.short = short.reshape(e.features.shape)
+        self.short = short.reshape(e.features.shape).astype(np.int32)
 
     def fit(self, y: np.ndarray, texts: np.ndarray, iterations: int) -> PiiModel:
         rows = np.flatnonzero(np.repeat(texts, self.e.lengths))
@@ -261,10 +262,15 @@ class _Trainer:
         inner = np.ones(len(y), bool)
         inner[firsts] = False
         gi = np.flatnonzero(inner)
-        order = np.argsort(short.ravel(), kind="stable")
-        owner = order // short.shape[1]
+        order = np.argsort(short.ravel(), kind="stable").astype(np.int32)
         seen, bounds = np.unique(short.ravel()[order], return_index=True)
-        often = np.sqrt(np.diff(np.append(bounds, len(order)))).astype(np.float32)[:, None]
+        owner = order // np.int32(short.shape[1])
+        del order
+        often = np.sqrt(np.diff(np.append(bounds, len(owner)))).astype(np.float32)[:, None]
+        # the gradient is summed in runs of features, so that its temporaries stay small
+        runs = np.unique(np.searchsorted(bounds, np.arange(0, len(owner), 400_000), side="left"))
+        runs = [*runs[runs < len(bounds)].tolist(), len(bounds)]
+        runs = runs if runs[0] == 0 else [0, *runs]
         params = {"w": np.zeros((len(self.used), N_TAGS), np.float32), "t": np.zeros((N_TAGS, N_TAGS), np.float32), "s": np.zeros(N_TAGS, np.float32)}
         gold_t = np.bincount(y[gi - 1] * N_TAGS + y[gi], minlength=N_TAGS**2).reshape(N_TAGS, N_TAGS)
         gold_s = np.bincount(y[firsts], minlength=N_TAGS)
@@ -277,7 +283,10 @@ class _Trainer:
                 em += params["w"][short[:, j]]
             post, _, pairs, _ = forward_backward(em, layout, params["t"] + self.legal, params["s"] + self.start_legal, want_pairs=True)
             grad = np.zeros_like(params["w"])
-            grad[seen] = np.add.reduceat((hot - post)[owner], bounds, axis=0) / often
+            miss = hot - post
+            for lo, hi in zip(runs, runs[1:]):
+                end = bounds[hi] if hi < len(bounds) else len(owner)
+                grad[seen[lo:hi]] = np.add.reduceat(miss[owner[bounds[lo] : end]], bounds[lo:hi] - bounds[lo], axis=0) / often[lo:hi]
             adam.step(params, {
                 "w": grad - 0.05 * params["w"], "t": ((gold_t - pairs - 0.1 * params["t"]) / len(firsts)).astype(np.float32),
                 "s": ((gold_s - post[firsts].sum(axis=0)) / len(firsts)).astype(np.float32)})
@@ -286,7 +295,7 @@ class _Trainer:
         return model
 
 
-def fit(views: list[str], marks: list[list[tuple[int, int, str]]], iterations: int = 30, folds: int = 3, missed: float = 2.0) -> PiiModel:
+def fit(views: list[str], marks: list[list[tuple[int, int, str]]], iterations: int = 40, folds: int = 3, missed: float = 2.5) -> PiiModel:
     """Fits the field on a noisy table. Each fold is first relabelled by a field fitted on the other folds, which cannot
     have learnt the fold's own errors by heart; ``missed`` is the log-odds credit for mentions that the table lacks."""
     e = encode(views)
@@ -429,10 +438,10 @@ def find_in(texts: list[str | None], model: PiiModel) -> list[list[tuple[int, in
     return out
 
 
-def labelled_sample(requests: DataFrame, spans: DataFrame, train_requests: int = 4000, max_chars: int = 600) -> tuple[list[str], list[list[tuple[int, int, str]]]]:
+def labelled_sample(requests: DataFrame, spans: DataFrame, train_requests: int = 7000, max_chars: int = 600) -> tuple[list[str], list[list[tuple[int, int, str]]]]:
     """At most ``train_requests`` texts of at most ``max_chars`` code points, by key hash, with their marked stretches in view positions."""
     short = requests.where((F.length("text") <= max_chars) & (F.length(F.trim("text")) > 0)).select("request_id", "text")
-    chosen = short.orderBy(F.xxhash64("request_id"), "request_id").limit(train_requests)
+    chosen = lowest_hashes(short, F.col("request_id"), train_requests)
     marks = spans.where(F.col("label").isin(list(COARSE))).select("request_id", "label", "start", "end").distinct()
     rows = chosen.join(marks, "request_id", "left").groupBy("request_id").agg(
         F.first("text").alias("text"), F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end", "label")))).alias("marks")).collect()
