@@ -171,3 +171,19 @@ def plan_calls(records: DataFrame, max_chars: int = 4000) -> DataFrame:
 def margin(start: Column, end: Column, text: Column, width: int) -> Column:
     """struct<start, end> widened by ``width`` and clipped to the text."""
     return F.struct(F.greatest(start - width, F.lit(0)).alias("start"), F.least(end + width, F.length(text)).alias("end"))
+
+
+def answer_misses(located: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """``id, start, end, label, kind, reason`` of the reviewer's own findings (``id, label, start, end, reason`` as located in the text).
+
+    A finding without a place keeps its reason; one that an accepted candidate covers is dropped as ``covered_by_candidate``; one whose
+    exact stretch was judged no personal data as ``judged_not_pii``; of equal findings one counts. All others are misses.
+    """
+    c = reviewed.select(F.col("id").alias("cid"), F.col("start").alias("cs"), F.col("end").alias("ce"), "verdict")
+    once = located.select("id", "start", "end", "label", "reason").distinct()
+    met = once.where("reason is null").join(c, (F.col("id") == F.col("cid")) & (F.col("cs") <= F.col("start")) & (F.col("end") <= F.col("ce")))
+    flags = met.groupBy("id", "start", "end", "label").agg(
+        F.bool_or(F.col("verdict") != "not_pii").alias("covered"), F.bool_or((F.col("verdict") == "not_pii") & (F.col("cs") == F.col("start")) & (F.col("ce") == F.col("end"))).alias("refused"))
+    j = once.join(flags, ["id", "start", "end", "label"], "left")
+    reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("covered"), "covered_by_candidate").when(F.col("refused"), "judged_not_pii")
+    return j.select("id", "start", "end", "label", F.when(reason.isNull(), "missed").otherwise("dropped").alias("kind"), reason.alias("reason"))

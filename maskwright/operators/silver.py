@@ -1,0 +1,74 @@
+"""Silver labels: several labelers list values per record, the values are located, and the labelers' spans are merged by votes."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from maskwright.functions import taxonomy as X
+from maskwright.operators import models, voting
+from maskwright.operators.locate import locate
+from maskwright.operators.scoring import answered, outcomes, score
+
+ITEMS = {"type": "array", "items": {"type": "object", "required": ["value", "label"], "properties": {"value": {"type": "string"}, "label": {"type": "string"}}}}
+MODES = ("union", "majority", "intersection")
+
+
+def check_labels(labels: list[str] | None) -> list[str]:
+    """Coarse labels that are asked for; unknown ones raise, fine ones count as their parent."""
+    unknown = [x for x in labels or [] if not X.is_known(x)]
+    if unknown:
+        raise ValueError(f"unknown labels {unknown}")
+    return list(dict.fromkeys(X.parent(x) for x in labels)) if labels else list(X.COARSE)
+
+
+def label_records(records: DataFrame, labeler: str, client: Callable[[], models.Client], labels: list[str] | None = None) -> DataFrame:
+    """``id, detector, spans, dropped, error`` of one labeler: prompt, checked answer, located values. Null texts give an error row."""
+    wanted = check_labels(labels)
+    asked = models.ask(records.select("id", "text"), models.labels_prompt(F.col("text"), wanted), client, ITEMS)
+    items = asked.withColumn("items", F.coalesce(F.from_json("response", "array<struct<value:string,label:string>>"), F.array().cast("array<struct<value:string,label:string>>")))
+    placed = locate(records.select("id", "text").join(items.select("id", "items"), "id"), labels=wanted)
+    span = F.struct(
+        F.col("label").alias("label"), F.col("label").alias("fine_label"), F.col("label").alias("raw_label"), F.col("start").alias("start"), F.col("end").alias("end"), F.col("value").alias("text"))
+    ok = F.col("reason").isNull()
+    found = placed.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.when(ok, F.struct("start", "end", "label", span.alias("s"))))).alias("o"), F.collect_list(F.when(~ok, F.struct("value", "label", "reason"))).alias("dropped"))
+    rows = items.select("id", "error").join(found, "id", "left")
+    none = "array<struct<label:string,fine_label:string,raw_label:string,start:int,end:int,text:string>>"
+    return rows.select(
+        "id", F.lit(labeler).alias("detector"), F.coalesce(F.transform("o", lambda x: x["s"]), F.array()).cast(none).alias("spans"),
+        F.coalesce("dropped", F.array()).cast("array<struct<value:string,label:string,reason:string>>").alias("dropped"), "error")
+
+
+def generate(records: DataFrame, labelers: dict[str, Callable[[], models.Client]], how: str = "majority", labels: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(silver records, labeler rows). Records that every labeler failed on get no gold spans and are listed by ``failed``."""
+    if not labelers:
+        raise ValueError("no labeler")
+    rows = reduce(DataFrame.unionByName, [label_records(records, name, c, labels) for name, c in labelers.items()])
+    calls = rows.where("error is null").select("id", "detector")
+    flat = rows.where("error is null").select("id", "detector", F.explode("spans").alias("s")).select("id", "detector", "s.start", "s.end", "s.label").distinct()
+    kept = voting.resolve_overlaps(voting.merge_votes(flat, calls, how))
+    span = F.struct(F.col("label").alias("label"), F.col("label").alias("fine_label"), F.col("label").alias("raw_label"), F.col("start").alias("start"), F.col("end").alias("end"), F.lit(None).cast("string").alias("text"))
+    lists = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label", span.alias("s")))).alias("o"))
+    silver = records.drop("gold_spans").join(lists, "id", "left").withColumn("gold_spans", F.transform("o", lambda x: x["s"])).drop("o")
+    none = "array<struct<label:string,fine_label:string,raw_label:string,start:int,end:int,text:string>>"
+    return silver.withColumn("gold_spans", F.coalesce("gold_spans", F.array().cast(none))), rows
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """Per labeler: calls, errors, spans, dropped items."""
+    return rows.groupBy("detector").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("n_errors"), F.sum(F.size("spans")).alias("n_spans"), F.sum(F.size("dropped")).alias("n_dropped"))
+
+
+def failed(rows: DataFrame) -> DataFrame:
+    """Ids that every labeler failed on."""
+    return rows.groupBy("id").agg(F.count_if(F.col("error").isNull()).alias("ok")).where("ok = 0").select("id")
+
+
+def calibrate(records: DataFrame, rows: DataFrame) -> DataFrame:
+    """Scores of each labeler against real gold, both views."""
+    return score(outcomes(answered(records, rows)), ["view", "detector"])

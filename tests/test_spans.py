@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 from maskwright.functions import taxonomy as X
-from maskwright.operators import detect, documents, models, records, review, scoring, segments, transforms, voting
+from maskwright.operators import detect, documents, models, records, review, scoring, segments, silver, transforms, voting
 from maskwright.sources import fixtures
 
 SP = "id string, text string, spans array<struct<start:int,end:int,label:string>>"
@@ -259,3 +259,27 @@ def test_empty_tables(spark):
     rec = spark.createDataFrame([], f"id string, text string, language string, gold_spans {S.SPANS.simpleString()}")
     pred = spark.createDataFrame([], "id string, detector string, start int, end int, label string")
     assert records.gold_long(rec).count() == 0 and voting.pool(pred).count() == 0 and records.validate(rec).count() == 0
+
+
+def test_silver(spark):
+    rec = spark.createDataFrame([("1", "Ann met Bo Lee", "en"), ("2", "nobody", "en"), ("3", None, "en")], "id string, text string, language string")
+    say = lambda *pairs: models.stub_client(lambda p: [{"value": v, "label": x} for v, x in pairs if v in p or v == "ghost"])
+    labelers = {"a": say(("Ann", "PERSON"), ("Bo Lee", "PERSON"), ("ghost", "PERSON")), "b": say(("Ann", "PERSON"), ("Lee", "PERSON")), "c": say(("Ann", "PERSON"))}
+    got, rows = silver.generate(rec, labelers)
+    spans = {r["id"]: [(s["start"], s["end"], s["label"]) for s in r["gold_spans"]] for r in got.collect()}
+    # "Bo Lee" and "Lee" agree (IoU 0.5); of the two the longer one is kept
+    assert spans == {"1": [(0, 3, "PERSON"), (8, 14, "PERSON")], "2": [], "3": []}
+    n = {r["detector"]: r for r in silver.counters(rows).collect()}
+    assert n["a"]["n_dropped"] == 2 and n["a"]["n_errors"] == 1 and [r["id"] for r in silver.failed(rows).collect()] == ["3"]
+    with pytest.raises(ValueError):
+        silver.check_labels(["NOPE"])
+    gold = rec.withColumn("gold_spans", F.expr(f"cast(array(named_struct('label','PERSON','fine_label','PERSON','raw_label','p','start',0,'end',3,'text','Ann')) as {S.SPANS.simpleString()})")).where("id = '1'")
+    best = silver.calibrate(gold, rows).where("schema = 'strict' and view = 'raw' and detector = 'c'").first()
+    assert best["f1"] == 1.0
+
+
+def test_answer_misses(spark):
+    located = spark.createDataFrame([("r", 0, 3, "PERSON", None), ("r", 0, 3, "PERSON", None), ("r", 5, 7, "EMAIL", None), ("r", 9, 12, "PHONE", None), ("r", None, None, "DATE", "not_found")], "id string, start int, end int, label string, reason string")
+    seen = spark.createDataFrame([("r", 0, 4, "correct"), ("r", 5, 7, "not_pii")], "id string, start int, end int, verdict string")
+    got = {(r["label"], r["kind"], r["reason"]) for r in review.answer_misses(located, seen).collect()}
+    assert got == {("PERSON", "dropped", "covered_by_candidate"), ("EMAIL", "dropped", "judged_not_pii"), ("PHONE", "missed", None), ("DATE", "dropped", "not_found")}
