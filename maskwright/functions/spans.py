@@ -39,6 +39,11 @@ def in_bounds(start: Column, end: Column, text: Column) -> Column:
     return (start >= 0) & (start < end) & (end <= F.length(text))
 
 
+def within(start: Column, end: Column, length: Column) -> Column:
+    """``in_bounds`` where only the length of the text is at hand."""
+    return (start >= 0) & (start < end) & (end <= length)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null for b = 0."""
     return F.try_divide(a.cast("double"), b)

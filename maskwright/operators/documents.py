@@ -113,9 +113,10 @@ def interval_union(rows: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def document_map(records: DataFrame) -> DataFrame:
-    """``doc_id, n_chunks, length``: what is known of a document from its chunk records."""
-    return records.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.col("offset") + F.length("text")).alias("length"))
+def document_map(fixtures: DataFrame) -> DataFrame:
+    """``doc_id, n_chunks, length``: what is known of a document from its chunk records (repeated rows count once)."""
+    once = fixtures.where("doc_id is not null").select("id", "doc_id", "offset", F.length("text").alias("n"), F.xxhash64("text", "language", "gold_spans").alias("h")).distinct()
+    return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.col("offset") + F.col("n")).alias("length"))
 
 
 def masked_context(df: DataFrame, start: Column, end: Column, text_col: str = "text", width: int = 30) -> Column:

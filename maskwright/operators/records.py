@@ -14,22 +14,33 @@ from maskwright.functions import spans as S
 from maskwright.functions import taxonomy as X
 
 
+FIELDS = ("label", "fine_label", "raw_label", "start", "end")
+
+
+def _slim(spans: str) -> Column:
+    """A span list without the spans' texts, as field arrays zipped again: the scan then reads these fields only."""
+    return F.arrays_zip(*[F.col(f"{spans}.{f}") for f in FIELDS])
+
+
 def distinct_records(fixtures: DataFrame) -> DataFrame:
-    """Records without exact repeats: ``id, text, language, gold_spans``."""
-    return fixtures.select("id", "text", "language", "gold_spans").distinct()
+    """Records without exact repeats: ``id, language, n_chars, text_hash, gold_spans``. Texts are hashed and measured before the shuffle, never moved."""
+    if "text_hash" in fixtures.columns:
+        return fixtures
+    return fixtures.select(
+        "id", "language", F.length("text").alias("n_chars"), (F.trim("text") != "").alias("has_text"), F.xxhash64("text").alias("text_hash"), _slim("gold_spans").alias("gold_spans")).distinct()
 
 
 def latest_predictions(predictions: DataFrame) -> DataFrame:
-    """One row per record and detector, the one that started last (ties: larger run id). Partial aggregate, no window."""
-    body = F.struct("spans", "latency_ms", "error", "run_id")
+    """One row per record and detector, the one that started last (ties: larger run id). One shuffle, span texts are not read."""
+    body = F.struct(_slim("spans").alias("spans"), "error")
     return (
         predictions.groupBy("id", "detector").agg(F.max_by(body, F.struct("started_at", "run_id", "ingested_at")).alias("p"))
-        .select("id", "detector", "p.spans", "p.latency_ms", "p.error", "p.run_id"))
+        .select("id", "detector", "p.spans", "p.error"))
 
 
 def gold_long(records: DataFrame, level: str = "coarse") -> DataFrame:
     """``id, start, end, label`` of gold spans inside the text and inside the taxonomy; repeats count once."""
-    flat = records.select("id", "text", F.explode("gold_spans").alias("g")).where(S.in_bounds(F.col("g.start"), F.col("g.end"), F.col("text")))
+    flat = distinct_records(records).select("id", "n_chars", F.explode("gold_spans").alias("g")).where(S.within(F.col("g.start"), F.col("g.end"), F.col("n_chars")))
     label = F.col("g.label") if X.check_level(level) == "coarse" else F.coalesce("g.fine_label", "g.label")
     out = flat.where(F.col("g.label").isin(X.COARSE)).select("id", F.col("g.start").alias("start"), F.col("g.end").alias("end"), label.alias("label"))
     return out.distinct()
@@ -37,8 +48,8 @@ def gold_long(records: DataFrame, level: str = "coarse") -> DataFrame:
 
 def gold_dropped(records: DataFrame) -> DataFrame:
     """``id, n_dropped``: gold spans out of the text or out of the taxonomy, per record with any."""
-    flat = records.select("id", "text", F.explode("gold_spans").alias("g"))
-    ok = S.in_bounds(F.col("g.start"), F.col("g.end"), F.col("text")) & F.col("g.label").isin(X.COARSE)
+    flat = distinct_records(records).select("id", "n_chars", F.explode("gold_spans").alias("g"))
+    ok = S.within(F.col("g.start"), F.col("g.end"), F.col("n_chars")) & F.col("g.label").isin(X.COARSE)
     return flat.where(~F.coalesce(ok, F.lit(False))).groupBy("id").agg(F.count(F.lit(1)).alias("n_dropped"))
 
 
@@ -141,14 +152,14 @@ def holdout_split(ids: DataFrame, fraction: float, seed: int = 42, key: str = "i
     return ids.withColumn("holdout", h < F.lit(int(fraction * top)))
 
 
-def baseline(records: DataFrame) -> DataFrame:
-    """``id, text_sha1`` of every record."""
-    return records.select("id", F.sha1("text").alias("text_sha1")).distinct()
+def baseline(fixtures: DataFrame) -> DataFrame:
+    """``id, text_sha1`` of every record; texts are hashed before the shuffle."""
+    return fixtures.select("id", F.sha1("text").alias("text_sha1")).distinct()
 
 
-def baseline_covers(base: DataFrame, records: DataFrame) -> DataFrame:
+def baseline_covers(base: DataFrame, fixtures: DataFrame) -> DataFrame:
     """One row: how many records a baseline covers with the same text, with another text, or not at all."""
-    now = baseline(records).withColumnRenamed("text_sha1", "now")
+    now = baseline(fixtures).withColumnRenamed("text_sha1", "now")
     j = now.join(base, "id", "left")
     same = F.col("text_sha1").eqNullSafe(F.col("now"))
     known = F.col("text_sha1").isNotNull()

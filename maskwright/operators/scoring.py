@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 from maskwright.functions import taxonomy as X
+from maskwright.operators.records import distinct_records
 
 SCHEMAS = ("strict", "exact", "partial", "ent_type")
 
@@ -22,8 +23,8 @@ def answered(records: DataFrame, latest: DataFrame, level: str = "coarse") -> Da
     """
     name = (lambda s: s["label"]) if X.check_level(level) == "coarse" else (lambda s: F.coalesce(s["fine_label"], s["label"]))
     plain = lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), name(s).alias("label"))
-    valid = F.filter("gold_spans", lambda s: S.in_bounds(s["start"], s["end"], F.col("text")) & s["label"].isin(X.COARSE))
-    gold = records.select("id", F.coalesce(F.transform(valid, plain), F.array().cast(_PLAIN)).alias("g")).groupBy("id").agg(
+    valid = F.filter("gold_spans", lambda s: S.within(s["start"], s["end"], F.col("n_chars")) & s["label"].isin(X.COARSE))
+    gold = distinct_records(records).select("id", F.coalesce(F.transform(valid, plain), F.array().cast(_PLAIN)).alias("g")).groupBy("id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("g")))).alias("g"))
     own = F.array_sort(F.array_distinct(F.coalesce(F.transform("spans", plain), F.array().cast(_PLAIN))))
     return latest.where("error is null").select("id", "detector", own.alias("p")).join(gold, "id")

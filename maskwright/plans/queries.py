@@ -28,7 +28,9 @@ class Run:
     """The tables most queries start from."""
 
     def __init__(self, spark: SparkSession, d: str, level: str = "coarse") -> None:
-        self.records = records.distinct_records(t(spark, d, "fixtures"))
+        self.fixtures = t(spark, d, "fixtures")
+        self.texts = self.fixtures.select("id", "text").distinct()
+        self.records = records.distinct_records(self.fixtures)
         self.latest = records.latest_predictions(t(spark, d, "predictions"))
         self.answered = scoring.answered(self.records, self.latest, level)
         self.gold = records.gold_long(self.records, level)
@@ -128,15 +130,14 @@ def holdout(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def baseline_hashes(spark: SparkSession, d: str) -> DataFrame:
-    return records.baseline(Run(spark, d).records)
+    return records.baseline(t(spark, d, "fixtures"))
 
 
 @query
 def baseline_guard(spark: SparkSession, d: str) -> DataFrame:
     """The records against a baseline of their documents' own first chunks."""
-    run = Run(spark, d)
     whole = t(spark, d, "documents").select(F.concat("file_id", F.lit("#0")).alias("id"), F.sha1("text").alias("text_sha1"))
-    return records.baseline_covers(whole, run.records)
+    return records.baseline_covers(whole, t(spark, d, "fixtures"))
 
 
 @query
@@ -212,7 +213,7 @@ def _rounded(scores: DataFrame) -> DataFrame:
 
 def _errors(spark: SparkSession, d: str, kind: str) -> DataFrame:
     run = Run(spark, d)
-    return scoring.errors(run.answered, run.records.select("id", "text").distinct(), kind)
+    return scoring.errors(run.answered, run.texts, kind)
 
 
 @query
@@ -425,7 +426,7 @@ def documents_rebuilt(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def document_map(spark: SparkSession, d: str) -> DataFrame:
-    return documents.document_map(Run(spark, d).records.join(t(spark, d, "fixtures").select("id", "doc_id", "offset").distinct(), "id"))
+    return documents.document_map(t(spark, d, "fixtures"))
 
 
 @query
@@ -484,7 +485,7 @@ def review_entities(spark: SparkSession, d: str) -> DataFrame:
 @query
 def review_disagreements(spark: SparkSession, d: str) -> DataFrame:
     run = Run(spark, d)
-    return review.disagreements(*_reviewed(run), run.records.select("id", "text").distinct())
+    return review.disagreements(*_reviewed(run), run.texts)
 
 
 @query
@@ -518,7 +519,7 @@ def residual_rate(spark: SparkSession, d: str) -> DataFrame:
 def residual_segments(spark: SparkSession, d: str) -> DataFrame:
     """Per detector: segments left after masking, trivial ones and those that still hold a gold span."""
     run = Run(spark, d)
-    texts = run.records.select("id", "text").distinct()
+    texts = run.texts
     rows = segments.segments(run.answered.select("id", "detector", F.col("p").alias("spans")).join(texts, "id"))
     marked = segments.residual_segments(rows, run.gold, run.pred)
     return marked.groupBy("detector").agg(
