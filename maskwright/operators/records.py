@@ -38,6 +38,13 @@ def latest_predictions(predictions: DataFrame) -> DataFrame:
         .select("id", "detector", "p.spans", "p.error"))
 
 
+def without_repeats(rows: DataFrame, *keep: str) -> DataFrame:
+    """The ``keep`` columns of a table without exact repeats of whole rows. Rows are hashed before the shuffle (128 bits); other columns are not moved."""
+    every = [F.col(c) for c in rows.columns]
+    h = [F.xxhash64(*every).alias("_h1"), F.xxhash64(F.lit("second"), *every).alias("_h2")]
+    return rows.select(*keep, *h).distinct().drop("_h1", "_h2")
+
+
 def gold_long(records: DataFrame, level: str = "coarse") -> DataFrame:
     """``id, start, end, label`` of gold spans inside the text and inside the taxonomy; repeats count once."""
     flat = distinct_records(records).select("id", "n_chars", F.explode("gold_spans").alias("g")).where(S.within(F.col("g.start"), F.col("g.end"), F.col("n_chars")))

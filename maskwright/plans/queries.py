@@ -75,7 +75,7 @@ def raw_label_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def latency_summary(spark: SparkSession, d: str) -> DataFrame:
-    return records.latency_summary(t(spark, d, "predictions").distinct())
+    return records.latency_summary(records.without_repeats(t(spark, d, "predictions"), "detector", "latency_ms", "error"))
 
 
 @query
@@ -86,7 +86,7 @@ def latency_by_window(spark: SparkSession, d: str) -> DataFrame:
 @query
 def run_rows(spark: SparkSession, d: str) -> DataFrame:
     """Manifests joined to their result rows: what each run really holds."""
-    calls = t(spark, d, "predictions").distinct().groupBy("run_id", "detector").agg(F.count(F.lit(1)).alias("n_rows"))
+    calls = records.without_repeats(t(spark, d, "predictions"), "run_id", "detector").groupBy("run_id", "detector").agg(F.count(F.lit(1)).alias("n_rows"))
     listed = t(spark, d, "runs").select("run_id", "dataset", "n_examples", F.explode("detectors").alias("detector"))
     return listed.join(calls, ["run_id", "detector"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
