@@ -10,6 +10,7 @@ unit's first word (often names) count a quarter.
 
 Defined results: null, empty and blank texts and texts without any word have language null,
 confidence 0.0 and no stretches. A missing label (null, empty, ``und``) never equals a language.
+Without any labelled row no document has a language.
 The model is fitted at run time on at most ``train_docs`` labelled rows of at most ``max_train_chars``
 code points each (documented bound); everything else runs over all rows and whole texts.
 """
@@ -310,6 +311,8 @@ def language_stretches(docs: DataFrame, model: LanguageModel, key_col: str = "do
             for rows, part in _sub_batches(texts):
                 tokens = tokenize(part)
                 votes = unit_votes(tokens, crf.posteriors(tokens))
+                if not crf.lexicon:
+                    votes[:] = 0  # fitted on nothing: no language
                 total = votes.sum(axis=1)
                 best = votes.argmax(axis=1)
                 strength = votes.max(axis=1)

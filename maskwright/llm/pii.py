@@ -9,7 +9,7 @@ The text is read through a view in which width forms, spaces, invisible characte
 are plain; positions always refer to the stored text. An exact check follows the field: a marked stretch
 must have the form of its label, and its ends are moved to the ends of that form.
 
-Defined results: null and empty texts have no mentions and are returned unchanged; mentions never overlap; texts are
+Defined results: null and empty texts have no mentions and are returned unchanged; an empty labelled table gives a field that marks nothing; mentions never overlap; texts are
 processed whole. Labels: EMAIL, PHONE, GOV_ID, STREET_ADDRESS, PERSON.
 """
 
@@ -301,7 +301,11 @@ def fit(views: list[str], marks: list[list[tuple[int, int, str]]], iterations: i
     e = encode(views)
     y = np.asarray([t for s, m in zip(e.spans, marks) for t in tag_tokens(s, m)], np.int64)
     if not len(y):
-        return PiiModel(np.zeros((N_FEATURES, N_TAGS), np.float32), _legal(), np.zeros(N_TAGS, np.float32))
+        # nothing to learn from: a field that marks nothing
+        trans, start = _legal(), np.zeros(N_TAGS, np.float32)
+        trans[:, 0] += 10
+        start[0] = 10
+        return PiiModel(np.zeros((N_FEATURES, N_TAGS), np.float32), trans, start)
     trainer = _Trainer(e)
     everyone = np.ones(len(views), bool)
     fold = np.arange(len(views)) % folds

@@ -88,6 +88,13 @@ def test_languages_of_odd_rows(spark):
     assert {r["doc_id"] for r in languages.language_cases(languages.language_stretches(df, model)).collect()} == {5}
 
 
+def test_models_fitted_on_nothing(spark):
+    df = spark.createDataFrame([(1, "Ann Lee, 12 Elm St, a@b.org, (415) 555-0170", "en")], "doc_id bigint, text string, lang string")
+    assert pii.find_mentions(df, pii.fit([], []), "doc_id").count() == 0
+    row = languages.language_stretches(df, languages.fit([], [])).first()
+    assert (row["doc_lang"], row["doc_confidence"], row["start_pos"]) == (None, 0.0, None)
+
+
 def test_labels():
     assert languages.word_features("haus").max() < languages.N_FEATURES
 
