@@ -349,3 +349,33 @@ st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl), df AS (SELECT term,
 s AS (SELECT query_id, tf.doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
     FROM tf JOIN qt ON tf.term = qt.term JOIN df ON df.term = tf.term JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY 1, 2)
 SELECT query_id, doc_id, round(score, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s) WHERE place <= 10"""
+_WORDS = "(SELECT unnest(['passport', 'invoice', 'tenant']) AS text)"
+ORACLES["retrieval_quality"] = f"""WITH q AS (SELECT text AS query_id, text FROM {_WORDS}), d AS (SELECT request_id AS doc_id, text FROM requests WHERE text IS NOT NULL),
+w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{_TOK}', 0))) AS term FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), dl AS (SELECT doc_id, count(*) AS dl FROM w GROUP BY 1),
+st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, tf.doc_id, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)), 6) AS score
+    FROM tf JOIN q ON tf.term = q.text JOIN df ON df.term = tf.term JOIN dl ON dl.doc_id = tf.doc_id, st),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s) WHERE place <= 10),
+rel AS (SELECT q.query_id, count(DISTINCT w.doc_id) AS n FROM q JOIN w ON w.term = q.text GROUP BY 1),
+got AS (SELECT query_id, count(*) AS g FROM k GROUP BY 1)
+SELECT rel.query_id, round(CASE WHEN g > 0 THEN 1.0 ELSE 0.0 END, 6) AS precision, round(coalesce(g, 0)::DOUBLE / n, 6) AS recall FROM rel LEFT JOIN got ON rel.query_id = got.query_id"""
+
+
+def _count(rule: str, detector: str, luhn: bool = False) -> str:
+    label, _, pattern = RULES[rule]
+    p = pattern.replace("'", "''")
+    hits = f"SELECT unnest(regexp_extract_all(text, '{p}', 0)) AS v FROM requests"
+    if rule == "digits":
+        hits = f"SELECT v FROM ({hits}) WHERE length(v) = 16"
+        if luhn:
+            digit = "(substr(v, i::INTEGER, 1)::INTEGER * (1 + i % 2))"
+            hits = f"SELECT v FROM ({hits}) WHERE list_sum(list_transform(range(1, 17), lambda i: CASE WHEN {digit} > 9 THEN {digit} - 9 ELSE {digit} END)) % 10 = 0"
+    return f"SELECT '{detector}' AS detector, '{label}' AS label, count(*) AS n FROM ({hits})"
+
+
+ORACLES["detect_compare"] = "SELECT detector, label, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(
+    [_count(r, "regex_strict", True) for r in ("email", "ip", "phone", "digits", "token")]
+    + [_count(r, "regex_loose") for r in ("email", "phone", "money", "date", "url", "digits")]) + ") WHERE n > 0 GROUP BY 1, 2"
+ORACLES["render_modes"] = "SELECT a.request_id, q.text AS plain, " + ", ".join(f"{c}.replaced_text AS {m}" for c, m in zip("abcd", _REPS)) + " FROM requests q " + " ".join(
+    f"JOIN ({ORACLES[f'replace_{m}']}) {c} ON q.request_id = {c}.request_id" for c, m in zip("abcd", _REPS))
