@@ -135,9 +135,17 @@ def consistent_texts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def with_consistent_text(df: DataFrame, text_col: str = "text", out: str = "form") -> DataFrame:
-    """Adds the consistent form of ``text_col``; every row and column of ``df`` is kept."""
+    """Adds the consistent form of ``text_col``; every row and column of ``df`` is kept.
+
+    Plain rows meet no form; they are spread by a hash of the whole row, so a plain text that a third of the rows share fills no
+    single partition. A shared text that is not plain is a hot key of an outer join, which adaptive execution splits.
+    """
     forms = consistent_texts(df, text_col).withColumnRenamed("form", "_form")
-    keyed = df.withColumns({"_h1": F.xxhash64(F.col(text_col)), "_h2": F.xxhash64(F.lit("second"), F.col(text_col))})
+    plain = F.coalesce(F.col(text_col).rlike(_ASCII), F.lit(True))
+    hashable = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = df.withColumns({
+        "_h1": F.when(plain, F.xxhash64(*hashable)).otherwise(F.xxhash64(F.col(text_col))),
+        "_h2": F.when(plain, F.lit(0).cast("bigint")).otherwise(F.xxhash64(F.lit("second"), F.col(text_col)))})
     return keyed.join(forms, ["_h1", "_h2"], "left").withColumn(out, F.coalesce("_form", F.col(text_col))).drop("_h1", "_h2", "_form")
 
 
