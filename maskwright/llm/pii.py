@@ -50,6 +50,8 @@ TITLES = frozenset("""
 mr mrs ms miss dr prof sir madam hr herr frau m mme mlle monsieur madame sr sra srta don doña dña sig sig.ra signor
 signora dott dott.ssa exmo exma senhor senhora dhr mevr mw mevrouw meneer г-н г-жа господин госпожа
 """.split())
+# Small words inside names.
+PARTICLES = frozenset("van der den de ter ten von zu zur da do dos das del della di la le d e y".split())
 
 
 @functools.cache
@@ -295,7 +297,7 @@ class _Trainer:
         return model
 
 
-def fit(views: list[str], marks: list[list[tuple[int, int, str]]], iterations: int = 40, folds: int = 3, missed: float = 2.5) -> PiiModel:
+def fit(views: list[str], marks: list[list[tuple[int, int, str]]], iterations: int = 28, folds: int = 2, missed: float = 2.5) -> PiiModel:
     """Fits the field on a noisy table. Each fold is first relabelled by a field fitted on the other folds, which cannot
     have learnt the fold's own errors by heart; ``missed`` is the log-odds credit for mentions that the table lacks."""
     e = encode(views)
@@ -334,8 +336,12 @@ def plausible(label: str, text: str) -> bool:
         return digits >= 1 and letters >= 2 and "@" not in text
     if digits or letters < 2 or "@" in text:
         return False
-    # given and family name: two words, unless the script has no spaces
-    return len(re.findall(r"[^\W\d_]+", text)) > 1 or ord(text[0]) >= 0x3040
+    if ord(text[0]) >= 0x3040:
+        return True
+    # given and family name: two words, each with a capital but for particles; or a name written all in lower case
+    words = re.findall(r"[^\W\d_]+", text)
+    small = [w for w in words if w.islower() and w not in PARTICLES]
+    return len(words) > 1 and (not small or text.islower())
 
 
 def _spans_of(tags: np.ndarray, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
@@ -383,7 +389,7 @@ def _settle(v: str, a: int, b: int, label: str, mails: list[tuple[int, int]]) ->
         while b > a and (v[b - 1].isspace() or v[b - 1] in ",;:(。，、"):
             b -= 1
     else:
-        while a < b and not v[a].isalpha():
+        while a < b and (not v[a].isalpha() or v[a] in "是叫"):  # "is", "is called"
             a += 1
         while True:
             m = re.match(r"([^\W\d_]+(?:[.\-][^\W\d_]+)*)\.?\s+", v[a:b])
@@ -396,6 +402,8 @@ def _settle(v: str, a: int, b: int, label: str, mails: list[tuple[int, int]]) ->
             b -= 2
         while b > a and not v[b - 1].isalpha():
             b -= 1
+        if v[a:b].islower() and v.lstrip()[:1].isupper():
+            return None  # small letters make a name only in a text that is written so
     return (a, b) if b > a and plausible(label, v[a:b]) else None
 
 
