@@ -9,7 +9,8 @@ incoherent (word salad) or where the same collocation keeps coming back within a
 characters of all its words.
 
 Links, e-mail addresses, numbers and hash tags count as one word each by class; scripts without spaces are
-cut, within a stretch without spaces, into pieces of two (Han), three (Kana) or six (Thai) letters. Collocations seen fewer than ``rare`` times say nothing and count as neutral.
+cut, within a stretch without spaces, into pieces of two (Han), three (Kana) or six (Thai) letters; a stretch of more than 200 letters without
+white space or punctuation is one opaque word, since lists separate their words. Collocations seen fewer than ``rare`` times say nothing and count as neutral.
 
 Defined results: null, empty and blank texts and texts with fewer than ``min_words`` words are not
 flagged and have score null.
@@ -37,7 +38,8 @@ _TOKEN = re.compile(
 )
 _SPLIT = re.compile(r"[()\[\]<>|\u3001\u3002\uff0c]+")
 _HOST = re.compile(r"(?:https?://|www\.)|[a-zA-Z0-9.-]*\.[a-zA-Z0-9-]+/")
-_LINK, _MAIL, _NUMBER, _TAG = 1, 2, 3, 4
+_LINK, _MAIL, _NUMBER, _TAG, _OPAQUE = 1, 2, 3, 4, 5
+_ENDLESS = 200
 _MARGIN = 4  # neighbours on either side of a smoothing window
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CACHE = 500_000
@@ -64,6 +66,9 @@ def _analyse(stretch: str) -> tuple[list[int], list[int]]:
         elif "/" in part and _HOST.match(part) or part.startswith("www."):
             codes.append(_LINK)
             lengths.append(len(part))
+        elif len(part) > _ENDLESS:
+            codes.append(_OPAQUE)
+            lengths.append(len(part))
         else:
             for t in _TOKEN.findall(part):
                 c = _code(t)
