@@ -379,3 +379,31 @@ ORACLES["detect_compare"] = "SELECT detector, label, sum(n)::BIGINT AS n FROM ("
     + [_count(r, "regex_loose") for r in ("email", "phone", "money", "date", "url", "digits")]) + ") WHERE n > 0 GROUP BY 1, 2"
 ORACLES["render_modes"] = "SELECT a.request_id, q.text AS plain, " + ", ".join(f"{c}.replaced_text AS {m}" for c, m in zip("abcd", _REPS)) + " FROM requests q " + " ".join(
     f"JOIN ({ORACLES[f'replace_{m}']}) {c} ON q.request_id = {c}.request_id" for c, m in zip("abcd", _REPS))
+ORACLES["masked_contexts"] = """WITH RECURSIVE d AS (SELECT DISTINCT request_id, "start" AS s, "end" AS e, label FROM detected_spans),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s, e, label) AS rn FROM d) WHERE rn = 1),
+w AS (SELECT q.request_id, q.text, greatest(f.s - 30, 0) AS lo, least(f.e + 30, length(q.text)) AS hi FROM f JOIN requests q ON f.request_id = q.request_id
+    WHERE f.s >= 0 AND f.s < f.e AND f.e <= length(q.text)),
+c AS (SELECT w.request_id, greatest(d.s, lo) - lo AS s, least(d.e, hi) - lo AS e, '[' || label || ']' AS rep, row_number() OVER (PARTITION BY w.request_id ORDER BY d.s, d.e, label) AS rn
+    FROM w JOIN d ON w.request_id = d.request_id WHERE d.s >= 0 AND d.s < d.e AND d.e <= length(w.text) AND d.s < hi AND lo < d.e),
+walk(request_id, rn, cursor, out) AS (
+    SELECT request_id, 0::BIGINT, 0, '' FROM w
+    UNION ALL SELECT k.request_id, c.rn, CASE WHEN c.s >= k.cursor THEN c.e ELSE k.cursor END,
+        CASE WHEN c.s >= k.cursor THEN k.out || substr(substr(w.text, w.lo + 1, w.hi - w.lo), k.cursor + 1, c.s - k.cursor) || c.rep ELSE k.out END
+    FROM walk k JOIN c ON c.request_id = k.request_id AND c.rn = k.rn + 1 JOIN w ON w.request_id = k.request_id),
+z AS (SELECT walk.* FROM walk JOIN (SELECT request_id, max(rn) AS rn FROM walk GROUP BY 1) m ON walk.request_id = m.request_id AND walk.rn = m.rn),
+o AS (SELECT z.request_id, z.out || substr(substr(w.text, w.lo + 1, w.hi - w.lo), z.cursor + 1) AS masked FROM z JOIN w ON z.request_id = w.request_id)
+SELECT request_id, masked, NOT regexp_matches(regexp_replace(masked, '\\[[A-Z_]+\\]', '', 'g'), '[\\p{L}\\p{N}]') AS nothing_left FROM o"""
+ORACLES["greedy_prf"] = f"""WITH RECURSIVE {_BASE},
+g AS (SELECT id, list({{'label': label, 's': s, 'e': e}} ORDER BY label, s, e) AS g FROM gold GROUP BY 1),
+p AS (SELECT id, detector, label, s, e, row_number() OVER (PARTITION BY id, detector ORDER BY label, s, e) AS rn FROM pred),
+c AS (SELECT calls.id, calls.detector, coalesce(g.g, []) AS g FROM calls LEFT JOIN g ON calls.id = g.id),
+walk(id, detector, rn, used, tp) AS (
+    SELECT id, detector, 0::BIGINT, []::BIGINT[], []::VARCHAR[] FROM c
+    UNION ALL SELECT id, detector, rn, CASE WHEN b IS NULL THEN used ELSE list_append(used, b) END, CASE WHEN b IS NULL THEN tp ELSE list_append(tp, label) END FROM (
+        SELECT w.id, w.detector, p.rn, w.used, w.tp, p.label, (SELECT i FROM (SELECT unnest(range(1, len(c.g) + 1)) AS i) r
+            WHERE c.g[i]['label'] = p.label AND NOT list_contains(w.used, i) AND {_iou('p.s', 'p.e', "c.g[i]['s']", "c.g[i]['e']")} >= 0.5
+            ORDER BY {_iou('p.s', 'p.e', "c.g[i]['s']", "c.g[i]['e']")} DESC, i LIMIT 1) AS b
+        FROM walk w JOIN p ON p.id = w.id AND p.detector = w.detector AND p.rn = w.rn + 1 JOIN c ON c.id = w.id AND c.detector = w.detector)),
+z AS (SELECT walk.* FROM walk JOIN (SELECT id, detector, max(rn) AS rn FROM walk GROUP BY 1, 2) m ON walk.id = m.id AND walk.detector = m.detector AND walk.rn = m.rn),
+u AS (SELECT detector, unnest(tp) AS label, 'tp' AS k FROM z UNION ALL SELECT detector, label, 'p' FROM pred UNION ALL SELECT c.detector, unnest(c.g).label, 'g' FROM c)
+SELECT detector, label, count(*) FILTER (k = 'tp') AS tp, count(*) FILTER (k = 'p') AS n_pred, count(*) FILTER (k = 'g') AS n_gold FROM u GROUP BY 1, 2"""
