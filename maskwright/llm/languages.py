@@ -266,12 +266,12 @@ def label_language(label: Column) -> Column:
     return F.when(low.isNull() | (low == "") | low.startswith("und"), F.lit(None).cast("string")).otherwise(F.substring(low, 1, 2))
 
 
-def train_on(docs: DataFrame, train_docs: int = 2500, max_train_chars: int = 3000,
+def train_on(docs: DataFrame, train_docs: int = 2500, max_train_chars: int = 3000, total: int | None = None,
              text_col: str = "text", label_col: str = "lang", key_col: str = "doc_id") -> LanguageModel:
-    """Fits on at most ``train_docs`` labelled rows of at most ``max_train_chars`` code points, chosen by key hash."""
+    """Fits on at most ``train_docs`` labelled rows of at most ``max_train_chars`` code points, chosen by key hash; ``total`` is about the number of labelled rows."""
     rows = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), label_language(F.col(label_col)).alias("l")).where(
         F.col("l").isin(LANGUAGES) & (F.length("t") <= max_train_chars) & (F.length(F.trim("t")) > 0))
-    sample = lowest_hashes(rows, F.col("k"), train_docs).select("t", "l").toPandas()
+    sample = lowest_hashes(rows, F.col("k"), train_docs, total=total).select("t", "l").toPandas()
     return fit(sample["t"].tolist(), sample["l"].tolist())
 
 

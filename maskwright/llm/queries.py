@@ -23,15 +23,21 @@ def _prose(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").where(F.col("kind").isin(*PROSE) & F.col("text").rlike(r"\S"))
 
 
+def _language_model(spark: SparkSession, d: str) -> languages.LanguageModel:
+    # counted without reading texts
+    labelled = _table(spark, d, "documents").where(F.col("kind").isin(*PROSE) & languages.label_language(F.col("lang")).isin(languages.LANGUAGES)).count()
+    return languages.train_on(_prose(spark, d), total=labelled)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     docs = _prose(spark, d)
-    rows = languages.language_stretches(docs, languages.train_on(docs))
+    rows = languages.language_stretches(docs, _language_model(spark, d))
     return languages.language_cases(rows).select("doc_id", "start_pos", "lang")
 
 
 def p1_languages(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents")
-    rows = languages.language_stretches(docs, languages.train_on(_prose(spark, d)))
+    rows = languages.language_stretches(docs, _language_model(spark, d))
     return rows.select("doc_id", "label", "doc_lang", F.round("doc_confidence", 6).alias("doc_confidence"), "start_pos", "end_pos", "lang", F.round("confidence", 6).alias("confidence"))
 
 
