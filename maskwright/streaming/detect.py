@@ -16,7 +16,13 @@ def rewrite_stream(source: DataFrame, mode: str = "label", rules: list[str] | No
 
 def latency_windows(calls: DataFrame, window: str = "1 hour", late: str = "2 days") -> DataFrame:
     """Per detector and window: calls, errors, measured calls and their summed latency, with a watermark for late rows; repeated rows count once."""
-    once = calls.withWatermark("started_at", late).dropDuplicatesWithinWatermark(["id", "detector", "run_id", "started_at"]) if calls.isStreaming else calls.dropDuplicates(["id", "detector", "run_id", "started_at"])
+    key = ["id", "detector", "run_id", "started_at"]
+    if calls.isStreaming:
+        # event time must be a timestamp with a zone; the session's zone is used for tables without one
+        timed = calls.withColumn("started_at", F.col("started_at").cast("timestamp"))
+        once = timed.withWatermark("started_at", late).dropDuplicatesWithinWatermark(key)
+    else:
+        once = calls.dropDuplicates(key)
     ok = F.col("error").isNull() & F.col("latency_ms").isNotNull() & ~F.isnan("latency_ms")
     return once.groupBy(F.window("started_at", window).alias("w"), "detector").agg(
         F.count(F.lit(1)).alias("calls"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if(ok).alias("measured"), F.sum(F.when(ok, F.col("latency_ms"))).alias("sum_ms"),

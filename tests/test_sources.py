@@ -147,3 +147,14 @@ def test_streams(spark, data, tmp_path):
     q.stop()
     assert spark.table("rw").count() == rows.count()
     assert latency_windows(spark.read.parquet(f"{data}/predictions.parquet"), "1 day").count() > 0
+
+
+def test_latency_windows_on_a_stream(spark, data, tmp_path):
+    rows = spark.read.parquet(f"{data}/predictions.parquet").select("id", "detector", "run_id", "started_at", "error", "latency_ms")
+    rows.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = latency_windows(stream, "1 day").writeStream.format("memory").queryName("lat").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    batch = latency_windows(rows, "1 day")
+    assert spark.table("lat").selectExpr("sum(calls)").first()[0] == batch.selectExpr("sum(calls)").first()[0]
