@@ -22,16 +22,16 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``query_id, doc_id, score, place``: the k best documents per query.
 
-    Only the terms of the queries leave the scan of the documents (a semi join on the small term set); lengths and
-    document frequencies are aggregates. Top-k by a window per query over the matching documents.
+    Only the terms of the queries leave the scan of the documents (a semi join on the small term set), each with its document's
+    length, so no table of all documents is joined. Top-k is a row number limit, which Spark applies in each task before the shuffle.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    sizes = docs.select(F.col(key).alias("doc_id"), F.size(tokens(F.col(text))).alias("dl")).where("dl > 0")
-    stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hit = docs.select(F.col(key).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    post = hit.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
+    stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))  # one row
+    hit = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    post = hit.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     df_t = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = post.join(df_t, "term").join(q, "term").join(sizes, "doc_id").withColumn("one", F.lit(1)).join(F.broadcast(stats.withColumn("one", F.lit(1))), "one")
+    rows = post.join(df_t, "term").join(q, "term").withColumn("one", F.lit(1)).join(F.broadcast(stats.withColumn("one", F.lit(1))), "one")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
