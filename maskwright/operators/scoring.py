@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import spans as S
 from maskwright.functions import taxonomy as X
 from maskwright.operators.records import distinct_records
+from maskwright.session import cut_lineage
 
 SCHEMAS = ("strict", "exact", "partial", "ent_type")
 
@@ -67,8 +68,11 @@ def judged(p: Column, g: Column) -> Column:
 
 
 def outcomes(calls: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """One row per judged span: ``view, detector, id, tag, kind``."""
-    scoped = calls.join(scope if scope is not None else scopes(calls), "detector")
+    """One row per judged span: ``view, detector, id, tag, kind``. Without a given scope the calls are read twice, so they are written once."""
+    if scope is None:
+        calls = cut_lineage(calls)
+        scope = scopes(calls)
+    scoped = calls.join(scope, "detector")
     inside = lambda c: F.filter(c, lambda s: F.array_contains(F.col("labels"), s["label"]))
     own = scoped.select("view", "detector", "id", inside("p").alias("p"), inside("g").alias("g"))
     return own.select("view", "detector", "id", F.explode(judged(F.col("p"), F.col("g"))).alias("o")).select("view", "detector", "id", "o.tag", "o.kind")
