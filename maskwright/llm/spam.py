@@ -12,8 +12,10 @@ Links, e-mail addresses, numbers and hash tags count as one word each by class;
 cut, within a stretch without spaces, into pieces of two (Han), three (Kana) or six (Thai) letters; a stretch of more than 200 letters without
 white space or punctuation is one opaque word, since lists separate their words. Collocations seen fewer than ``rare`` times say nothing and count as neutral.
 
-Defined results: null, empty and blank texts and texts with fewer than ``min_words`` words are not
-flagged and have score null.
+In texts of fewer than ``min_words`` words a mean over a window says too little about incoherence, so only collocations that
+occur three times mark there, and every pair of neighbouring links or tags. Short pages of different keywords that do not repeat are therefore not found.
+
+Defined results: null, empty and blank texts and texts of a single word are not flagged and have score null.
 """
 
 from __future__ import annotations
@@ -170,6 +172,7 @@ def collocation_scores(counts: DataFrame, rare: int = 3) -> DataFrame:
     return often.join(left, "x").join(right, "y").select("pair", F.greatest(score - 2 * loose, F.lit(LOWEST)).alias("pmi2"))
 
 
+_LISTED = pair_codes_of(np.array([(a, b) for a in (_LINK, _TAG) for b in (_LINK, _TAG)], np.int64))
 _WINDOW = np.ones(2 * _MARGIN + 1) / (2 * _MARGIN + 1)
 
 
@@ -187,9 +190,17 @@ def repeats(pair: np.ndarray, reach: int = 40) -> np.ndarray:
     return out
 
 
-def marked_share(pmi2: np.ndarray, pair: np.ndarray, lengths: np.ndarray, salad: float, repetition: float) -> tuple[float, float]:
+def marks(pmi2: np.ndarray, pair: np.ndarray, salad: float, repetition: float, min_words: int) -> np.ndarray:
+    """Which pairs of neighbours are marked; fewer than ``min_words`` words are judged by repetition, links and tags alone."""
+    if len(pair) + 1 < min_words:
+        _, kind, n = np.unique(pair, return_inverse=True, return_counts=True)
+        return (_smooth((n[kind] >= 3).astype(float)) > repetition) | np.isin(pair, _LISTED)
+    return (_smooth(pmi2) < salad) | (_smooth(repeats(pair)) > repetition)
+
+
+def marked_share(pmi2: np.ndarray, pair: np.ndarray, lengths: np.ndarray, salad: float, repetition: float, min_words: int = 12) -> tuple[float, float]:
     """(share of the words' characters in marked stretches, mean squared information)."""
-    mark = (_smooth(pmi2) < salad) | (_smooth(repeats(pair)) > repetition)
+    mark = marks(pmi2, pair, salad, repetition, min_words)
     weight = (lengths[:-1] + lengths[1:]).astype(float)
     return float((weight * mark).sum() / weight.sum()), float(pmi2.mean())
 
@@ -225,7 +236,7 @@ def score_pages(
             texts = batch.column(1).to_pylist()
             for text in texts:
                 codes, lengths = words(text) if text else (np.zeros(0, np.int64),) * 2
-                if len(codes) < min_words:
+                if len(codes) < 2:
                     coherence.append(None)
                     marked.append(None)
                     continue
@@ -235,7 +246,7 @@ def score_pages(
                     at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
                     hit = keys[at] == pair
                     pmi2[hit] = values[at[hit]]
-                m, c = marked_share(pmi2, pair, lengths, salad, repetition)
+                m, c = marked_share(pmi2, pair, lengths, salad, repetition, min_words)
                 coherence.append(c)
                 marked.append(m)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coherence, pa.float64()), pa.array(marked, pa.float64())], names=["doc_id", "coherence", "marked"])
@@ -253,7 +264,7 @@ def _score_by_join(source: DataFrame, scores: DataFrame, fields: str, salad: flo
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes, lengths = words(text) if text else (np.zeros(0, np.int64),) * 2
                 n = len(codes)
-                if n < min_words:
+                if n < 2:
                     rows = [(key, None, [], [])]
                 else:
                     pair = pair_codes(codes)
@@ -278,7 +289,7 @@ def _score_by_join(source: DataFrame, scores: DataFrame, fields: str, salad: flo
         weight = np.concatenate([np.asarray(a) for a in pdf["weight"]])[order].astype(float)
         pmi2 = np.repeat(pdf["pmi2"].fillna(NEUTRAL).to_numpy(float), reps)[order]
         pair = np.repeat(pdf["pair"].to_numpy(np.int64), reps)[order]
-        mark = (_smooth(pmi2) < salad) | (_smooth(repeats(pair)) > repetition)
+        mark = marks(pmi2, pair, salad, repetition, min_words)
         return pd.DataFrame({"doc_id": pdf["doc_id"][:1], "coherence": [pmi2.mean()], "marked": [(weight * mark).sum() / weight.sum()]})
 
     rows = source.mapInArrow(pairs, f"doc_id {kind}, pair bigint, at array<int>, weight array<int>")

@@ -472,6 +472,20 @@ def test_stuffed_pages(spark):
     assert spam.stuffed_pages(df.limit(0)).count() == 0
 
 
+def test_short_pages(spark):
+    prose, *_ = _pages()
+    link = "* https://shop.test/{}-paper.html"
+    short = {
+        100: "\n".join(link.format(k) for k in range(6)), 101: "\n".join(link.format(k) for k in range(2)), 102: "#cheap #paper #masker",
+        103: "Our offers: " + " ".join(link.format(k) for k in range(5)), 104: " ".join(["cheap masks"] * 5),
+        110: "The clerk signed the red form at noon.", 111: link.format(1), 112: "Please write to https://shop.test/a about the lease.", 113: "\u2620 \ufffd <|x|> 123", 114: "one", 115: " ",
+        116: "I'LL we've 'tis. I'LL we've 'tis."}
+    df = spark.createDataFrame([*enumerate(prose), *short.items()], "doc_id bigint, text string")
+    for most_pairs in (2_000_000, 0):
+        assert {r["doc_id"] for r in spam.stuffed_pages(df, most_pairs=most_pairs).collect()} == {100, 101, 102, 103, 104}
+    assert {r["doc_id"] for r in spam.score_pages(df).where("marked is null").collect()} == {111, 114, 115}
+
+
 def test_collocation_counts_match_brute_force(spark):
     prose, *_ = _pages()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(prose)], "doc_id bigint, text string")
