@@ -404,6 +404,17 @@ def masked_contexts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("request_id", "masked", S.nothing_left(F.col("masked")).alias("nothing_left"))
 
 
+@query
+def masked_contexts_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same around every span within the bounds of its request: one row per request, start, end and label."""
+    requests, spans = _requests(spark, d)
+    j = requests.select("request_id", "text").join(spans, "request_id").withColumn("spans", transforms.clean_spans(F.col("spans"), F.col("text")))
+    j = j.withColumn("f", F.explode("spans"))
+    lo, hi = F.greatest(F.col("f.start") - 30, F.lit(0)), F.least(F.col("f.end") + 30, F.length("text"))
+    out = transforms.mask(j, "spans", lo, hi)
+    return out.select("request_id", "f.start", "f.end", "f.label", "masked", S.nothing_left(F.col("masked")).alias("nothing_left"))
+
+
 # documents ----------------------------------------------------------------------------------------------------------
 
 
