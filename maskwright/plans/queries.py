@@ -371,7 +371,16 @@ def service_replace(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def service_spans(spark: SparkSession, d: str) -> DataFrame:
-    rows = transforms.replace(*_requests(spark, d)).where("coalesce(mode, 'label') in ('label', 'redact', 'label_number')")
+    return _replaced_spans(transforms.replace(*_requests(spark, d)).where("coalesce(mode, 'label') in ('label', 'redact', 'label_number')"))
+
+
+@query
+def service_spans_all(spark: SparkSession, d: str) -> DataFrame:
+    """The spans of the requests of every mode; an unknown mode counts as label."""
+    return _replaced_spans(transforms.replace(*_requests(spark, d)))
+
+
+def _replaced_spans(rows: DataFrame) -> DataFrame:
     return rows.select("request_id", F.explode("detected_spans").alias("s")).select("request_id", "s.label", "s.start", "s.end", "s.text", "s.replacement", "s.replaced")
 
 

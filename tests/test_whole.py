@@ -45,3 +45,18 @@ def test_masked_contexts_of_every_span(spark, data, tmp_path):
                 want[k, s, e, label] = out, not any(c.isalnum() for c in re.sub(r"\[[A-Z_]+\]", "", out))
     rows = QUERIES["masked_contexts_all"](spark, data).collect()
     assert {tuple(r)[:4]: tuple(r)[4:] for r in rows} == want and len(rows) == len(want) > len(spans)
+
+
+def test_service_spans_of_every_mode(spark, tmp_path):
+    modes = ["label", "redact", "label_number", "label_token", "other", None]
+    d = write(
+        spark, tmp_path, requests=([(k, "Kim met Lee", None, m) for k, m in enumerate(modes)], REQUESTS),
+        detected_spans=([(k, "PERSON", s, e) for k in range(len(modes)) for s, e in ((0, 3), (8, 11), (9, 11))], SPANS))
+    got = {(r["request_id"], r["start"]): r for r in QUERIES["service_spans_all"](spark, d).collect()}
+    assert len(got) == 3 * len(modes) and {k: r["replaced"] for k, r in got.items()} == {k: k[1] != 9 for k in got}
+    texts = QUERIES["service_replace"](spark, d).collect()
+    for r in texts:
+        k = r["request_id"]
+        assert r["replaced_text"] == f"{got[k, 0]['replacement']} met {got[k, 8]['replacement']}"
+    assert [got[k, 8]["replacement"] for k in (0, 1, 2, 4, 5)] == ["[PERSON]", "********", "[PERSON_2]", "[PERSON]", "[PERSON]"]
+    assert re.fullmatch(r"\[PERSON_[0-9A-Za-z]{7}\]", got[3, 0]["replacement"]) and got[3, 0]["replacement"] != got[3, 8]["replacement"]
