@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import spans as S
 from maskwright.functions import taxonomy as X
 from maskwright.operators import detect, documents, locate, records, review, scoring, search, segments, transforms, voting
+from maskwright.session import cut_lineage
 from maskwright.streaming.detect import latency_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -561,6 +562,14 @@ def search_bm25(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(t(spark, d, "documents").select("doc_id", "text"), q, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "place")
 
 
+@query
+def search_bm25_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of all documents whose id is divisible by 20 as queries over all documents."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    q = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.bm25_many(docs, q, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "place")
+
+
 @query
 def search_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Frequency of search words in the rewritten requests."""
@@ -578,3 +587,23 @@ def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
     relevant = rel.groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
     queries = q.join(relevant, "query_id").select("query_id", "text", "relevant")
     return _few(search.retrieval_quality(search.bm25(req, q, 10), queries))
+
+
+@query
+def retrieval_quality_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision and recall per rewriting mode: the requests whose id is divisible by 20 as queries over all requests,
+    both rewritten in that mode. The tables judge no relevance, so relevant are the ten hits of the plain texts."""
+    requests, spans = _requests(spark, d)
+    rows = transforms.render_modes(requests.join(spans, "request_id", "left"), "spans")
+
+    def hits(mode: str) -> DataFrame:
+        docs = rows.select(F.col("request_id").alias("doc_id"), F.col(mode).alias("text"))
+        return search.bm25_many(docs, docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), 10)
+
+    plain = cut_lineage(hits("plain").select("query_id", "doc_id"))
+    relevant = plain.groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
+    per = [search.retrieval_quality(plain if m == "plain" else hits(m), relevant).withColumn("mode", F.lit(m)) for m in ("plain", *transforms.MODES)]
+    quality = per[0]
+    for more in per[1:]:
+        quality = quality.unionByName(more)
+    return _few(quality.groupBy("mode").agg(F.count(F.lit(1)).alias("queries"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall")))

@@ -3,8 +3,10 @@
 import re
 
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
+from maskwright.operators import search
 from maskwright.plans.queries import QUERIES
 
 REQUESTS = "request_id bigint, text string, categories array<string>, mode string"
@@ -60,3 +62,22 @@ def test_service_spans_of_every_mode(spark, tmp_path):
         assert r["replaced_text"] == f"{got[k, 0]['replacement']} met {got[k, 8]['replacement']}"
     assert [got[k, 8]["replacement"] for k in (0, 1, 2, 4, 5)] == ["[PERSON]", "********", "[PERSON_2]", "[PERSON]", "[PERSON]"]
     assert re.fullmatch(r"\[PERSON_[0-9A-Za-z]{7}\]", got[3, 0]["replacement"]) and got[3, 0]["replacement"] != got[3, 8]["replacement"]
+
+
+def test_rows_divisible_by_20_as_queries(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    queries = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    want = {(r["query_id"], r["place"]): (r["doc_id"], r["score"]) for r in search.bm25(docs, queries, 10).collect()}
+    for small in ({"block": 200}, {"cells": 1}):
+        got = {(r["query_id"], r["place"]): (r["doc_id"], r["score"]) for r in search.bm25_many(docs, queries, 10, **small).collect()}
+        assert got.keys() == want.keys() and len({k[0] for k in got}) > 3
+        assert all(got[k] == (d, pytest.approx(s, abs=2e-6)) for k, (d, s) in want.items())
+    asked = {r["query_id"] for r in QUERIES["search_bm25_rows"](spark, data).collect()}
+    assert asked == {r["query_id"] for r in queries.where(F.size(search.tokens(F.col("text"))) > 0).collect()}
+
+
+def test_retrieval_quality_of_every_mode(spark, data):
+    rows = {r["mode"]: r for r in QUERIES["retrieval_quality_modes"](spark, data).collect()}
+    assert set(rows) == {"plain", "redact", "label", "label_number", "label_token"}
+    assert rows["plain"]["precision"] == rows["plain"]["recall"] == 1 and len({r["queries"] for r in rows.values()}) == 1
+    assert all(0 < r["recall"] <= 1 for r in rows.values())
