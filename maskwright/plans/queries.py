@@ -392,8 +392,18 @@ def token_collisions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def detect_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Rule spans with offsets, long form."""
-    found = detect.detect_rules(t(spark, d, "requests").where("text is not null"), ["email", "ip", "money"])
+    """Spans of three rules with offsets, long form."""
+    return _rule_spans(spark, d, ["email", "ip", "money"])
+
+
+@query
+def detect_rules_all(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of all rules with offsets, long form."""
+    return _rule_spans(spark, d, None)
+
+
+def _rule_spans(spark: SparkSession, d: str, rules: list[str] | None) -> DataFrame:
+    found = detect.detect_rules(t(spark, d, "requests").where("text is not null"), rules)
     return found.select("request_id", F.explode("spans").alias("s")).select("request_id", "s.label", "s.start", "s.end", "s.text")
 
 

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from maskwright.operators import search
+from maskwright.operators import detect, search
 from maskwright.plans.queries import QUERIES
 
 REQUESTS = "request_id bigint, text string, categories array<string>, mode string"
@@ -81,3 +81,23 @@ def test_retrieval_quality_of_every_mode(spark, data):
     assert set(rows) == {"plain", "redact", "label", "label_number", "label_token"}
     assert rows["plain"]["precision"] == rows["plain"]["recall"] == 1 and len({r["queries"] for r in rows.values()}) == 1
     assert all(0 < r["recall"] <= 1 for r in rows.values())
+
+
+def luhn(digits):
+    return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_spans_of_every_rule(spark, tmp_path):
+    texts = [
+        "Mail a.b@c.example or +41 44 123 4567, (555) 123-4567 by 2024-05-06.", "Card 4539578763621486, not 4539578763621487, see https://x.test/a?b=1 at 10.0.0.1",
+        'token = "0123456789abcdef01234567" costs $12.50 or 3,20 EUR \U0001f600 on 2020-01-02', "", None]
+    d = write(spark, tmp_path, requests=([(k, x, None, None) for k, x in enumerate(texts)], REQUESTS))
+    want = set()
+    for k, text in enumerate(texts):
+        for name, (label, _, pattern) in detect.RULES.items():
+            for m in re.finditer(pattern, text or ""):
+                if name != "digits" or len(m[0]) == 16 and luhn(m[0]):
+                    want.add((k, label, m.start(), m.end(), m[0]))
+    rows = [tuple(r) for r in QUERIES["detect_rules_all"](spark, d).collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert {r[1] for r in rows} == {label for label, _, _ in detect.RULES.values()}
