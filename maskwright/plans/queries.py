@@ -202,9 +202,19 @@ def headline(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def per_label_f1(spark: SparkSession, d: str) -> DataFrame:
-    """Type F1 of every label per detector, 0.0 where a label has none."""
+    """Type F1 of four labels per detector, 0.0 where a label has none."""
+    return _f1_by_label(spark, d, ["PERSON", "EMAIL", "PHONE", "ADDRESS"])
+
+
+@query
+def per_label_f1_all(spark: SparkSession, d: str) -> DataFrame:
+    """Type F1 of every coarse label per detector, 0.0 where a label has none."""
+    return _f1_by_label(spark, d, list(X.COARSE))
+
+
+def _f1_by_label(spark: SparkSession, d: str, labels: list[str]) -> DataFrame:
     rows = scoring.score(Run(spark, d).outcomes(), ["view", "detector", "tag"]).where("view = 'raw' and schema = 'ent_type'")
-    return rows.groupBy("detector").pivot("tag", ["PERSON", "EMAIL", "PHONE", "ADDRESS"]).agg(F.round(F.max("f1"), 6)).fillna(0.0)
+    return rows.groupBy("detector").pivot("tag", labels).agg(F.round(F.max("f1"), 6)).fillna(0.0)
 
 
 def _rounded(scores: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from maskwright.functions import taxonomy as X
 from maskwright.operators import detect, search
 from maskwright.plans.queries import QUERIES
 
@@ -101,3 +102,17 @@ def test_spans_of_every_rule(spark, tmp_path):
     rows = [tuple(r) for r in QUERIES["detect_rules_all"](spark, d).collect()]
     assert set(rows) == want and len(rows) == len(want)
     assert {r[1] for r in rows} == {label for label, _, _ in detect.RULES.values()}
+
+
+def test_f1_of_every_label(spark, data, tmp_path):
+    for name, column in (("fixtures", "gold_spans"), ("predictions", "spans")):
+        table = spark.read.parquet(f"{data}/{name}.parquet")
+        turned = F.transform(column, lambda s: s.withField("label", F.when(s["label"] == "ADDRESS", F.lit("USERNAME")).when(s["label"] == "USERNAME", F.lit("ADDRESS")).otherwise(s["label"])))
+        table.withColumn(column, turned).write.parquet(f"{tmp_path}/{name}.parquet")
+    before = {r["detector"]: r for r in QUERIES["per_label_f1"](spark, data).collect()}
+    found = QUERIES["per_label_f1_all"](spark, str(tmp_path))
+    assert set(found.columns) == {"detector", *X.COARSE}
+    rows = {r["detector"]: r for r in found.collect()}
+    assert rows.keys() == before.keys() and any(r["ADDRESS"] for r in before.values())
+    for k, r in rows.items():
+        assert r["ADDRESS"] == 0 and (r["PERSON"], r["USERNAME"]) == (before[k]["PERSON"], before[k]["ADDRESS"])
