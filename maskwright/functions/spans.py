@@ -5,6 +5,8 @@ All folds run inside the JVM on arrays that are sorted by a total order first, s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,18 +55,48 @@ def f1_of(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
-def keep_left_to_right(spans: Column, start: str = "start", end: str = "end") -> Column:
-    """Spans of an array sorted by (start, end) that do not start before the end of the last kept one.
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], out_type: str, block: int = 256) -> Column:
+    """Outputs of a left-to-right scan over an array: ``step(state, item)`` gives the next state and one output.
 
-    Two folds: the first carries the cursor and one flag per span, so the accumulator stays small.
+    Runs in blocks: an accumulator never holds more than one block's outputs or one entry per block, so that the work is nearly linear
+    in the length of the array. Null arrays give null.
     """
-    zero = F.struct(F.lit(-1).alias("cursor"), F.array().cast("array<boolean>").alias("keep"))
-    flags = F.aggregate(
-        spans, zero,
-        lambda acc, s: F.struct(
-            F.when(s[start] >= acc["cursor"], s[end]).otherwise(acc["cursor"]).alias("cursor"),
-            F.concat(acc["keep"], F.array(s[start] >= acc["cursor"])).alias("keep")))["keep"]
-    return F.filter(spans, lambda s, i: F.get(flags, i))
+
+    def let(value: Column, use: Callable[[Column], Column]) -> Column:
+        # a transform over one element names a value, so that it is computed once
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def cut(xs: Column) -> Column:
+        n_blocks = F.greatest(F.ceil(F.size(xs) / block).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), n_blocks), lambda k: F.slice(xs, (k - 1) * block + 1, F.lit(block)))
+
+    def inner(state: Column, part: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            after, out = step(acc["state"], x)
+            return F.struct(after.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+        return F.aggregate(part, F.struct(state.alias("state"), F.array().cast(f"array<{out_type}>").alias("out")), one)
+
+    def outer(acc: Column, part: Column) -> Column:
+        return let(inner(acc["state"], part), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(zero.alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("out"))
+    return F.flatten(F.aggregate(let(items, cut), start, outer)["out"])
+
+
+def running_starts(lengths: Column) -> Column:
+    """Sum of the entries before each entry."""
+    return scan(lengths, F.lit(0), lambda at, n: (at + n, at), "int")
+
+
+def keep_left_to_right(spans: Column, start: str = "start", end: str = "end") -> Column:
+    """Spans of an array sorted by (start, end) that do not start before the end of the last kept one."""
+    return F.transform(F.filter(F.arrays_zip(spans.alias("s"), free_of_earlier(spans, start, end).alias("keep")), lambda x: x["keep"]), lambda x: x["s"])
+
+
+def free_of_earlier(spans: Column, start: str = "start", end: str = "end") -> Column:
+    """For each span of an array sorted by (start, end): does it start at or after the end of the last one that did?"""
+    return scan(spans, F.lit(-1), lambda cursor, s: (F.when(s[start] >= cursor, s[end]).otherwise(cursor), s[start] >= cursor), "boolean")
 
 
 def splice(text: Column, parts: Column) -> Column:
@@ -133,15 +165,12 @@ def regex_spans(text: Column, pattern: str, label: str, raw: str) -> Column:
     """
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+    pairs = F.transform(hits, lambda h, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), h.alias("hit")))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        start = at + p["gap"]
         end = start + F.length(p["hit"])
-        span = F.struct(
-            F.lit(label).alias("label"), F.lit(label).alias("fine_label"), F.lit(raw).alias("raw_label"),
-            start.alias("start"), end.alias("end"), p["hit"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        return end, F.struct(
+            F.lit(label).alias("label"), F.lit(label).alias("fine_label"), F.lit(raw).alias("raw_label"), start.alias("start"), end.alias("end"), p["hit"].alias("text"))
 
-    pairs = F.transform(hits, lambda h, i: F.struct(F.get(gaps, i).alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+    return scan(pairs, F.lit(0), step, SPAN.simpleString())

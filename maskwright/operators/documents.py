@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,67 +19,87 @@ def normalise_newlines(text: Column) -> Column:
 
 
 def line_segments(df: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """``doc_id, line, start, end``: one row per non-blank line, lines counted from 1 with blank ones. Offsets by a running sum in the array fold."""
-    lines = F.split(F.col(text_col), "\n", -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    spans = F.aggregate(
-        lines, zero,
-        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end")))).alias("out")),
-        lambda acc: acc["out"])
-    flat = df.select(F.col(key_col).alias("doc_id"), F.posexplode(F.arrays_zip(spans.alias("s"), lines.alias("t"))).alias("i", "x"))
-    return flat.where(F.trim(F.col("x.t")) != "").select("doc_id", (F.col("i") + 1).alias("line"), F.col("x.s.start").alias("start"), F.col("x.s.end").alias("end"))
+    """``doc_id, line, start, end``: one row per non-blank line, lines counted from 1 with blank ones. Offsets are running sums of the lines' lengths."""
+    cut = df.select(F.col(key_col).alias("doc_id"), F.split(normalise_newlines(F.col(text_col)), "\n", -1).alias("lines"))
+    cut = cut.withColumn("at", S.running_starts(F.transform("lines", lambda x: F.length(x) + 1)))
+    flat = cut.select("doc_id", F.posexplode(F.arrays_zip("at", F.col("lines").alias("t"))).alias("i", "x"))
+    return flat.where(F.trim(F.col("x.t")) != "").select("doc_id", (F.col("i") + 1).alias("line"), F.col("x.at").alias("start"), (F.col("x.at") + F.length("x.t")).alias("end"))
 
 
 def chunk_ranges(text: str, segments: list[tuple[int, int]], max_chars: int) -> list[tuple[int, int]]:
-    """Contiguous ranges that cover the text, each at most ``max_chars`` long, cut after the last segment that fits, else softly, else hard."""
-    ends = sorted({e for _, e in segments})
-    out: list[tuple[int, int]] = []
-    at, n, k = 0, len(text), 0
-    while at < n:
+    """Contiguous ranges that cover the text, each at most ``max_chars`` long.
+
+    A range ends at the last segment boundary in reach; a segment that is too long itself is cut after its last line break, sentence end or space in
+    reach, else at the limit. White space is no range of its own while a neighbour has room: it leads the next segment, and if both do not fit
+    together, it trails the range before; at the end of the text it trails the last range.
+    """
+    if max_chars < 1:
+        raise ValueError("max_chars must be at least 1")
+    n = len(text)
+    stops = np.unique([x for s in segments for x in s if 0 < x < n] + [n])
+    cuts = [0]
+
+    def boundary(after: int, limit: int) -> int | None:
+        """The last segment boundary in (after, limit]."""
+        k = int(np.searchsorted(stops, limit, side="right"))
+        return int(stops[k - 1]) if k and stops[k - 1] > after else None
+
+    def stretch(to: int) -> None:
+        """Blanks up to ``to`` go to the range before if it has room, else they are a range."""
+        if len(cuts) > 1 and to - cuts[-2] <= max_chars:
+            cuts[-1] = to
+        else:
+            cuts.append(to)
+
+    while cuts[-1] < n:
+        at = cuts[-1]
         limit = at + max_chars
-        if limit >= n:
-            out.append((at, n))
-            break
-        while k < len(ends) and ends[k] <= at:
-            k += 1
-        j = k
-        while j < len(ends) and ends[j] <= limit:
-            j += 1
-        cut = ends[j - 1] if j > k else 0
-        if cut:
-            while cut < limit and text[cut].isspace():
-                cut += 1
+        seen = _VISIBLE.search(text, at)
+        body = seen.start() if seen else n
+        if body == n and n - at <= max_chars:
+            stretch(n)
+        elif body == n and len(cuts) > 1 and n - cuts[-2] <= max_chars:
+            cuts[-1] = n
+        elif limit >= n:
+            cuts.append(n)
         else:
-            window = text[at:limit]
-            for mark in ("\n", ". ", " "):
-                p = window.rfind(mark)
-                if p > 0:
-                    cut = at + p + len(mark)
-                    break
+            lead = body if body < limit else at
+            end = boundary(lead, limit)
+            if end is None and lead > at and boundary(lead, lead + max_chars) is not None:
+                stretch(lead)
             else:
-                cut = limit
-        out.append((at, cut))
-        at = cut
-    return out
+                cuts.append(end or _soft(text, lead, limit))
+    return list(zip(cuts, cuts[1:]))
+
 
+_VISIBLE = re.compile(r"\S")
 
-def chunks(df: DataFrame, max_chars: int = 2000, key_col: str = "doc_id", text_col: str = "text", segments_col: str | None = "segments") -> DataFrame:
+
+def _soft(text: str, after: int, limit: int) -> int:
+    """Just behind the last line break, else sentence end, else space in (after, limit]; else the limit."""
+    behind = (text.rfind(mark, after, limit) + len(mark) if mark in text[after:limit] else 0 for mark in ("\n", ". ", " "))
+    return next((p for p in behind if p > after), limit)
+
+
+def chunks(df: DataFrame, max_chars: int = 4000, key_col: str = "doc_id", text_col: str = "text", segments_col: str | None = "segments") -> DataFrame:
     """``doc_id, k, offset, text``: chunks of all documents. Greedy packing is sequential, so it runs over Arrow batches; no shuffle."""
     kind = df.schema[key_col].dataType.simpleString()
-    segs = F.coalesce(F.transform(segments_col, lambda s: s["end"]), F.array().cast("array<int>")) if segments_col else F.array().cast("array<int>")
+    bounds = "array<struct<start:int,end:int>>"
+    segs = F.transform(segments_col, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).cast(bounds) if segments_col else F.lit(None).cast(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text, ends in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for key, text, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if text:
-                    for k, (a, b) in enumerate(chunk_ranges(text, [(0, e) for e in ends if e is not None], max_chars)):
+                    good = [(s["start"], s["end"]) for s in own or [] if s is not None and s["start"] is not None and s["end"] is not None]
+                    for k, (a, b) in enumerate(chunk_ranges(text, good, max_chars)):
                         rows.append((key, k, a, text[a:b]))
             cols = list(zip(*rows)) if rows else [[]] * 4
             types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "k", "offset", "text"])
 
-    return df.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text"), segs.alias("ends")).mapInArrow(run, f"doc_id {kind}, k int, offset int, text string")
+    return df.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text"), segs.alias("segs")).mapInArrow(run, f"doc_id {kind}, k int, offset int, text string")
 
 
 def rebuild(pieces: DataFrame) -> DataFrame:
@@ -117,7 +139,3 @@ def document_map(fixtures: DataFrame) -> DataFrame:
     """``doc_id, n_chunks, length``: what is known of a document from its chunk records (repeated rows count once)."""
     once = fixtures.where("doc_id is not null").select("id", "doc_id", "offset", F.length("text").alias("n"), F.xxhash64("text", "language", "gold_spans").alias("h")).distinct()
     return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.col("offset") + F.col("n")).alias("length"))
-
-
-def masked_context(df: DataFrame, start: Column, end: Column, text_col: str = "text", width: int = 30) -> Column:
-    return S.context(F.col(text_col), start, end, width)

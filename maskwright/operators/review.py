@@ -5,7 +5,9 @@ Judges are plug-ins; the deterministic stubs here answer from a gold table, whic
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,28 +47,26 @@ def group_entities(spans: list[tuple[int, int, str]]) -> list[int]:
 
     Chains of overlapping ``correct`` spans are the entities. Any other span joins the one entity whose extent it overlaps most
     (the first of equals), so an over-long span never merges two; one that overlaps none founds an entity for those after it.
+    Extents are disjoint at any time, so those that a span meets are neighbours in a sorted list.
     """
-    order = sorted(range(len(spans)), key=lambda i: spans[i][:2])
-    extent: list[list[int]] = []
-    number = [-1] * len(spans)
-    for i in order:
-        a, b, verdict = spans[i]
-        if verdict == "correct":
-            if extent and a < extent[-1][1]:
-                extent[-1][1] = max(extent[-1][1], b)
-            else:
-                extent.append([a, b])
-            number[i] = len(extent) - 1
-    for i in order:
-        a, b, verdict = spans[i]
-        if verdict != "correct":
-            shared = [min(b, y) - max(a, x) for x, y in extent]
-            best = max(range(len(shared)), key=lambda k: (shared[k], -k), default=-1)
-            if best < 0 or shared[best] <= 0:
-                extent.append([a, b])
-                best = len(extent) - 1
-            number[i] = best
-    return number
+    sure = sorted((a, b, i) for i, (a, b, v) in enumerate(spans) if v == "correct")
+    tops = list(accumulate((b for _, b, _ in sure), max))
+    number = dict.fromkeys(range(len(spans)), -1)
+    extents: list[tuple[int, int, int]] = []  # start, end, entity
+    for k, (a, _, i) in enumerate(sure):
+        if k == 0 or a >= tops[k - 1]:
+            extents.append((a, tops[k], len(extents)))
+        number[i] = len(extents) - 1
+        extents[-1] = (extents[-1][0], tops[k], number[i])
+    for a, b, i in sorted((a, b, i) for i, (a, b, v) in enumerate(spans) if v != "correct"):
+        lo = bisect_right(extents, a, key=lambda x: x[1])
+        met = extents[lo : bisect_left(extents, b, key=lambda x: x[0])]
+        if met:
+            number[i] = min((max(a, x) - min(b, y), n) for x, y, n in met)[1]
+        else:
+            number[i] = len(extents)
+            extents.insert(lo, (a, b, number[i]))
+    return [number[i] for i in range(len(spans))]
 
 
 def entities(reviewed: DataFrame) -> DataFrame:

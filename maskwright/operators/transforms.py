@@ -25,12 +25,15 @@ def numbered(spans: Column, text: Column) -> Column:
     """Adds ``n``: the number of each distinct (label, text) among its label's, in order of first appearance."""
     with_text = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), S.slice_text(text, s["start"], s["end"]).alias("text")))
     kinds = F.array_distinct(F.transform(with_text, lambda s: F.struct(s["label"].alias("label"), s["text"].alias("text"))))
+    labels = F.array_distinct(F.transform(spans, lambda s: s["label"]))
+    # one list of texts per label, so that a span looks only through its own label's
+    texts = F.map_from_arrays(labels, F.transform(labels, lambda x: F.transform(F.filter(kinds, lambda k: k["label"] == x), lambda k: k["text"])))
 
-    def number(s: Column) -> Column:
-        same = F.filter(kinds, lambda k: k["label"] == s["label"])
-        return F.array_position(F.transform(same, lambda k: k["text"]), s["text"]).cast("int")
+    def add(seen: Column) -> Column:
+        return F.transform(with_text, lambda s: F.struct(
+            s["start"], s["end"], s["label"], s["text"], F.array_position(F.try_element_at(seen, s["label"]), s["text"]).cast("int").alias("n")))
 
-    return F.transform(with_text, lambda s: F.struct(s["start"], s["end"], s["label"], s["text"], number(s).alias("n")))
+    return F.get(F.transform(F.array(texts), add), F.lit(0))
 
 
 def replacement(mode: Column, label: Column, text: Column, n: Column, secret: str = "maskwright") -> Column:
@@ -53,11 +56,10 @@ def rewrite(df: DataFrame, spans_col: str, text_col: str = "text", mode: str | C
     df = df.withColumn("_p", F.transform("_n", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["text"].alias("text"),
         replacement(mode, s["label"], s["text"], s["n"], secret).alias("replacement"))))
-    df = df.withColumn("_k", S.keep_left_to_right(F.col("_p")))
-    spans = F.transform("_p", lambda s: F.struct(
-        s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["replacement"].alias("replacement"),
-        F.array_contains(F.col("_k"), s).alias("replaced")))
-    return df.withColumns({out: S.splice(text, F.col("_k")), "detected_spans": spans}).drop("_n", "_p", "_k")
+    df = df.withColumn("_k", F.arrays_zip(F.col("_p").alias("s"), S.free_of_earlier(F.col("_p")).alias("replaced")))
+    spans = F.transform("_k", lambda x: F.struct(
+        x["s"]["label"].alias("label"), x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["text"].alias("text"), x["s"]["replacement"].alias("replacement"), x["replaced"].alias("replaced")))
+    return df.withColumns({out: S.splice(text, F.col("_p")), "detected_spans": spans}).drop("_n", "_p", "_k")
 
 
 def category_filter(spans: Column, categories: Column) -> Column:

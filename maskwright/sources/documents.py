@@ -2,21 +2,27 @@
 
 Text, Markdown, HTML, CSV/TSV, e-mail, DOCX and XLSX are read here; PDF needs ``pypdf`` and is skipped with a reason without it.
 Each file gives exactly one row: a document, or a reason why it was skipped.
+
+Every parser is a generator of ``Piece``s (separator, text, place); ``lay_out`` joins them. Blank pieces vanish, separators never lead,
+segments are sorted, disjoint and not blank, and no carriage return is left.
 """
 
 from __future__ import annotations
 
+import codecs
 import csv
+import datetime
 import hashlib
 import importlib.util
 import io
 import os
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from email import message_from_bytes, policy
 from email.message import EmailMessage
 from html.parser import HTMLParser
+from typing import NamedTuple
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -25,130 +31,181 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DOCUMENT = "id string, source string, kind string, text string, segments array<struct<start:int,end:int,where:map<string,string>>>, warnings array<string>, reason string"
+_COLUMNS = ["id", "source", "kind", "text", "segments", "warnings", "reason"]
 MAX_DEPTH = 4
+Where = dict[str, str]
 
 
-class Builder:
-    """Collects pieces of text with their place; blank pieces vanish, separators never lead."""
-
-    def __init__(self) -> None:
-        self.parts: list[str] = []
-        self.length = 0
-        self.segments: list[tuple[int, int, dict[str, str]]] = []
+class Piece(NamedTuple):
+    """A stretch of text; without a place it belongs to no segment."""
 
-    def gap(self, separator: str) -> None:
-        if self.length:
-            self.parts.append(separator)
-            self.length += len(separator)
+    before: str
+    text: str
+    where: Where | None
 
-    def add(self, piece: str, where: dict[str, str], separator: str = "\n") -> None:
-        if not piece.strip():
-            return
-        self.gap(separator)
-        self.segments.append((self.length, self.length + len(piece), where))
-        self.parts.append(piece)
-        self.length += len(piece)
 
-    @property
-    def text(self) -> str:
-        return "".join(self.parts)
+class Parsed(NamedTuple):
+    text: str
+    segments: list[tuple[int, int, Where]]
+    warnings: list[str]
 
 
-Parsed = tuple[str, list[tuple[int, int, dict[str, str]]], list[str]]
+Parser = Callable[[bytes, list[str], int], Iterator[Piece]]
 
 
 def newlines(text: str) -> str:
-    return text.replace("\r\n", "\n").replace("\r", "\n")
+    return re.sub(r"\r\n?", "\n", text)
+
+
+def lay_out(pieces: Iterable[Piece]) -> tuple[str, list[tuple[int, int, Where]]]:
+    """Text and segments of the pieces that are not blank."""
+    out = io.StringIO()
+    at = 0
+    segments: list[tuple[int, int, Where]] = []
+    for before, text, where in pieces:
+        if where is not None and not text.strip():
+            continue
+        text = newlines(text)
+        lead = before if at else ""
+        out.write(lead + text)
+        at += len(lead)
+        if where is not None:
+            segments.append((at, at + len(text), where))
+        at += len(text)
+    return out.getvalue(), segments
+
+
+# bytes ----------------------------------------------------------------------------------------------------------------
+
+# the longer marks first: the UTF-32 mark begins like the UTF-16 one
+_MARKS = sorted(
+    ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be")),
+    key=lambda m: -len(m[0]))
+
+
+def _zero_sides(data: bytes) -> str | None:
+    """UTF-16 without a mark: nearly all zero bytes lie on one side of the pairs, and many pairs have one."""
+    sides = [data[k:4096:2] for k in (0, 1)]
+    if len(data) < 4:
+        return None
+    even, odd = (s.count(0) / max(len(s), 1) for s in sides)
+    return "utf-16-be" if even > 0.4 and odd < 0.05 else "utf-16-le" if odd > 0.4 and even < 0.05 else None
 
 
 def decode_bytes(data: bytes) -> tuple[str, list[str]]:
-    """Byte order mark, then UTF-16 without one (many zero bytes), UTF-8, Windows-1252, replacement characters."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+    """(text, warnings). A mark decides; else UTF-16 by its zero bytes, UTF-8, Windows-1252, and last UTF-8 with replacement characters."""
+    for mark, name in _MARKS:
         if data.startswith(mark):
             return data[len(mark) :].decode(name, "replace"), []
-    head = data[:2000]
-    if head and head.count(0) > len(head) // 4:
-        even, odd = head[::2].count(0), head[1::2].count(0)
-        return data.decode("utf-16-be" if even > odd else "utf-16-le", "replace"), ["decoded as UTF-16 without a mark"]
-    try:
-        return data.decode("utf-8"), []
-    except UnicodeDecodeError:
-        pass
-    try:
-        return data.decode("cp1252"), ["decoded as Windows-1252"]
-    except UnicodeDecodeError:
-        return data.decode("utf-8", "replace"), ["undecodable bytes were replaced"]
+    guess = _zero_sides(data)
+    if guess:
+        return data.decode(guess, "replace"), [f"decoded as {guess.upper()} without a mark"]
+    for name, warnings in (("utf-8", []), ("cp1252", ["not UTF-8; decoded as Windows-1252"])):
+        try:
+            return data.decode(name), warnings
+        except UnicodeDecodeError:
+            continue
+    text = data.decode("utf-8", "replace")
+    lost = text.count("�") - data.decode("utf-8", "ignore").count("�")
+    return text, [f"not UTF-8; {lost} undecodable stretches were replaced"]
 
 
-def parse_text(data: bytes) -> Parsed:
-    text, warnings = decode_bytes(data)
-    text = newlines(text)
-    segments = []
+# text and pages -------------------------------------------------------------------------------------------------------
+
+
+def _as_written(text: str, place: Callable[[int], Where], before: str = "\n") -> Iterator[Piece]:
+    """Lines as they are, counted from 1 with blank ones; blank lines belong to no segment."""
+    for number, line in enumerate(newlines(text).split("\n"), 1):
+        yield Piece(before if number == 1 else "\n", line, place(number) if line.strip() else None)
+
+
+def _keep_leading(pieces: Iterator[Piece]) -> tuple[str, list[tuple[int, int, Where]]]:
+    """As ``lay_out`` for a text as written, whose leading blank lines count."""
+    parts: list[str] = []
+    segments: list[tuple[int, int, Where]] = []
     at = 0
-    for number, line in enumerate(text.split("\n"), 1):
-        if line.strip():
-            lead = len(line) - len(line.lstrip())
-            segments.append((at + lead, at + len(line.rstrip()), {"line": str(number)}))
-        at += len(line) + 1
-    return text, segments, warnings
+    for k, (before, text, where) in enumerate(pieces):
+        lead = before if k else ""
+        at += len(lead)
+        if where is not None:
+            segments.append((at, at + len(text), where))
+        parts += [lead, text]
+        at += len(text)
+    return "".join(parts), segments
+
 
+def parse_text(data: bytes) -> Parsed:
+    """The text as written, one segment per non-blank line."""
+    text, warnings = decode_bytes(data)
+    return Parsed(*_keep_leading(_as_written(text, lambda n: {"line": str(n)})), warnings)
 
-class _Visible(HTMLParser):
-    """Visible text of a page: blocks to lines, cells to tabs, white space folded except in ``pre``."""
 
-    SKIP = frozenset("script style noscript template svg head".split())
-    BLOCK = frozenset("p div section article header footer main ul ol li h1 h2 h3 h4 h5 h6 table tr br hr pre blockquote title form dl dt dd figure body html".split())
+class _Events(HTMLParser):
+    """The page as a list of (kind, value): ``+`` tag opened, ``-`` tag closed, ``=`` text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[str] = []
-        self.cur = ""
-        self.skip = 0
-        self.pre = 0
-
-    def flush(self) -> None:
-        for line in self.cur.split("\n") if self.pre else [re.sub(r"[^\S\t]+", " ", self.cur)]:
-            if line.strip():
-                self.lines.append(line.rstrip() if self.pre else line.strip())
-        self.cur = ""
+        self.found: list[tuple[str, str]] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.SKIP:
-            self.skip += 1
-        elif tag in self.BLOCK:
-            self.flush()
-        elif tag in ("td", "th") and self.cur.strip():
-            self.cur += "\t"
-        if tag == "pre":
-            self.pre += 1
+        self.found.append(("+", tag))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.SKIP and self.skip:
-            self.skip -= 1
-        elif tag in self.BLOCK:
-            self.flush()
-        if tag == "pre" and self.pre:
-            self.pre -= 1
+        self.found.append(("-", tag))
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.cur += data
+        self.found.append(("=", data))
+
+
+# Elements without visible text; elements that may stand in a page's head; elements that break a line.
+HIDDEN = frozenset("script style head title template noscript".split())
+IN_HEAD = frozenset("html head meta title link style script base noscript template".split())
+BLOCKS = frozenset(
+    "p div br li tr h1 h2 h3 h4 h5 h6 section article table ul ol pre blockquote header footer dl dt dd hr nav aside main figure figcaption address form fieldset "
+    "details summary caption body html option legend".split())
 
 
 def html_lines(markup: str) -> list[str]:
-    parser = _Visible()
+    """Visible text of a page, a line per block; cells are separated by tabs, white space is folded, ``pre`` keeps its line breaks.
+
+    Hidden elements nest: a closing tag also ends what was left open inside it. ``body``, or any tag that cannot stand in a head, ends an open head.
+    """
+    parser = _Events()
     parser.feed(markup)
     parser.close()
-    parser.flush()
-    return parser.lines
+    open_hidden: list[str] = []
+    pre = 0
+    out: list[str] = []
+    for kind, value in parser.found:
+        if kind == "=":
+            if not open_hidden:
+                out.append(newlines(value).replace("\t", " ") if pre else re.sub(r"\s+", " ", value))
+            continue
+        if kind == "+" and (value == "body" or open_hidden[-1:] == ["head"] and value not in IN_HEAD):
+            open_hidden = [x for x in open_hidden if x != "head"]
+        if value in HIDDEN:
+            if kind == "+":
+                open_hidden.append(value)
+            elif value in open_hidden:
+                del open_hidden[len(open_hidden) - 1 - open_hidden[::-1].index(value) :]
+        elif not open_hidden:
+            if value in BLOCKS:
+                out.append("\n")
+                pre = max(0, pre + (value == "pre") * (1 if kind == "+" else -1))
+            elif kind == "+" and value in ("td", "th"):
+                out.append("\t")
+    lines = (re.sub(r" *\t[ \t]*", "\t", re.sub(" +", " ", x)).strip(" \t") for x in "".join(out).split("\n"))
+    return [x for x in lines if x]
 
 
-def parse_html(data: bytes) -> Parsed:
-    text, warnings = decode_bytes(data)
-    b = Builder()
-    for i, line in enumerate(html_lines(newlines(text)), 1):
-        b.add(line, {"line": str(i)})
-    return b.text, b.segments, warnings
+def _html(data: bytes, warnings: list[str], depth: int = 0) -> Iterator[Piece]:
+    text, extra = decode_bytes(data)
+    warnings += extra
+    for i, line in enumerate(html_lines(text), 1):
+        yield Piece("\n", line, {"line": str(i)})
+
+
+# tables ---------------------------------------------------------------------------------------------------------------
 
 
 def column_letters(i: int) -> str:
@@ -161,62 +218,34 @@ def column_letters(i: int) -> str:
     return out
 
 
-def parse_csv(data: bytes) -> Parsed:
+def _rows(data: bytes, warnings: list[str], tabs: bool) -> Iterator[Piece]:
     """Non-empty cells, tab-joined per row; their place is row and column header (or letters where the header is blank)."""
-    text, warnings = decode_bytes(data)
-    text = newlines(text)
+    text, extra = decode_bytes(data)
+    warnings += extra
     try:
-        dialect: type[csv.Dialect] | csv.Dialect = csv.Sniffer().sniff(text[:20_000], delimiters=",;\t|")
+        dialect = csv.excel_tab if tabs else csv.Sniffer().sniff(text[: 1 << 16], delimiters=",;\t|")
     except csv.Error:
         dialect = csv.excel
-    b = Builder()
     header: list[str] = []
-    for number, row in enumerate(csv.reader(io.StringIO(text), dialect), 1):
-        if number == 1:
-            header = row
-        first = True
-        for i, cell in enumerate(row):
-            name = header[i].strip() if i < len(header) and header[i].strip() else column_letters(i)
-            if cell.strip():
-                b.add(newlines(cell).strip(), {"row": str(number), "column": name}, "\n" if first else "\t")
-                first = False
-    return b.text, b.segments, warnings
+    for number, row in enumerate(csv.reader(io.StringIO(text, newline=""), dialect), 1):
+        header = header if number > 1 else [c.strip() for c in row]
+        full = [(i, cell) for i, cell in enumerate(row) if cell.strip()]
+        for k, (i, cell) in enumerate(full):
+            yield Piece("\t" if k else "\n", cell, {"row": str(number), "column": (header[i : i + 1] or [""])[0] or column_letters(i)})
 
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+def _csv(data: bytes, warnings: list[str], depth: int = 0) -> Iterator[Piece]:
+    return _rows(data, warnings, False)
 
 
-def _word_text(node: ElementTree.Element) -> str:
-    """Text of a paragraph: insertions kept, deletions dropped, tabs and breaks as such."""
-    out = []
-    for el in node.iter():
-        if el.tag == f"{_W}t":
-            out.append(el.text or "")
-        elif el.tag == f"{_W}tab":
-            out.append("\t")
-        elif el.tag in (f"{_W}br", f"{_W}cr"):
-            out.append("\n")
-    return "".join(out)
-
-
-def parse_docx(data: bytes) -> Parsed:
-    """Body paragraphs and table cells in order, then headers and footers."""
-    b = Builder()
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-        n = 0
-        for p in body.iter(f"{_W}p") if body is not None else ():
-            n += 1
-            b.add(_word_text(p).strip("\n"), {"paragraph": str(n)})
-        for name in sorted(x for x in names if re.fullmatch(r"word/(header|footer)\d*\.xml", x)):
-            for p in ElementTree.fromstring(z.read(name)).iter(f"{_W}p"):
-                b.add(_word_text(p).strip("\n"), {"part": name[5:-4]})
-    return b.text, b.segments, []
+def _tsv(data: bytes, warnings: list[str], depth: int = 0) -> Iterator[Piece]:
+    return _rows(data, warnings, True)
 
 
 _X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+# Built-in number formats that show a date or a time.
+DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
 
 
 def render_number(raw: str) -> str:
@@ -225,118 +254,299 @@ def render_number(raw: str) -> str:
         v = float(raw)
     except ValueError:
         return raw
-    return str(int(v)) if v == int(v) and abs(v) < 1e15 else repr(v)
+    return str(int(v)) if v == int(v) and abs(v) < 1e16 else repr(v)
+
+
+def render_date(serial: float, from_1904: bool = False) -> str:
+    """ISO form of a date serial: a date at midnight, a time below one, else both."""
+    whole = datetime.datetime(1904, 1, 1) if from_1904 else datetime.datetime(1899, 12, 30)
+    moment = whole + datetime.timedelta(seconds=round(serial * 86400))
+    if 0 <= serial < 1:
+        return moment.time().isoformat()
+    return moment.date().isoformat() if moment.time() == datetime.time() else moment.isoformat()
+
+
+class _Workbook:
+    """What the sheets of a workbook refer to."""
+
+    def __init__(self, z: zipfile.ZipFile) -> None:
+        self.z = z
+        tree = self._tree("xl/workbook.xml")
+        rels = {r.get("Id"): str(r.get("Target")).lstrip("/") for r in self._tree("xl/_rels/workbook.xml.rels")}
+        self.sheets = [(s.get("name", ""), rels[s.get(f"{_R}id")]) for s in tree.iter(f"{_X}sheet")]
+        self.from_1904 = any(p.get("date1904") in ("1", "true") for p in tree.iter(f"{_X}workbookPr"))
+        strings = self._tree("xl/sharedStrings.xml")
+        self.strings = [self._joined(si) for si in strings.iter(f"{_X}si")]
+        styles = self._tree("xl/styles.xml")
+        own = {int(f.get("numFmtId", 0)) for f in styles.iter(f"{_X}numFmt") if re.search(r"[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "").lower()))}
+        formats = styles.find(f"{_X}cellXfs")
+        self.dated = [int(x.get("numFmtId", 0)) in DATE_FORMATS | own for x in formats] if formats is not None else []
+
+    def _tree(self, name: str) -> ElementTree.Element:
+        return ElementTree.fromstring(self.z.read(name)) if name in self.z.namelist() else ElementTree.Element("none")
+
+    @staticmethod
+    def _joined(node: ElementTree.Element) -> str:
+        """Text runs without phonetic hints."""
+        hints = {id(t) for h in node.iter(f"{_X}rPh") for t in h.iter(f"{_X}t")}
+        return "".join(t.text or "" for t in node.iter(f"{_X}t") if id(t) not in hints)
+
+    def value(self, c: ElementTree.Element) -> str:
+        kind, v = c.get("t", "n"), c.find(f"{_X}v")
+        if kind == "inlineStr":
+            return self._joined(c)
+        raw = v.text if v is not None and v.text is not None else ""
+        if not raw or kind in ("str", "e", "d"):
+            return raw
+        if kind == "s":
+            return self.strings[int(raw)]
+        if kind == "b":
+            return "TRUE" if raw == "1" else "FALSE"
+        style = int(c.get("s", 0))
+        return render_date(float(raw), self.from_1904) if style < len(self.dated) and self.dated[style] else render_number(raw)
+
+    def cells(self, target: str) -> Iterator[tuple[int, int, str]]:
+        """(row, place among the cells with text, reference, value) as they lie; stored dimensions are not looked at."""
+        root = self._tree(target if target.startswith("xl/") else f"xl/{target}")
+        for r, row in enumerate(root.iter(f"{_X}row"), 1):
+            number = int(row.get("r", r))
+            for i, c in enumerate(row.iter(f"{_X}c")):
+                yield number, c.get("r") or f"{column_letters(i)}{number}", self.value(c)
+
+
+def _xlsx(data: bytes, warnings: list[str], depth: int = 0) -> Iterator[Piece]:
+    """One segment per non-empty cell; a blank line between sheets."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        book = _Workbook(z)
+        for name, target in book.sheets:
+            last = None
+            for row, cell, value in book.cells(target):
+                if value.strip():
+                    yield Piece("\n\n" if last is None else "\t" if last == row else "\n", value, {"sheet": name, "cell": cell})
+                    last = row
 
 
-def parse_xlsx(data: bytes) -> Parsed:
-    """One segment per non-empty cell; a blank line between sheets."""
-    b = Builder()
+# Word -----------------------------------------------------------------------------------------------------------------
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+# Parts without visible text, or with text that is no longer there.
+UNSEEN = frozenset([*(_W + x for x in "pPr rPr tblPr tblGrid trPr tcPr sdtPr sdtEndPr del moveFrom sectPr".split()), _MC + "Fallback"])
+_MARKS_OF = {_W + "tab": "\t", _W + "br": "\n", _W + "cr": "\n", _W + "noBreakHyphen": "-"}
+
+
+def word_text(node: ElementTree.Element) -> str:
+    """Visible text below a node: insertions kept, deletions dropped; a text box inside a paragraph starts a new line."""
+    out: list[str] = []
+    todo = list(node)[::-1]
+    while todo:
+        el = todo.pop()
+        if el.tag in UNSEEN:
+            continue
+        if el.tag == _W + "t":
+            out.append(el.text or "")
+        elif el.tag in _MARKS_OF:
+            out.append(_MARKS_OF[el.tag])
+        else:
+            if el.tag == _W + "p":
+                out.append("\n")
+            todo += list(el)[::-1]
+    return "".join(out)
+
+
+def _paragraphs(node: ElementTree.Element) -> Iterator[str]:
+    """Texts of the paragraphs of a container, through tables and content controls."""
+    for el in node:
+        if el.tag == _W + "p":
+            yield word_text(el)
+        elif el.tag in (_W + "sdt", _W + "sdtContent", _W + "tbl", _W + "tr", _W + "tc"):
+            yield from _paragraphs(el)
+
+
+def _table(table: ElementTree.Element, place: Where) -> Iterator[Piece]:
+    """Cells by grid column; a merged cell counts once, where it begins."""
+    for r, row in enumerate(table.findall(_W + "tr")):
+        col, first = 0, True
+        for cell in row.findall(_W + "tc"):
+            props = cell.find(_W + "tcPr")
+            span = props.find(_W + "gridSpan") if props is not None else None
+            down = props.find(_W + "vMerge") if props is not None else None
+            text = "\n".join(t for t in _paragraphs(cell) if t.strip())
+            if text and not (down is not None and down.get(_W + "val", "continue") == "continue"):
+                yield Piece("\n" if first else "\t", text, {**place, "row": str(r), "col": str(col)})
+                first = False
+            col += int(span.get(_W + "val", 1)) if span is not None else 1
+
+
+def _blocks(nodes: Iterable[ElementTree.Element], place: Where, counts: dict[str, int], controls: bool) -> Iterator[Piece]:
+    """Paragraphs and tables in order, numbered from 0 with blank ones; ``controls``: nested content controls count on."""
+    for el in nodes:
+        name = {"p": "paragraph", "tbl": "table"}.get(el.tag.removeprefix(_W))
+        if name:
+            here = {**place, name: str(counts.get(name, 0))}
+            counts[name] = counts.get(name, 0) + 1
+            if name == "table":
+                yield from _table(el, here)
+            else:
+                yield Piece("\n", word_text(el), here)
+        elif el.tag == _W + "sdt" and controls:
+            yield from _blocks([x for c in el.findall(_W + "sdtContent") for x in c], place, counts, True)
+
+
+def _docx(data: bytes, warnings: list[str], depth: int = 0) -> Iterator[Piece]:
+    """Body in order, then headers and footers of the sections that have their own."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_X}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_X}si")]
-        rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_X}sheet"):
-            target = str(rels[sheet.get(f"{_R}id")]).lstrip("/")
-            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            new_sheet = True
-            for row in root.iter(f"{_X}row"):
-                first = True
-                for c in row.iter(f"{_X}c"):
-                    kind = c.get("t", "n")
-                    v = c.find(f"{_X}v")
-                    if kind == "inlineStr":
-                        value = "".join(t.text or "" for t in c.iter(f"{_X}t"))
-                    elif v is None or v.text is None:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        if body is None:
+            return
+        counts: dict[str, int] = {}
+        control = seen = 0
+        for child in body:
+            if child.tag == _W + "sdt":
+                inner = [x for c in child.findall(_W + "sdtContent") for x in c]
+                found = list(_blocks(inner, {"content_control": str(control)}, {}, True))
+                control += 1
+            else:
+                found = list(_blocks([child], {}, counts, False))
+            seen += sum(len("".join(p.text.split())) for p in found)
+            yield from found
+        lost = len("".join(word_text(body).split())) - seen
+        if lost > 0:
+            warnings.append(f"{lost} characters of the body were not read, since they stand where this reader does not look")
+        names = z.namelist()
+        rels = {}
+        if "word/_rels/document.xml.rels" in names:
+            rels = {r.get("Id"): str(r.get("Target")).lstrip("/") for r in ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))}
+        before = "\n\n"
+        for s, section in enumerate(body.iter(f"{_W}sectPr")):
+            refs = {(r.tag.removeprefix(_W)[:6], r.get(_W + "type", "default")): rels.get(r.get(f"{_R}id")) for r in section if r.tag.endswith("Reference")}
+            for part in ("header", "footer"):
+                for variant in ("default", "first", "even"):
+                    target = refs.get((part, variant))
+                    if not target:
                         continue
-                    else:
-                        value = shared[int(v.text)] if kind == "s" else ("TRUE" if v.text == "1" else "FALSE") if kind == "b" else v.text if kind == "str" else render_number(v.text)
-                    if value.strip():
-                        b.add(newlines(value).strip(), {"sheet": sheet.get("name", ""), "cell": c.get("r", "")}, ("\n\n" if new_sheet else "\n") if first else "\t")
-                        first = new_sheet = False
-    return b.text, b.segments, []
+                    root = ElementTree.fromstring(z.read(target if target.startswith("word/") else f"word/{target}"))
+                    where = {"part": part, "section": str(s), **({} if variant == "default" else {"variant": variant})}
+                    for text in dict.fromkeys(t for t in _paragraphs(root) if t.strip()):
+                        yield Piece(before, text, where)
+                        before = "\n"
 
 
+# mail -----------------------------------------------------------------------------------------------------------------
+
 # Headers that are read, in order.
 HEADERS = ("From", "To", "Cc", "Bcc", "Reply-To", "Subject", "Date")
 
 
-def parse_email(data: bytes, depth: int = 0) -> Parsed:
-    """Headers in order, plain body before HTML, attachments recursively up to a depth of four."""
-    msg = message_from_bytes(data, policy=policy.default)
-    b = Builder()
-    warnings: list[str] = []
-    for h in HEADERS:
-        for value in msg.get_all(h, []):
-            b.add(f"{h}: {value}", {"header": h})
-    body = msg.get_body(preferencelist=("plain", "html")) if isinstance(msg, EmailMessage) else None
-    if body is not None:
-        raw = body.get_payload(decode=True) or b""
-        try:
-            content = raw.decode(body.get_content_charset() or "utf-8")
-        except (LookupError, UnicodeDecodeError):
-            content, extra = decode_bytes(raw)
-            warnings += extra
-        lines = html_lines(content) if body.get_content_type() == "text/html" else newlines(content).split("\n")
-        b.gap("\n")
-        for i, line in enumerate(lines, 1):
-            b.add(line.rstrip(), {"line": str(i)})
+def _mail_body(msg: EmailMessage, warnings: list[str]) -> Iterator[Piece]:
+    part = msg.get_body(preferencelist=("plain", "html"))
+    if part is None:
+        warnings.append("no text body")
+        return
+    try:
+        content = part.get_content()
+    except (LookupError, ValueError) as e:
+        raw = part.get_payload(decode=True)
+        content, extra = decode_bytes(raw if isinstance(raw, bytes) else b"")
+        warnings.append(f"the body's character set could not be used ({e}); {(extra or ['decoded as UTF-8'])[0]}")
+    if not str(content).strip():
+        warnings.append("the body is empty")
+        return
+    place = lambda n: {"part": "body", "line": str(n)}
+    if part.get_content_type() == "text/html":
+        for n, line in enumerate(html_lines(content), 1):
+            yield Piece("\n\n" if n == 1 else "\n", line, place(n))
+    else:
+        yield from _as_written(newlines(content).rstrip("\n"), place, "\n\n")
+
+
+def _attached(msg: EmailMessage, warnings: list[str], depth: int) -> Iterator[Piece]:
     for part in msg.iter_attachments():
-        name = part.get_filename() or "attachment"
-        payload = part.get_content() if part.get_content_type() == "message/rfc822" else part.get_payload(decode=True)
-        content = payload.as_bytes() if hasattr(payload, "as_bytes") else payload or b""
-        kind = "eml" if part.get_content_type() == "message/rfc822" else suffix_of(name)
-        if depth >= MAX_DEPTH:
-            warnings.append(f"{name}: nested too deeply")
+        whole_mail = part.get_content_type() == "message/rfc822"
+        name = (part.get_filename() or ("attached.eml" if whole_mail else "")).replace("\\", "/").rsplit("/", 1)[-1]
+        kind = "eml" if whole_mail else suffix_of(name)
+        problem = (
+            f"unnamed attachment of type {part.get_content_type()} was left out" if not name
+            else f"attachment {name!r} was left out: unsupported type {part.get_content_type()}" if kind not in PARSERS
+            else f"attachment {name!r} was left out: nested more than {MAX_DEPTH} deep" if depth >= MAX_DEPTH else None)
+        if problem:
+            warnings.append(problem)
             continue
-        parser = PARSERS.get(kind)
-        if parser is None:
-            warnings.append(f"{name}: not read")
+        content = part.get_content().as_bytes() if whole_mail else part.get_payload(decode=True)
+        if not content:
+            warnings.append(f"attachment {name!r} is empty")
             continue
         try:
-            text, segments, extra = parse_email(content, depth + 1) if kind == "eml" else parser(content)
+            text, segments, extra = parse(kind, content, depth + 1)
         except Exception as e:  # noqa: BLE001 - one bad attachment is a warning
-            warnings.append(f"{name}: {type(e).__name__}")
+            warnings.append(f"attachment {name!r} could not be read: {type(e).__name__}: {e}")
             continue
-        warnings += [f"{name}: {w}" for w in extra]
-        if text.strip():
-            b.gap("\n\n")
-            base = b.length
-            b.parts.append(text)
-            b.length += len(text)
-            b.segments += [(base + s, base + e, {"attachment": name, **w}) for s, e, w in segments]
-    return b.text, b.segments, warnings
+        warnings += [f"attachment {name!r}: {w}" for w in extra]
+        at = 0
+        for a, b, w in segments:  # what lies between segments comes along without a place
+            yield Piece("\n\n" if at == 0 else "", text[at:a], None)
+            inner = w.get("attachment")
+            yield Piece("", text[a:b], {**w, "attachment": f"{name}/{inner}" if inner else name})
+            at = b
+
+
+def _eml(data: bytes, warnings: list[str], depth: int = 0) -> Iterator[Piece]:
+    """Headers in order, plain body before HTML, attachments recursively up to a depth of four."""
+    msg = message_from_bytes(data, policy=policy.default)
+    for h in HEADERS:
+        for value in msg.get_all(h, []):
+            line = " ".join(str(value).split())
+            if line:
+                yield Piece("\n", f"{h}: ", None)
+                yield Piece("", line, {"part": "header", "name": h})
+    yield from _mail_body(msg, warnings)
+    yield from _attached(msg, warnings, depth)
 
 
-def parse_pdf(data: bytes) -> Parsed:
-    from pypdf import PdfReader
+def _pdf(data: bytes, warnings: list[str], depth: int = 0) -> Iterator[Piece]:
+    from pypdf import PasswordType, PdfReader
 
-    b = Builder()
-    warnings: list[str] = []
     reader = PdfReader(io.BytesIO(data))
-    if reader.is_encrypted:
-        warnings.append("the file is encrypted")
+    if reader.is_encrypted and reader.decrypt("") == PasswordType.NOT_DECRYPTED:
+        raise ValueError("the file needs a password")
     for i, page in enumerate(reader.pages, 1):
-        text = newlines(page.extract_text() or "").strip()
+        try:
+            text = newlines(page.extract_text() or "").strip()
+        except Exception as e:  # noqa: BLE001 - one bad page is a warning
+            warnings.append(f"page {i} could not be read: {type(e).__name__}: {e}")
+            continue
         if not text:
-            warnings.append(f"page {i} has no text layer")
-        b.add(text, {"page": str(i)}, "\n\n")
-    return b.text, b.segments, warnings
+            warnings.append(f"page {i} has no text layer (needs OCR)")
+        yield Piece("\n\n", text, {"page": str(i)})
 
 
-PARSERS: dict[str, Callable[[bytes], Parsed]] = {
-    "txt": parse_text, "md": parse_text, "html": parse_html, "htm": parse_html, "csv": parse_csv, "tsv": parse_csv, "eml": parse_email, "docx": parse_docx, "xlsx": parse_xlsx}
+PARSERS: dict[str, Parser | None] = {"txt": None, "md": None, "html": _html, "htm": _html, "csv": _csv, "tsv": _tsv, "eml": _eml, "docx": _docx, "xlsx": _xlsx}
 if importlib.util.find_spec("pypdf") is not None:
-    PARSERS["pdf"] = parse_pdf
+    PARSERS["pdf"] = _pdf
+
+
+def parse(kind: str, data: bytes, depth: int = 0) -> Parsed:
+    """Text, segments and warnings of a file's bytes by its kind."""
+    parser = PARSERS[kind]
+    if parser is None:
+        return parse_text(data)
+    warnings: list[str] = []
+    return Parsed(*lay_out(parser(data, warnings, depth)), warnings)
 
 
 def suffix_of(name: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
+def broken_segments(text: str, segments: list[tuple[int, int, Where]]) -> list[str]:
+    """Where segments are unsorted, overlapping, out of the text or blank."""
+    ends = [0, *(b for _, b, _ in segments)]
+    return [f"segment {k}" for k, (a, b, _) in enumerate(segments) if not ends[k] <= a < b <= len(text) or not text[a:b].strip()]
+
+
 def parse_file(path: str, data: bytes, root: str = "") -> dict[str, object]:
     """One document row, or a row with a reason."""
-    rel = path[len(root) :].lstrip("/") if root and path.startswith(root) else os.path.basename(path)
+    rel = (path[len(root) :].lstrip("/") if root and path.startswith(root) else "") or os.path.basename(path)
     kind = suffix_of(path)
     row: dict[str, object] = {"id": f"{hashlib.sha1(data).hexdigest()[:12]}:{rel}", "source": rel, "kind": kind, "text": None, "segments": [], "warnings": [], "reason": None}
     base = os.path.basename(path)
@@ -345,30 +555,54 @@ def parse_file(path: str, data: bytes, root: str = "") -> dict[str, object]:
     if kind not in PARSERS:
         return row | {"reason": "pdf support is not installed" if kind == "pdf" else f"unsupported type {kind!r}"}
     try:
-        text, segments, warnings = PARSERS[kind](data)
+        text, segments, warnings = parse(kind, data)
+        bad = broken_segments(text, segments)
+        if bad:
+            raise AssertionError(f"{bad[:3]}")
     except Exception as e:  # noqa: BLE001 - a broken file is a row with a reason
         return row | {"reason": f"{type(e).__name__}: {e}"[:300]}
-    if not text.strip():
-        warnings = [*warnings, "no text was extracted"]
+    if not text.strip() and not warnings:
+        warnings = ["no text was extracted"]
     return row | {"text": text, "segments": [{"start": a, "end": b, "where": w} for a, b, w in segments], "warnings": warnings}
 
 
-def parse_many(spark: SparkSession, path: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(documents, skipped) of a folder. Hidden files are not listed; of files with equal content and path one is kept."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    root = "file:" + os.path.abspath(path) if "://" not in path and not path.startswith("file:") else path
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([parse_file(p, c, root) for p, c in zip(pdf["path"], pdf["content"])], columns=[c.split()[0] for c in DOCUMENT.split(", ") if " " in c][:7])
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-    rows = files.select("path", "content").mapInPandas(run, DOCUMENT)
-    place = F.row_number().over(Window.partitionBy("id").orderBy("source"))
-    rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (place > 1), "duplicate").otherwise(F.col("reason")))
-    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("source", "reason")
 
-
-def from_text(text: str, source: str = "pasted") -> dict[str, object]:
+def parse_many(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(documents, skipped) of a folder, a file or a list of either. Skipped files have a reason: unsupported, lock file, broken, ``not found``,
+    ``duplicate of ...`` (equal content under an equal name). Hidden files, and names that begin with ``_``, are not listed by Spark."""
+    wanted = [paths] if isinstance(paths, str) else list(paths)
+    lost = [(p, "not found") for p in wanted if not _exists(spark, p)]
+    skipped = spark.createDataFrame(lost, "source string, reason string")
+    parts = []
+    for path in wanted:
+        if (path, "not found") in lost:
+            continue
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+        root = "file:" + os.path.abspath(path) if ":" not in path.split("/")[0] else path
+
+        def run(batches: Iterator[pd.DataFrame], root: str = root) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame([parse_file(p, c, root) for p, c in zip(pdf["path"], pdf["content"])], columns=_COLUMNS)
+
+        parts.append(files.select("path", "content").mapInPandas(run, DOCUMENT))
+    if not parts:
+        return spark.createDataFrame([], DOCUMENT).drop("reason"), skipped
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    same = Window.partitionBy("id").orderBy("source")
+    rows = rows.withColumns({"_k": F.row_number().over(same), "_of": F.first("source").over(same)})
+    rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_k") > 1), F.concat(F.lit("duplicate of "), "_of")).otherwise(F.col("reason"))).drop("_k", "_of")
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("source", "reason").unionByName(skipped)
+
+
+def from_text(text: str, source: str = "pasted", ident: str | None = None) -> dict[str, object]:
     """A pasted text as a document row; its id comes from the text."""
-    body, segments, _ = parse_text(text.encode("utf-8", "surrogatepass"))
-    return {"id": hashlib.sha1(text.encode("utf-8", "replace")).hexdigest()[:12], "source": source, "kind": "txt", "text": body, "segments": [{"start": a, "end": b, "where": w} for a, b, w in segments], "warnings": []}
+    body, segments = _keep_leading(_as_written(text, lambda n: {"line": str(n)}))
+    return {
+        "id": ident or f"{hashlib.sha1(body.encode('utf-8', 'replace')).hexdigest()[:12]}:{source}", "source": source, "kind": "text", "text": body,
+        "segments": [{"start": a, "end": b, "where": w} for a, b, w in segments], "warnings": []}

@@ -53,7 +53,7 @@ def ensure(records: DataFrame, path: str, n: int, seed: int = 42, dataset: str =
     return records.sparkSession.read.parquet(path), meta
 
 
-def from_documents(documents: DataFrame, max_chars: int = 2000) -> tuple[DataFrame, DataFrame]:
+def from_documents(documents: DataFrame, max_chars: int = 4000) -> tuple[DataFrame, DataFrame]:
     """(unlabelled records ``doc#k`` of all non-blank chunks, blank chunks); both are needed to rebuild the documents."""
     every = chunks(documents, max_chars)
     blank = F.trim(F.regexp_replace("text", r"\s+", " ")) == ""

@@ -57,18 +57,28 @@ def test_from_texts_numbers_blanks(spark):
 
 def test_text_and_bytes():
     text, segments, warnings = D.parse_text("one\r\n\r\n  two".encode())
-    assert text == "one\n\n  two" and [(text[a:b], w["line"]) for a, b, w in segments] == [("one", "1"), ("two", "3")]
+    assert text == "one\n\n  two" and [(text[a:b], w["line"]) for a, b, w in segments] == [("one", "1"), ("  two", "3")]
     assert D.decode_bytes("é".encode("cp1252"))[0] == "é" and D.decode_bytes("﻿x".encode("utf-16-le"))[0] == "x"
     assert D.decode_bytes("abcdef".encode("utf-16-be"))[0] == "abcdef"
+    for name in ("utf-32", "utf-16", "utf-8-sig"):
+        assert D.decode_bytes("Zoë\U0001f600".encode(name)) == ("Zoë\U0001f600", [])
+    text, warnings = D.decode_bytes(b"a\x81b")
+    assert text == "a\ufffdb" and "1 undecodable" in warnings[0]
+    assert D.decode_bytes(b"")[0] == "" and D.parse_text(b"\n\n a").segments == [(2, 4, {"line": "3"})]
 
 
 def test_html():
     page = "<html><head><title>t</title></head><body><p>One &amp; two</p><script>x()</script><table><tr><td>a</td><td>b</td></tr></table><pre>x\n  y</pre></body></html>"
-    assert D.html_lines(page) == ["One & two", "a\tb", "x", "  y"]
+    assert D.html_lines(page) == ["One & two", "a\tb", "x", "y"]
+    # an open head or noscript does not swallow the page
+    assert D.html_lines("<head><title>t</title><meta x><p>one<p>two") == ["one", "two"]
+    assert D.html_lines("<html><head><style>a{}<script>b</script></style></head><body><noscript>no</noscript>seen</body>") == ["seen"]
+    assert D.html_lines("<head><script>x()</script><body>a<noscript><p>b</noscript>c") == ["ac"]
+    assert D.html_lines("") == [] and D.html_lines("<pre>a\tb\r\nc</pre>") == ["a b", "c"]
 
 
 def test_csv_document():
-    text, segments, _ = D.parse_csv(b"name;;mail\nAnn;7;a@b.io\n;;\n")
+    text, segments, _ = D.parse("csv", b"name;;mail\nAnn;7;a@b.io\n;;\n")
     assert text == "name\tmail\nAnn\t7\ta@b.io" and [w["column"] for *_, w in segments][-3:] == ["name", "B", "mail"]
     assert D.column_letters(0) == "A" and D.column_letters(27) == "AB"
 
@@ -78,7 +88,7 @@ def test_email_with_nested_attachment():
     raw = (
         "From: a@b.io\nTo: c@d.io\nSubject: hi\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/plain; charset=utf-8\n\nbody line\n"
         f"--B\nContent-Type: text/csv\nContent-Disposition: attachment; filename=t.csv\n\na,b\n1,2\n--B\nContent-Type: message/rfc822\nContent-Disposition: attachment\n\n{inner}\n--B--\n")
-    text, segments, _ = D.parse_email(raw.encode())
+    text, segments, _ = D.parse("eml", raw.encode())
     assert "Subject: hi" in text and "body line" in text and "inner text" in text
     assert any(w.get("attachment") == "t.csv" for *_, w in segments)
     assert all(text[a:b].strip() for a, b, _ in segments) and all(x[1] <= y[0] for x, y in zip(segments, segments[1:]))
@@ -95,7 +105,7 @@ def _zip(files):
 def test_docx_and_xlsx():
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     doc = f"<w:document {w}><w:body><w:p><w:r><w:t>Hello</w:t></w:r><w:ins><w:r><w:t> there</w:t></w:r></w:ins><w:del><w:r><w:delText>gone</w:delText></w:r></w:del></w:p></w:body></w:document>"
-    assert D.parse_docx(_zip({"word/document.xml": doc}))[0] == "Hello there"
+    assert D.parse("docx", _zip({"word/document.xml": doc})).text == "Hello there"
     x = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     r = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     book = _zip({
@@ -103,17 +113,49 @@ def test_docx_and_xlsx():
         "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
         "xl/sharedStrings.xml": f"<sst {x}><si><t>name</t></si></sst>",
         "xl/worksheets/sheet1.xml": f'<worksheet {x}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><v>3.0</v></c></row></sheetData></worksheet>'})
-    text, segments, _ = D.parse_xlsx(book)
+    text, segments, _ = D.parse("xlsx", book)
     assert text == "name\t3" and segments[1][2] == {"sheet": "S", "cell": "B1"}
 
 
+def test_docx_tables_controls_and_headers():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    cell = lambda t, props="": f"<w:tc><w:tcPr>{props}</w:tcPr>{p(t)}</w:tc>"
+    rows = f"<w:tr>{cell('wide', '<w:gridSpan w:val=\"2\"/>')}{cell('c')}</w:tr><w:tr>{cell('top', '<w:vMerge w:val=\"restart\"/>')}{cell('x')}{cell('y')}</w:tr><w:tr>{cell('hid', '<w:vMerge/>')}{cell('z')}</w:tr>"
+    lost = f"<w:customXml>{p('lost')}</w:customXml>"
+    doc = f"<w:document {w}><w:body>{p('one')}<w:p/><w:tbl>{rows}</w:tbl><w:sdt><w:sdtContent>{p('in')}</w:sdtContent></w:sdt>{p('two')}{lost}<w:sectPr><w:headerReference w:type=\"first\" r:id=\"rId1\"/></w:sectPr></w:body></w:document>"
+    files = {
+        "word/document.xml": doc, "word/header1.xml": f"<w:hdr {w}>{p('head')}{p('head')}</w:hdr>",
+        "word/_rels/document.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="header1.xml"/></Relationships>'}
+    text, segments, warnings = D.parse("docx", _zip(files))
+    places = {text[a:b]: where for a, b, where in segments}
+    assert text == "one\nwide\tc\ntop\tx\ty\nz\nin\ntwo\n\nhead"
+    assert places["c"] == {"table": "0", "row": "0", "col": "2"} and places["two"] == {"paragraph": "2"} and places["in"] == {"content_control": "0", "paragraph": "0"}
+    assert places["head"] == {"part": "header", "section": "0", "variant": "first"} and warnings[0].startswith("7 characters")
+
+
+def test_xlsx_dates():
+    assert D.render_date(32874) == "1990-01-01" and D.render_date(32874.5) == "1990-01-01T12:00:00" and D.render_date(0.25) == "06:00:00" and D.render_date(0, True) == "00:00:00"
+    assert D.render_number("5551234567.0") == "5551234567" and D.render_number("1.5") == "1.5"
+
+
+def test_laid_out_pieces():
+    text, segments = D.lay_out([D.Piece("\n", " ", {}), D.Piece("\n", "a\r\nb", {"k": "1"}), D.Piece("\t", "", {}), D.Piece("\t", "c", {"k": "2"})])
+    assert text == "a\nb\tc" and [text[a:b] for a, b, _ in segments] == ["a\nb", "c"] and D.broken_segments(text, segments) == []
+    assert D.broken_segments("abc", [(0, 2, {}), (1, 3, {})]) == ["segment 1"]
+
+
 def test_parse_many(spark, tmp_path):
     write(tmp_path / "a.txt", "hello")
     write(tmp_path / "b.bin", "zzz")
     (tmp_path / "c.docx").write_bytes(b"no zip")
-    docs, skipped = D.parse_many(spark, str(tmp_path))
-    assert [r["source"] for r in docs.collect()] == ["a.txt"]
-    assert {r["source"]: r["reason"].split(":")[0] for r in skipped.collect()} == {"b.bin": "unsupported type 'bin'", "c.docx": "BadZipFile"}
+    (tmp_path / "sub").mkdir()
+    write(tmp_path / "sub" / "~$a.docx", "x")
+    docs, skipped = D.parse_many(spark, [str(tmp_path), str(tmp_path / "none"), str(tmp_path / "a.txt")])
+    assert {r["source"] for r in docs.collect()} == {"a.txt"}
+    got = [(r["source"], r["reason"].split(":")[0]) for r in skipped.collect()]
+    assert (str(tmp_path / "none"), "not found") in got and ("b.bin", "unsupported type 'bin'") in got and ("c.docx", "BadZipFile") in got and ("sub/~$a.docx", "lock file") in got
+    assert ("a.txt", "duplicate of a.txt") in got
 
 
 def test_run_store(spark, tmp_path):
