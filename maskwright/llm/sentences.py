@@ -1,13 +1,18 @@
 """Sentence units across languages and scripts (problem 3).
 
 A pushdown automaton walks the *events* of a text (terminators, quotation marks, brackets, blank
-lines, list markers, and the spaces that separate Thai sentences). Its stack holds the open quotations, brackets and
-list levels; a terminator ends a unit only with an empty stack. Abbreviations are looked up in a
+lines, list markers, and the spaces that separate Thai sentences). Its stack holds the open list levels and, above them, the open
+quotations and brackets; a terminator ends a unit only with no quotation or bracket open. Abbreviations are looked up in a
 trie that is walked backwards from the full stop. The automaton emits code-point offsets only, so
 units can be placed in ``documents.segments`` without copying text.
 
+List levels: a marker at the start of a line opens a level of its indentation where a list can begin (after a terminator, a colon or at the
+paragraph's start); a deeper marker after an open level opens one above it; a marker further left closes the levels above its own. The
+full stop of the next marker of an open level ("2." after "1.") is no terminator.
+
 Defined results: null, empty and blank texts give no units (an empty array); a quotation or bracket
-that is never closed inside its paragraph is treated as an ordinary character; a blank line clears
+that is never closed inside its paragraph is an ordinary character (marks are paired in one pass: a closing mark closes
+the nearest mark it fits, and what was opened in between is never closed); a blank line clears
 the stack. Units never contain surrounding white space and never overlap.
 """
 
@@ -83,6 +88,7 @@ _TOKEN = re.compile(r"\S+")
 _NAME_IN_THAI = re.compile(rf"(?:\s*[A-Z][\w'’.\-]*){{1,5}}\s*(?=[{_THAI}]|\Z)")
 _LEFT = re.compile(r"[\w.\-]*\Z")
 _MAILISH = re.compile(r"[\w+\-.]*@|(?:[\w\-]+\.)*[a-z]{2,10}/")
+_QUOTED_ON = re.compile(r"と|って")  # Japanese: the quotation goes on as part of its sentence
 # Month names after a written ordinal ("3. Mai").
 _MONTH = re.compile(r"(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
 
@@ -191,14 +197,54 @@ def _thai_break(text: str, a: int, b: int, hi: int, unit: int) -> bool:
     return rest is None
 
 
-def _paragraph(text: str, lo: int, hi: int, out: list[tuple[int, int]], ignore: frozenset[int] = frozenset()) -> None:
+def _partners(marks: list[tuple[int, str]]) -> dict[int, int]:
+    """Place of the closing mark of every mark that is closed, in one pass: each mark is pushed and popped once."""
+    found: dict[int, int] = {}
+    stack: list[tuple[int, str]] = []  # place, closing marks
+    waiting: dict[str, list[int]] = {}  # heights in the stack of what a mark would close
+    for at, ch in marks:
+        heights = waiting.get(ch)
+        if heights:
+            height = heights[-1]
+            found[stack[height][0]] = at
+            for _, closers in stack[height:]:
+                for c in closers:
+                    waiting[c].pop()
+            del stack[height:]
+            continue
+        closers = '"' if ch == '"' else "«" if ch == "»" and not stack else _PAIRS.get(ch)
+        if closers:  # any other closing mark without its opening one is an ordinary character
+            for c in closers:
+                waiting.setdefault(c, []).append(len(stack))
+            stack.append((at, closers))
+    return found
+
+
+def _can_begin_list(text: str, lo: int, a: int) -> bool:
+    i = a - 1
+    while i >= lo and text[i].isspace():
+        i -= 1
+    return i < lo or text[i] in _STOPS or text[i] in ":："
+
+
+def _marker(text: str, a: int, b: int) -> tuple[int, int | None]:
+    """(indentation, number or None for a bullet) of the list marker text[a:b]."""
+    body = text[a:b].strip()
+    lead = len(text[a:b]) - len(text[a:b].lstrip())
+    return lead, int(body[:-1]) if body[:-1].isdigit() else None
+
+
+def _paragraph(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
     """Automaton over one paragraph text[lo:hi]; appends its units to ``out``."""
-    stack: list[tuple[str, int, bool]] = []  # (closing marks, position, opened at the unit's start)
+    events = list(_EVENT.finditer(text, lo, hi))
+    closes = _partners([(m.start(), m.group()) for m in events if m.lastgroup == "mark"])
+    levels: list[tuple[int, int | None]] = []  # open list levels, the lower part of the stack: indentation, last number
+    stack: list[tuple[int, int, bool]] = []  # open marks: place of the closing one, own place, opened at the unit's start
     cuts: list[int] = []
     start = _next_visible(text, lo, hi)
     unit = start
     pos = lo
-    for m in _EVENT.finditer(text, lo, hi):
+    for m in events:
         a, b = m.span()
         if a < pos:
             continue
@@ -212,10 +258,8 @@ def _paragraph(text: str, lo: int, hi: int, out: list[tuple[int, int]], ignore:
                 cuts.append(e)
                 unit = _next_visible(text, e, hi)
         elif kind == "mark":
-            if a in ignore:
-                continue
             ch = text[a]
-            if stack and ch in stack[-1][0]:
+            if stack and a == stack[-1][0]:
                 _, opened, at_start = stack.pop()
                 if stack:
                     continue
@@ -231,7 +275,7 @@ def _paragraph(text: str, lo: int, hi: int, out: list[tuple[int, int]], ignore:
                         continue
                     if at_start and not c.isupper() and c not in "\"“„«¿¡「":
                         continue  # "…!" followed by who said it, in a script without capitals
-                    if c in "とって" and "「" <= ch <= "』":
+                    if "「" <= ch <= "』" and _QUOTED_ON.match(text, nxt, hi):
                         continue
                     cuts.append(b)
                     unit = nxt
@@ -241,30 +285,29 @@ def _paragraph(text: str, lo: int, hi: int, out: list[tuple[int, int]], ignore:
                     if at_start and nxt < hi and text[nxt].isupper():
                         cuts.append(b)
                         unit = nxt
-            elif ch == '"':
-                stack.append(('"', a, a == unit))
-            elif ch in _PAIRS:
-                stack.append((_PAIRS[ch], a, a == unit))
-            elif ch == "»" and not stack:
-                stack.append(("«", a, a == unit))
-            # any other closing mark without its opening one is an ordinary character
+            elif a in closes:
+                stack.append((closes[a], a, a == unit))
         elif kind == "thai":
             if not stack and _thai_break(text, a, b, hi, unit):
                 cuts.append(a)
                 unit = b
         elif kind == "list":
-            before = text[lo:a].rstrip()
-            if not before or before[-1] in _STOPS or before[-1] in ":：":
+            indent, number = _marker(text, a, b)
+            while levels and levels[-1][0] > indent:
+                levels.pop()
+            known = bool(levels) and levels[-1][0] == indent
+            goes_on = known and (number is None) == (levels[-1][1] is None) and (number is None or number == levels[-1][1] + 1)
+            deeper = bool(levels) and not known and number in (None, 1)
+            if goes_on or deeper or _can_begin_list(text, lo, a):
+                if known:
+                    levels.pop()
+                levels.append((indent, number))
                 pos = b  # the marker's own full stop is no terminator
                 continue
             dot = text.find(".", a, b)
             if dot >= 0 and not stack and _breaks_after_stop(text, dot, dot + 1, unit, hi):
                 cuts.append(dot + 1)
                 unit = _next_visible(text, dot + 1, hi)
-    if stack:
-        # never closed: the outermost one is an ordinary character
-        _paragraph(text, lo, hi, out, ignore | {stack[0][1]})
-        return
     s = start
     for c in cuts:
         _emit(text, s, c, out)
