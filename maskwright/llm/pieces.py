@@ -11,8 +11,8 @@ row is not split; an overlap of at least the limit is treated as limit - 1; a si
 overlap gets a shorter one. White space between pieces belongs to none; every other code point lies in
 a piece. Segments that are null, empty, reversed or out of the text are ignored; the text between segments is an atom of its own.
 
-``cut`` tells where the item had to be cut: ``segment`` if every segment fits the limit, else
-``inside`` if every stretch free of white space and of sentence marks fits, else ``hard``.
+``cut`` is read from the pieces that the merging leaves: ``segment`` if none of their edges lies inside a segment longer than the limit (then every
+segment fits), else ``hard`` if one lies inside a stretch, free of white space and sentence marks, that is longer than the limit, else ``inside``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,13 +152,29 @@ def split_text(text: str, segments: list[tuple[int, int]], limit: int, overlap:
             while s < a and text[s].isspace():
                 s += 1
         out.append((s, b, a))
-    if all(b - a <= limit for a, b in segments):
-        cut = "segment"
-    elif all(m.end() - m.start() <= limit for m in _SOLID.finditer(text)):
-        cut = "inside"
-    else:
-        cut = "hard"
-    return cut, out
+    return _cut_of(bodies, text, segments, limit), out
+
+
+def _cut_of(bodies: list[tuple[int, int]], text: str, segments: list[tuple[int, int]], limit: int) -> str:
+    """The weakest place that the merging was forced to break, from the edges of the pieces' own text."""
+    edges = np.unique(np.array(bodies, np.int64))
+
+    def broken(a: int, b: int) -> bool:
+        return bool(np.searchsorted(edges, b, side="left") > np.searchsorted(edges, a, side="right"))
+
+    if not any(broken(a, b) for a, b in segments if b - a > limit):
+        return "segment"
+    for left, right in zip(bodies, bodies[1:]):
+        # a stretch longer than the limit is broken between two pieces that touch without white space
+        if left[1] == right[0] and _solid_length(text, right[0], limit) > limit:
+            return "hard"
+    return "inside"
+
+
+def _solid_length(text: str, at: int, limit: int) -> int:
+    """Length of the stretch around a place, looked at up to the limit on either side."""
+    sides = text[max(0, at - limit - 1) : at][::-1], text[at : at + limit + 1]
+    return sum(m.end() for m in map(_SOLID.match, sides) if m)
 
 
 _FIELDS = "doc_id {k}, kind string, cut string, pieces array<struct<start:int,end:int,body:int>>"
@@ -191,3 +208,21 @@ def split_oversized(docs: DataFrame, limits: DataFrame, key_col: str = "doc_id",
                 [batch.column(0), batch.column(1), pa.array(cuts, pa.string()), pa.array(pieces, piece_type)], names=["doc_id", "kind", "cut", "pieces"])
 
     return over.mapInArrow(run, _FIELDS.format(k=key_kind))
+
+
+_BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u000b\u001c-\u001f\u0085]+"
+
+
+def piece_properties(split: DataFrame, docs: DataFrame, limits: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, within_limit, within_overlap, in_order, covered`` of every split document: no piece is longer than the limit, none shares more than the
+    allowed overlap with the one before, own texts follow each other, and together they hold every code point that is not white space."""
+    p = F.col("pieces")
+    own = F.transform(p, lambda x: F.substring(F.col(text_col), x["body"] + 1, x["end"] - x["body"]))
+    visible = lambda c: F.regexp_replace(c, _BLANK, "")
+    bounds = limits.groupBy("kind").agg(F.min("max_chars").alias("max_chars"), F.coalesce(F.min("overlap_chars"), F.lit(0)).alias("overlap_chars"))
+    rows = split.join(docs.select(F.col(key_col).alias("doc_id"), text_col), "doc_id").join(bounds, "kind")
+    return rows.select(
+        "doc_id", F.forall(p, lambda x: x["end"] - x["start"] <= F.col("max_chars")).alias("within_limit"),
+        F.forall(p, lambda x: (x["start"] <= x["body"]) & (x["body"] - x["start"] <= F.col("overlap_chars"))).alias("within_overlap"),
+        F.forall(F.transform(p, lambda x, i: (i == 0) | (x["body"] >= F.get(p, i - 1)["end"])), lambda ok: ok).alias("in_order"),
+        (visible(F.array_join(own, "")) == visible(F.col(text_col))).alias("covered"))

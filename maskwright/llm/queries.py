@@ -80,11 +80,9 @@ EPS = 0.005
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per detector, run and day in one table, from summaries that each task makes of its own rows."""
-    by = F.explode(F.array(*[F.struct(F.lit(name).alias("grouping"), c.alias("key")) for name, c in (
-        ("detector", F.col("detector")), ("run_id", F.col("run_id")), ("day", F.to_date("started_at").cast("string")))]))
-    rows = _table(spark, d, "predictions").select("latency_ms", by.alias("g"))
-    parts = quantiles.summaries(rows, "latency_ms", {"grouping": F.col("g.grouping"), "key": F.col("g.key")}, EPS)
+    """Percentiles per detector, run and day in one table, from the summaries of one pass over the rows."""
+    by = {"detector": F.col("detector"), "run_id": F.col("run_id"), "day": F.to_date("started_at")}
+    parts = quantiles.summaries(_table(spark, d, "predictions"), "latency_ms", by, EPS, separate=True)
     return quantiles.percentiles(parts, ["grouping", "key"], QUANTILES, EPS)
 
 
@@ -105,6 +103,13 @@ def p5_latency_days(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.summaries(rows, "latency_ms", {"day": F.to_date("started_at")}, EPS), ["day"], QUANTILES, EPS)
 
 
+def p5_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Exact ranks of the percentiles per detector: within the stated error?"""
+    rows = _table(spark, d, "predictions")
+    found = p5_latency(spark, d).withColumnRenamed("detector", "key")
+    return quantiles.rank_check(rows, "latency_ms", F.col("detector"), found).withColumnRenamed("key", "detector")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     requests = lookalikes.lookalike_pairs(_table(spark, d, "requests"), "request_id")
     spans = lookalikes.lookalike_pairs(_table(spark, d, "detected_spans"), "span_id", within="request_id")
@@ -123,6 +128,11 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(_table(spark, d, "documents"), _table(spark, d, "size_limits"))
 
 
+def p7_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Limit, overlap, order and coverage of the pieces of every split document."""
+    return pieces.piece_properties(p7_pieces(spark, d), _table(spark, d, "documents"), _table(spark, d, "size_limits"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(_table(spark, d, "documents"))
 
@@ -151,7 +161,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     p1_found, p1_languages, p2_found, p2_replaced, p3_found, p3_units, p4_found, p4_agreement, p4_reliability, p5_percentiles, p5_latency, p5_latency_runs,
-    p5_latency_days, p6_found, p6_forms, p7_found, p7_pieces, p8_ids, p9_found, p9_cleaned, p10_found, p10_scores)}
+    p5_latency_days, p5_ranks, p6_found, p6_forms, p7_found, p7_pieces, p7_properties, p8_ids, p9_found, p9_cleaned, p10_found, p10_scores)}
 
 # None of these operators is plain SQL over whole tables; tests/llm holds brute-force versions instead.
 ORACLES: dict[str, str] = {
@@ -163,4 +173,11 @@ ORACLES: dict[str, str] = {
             WHEN list_max(list_transform(regexp_split_to_array(text, '[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B\\x1C-\\x1F\\x85.!?…。！？।؟]+'), lambda x: length(x))) <= max_chars THEN 'inside'
             ELSE 'hard' END AS cut
         FROM over""",
+    "p5_ranks": """
+        SELECT detector, q, count(*) AS n, true AS within
+        FROM predictions, (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]::DOUBLE[]) AS q)
+        WHERE latency_ms IS NOT NULL AND NOT isnan(latency_ms) GROUP BY 1, 2""",
+    "p7_properties": """
+        SELECT doc_id, true AS within_limit, true AS within_overlap, true AS in_order, true AS covered
+        FROM documents d JOIN size_limits l ON d.kind = l.kind WHERE length(d.text) > l.max_chars""",
 }

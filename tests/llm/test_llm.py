@@ -176,6 +176,18 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentences.sentence_units(text)] == want
 
 
+def test_many_open_marks_and_list_levels():
+    import time
+
+    for text in ("(" * 100_000, "( [ " * 30_000, '"a. ' * 50_000, "„a. " * 30_000 + "“" * 30_000):
+        began = time.perf_counter()
+        sentences.sentence_units(text)
+        assert time.perf_counter() - began < 3
+    cut = lambda t: [t[a:b] for a, b in sentences.sentence_units(t)]
+    assert cut("1. Apples\n2. Pears. Done\n  1. in\n3. End.") == ["1. Apples\n2. Pears.", "Done\n  1. in\n3. End."]
+    assert cut("(a [b. C) D. E") == ["(a [b. C) D.", "E"]  # the bracket inside is never closed
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abA .!?\n\"()«»„“”。ก1", max_size=80))
 def test_units_cover_the_text(text):
@@ -237,6 +249,13 @@ def test_consensus_defined_cases(spark):
     assert consensus.consensus(df.limit(0)).count() == 0
 
 
+def test_consensus_bounds(spark):
+    wide = [(1, f"a{i}", f"L{i % 30}", 0, 1, "2026") for i in range(600)]
+    df = spark.createDataFrame(wide, "item_id bigint, annotator string, label string, start int, end int, labelled_at string")
+    with pytest.raises(ValueError):
+        consensus.consensus(df)
+
+
 def test_triplets_solve_exactly():
     t = np.array([0.9, 0.7, 0.4, 0.8])
     m = np.outer(t, t)
@@ -290,6 +309,9 @@ def test_percentiles_by_group(spark):
     x = np.sort([v for g, v in rows if g == "hot" and v is not None and v == v])
     assert abs(np.searchsorted(x, by["hot"]["value"]) - 1500) <= by["hot"]["rank_error"] + 2
     assert by["one"]["value"] == pytest.approx(5.0, rel=1e-3)
+    assert quantiles.rank_check(df, "v", F.col("g"), quantiles.percentiles(days, ["g"], [0.01, 0.5, 0.99], 0.02).withColumnRenamed("g", "key")).where("not within").count() == 0
+    both = quantiles.percentiles(quantiles.summaries(df, "v", {"g": F.col("g"), "n": F.col("n")}, 0.02, separate=True), ["grouping", "key"], [0.5], 0.02)
+    assert {(r["grouping"], r["key"]): r["n"] for r in both.collect()} == {("g", "hot"): 3000, ("g", None): 2, ("g", "one"): 1, ("n", "x"): 3003}
     assert quantiles.percentiles(quantiles.summaries(df.limit(0), "v", {"g": F.col("g")}), ["g"], [0.5]).count() == 0
 
 
@@ -344,6 +366,9 @@ def test_pieces_prefer_strong_boundaries():
     cut, parts = pieces.split_text("aaaa bbbb. cccc dddd.", [(0, 21)], 12, 0)
     assert cut == "inside" and [x[:2] for x in parts] == [(0, 10), (11, 21)]
     assert pieces.split_text("x" * 30, [(0, 30)], 10, 3)[0] == "hard"
+    assert pieces.split_text("ab " + "." * 30, [(0, 33)], 10, 3)[0] == "inside"  # marks are no stretch
+    assert pieces.split_text("x" * 8 + "y" * 8, [(0, 8), (8, 16)], 10, 0)[0] == "segment"
+    assert pieces.split_text("x" * 8 + "y" * 8 + " a b c d e f g", [(0, 8), (8, 16), (17, 30)], 10, 0)[0] == "hard"
 
 
 def test_pieces_of_odd_rows(spark):
