@@ -1,21 +1,21 @@
 """Keyword-stuffed and link-list pages (problem 10).
 
-Corpus counts of neighbouring words give each collocation its squared pointwise mutual information
-``log(c(xy)^2 / (c(x.) c(.y)))``: near 0 for words that belong together, very negative for words that
-were only thrown together. The square makes the value independent of how large a part of the corpus a
-language or vocabulary is. Pairs that come in either order alike lose up to two more. A stretch of text is marked where the mean over a window of neighbouring words is
-incoherent (word salad) or where the same collocation keeps coming back within a few dozen words
+Corpus counts of neighbouring words give each collocation its pointwise mutual information ``log(n(xy) N / (n(x.) n(.y)))``, at
+least 0. It counts as far as the pair prefers its order: listed words come in either order alike, words of sentences do not, so the
+information is multiplied by ``1 - min(n(xy), n(yx)) / max(n(xy), n(yx))``. A stretch of text is marked where the mean over a window of neighbouring words is
+below ``salad`` times the mean of the corpus (word salad), or where the same collocation keeps coming back within a few dozen words
 (excessive repetition: link lists, product tags). A page is flagged if the marked words hold most of the
 characters of all its words.
 
-Links, e-mail addresses, numbers and hash tags count as one word each by class; scripts without spaces are
-cut, within a stretch without spaces, into pieces of two (Han), three (Kana) or six (Thai) letters; a stretch of more than 200 letters without
-white space or punctuation is one opaque word, since lists separate their words. Collocations seen fewer than ``rare`` times say nothing and count as neutral.
+Words are runs of letters and digits of any length. Links, e-mail addresses, numbers and hash tags count as one word each by class; scripts without
+spaces are cut into pieces of two (Han), three (Kana) or six (Thai) letters. The cuts inside an unbroken run are arbitrary, so pieces that touch
+say nothing about coherence (they count as the corpus mean) but do count as repetition; listed words are set apart by blanks or marks. Collocations seen
+fewer than ``rare`` times count as the corpus mean, too: odd or unreadable characters make no case.
 
 In texts of fewer than ``min_words`` words a mean over a window says too little about incoherence, so only collocations that
 occur three times mark there, and every pair of neighbouring links or tags. Short pages of different keywords that do not repeat are therefore not found.
 
-Defined results: null, empty and blank texts and texts of a single word are not flagged and have score null.
+Defined results: null, empty and blank texts and texts of a single word are not flagged and have score null; repeated rows give the same result each.
 """
 
 from __future__ import annotations
@@ -23,104 +23,95 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.session import cut_lineage
 
-NEUTRAL = -3.5
-LOWEST = -7.5
-# words of a stretch without white space; links and addresses are recognised before
+_UNSPACED = "぀-ヿ㐀-鿿฀-๿"
+# words of a stretch without white space; links and addresses are recognised before. More than twenty digits are no number
 _TOKEN = re.compile(
-    r"#\w+|[$€£]?\d[\d.,:]*|[\u3040-\u30ff]{1,3}|[\u3400-\u9fff]{1,2}|[\u0e00-\u0e7f]{1,6}"
-    r"|[^\W\d_\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]+"
-)
-_SPLIT = re.compile(r"[()\[\]<>|\u3001\u3002\uff0c]+")
+    r"(?P<tag>#\w+)|[぀-ヿ]{1,3}|[㐀-鿿]{1,2}|[฀-๿]{1,6}"
+    rf"|(?P<number>[$€£]?\d{{1,20}}(?:[.,:]\d{{1,20}})*(?![^\W_{_UNSPACED}]))|[^\W_{_UNSPACED}]+")
+_SPLIT = re.compile(r"[()\[\]<>|、。，]+")
 _HOST = re.compile(r"(?:https?://|www\.)|[a-zA-Z0-9.-]*\.[a-zA-Z0-9-]+/")
-_LINK, _MAIL, _NUMBER, _TAG, _OPAQUE = 1, 2, 3, 4, 5
-_ENDLESS = 200
+_LINK, _MAIL, _NUMBER, _TAG = 1, 2, 3, 4
 _MARGIN = 4  # neighbours on either side of a smoothing window
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CACHE = 500_000
+Words = tuple[list[int], list[int], list[bool]]  # codes, lengths, does the word touch the one before?
 
 
-def _code(token: str) -> int:
+def _code(m: re.Match[str]) -> int:
     """A class for numbers and tags; else a hash of the lower-cased word."""
-    if token[0] == "#":
-        return _TAG
-    if token[0] in "$€£" or token[0].isdigit():
-        return _NUMBER
-    low = token.lower().encode()
+    if m.lastgroup:
+        return _TAG if m.lastgroup == "tag" else _NUMBER
+    low = m.group().lower().encode()
     return (zlib.crc32(low) << 16 ^ zlib.adler32(low)) & 0xFFFFFFFFFFFF | 8
 
 
-def _analyse(stretch: str) -> tuple[list[int], list[int]]:
-    codes: list[int] = []
-    lengths: list[int] = []
-    parts = _SPLIT.split(stretch) if not stretch.isalnum() else [stretch]
-    for part in parts:
+def _analyse(stretch: str) -> Words:
+    out: Words = ([], [], [])
+
+    def add(code: int, length: int, touches: bool = False) -> None:
+        for column, v in zip(out, (code, length, touches)):
+            column.append(v)
+
+    for part in _SPLIT.split(stretch) if not stretch.isalnum() else [stretch]:
         if "@" in part:
-            codes.append(_MAIL)
-            lengths.append(len(part))
+            add(_MAIL, len(part))
         elif "/" in part and _HOST.match(part) or part.startswith("www."):
-            codes.append(_LINK)
-            lengths.append(len(part))
-        elif len(part) > _ENDLESS:
-            codes.append(_OPAQUE)
-            lengths.append(len(part))
+            add(_LINK, len(part))
         else:
-            for t in _TOKEN.findall(part):
-                c = _code(t)
-                if c == _NUMBER and codes and codes[-1] == _NUMBER:
-                    lengths[-1] += len(t)
-                else:
-                    codes.append(c)
-                    lengths.append(len(t))
-    return codes, lengths
+            last = -1
+            for m in _TOKEN.finditer(part):
+                add(_code(m), m.end() - m.start(), m.start() == last)
+                last = m.end()
+    return out
 
 
 class _Words:
     """Codes of words, cached per worker by stretch of text without white space."""
 
     def __init__(self) -> None:
-        self.cache: dict[str, tuple[list[int], list[int]]] = {}
+        self.cache: dict[str, Words] = {}
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, lengths, touching) of a text's words; neighbouring numbers are one word."""
         cache = self.cache
         if len(cache) > _CACHE:
             cache.clear()
-        codes: list[int] = []
-        lengths: list[int] = []
-        for stretch in text.split():
+        columns: Words = ([], [], [])
+        for stretch in (text or "").split():
             found = cache.get(stretch)
             if found is None:
                 found = _analyse(stretch)
                 if len(stretch) < 40:
                     cache[stretch] = found
-            codes += found[0]
-            lengths += found[1]
-        c = np.array(codes, np.int64)
-        n = np.array(lengths, np.int64)
+            for column, more in zip(columns, found):
+                column += more
+        c, n, t = np.array(columns[0], np.int64), np.array(columns[1], np.int64), np.array(columns[2], bool)
         if len(c) > 1:
             keep = np.concatenate([[True], (c[1:] != _NUMBER) | (c[:-1] != _NUMBER)])
-            if not keep.all():  # neighbouring numbers are one word
+            if not keep.all():
                 n = np.add.reduceat(n, np.flatnonzero(keep))
-                c = c[keep]
-        return c, n
+                c, t = c[keep], t[keep]
+        return c, n, t
 
 
-def pair_codes(codes: np.ndarray) -> np.ndarray:
-    """One 64-bit code for each pair of neighbours."""
-    u = codes.astype(np.uint64)
-    h = u[:-1] * _MIX1 ^ (u[1:] + _MIX2) * _MIX2
+def pair_codes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One 64-bit code for each pair of words."""
+    h = x.astype(np.uint64) * _MIX1 ^ (y.astype(np.uint64) + _MIX2) * _MIX2
     return (h ^ (h >> np.uint64(31))).astype(np.int64)
 
 
 def collocation_counts(pages: DataFrame, text_col: str = "text") -> DataFrame:
-    """Counts of all neighbouring word pairs: ``pair, x, y, n``; summed inside each task before the only shuffle."""
+    """Counts of all neighbouring words that do not touch: ``pair, x, y, n``; summed inside each task before the only shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -128,19 +119,16 @@ def collocation_counts(pages: DataFrame, text_col: str = "text") -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            xy = np.concatenate(held)
-            pair = pair_codes_of(xy)
-            u, first, n = np.unique(pair, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(u), pa.array(xy[first, 0]), pa.array(xy[first, 1]), pa.array(n.astype(np.int64))], names=["pair", "x", "y", "n"])
+            x, y = np.concatenate(held, axis=1)
+            u, first, n = np.unique(pair_codes(x, y), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(x[first]), pa.array(y[first]), pa.array(n.astype(np.int64))], names=["pair", "x", "y", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                codes, _ = words(text)
+                codes, _, touching = words(text)
                 if len(codes) > 1:
-                    held.append(np.stack([codes[:-1], codes[1:]], axis=1))
+                    apart = ~touching[1:]
+                    held.append(np.stack([codes[:-1][apart], codes[1:][apart]]))
                     size += len(codes)
                 if size > 2_000_000:
                     yield flush()
@@ -152,27 +140,21 @@ def collocation_counts(pages: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.groupBy("pair", "x", "y").agg(F.sum("n").alias("n"))
 
 
-def pair_codes_of(xy: np.ndarray) -> np.ndarray:
-    """Pair codes of an (n, 2) array of word codes."""
-    u = xy.astype(np.uint64)
-    h = u[:, 0] * _MIX1 ^ (u[:, 1] + _MIX2) * _MIX2
-    return (h ^ (h >> np.uint64(31))).astype(np.int64)
-
-
 def collocation_scores(counts: DataFrame, rare: int = 3) -> DataFrame:
-    """``pair, pmi2`` of every collocation that is not rare: squared pointwise mutual information, less up to 2 where the
-    words occur as often in the other order (words of sentences have an order, listed words have none), at least ``LOWEST``."""
+    """``pair, n, score`` of every collocation that is not rare: pointwise mutual information, times its preference of order."""
     left = counts.groupBy("x").agg(F.sum("n").alias("nx"))
     right = counts.groupBy("y").agg(F.sum("n").alias("ny"))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
     turned = counts.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("n").alias("back"))
-    score = 2 * F.log(F.col("n").cast("double")) - F.log(F.col("nx").cast("double")) - F.log(F.col("ny").cast("double"))
+    often = counts.where(F.col("n") >= rare).join(turned, ["x", "y"], "left").join(left, "x").join(right, "y").withColumn("one", F.lit(1))
+    log = lambda c: F.log(F.col(c).cast("double"))
+    pmi = F.greatest(log("n") + log("total") - log("nx") - log("ny"), F.lit(0.0))
     back = F.coalesce("back", F.lit(0))
-    loose = F.least("n", back) / F.greatest("n", back)
-    often = counts.where(F.col("n") >= rare).join(turned, ["x", "y"], "left")
-    return often.join(left, "x").join(right, "y").select("pair", F.greatest(score - 2 * loose, F.lit(LOWEST)).alias("pmi2"))
+    order = 1 - F.least("n", back) / F.greatest("n", back)
+    return often.join(F.broadcast(total.withColumn("one", F.lit(1))), "one").select("pair", "n", (pmi * order).alias("score"))
 
 
-_LISTED = pair_codes_of(np.array([(a, b) for a in (_LINK, _TAG) for b in (_LINK, _TAG)], np.int64))
+_LISTED = np.concatenate([pair_codes(np.array([a]), np.array([b])) for a in (_LINK, _TAG) for b in (_LINK, _TAG)])
 _WINDOW = np.ones(2 * _MARGIN + 1) / (2 * _MARGIN + 1)
 
 
@@ -181,7 +163,7 @@ def _smooth(x: np.ndarray) -> np.ndarray:
 
 
 def repeats(pair: np.ndarray, reach: int = 40) -> np.ndarray:
-    """1.0 where the same collocation occurred at most ``reach`` words before."""
+    """1.0 where the same collocation occurs again at most ``reach`` words before or after."""
     order = np.argsort(pair, kind="stable")
     out = np.zeros(len(pair))
     near = (pair[order[1:]] == pair[order[:-1]]) & (order[1:] - order[:-1] <= reach)
@@ -190,110 +172,152 @@ def repeats(pair: np.ndarray, reach: int = 40) -> np.ndarray:
     return out
 
 
-def marks(pmi2: np.ndarray, pair: np.ndarray, salad: float, repetition: float, min_words: int) -> np.ndarray:
-    """Which pairs of neighbours are marked; fewer than ``min_words`` words are judged by repetition, links and tags alone."""
-    if len(pair) + 1 < min_words:
-        _, kind, n = np.unique(pair, return_inverse=True, return_counts=True)
-        return (_smooth((n[kind] >= 3).astype(float)) > repetition) | np.isin(pair, _LISTED)
-    return (_smooth(pmi2) < salad) | (_smooth(repeats(pair)) > repetition)
+@dataclass(frozen=True)
+class Rule:
+    """What marks a window: mean information below ``below`` (the corpus mean is ``mean``), or a share of repetition above ``repetition``."""
+
+    mean: float
+    below: float
+    repetition: float
+    min_words: int
 
+    def repeated(self, pair: np.ndarray) -> np.ndarray:
+        """Pairs marked by repetition; in fewer than ``min_words`` words also neighbouring links and tags."""
+        if len(pair) + 1 < self.min_words:
+            _, kind, n = np.unique(pair, return_inverse=True, return_counts=True)
+            return (_smooth((n[kind] >= 3).astype(float)) > self.repetition) | np.isin(pair, _LISTED)
+        return _smooth(repeats(pair)) > self.repetition
 
-def marked_share(pmi2: np.ndarray, pair: np.ndarray, lengths: np.ndarray, salad: float, repetition: float, min_words: int = 12) -> tuple[float, float]:
-    """(share of the words' characters in marked stretches, mean squared information)."""
-    mark = marks(pmi2, pair, salad, repetition, min_words)
-    weight = (lengths[:-1] + lengths[1:]).astype(float)
-    return float((weight * mark).sum() / weight.sum()), float(pmi2.mean())
+    def judge(self, score: np.ndarray, repeated: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+        """(mean information, share of the words' characters in marked stretches) of a page."""
+        marked = repeated if len(score) + 1 < self.min_words else repeated | (_smooth(score) < self.below)
+        return float(score.mean()), float((weight * marked).sum() / weight.sum())
 
 
 def score_pages(
-    pages: DataFrame, key_col: str = "doc_id", text_col: str = "text", salad: float = -5.2, repetition: float = 0.85,
+    pages: DataFrame, key_col: str = "doc_id", text_col: str = "text", salad: float = 0.66, repetition: float = 0.85,
     rare: int = 3, min_words: int = 12, most_pairs: int = 2_000_000,
 ) -> DataFrame:
     """``doc_id, coherence, marked`` of every page.
 
-    The score table goes to the tasks as two sorted arrays if it has at most ``most_pairs`` rows (24 MB, checked);
-    beyond that the pages' collocations are joined to it by a shuffle on the pair code, with the same result.
+    The score table goes to the tasks as two sorted arrays if it has at most ``most_pairs`` rows (24 MB, counted before);
+    beyond that each page's collocations meet it in a shuffle join, and the pages are put together again by sorting. Both give the same rows.
     """
-    spark = pages.sparkSession
     kind = pages.schema[key_col].dataType.simpleString()
     counts = cut_lineage(collocation_counts(pages, text_col))  # one pass over the texts; the scores read the counts four times
-    scores = collocation_scores(counts, rare)
-    scores = scores.where(F.abs(F.col("pmi2") - NEUTRAL) > 0.25).select("pair", F.col("pmi2").cast("float").alias("pmi2"))
-    table = scores.limit(most_pairs + 1).toPandas()
-    fields = f"doc_id {kind}, coherence double, marked double"
+    scores = cut_lineage(collocation_scores(counts, rare))
+    size, mean = scores.agg(F.count(F.lit(1)), F.try_divide(F.sum(F.col("n") * F.col("score")), F.sum("n"))).first()
+    rule = Rule(mean or 0.0, salad * (mean or 0.0), repetition, min_words)
     source = pages.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if len(table) > most_pairs:
-        return _score_by_join(source, scores, fields, salad, repetition, min_words)
-    table = table.sort_values("pair")
-    shared = spark.sparkContext.broadcast((table["pair"].to_numpy(np.int64), table["pmi2"].to_numpy(np.float32)))
+    fields = f"doc_id {kind}, coherence double, marked double"
+    return (_score_in_place if size <= most_pairs else _score_by_join)(source, scores.select("pair", "score"), fields, rule)
+
+
+def _result(keys: list, key_type: pa.DataType, found: list[tuple[float, float] | None]) -> pa.RecordBatch:
+    columns = [[f[i] if f else None for f in found] for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(keys, key_type), *(pa.array(c, pa.float64()) for c in columns)], names=["doc_id", "coherence", "marked"])
+
+
+def _page(words: _Words, text: str | None, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(pair codes, pairs apart, marked by repetition, weights) of a page with at least two words."""
+    codes, lengths, touching = words(text)
+    if len(codes) < 2:
+        return None
+    pair = pair_codes(codes[:-1], codes[1:])
+    return pair, ~touching[1:], rule.repeated(pair), (lengths[:-1] + lengths[1:]).astype(np.int32)
+
+
+def _score_in_place(source: DataFrame, scores: DataFrame, fields: str, rule: Rule) -> DataFrame:
+    table = scores.toPandas().sort_values("pair")
+    shared = source.sparkSession.sparkContext.broadcast((table["pair"].to_numpy(np.int64), table["score"].to_numpy(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = shared.value
         words = _Words()
         for batch in batches:
-            coherence: list[float | None] = []
-            marked: list[float | None] = []
-            texts = batch.column(1).to_pylist()
-            for text in texts:
-                codes, lengths = words(text) if text else (np.zeros(0, np.int64),) * 2
-                if len(codes) < 2:
-                    coherence.append(None)
-                    marked.append(None)
+            found: list[tuple[float, float] | None] = []
+            for text in batch.column(1).to_pylist():
+                page = _page(words, text, rule)
+                if page is None:
+                    found.append(None)
                     continue
-                pair = pair_codes(codes)
-                pmi2 = np.full(len(pair), NEUTRAL)
+                pair, apart, repeated, weight = page
+                score = np.full(len(pair), rule.mean)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-                    hit = keys[at] == pair
-                    pmi2[hit] = values[at[hit]]
-                m, c = marked_share(pmi2, pair, lengths, salad, repetition, min_words)
-                coherence.append(c)
-                marked.append(m)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coherence, pa.float64()), pa.array(marked, pa.float64())], names=["doc_id", "coherence", "marked"])
+                    hit = (keys[at] == pair) & apart
+                    score[hit] = values[at[hit]]
+                found.append(rule.judge(score, repeated, weight))
+            yield _result(batch.column(0).to_pylist(), batch.schema.field(0).type, found)
 
     return source.mapInArrow(run, fields)
 
 
-def _score_by_join(source: DataFrame, scores: DataFrame, fields: str, salad: float, repetition: float, min_words: int) -> DataFrame:
-    """The same scores without a broadcast: one row per distinct collocation of a page, joined, then folded per page."""
+def _score_by_join(source: DataFrame, scores: DataFrame, fields: str, rule: Rule) -> DataFrame:
+    """The same without a broadcast.
+
+    Every page gives one head row (its weights and marks, five bytes a pair) and one row per pair that may have a score. Pairs meet their scores,
+    those without one are dropped, and the rows of a page come together, in order, by one more shuffle and a sort; pages are then judged from the sorted
+    rows as they stream by. Rows of a page are numbered by task and place, so repeated keys stay apart.
+    """
     kind = fields.split()[1].rstrip(",")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
+            key_type = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes, lengths = words(text) if text else (np.zeros(0, np.int64),) * 2
-                n = len(codes)
-                if n < 2:
-                    rows = [(key, None, [], [])]
-                else:
-                    pair = pair_codes(codes)
-                    u, inv = np.unique(pair, return_inverse=True)
-                    order = np.argsort(inv, kind="stable")
-                    at = np.split(order, np.cumsum(np.bincount(inv))[:-1])
-                    w = lengths[:-1] + lengths[1:]
-                    rows = [(key, int(p), a.tolist(), w[a].tolist()) for p, a in zip(u.tolist(), at)]
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.int32()))],
-                    names=["doc_id", "pair", "at", "weight"])
-
-    def fold(pdf):  # noqa: ANN001, ANN202 - one page, as large as its text
-        import pandas as pd
-
-        if pdf["pair"].isna().any():
-            return pd.DataFrame({"doc_id": pdf["doc_id"][:1], "coherence": [None], "marked": [None]})
-        at = np.concatenate([np.asarray(a) for a in pdf["at"]])
-        reps = [len(a) for a in pdf["at"]]
-        order = np.argsort(at)
-        weight = np.concatenate([np.asarray(a) for a in pdf["weight"]])[order].astype(float)
-        pmi2 = np.repeat(pdf["pmi2"].fillna(NEUTRAL).to_numpy(float), reps)[order]
-        pair = np.repeat(pdf["pair"].to_numpy(np.int64), reps)[order]
-        mark = marks(pmi2, pair, salad, repetition, min_words)
-        return pd.DataFrame({"doc_id": pdf["doc_id"][:1], "coherence": [pmi2.mean()], "marked": [(weight * mark).sum() / weight.sum()]})
-
-    rows = source.mapInArrow(pairs, f"doc_id {kind}, pair bigint, at array<int>, weight array<int>")
-    return rows.join(scores, "pair", "left").groupBy("doc_id").applyInPandas(fold, fields)
+                page = _page(words, text, rule)
+                pair, apart, repeated, weight = page or (np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.int32))
+                at = np.flatnonzero(apart)
+                n = len(at)
+                head = weight.tobytes() + repeated.astype(np.uint8).tobytes()
+                # a head meets no score: its code only spreads it over the partitions
+                spread = np.array([(number * 0x9E3779B97F4A7C15 + 1) & 0x7FFFFFFFFFFFFFFF], np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(n + 1, number)), pa.array(np.concatenate([[-1], at]).astype(np.int32)), pa.array(np.concatenate([spread, pair[at]])),
+                    pa.array([key] + [None] * n, key_type), pa.array([head] + [None] * n, pa.binary())], names=["row", "at", "pair", "doc_id", "head"])
+                number += 1
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def judged(done: pa.Table, key_type: pa.DataType) -> pa.RecordBatch:
+            row, at, score = (done.column(c).to_numpy() for c in ("row", "at", "score"))
+            heads = np.flatnonzero(at < 0)
+            ends = np.append(heads[1:], len(row))
+            keys = done.column("doc_id").take(pa.array(heads)).to_pylist()
+            bodies = done.column("head").take(pa.array(heads)).to_pylist()
+            found: list[tuple[float, float] | None] = []
+            for a, b, body in zip(heads.tolist(), ends.tolist(), bodies):
+                n = len(body) // 5
+                x = np.full(n, rule.mean)
+                x[at[a + 1 : b]] = score[a + 1 : b].astype(np.float32)
+                found.append(rule.judge(x, np.frombuffer(body, np.uint8, n, 4 * n).astype(bool), np.frombuffer(body, np.int32, n)) if n else None)
+            return _result(keys, key_type, found)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row = batch.column("row").to_numpy()
+            key_type = batch.schema.field("doc_id").type
+            if last is not None and row[-1] != last or last is None and row[0] != row[-1]:
+                cut = int(np.searchsorted(row, row[-1]))  # the last page may go on in the next batch
+                done = pa.Table.from_batches([*held, batch.slice(0, cut)])
+                if done.num_rows:
+                    yield judged(done, key_type)
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+            last = row[-1]
+        if held:
+            yield judged(pa.Table.from_batches(held), held[0].schema.field("doc_id").type)
+
+    pairs = source.mapInArrow(rows, f"row bigint, at int, pair bigint, doc_id {kind}, head binary")
+    met = pairs.join(scores, "pair", "left").where("score is not null or at < 0").select("row", "at", "score", "doc_id", "head")
+    return met.repartition("row").sortWithinPartitions("row", "at").mapInArrow(fold, fields)
 
 
 def stuffed_pages(pages: DataFrame, most: float = 0.52, **options: object) -> DataFrame:

@@ -185,7 +185,7 @@ def test_many_open_marks_and_list_levels():
         assert time.perf_counter() - began < 3
     cut = lambda t: [t[a:b] for a, b in sentences.sentence_units(t)]
     assert cut("1. Apples\n2. Pears. Done\n  1. in\n3. End.") == ["1. Apples\n2. Pears.", "Done\n  1. in\n3. End."]
-    assert cut("(a [b. C) D. E") == ["(a [b. C) D.", "E"]  # the bracket inside is never closed
+    assert cut("(a [b. C) Done. End") == ["(a [b. C) Done.", "End"]  # the bracket inside is never closed
 
 
 @settings(max_examples=150, deadline=None)
@@ -494,6 +494,9 @@ def test_stuffed_pages(spark):
     same = {r["doc_id"]: r["marked"] for r in spam.score_pages(df).collect()}
     joined = {r["doc_id"]: r["marked"] for r in spam.score_pages(df, most_pairs=0).collect()}
     assert same.keys() == joined.keys() and all((a is None and joined[k] is None) or a == pytest.approx(joined[k]) for k, a in same.items())
+    twice = df.unionByName(df.where("doc_id % 3 = 0"))
+    ways = [sorted((r["doc_id"], r["marked"] or 0, r["coherence"] or 0) for r in spam.score_pages(twice, most_pairs=m).collect()) for m in (2_000_000, 0)]
+    assert len(ways[0]) == twice.count() and np.allclose(ways[0], ways[1])
     assert spam.stuffed_pages(df.limit(0)).count() == 0
 
 
@@ -511,14 +514,23 @@ def test_short_pages(spark):
     assert {r["doc_id"] for r in spam.score_pages(df).where("marked is null").collect()} == {111, 114, 115}
 
 
+def test_words_of_pages():
+    words = spam._Words()
+    lengths = lambda t: words(t)[1].tolist()
+    # no stretch is one word for its length; letters and digits stay together
+    assert lengths("ab12cd" * 100) == [600] and lengths("a,b;c#d " * 3) == [1, 1, 1, 2] * 3 and lengths("9" * 300) == [300]
+    assert len(lengths("上有我这" * 100)) == 200 and words("上有我这 人")[2].tolist() == [False, True, False]
+    assert lengths("1 2 3.5 x") == [5, 1] and lengths("") == [] and lengths(None) == []
+
+
 def test_collocation_counts_match_brute_force(spark):
     prose, *_ = _pages()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(prose)], "doc_id bigint, text string")
     words = spam._Words()
     want = Counter()
     for t in prose:
-        c, _ = words(t)
-        want.update(zip(c[:-1].tolist(), c[1:].tolist()))
+        c, _, touching = words(t)
+        want.update(p for p, x in zip(zip(c[:-1].tolist(), c[1:].tolist()), touching[1:]) if not x)
     assert {(r["x"], r["y"]): r["n"] for r in spam.collocation_counts(df).collect()} == dict(want)
 
 
