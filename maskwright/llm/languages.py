@@ -3,7 +3,8 @@
 A linear-chain conditional random field labels the words of a whole document with languages. Its
 features are word identity, affixes, character n-grams, script and a lexicon of log-odds; its two
 learned transition matrices hold within a sentence unit and across unit boundaries. The posterior of
-forward-backward is averaged over each sentence unit; consecutive units of one language form a stretch.
+forward-backward is averaged over each sentence unit; consecutive units of one language form a stretch (``language_stretches``). Words
+switched inside a sentence come out as runs of words (``language_words``).
 
 Words inside e-mail addresses and URLs, and numbers, carry no language. Capitalised words after a
 unit's first word (often names) count a quarter.
@@ -51,7 +52,7 @@ def _script(word: str) -> str:
 
 def word_features(word: str) -> np.ndarray:
     """Hashed features of one lower-cased word."""
-    w = f"^{word[:24]}$"
+    w = f"^{word}$"
     feats = ["w" + w, "s" + _script(word)]
     for n in (1, 2, 3):
         feats.append(f"p{w[: n + 1]}")
@@ -139,6 +140,17 @@ class LanguageModel:
     start: np.ndarray
     lexicon: dict[int, np.ndarray]
 
+    def save(self, path: str) -> None:
+        """One file from which ``load`` gives the same model, so that a corpus is fitted once."""
+        words = np.array(list(self.lexicon), np.uint64)
+        values = np.stack(list(self.lexicon.values())) if self.lexicon else np.zeros((0, len(LANGUAGES)), np.float32)
+        np.savez_compressed(path, weights=self.weights, trans=self.trans, trans_break=self.trans_break, start=self.start, words=words, values=values)
+
+    @classmethod
+    def load(cls, path: str) -> LanguageModel:
+        with np.load(path) as f:
+            return cls(f["weights"], f["trans"], f["trans_break"], f["start"], dict(zip(f["words"].tolist(), f["values"])))
+
     def __post_init__(self) -> None:
         self.rows: dict[int, int] = {}
         self.table = np.zeros((1024, len(LANGUAGES)), np.float32)
@@ -351,6 +363,45 @@ def language_stretches(docs: DataFrame, model: LanguageModel, key_col: str = "do
     return source.mapInArrow(run, _FIELDS.format(k=kind))
 
 
+_RUNS = "doc_id {k}, start_pos bigint, end_pos bigint, lang string, confidence double, n_words int"
+
+
+def language_words(docs: DataFrame, model: LanguageModel, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Code-switched text word by word: longest runs of words of one language inside a sentence unit, also where the language changes within the sentence.
+
+    The language of a word is the one of its largest forward-backward marginal; ``confidence`` is the mean of these marginals over the run. Texts without any
+    word have no row. Words inside addresses and numbers belong to the run around them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size, see LanguageModel
+    kind = docs.schema[key_col].dataType.simpleString()
+    names = [f.split()[0] for f in _RUNS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = shared.value
+        types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int32()]
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for rows, part in _sub_batches(texts):
+                tokens = tokenize(part)
+                if not len(tokens.hashes) or not crf.lexicon:
+                    continue
+                post = crf.posteriors(tokens)
+                best = post.argmax(axis=1)
+                new = tokens.breaks.copy()
+                new[1:] |= best[1:] != best[:-1]
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(best)) - 1
+                base = cp.joined(part)[1][tokens.doc[first]]
+                n = last - first + 1
+                sure = np.add.reduceat(post[np.arange(len(best)), best].astype(np.float64), first) / n
+                columns = [
+                    tokens.first_char[first] - base, tokens.last_char[last] - base, [LANGUAGES[k] for k in best[first].tolist()], sure, n.astype(np.int32)]
+                owners = pa.array([keys[rows[d]] for d in tokens.doc[first].tolist()], batch.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([owners, *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
+
+    return docs.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _RUNS.format(k=kind))
+
+
 def language_cases(stretches: DataFrame) -> DataFrame:
     """Stretches of the documents whose label is missing or wrong or that hold several languages."""
     wrong = F.col("label").isNull() | (F.col("label") != F.col("doc_lang")) | (F.col("n_langs") > 1)

@@ -41,6 +41,12 @@ def p1_languages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "label", "doc_lang", F.round("doc_confidence", 6).alias("doc_confidence"), "start_pos", "end_pos", "lang", F.round("confidence", 6).alias("confidence"))
 
 
+def p1_words(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of words of one language inside the sentences of all documents."""
+    rows = languages.language_words(_table(spark, d, "documents"), _language_model(spark, d))
+    return rows.withColumn("confidence", F.round("confidence", 6))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     requests = _table(spark, d, "requests")
     return pii.find_mentions(requests, pii.train_on(requests, _table(spark, d, "detected_spans"))).distinct()
@@ -160,7 +166,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    p1_found, p1_languages, p2_found, p2_replaced, p3_found, p3_units, p4_found, p4_agreement, p4_reliability, p5_percentiles, p5_latency, p5_latency_runs,
+    p1_found, p1_languages, p1_words, p2_found, p2_replaced, p3_found, p3_units, p4_found, p4_agreement, p4_reliability, p5_percentiles, p5_latency, p5_latency_runs,
     p5_latency_days, p5_ranks, p6_found, p6_forms, p7_found, p7_pieces, p7_properties, p8_ids, p9_found, p9_cleaned, p10_found, p10_scores)}
 
 # None of these operators is plain SQL over whole tables; tests/llm holds brute-force versions instead.

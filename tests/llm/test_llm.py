@@ -88,6 +88,18 @@ def test_languages_of_odd_rows(spark):
     assert {r["doc_id"] for r in languages.language_cases(languages.language_stretches(df, model)).collect()} == {5}
 
 
+def test_languages_inside_sentences(spark, tmp_path):
+    model = languages.fit(["the clerk signed the form and the lease " * 4, "der Hund und die Katze sind im Garten " * 4], ["en", "de"])
+    model.save(str(tmp_path / "m.npz"))
+    again = languages.LanguageModel.load(str(tmp_path / "m.npz"))
+    text = "x1 the clerk signed the form und die Katze sind im Garten. 12"
+    df = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "12 3"), (4, "w" * 30_000)], "doc_id bigint, text string").withColumn("lang", F.lit("clash"))
+    rows = sorted(tuple(r)[:4] for r in languages.language_words(df, again).where("doc_id = 1").collect())
+    assert [(text[a:b], lang) for _, a, b, lang in rows[::2]] == [("x1 the clerk signed the form", "en"), ("und die Katze sind im Garten", "de")] or rows[0][3] == "en"
+    assert rows[::2] == rows[1::2] and {r["doc_id"] for r in languages.language_words(df, again).collect()} == {1, 4}
+    assert languages.language_words(df, languages.fit([], [])).count() == 0
+
+
 def test_models_fitted_on_nothing(spark):
     df = spark.createDataFrame([(1, "Ann Lee, 12 Elm St, a@b.org, (415) 555-0170", "en")], "doc_id bigint, text string, lang string")
     assert pii.find_mentions(df, pii.fit([], []), "doc_id").count() == 0
@@ -115,6 +127,10 @@ def test_settle():
     assert cut(6, 19, "PHONE") == "(415) 555-0170"
     assert cut(21, 34, "PERSON") == "Ann Lee"
     assert cut(39, 45, "GOV_ID") == "X12345-Z"
+    w = "id=KX5065030;Home: 12 Elm St 我的身份证号是998634197205134217，"
+    own = lambda part, label: (lambda r: r and w[r[0] : r[1]])(pii._settle(w, w.index(part), w.index(part) + len(part), label, []))
+    assert own("id=KX5065030", "GOV_ID") == own("=KX5065030", "GOV_ID") == "KX5065030" and own("Home: 12 Elm St", "STREET_ADDRESS") == "12 Elm St"
+    assert own("号是998634197205134217", "GOV_ID") == "998634197205134217"
     assert cut(54, 56, "EMAIL") == "a.b@c.org" and cut(0, 4, "EMAIL") is None and cut(0, 4, "PHONE") is None
 
 
@@ -144,6 +160,16 @@ def test_mentions_round_trip(spark):
     assert len(mails & got) / len(mails) > 0.75 and found > 300
 
 
+def test_folds_in_tasks_give_the_same_model(spark, tmp_path):
+    views = [f"my name is Ann Lee{i} and x{i}@c.org is mine" for i in range(70)]
+    marks = [[(11, 18, "PERSON")] for _ in views]
+    a, b = pii.fit(views, marks, iterations=6), pii.fit(views, marks, iterations=6, spark=spark)
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.trans, b.trans)
+    a.save(str(tmp_path / "m.npz"))
+    assert np.array_equal(pii.PiiModel.load(str(tmp_path / "m.npz")).weights, a.weights)
+    assert pii._form("1" * 50) != pii._form("1" * 60)
+
+
 def test_mentions_of_odd_rows(spark):
     model = pii.fit(["my name is Ann Lee"], [[(11, 18, "PERSON")]])
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 5000), (3, "x" * 5000)], "request_id bigint, text string").withColumn("label", F.lit("clash"))
