@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import codepoints as cp
 
@@ -200,13 +201,30 @@ def leak_spans(
     parts = []
     for block in _blocks(items, item_key, item_text, item_lang, block_chars):
         shared = sc.broadcast(ItemSet(block, words, chars))
-        parts.append(source.mapInArrow(_scanner(shared, fields), fields))
+        parts.append(source.mapInArrow(_scanner(shared, fields, to_arrow_type(items.schema[item_key].dataType)), fields))
     if not parts:
         return docs.sparkSession.createDataFrame([], fields)
     return reduce(DataFrame.unionByName, parts)
 
 
-def _scanner(shared, fields: str):  # noqa: ANN001, ANN202
+def _parts(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """(rows, texts) of the texts that are not empty, in parts of about ``_SUB_CHARS``."""
+    rows: list[int] = []
+    part: list[str] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if t:
+            rows.append(i)
+            part.append(t)
+            size += len(t)
+        if size >= _SUB_CHARS:
+            yield rows, part
+            rows, part, size = [], [], 0
+    if part:
+        yield rows, part
+
+
+def _scanner(shared, fields: str, item_type: pa.DataType):  # noqa: ANN001, ANN202
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,12 +232,8 @@ def _scanner(shared, fields: str):  # noqa: ANN001, ANN202
         for batch in batches:
             keys = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
-            rows: list[int] = []
-            part: list[str] = []
-            size = 0
             out: list[tuple] = []
-
-            def flush() -> None:
+            for rows, part in _parts(texts):
                 spans: dict[tuple[int, int], list[list[int]]] = {}
                 for d, item, a, b in sorted(found.hits(part)):
                     runs = spans.setdefault((d, item), [])
@@ -228,19 +242,8 @@ def _scanner(shared, fields: str):  # noqa: ANN001, ANN202
                     else:
                         runs.append([a, b])
                 out.extend((keys[rows[d]], item, a, b) for (d, item), runs in spans.items() for a, b in runs)
-
-            for i, t in enumerate(texts):
-                if t:
-                    rows.append(i)
-                    part.append(t)
-                    size += len(t)
-                    if size >= _SUB_CHARS:
-                        flush()
-                        rows, part, size = [], [], 0
-            if part:
-                flush()
             cols = list(zip(*out)) if out else [[]] * 4
-            types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64()]
+            types = [batch.schema.field(0).type, item_type, pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     return run
@@ -267,3 +270,36 @@ def remove_leaks(docs: DataFrame, spans: DataFrame, mode: str = "span", doc_key:
 
     folded = F.aggregate("_cuts", zero, step, lambda acc: F.concat(acc["kept"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     return docs.join(cuts, doc_key, "left").withColumn(doc_text, F.when(F.col("_cuts").isNull(), text).otherwise(folded)).drop("_cuts")
+
+
+def cleaned(docs: DataFrame, items: DataFrame, words: int = 12, chars: int = 24, block_chars: int = 4_000_000, doc_key: str = "doc_id", doc_text: str = "text",
+            item_key: str = "item_id", item_text: str = "text", item_lang: str = "lang") -> DataFrame:
+    """``doc_id, text`` of every row, leaked spans cut out by the scanner that finds them: one pass over the texts, no join.
+
+    Held-out sets of several blocks are scanned block by block; their spans then meet the texts by key (``remove_leaks``).
+    """
+    blocks = _blocks(items, item_key, item_text, item_lang, block_chars)
+    first, more = next(blocks, []), next(blocks, None)
+    source = docs.select(F.col(doc_key).alias("doc_id"), F.col(doc_text).alias("text"))
+    if more is not None:
+        spans = leak_spans(docs, items, words, chars, block_chars, doc_key, doc_text, item_key, item_text, item_lang)
+        return remove_leaks(source, spans, doc_key="doc_id", doc_text="text")
+    shared = docs.sparkSession.sparkContext.broadcast(ItemSet(first, words, chars))
+    kind = docs.schema[doc_key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            cuts: dict[int, list[tuple[int, int]]] = {}
+            for rows, part in _parts(texts):
+                for d, _, a, b in shared.value.hits(part):
+                    cuts.setdefault(rows[d], []).append((a, b))
+            for i, found in cuts.items():
+                kept, at = [], 0
+                for a, b in sorted(found):
+                    kept.append(texts[i][at:a] if a > at else "")
+                    at = max(at, b)
+                texts[i] = "".join([*kept, texts[i][at:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return source.mapInArrow(run, f"doc_id {kind}, text string")

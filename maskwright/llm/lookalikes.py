@@ -149,18 +149,36 @@ def with_consistent_text(df: DataFrame, text_col: str = "text", out: str = "form
     return keyed.join(forms, ["_h1", "_h2"], "left").withColumn(out, F.coalesce("_form", F.col(text_col))).drop("_h1", "_h2", "_form")
 
 
+def _hashed(df: DataFrame, key_col: str, text_col: str, within: str | None) -> DataFrame:
+    """``key, grp, _h1, _h2, s1, s2``: 128 bits each for the text and its form, of every row with a text. Written once: some 50 bytes a row."""
+    rows = df.where(F.length(text_col) > 0).select(
+        F.col(key_col).alias("key"), (F.col(within) if within else F.lit(0)).alias("grp"), F.col(text_col).alias("_text"))
+    formed = with_consistent_text(rows, "_text", "_form0")
+    return cut_lineage(formed.select(
+        "key", "grp", *_id(F.col("_text")), F.xxhash64("_form0").alias("s1"), F.xxhash64(F.lit("second"), "_form0").alias("s2")).distinct())
+
+
+def lookalike_classes(df: DataFrame, key_col: str, text_col: str = "text", within: str | None = None) -> DataFrame:
+    """``key, grp, class_id, text_id, members, ways``: one row per row whose text looks like a different text of its group.
+
+    ``class_id`` stands for the common form, ``text_id`` for the exact text; a class has ``members`` rows in ``ways`` different texts. Its size is that of the rows, however
+    many copies a class has; any two members with different ``text_id`` are a pair. Null and empty texts are left out.
+    """
+    small = _hashed(df, key_col, text_col, within)
+    form = ["grp", "s1", "s2"]
+    texts = small.groupBy(*form, "_h1", "_h2").agg(F.count(F.lit(1)).alias("n"))
+    classes = texts.groupBy(*form).agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("ways")).where("ways > 1")
+    name = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
+    return small.join(classes, form).select("key", "grp", name("s1", "s2").alias("class_id"), name("_h1", "_h2").alias("text_id"), "members", "ways")
+
+
 def lookalike_pairs(df: DataFrame, key_col: str, text_col: str = "text", within: str | None = None) -> DataFrame:
     """``key_a, key_b`` of rows whose texts look the same but are not equal, optionally only inside one ``within`` value.
 
-    Distinct texts are paired first, and only where a form has several of them; rows join those pairs
-    afterwards, so copies of one text are never compared with each other. Null and empty texts are left out.
+    For queries that must have every pair of rows; ``lookalike_classes`` says the same in one row per row. Distinct texts are paired first, and only where a form has
+    several of them; rows join those pairs afterwards, so copies of one text are never compared with each other. Null and empty texts are left out.
     """
-    rows = df.where(F.length(text_col) > 0).select(
-        F.col(key_col).alias("key"), (F.col(within) if within else F.lit(0)).alias("grp"), F.col(text_col).alias("_text"))
-    formed = with_consistent_text(rows, "_text", "_form0")
-    small = formed.select(
-        "key", "grp", *_id(F.col("_text")), F.xxhash64("_form0").alias("s1"), F.xxhash64(F.lit("second"), "_form0").alias("s2")).distinct()
-    small = cut_lineage(small)  # some 50 bytes a row; the pairs below read it four times
+    small = _hashed(df, key_col, text_col, within)
     ways = small.select("grp", "s1", "s2", "_h1", "_h2").distinct()
     several = ways.groupBy("grp", "s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     ways = ways.join(several, ["grp", "s1", "s2"])

@@ -122,6 +122,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return requests.select(F.lit("request").alias("tab"), "key_a", "key_b").unionByName(spans.select(F.lit("span").alias("tab"), "key_a", "key_b"))
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Requests that look like another one, by class."""
+    return lookalikes.lookalike_classes(_table(spark, d, "requests"), "request_id").drop("grp")
+
+
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.with_consistent_text(_table(spark, d, "requests").select("request_id", "text"))
 
@@ -148,9 +153,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").select("doc_id", "text")
-    spans = leaks.leak_spans(docs, _table(spark, d, "eval_items"))
-    return leaks.remove_leaks(docs, spans)
+    """Every document without its leaked spans."""
+    return leaks.cleaned(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked spans with their items."""
+    return leaks.leak_spans(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +176,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     p1_found, p1_languages, p1_words, p2_found, p2_replaced, p3_found, p3_units, p4_found, p4_agreement, p4_reliability, p5_percentiles, p5_latency, p5_latency_runs,
-    p5_latency_days, p5_ranks, p6_found, p6_forms, p7_found, p7_pieces, p7_properties, p8_ids, p9_found, p9_cleaned, p10_found, p10_scores)}
+    p5_latency_days, p5_ranks, p6_found, p6_classes, p6_forms, p7_found, p7_pieces, p7_properties, p8_ids, p9_found, p9_cleaned, p9_spans, p10_found, p10_scores)}
 
 # None of these operators is plain SQL over whole tables; tests/llm holds brute-force versions instead.
 ORACLES: dict[str, str] = {

@@ -15,6 +15,7 @@ tokens are ordinary text; no special tokens are added.
 
 from __future__ import annotations
 
+import ast
 import functools
 import json
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_DIR = "/opt/tokenizers"
 _CACHE = 400_000
+MAX_VOCABULARY = 64_000_000
 _LONG = 24
 _SHORT = (2, 1)
 
@@ -35,9 +37,9 @@ _SHORT = (2, 1)
 class Vocabulary:
     """Tokens, merges and the seam test of a byte-level vocabulary file (``.json`` of the tokenizers library)."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, source: str | bytes) -> None:
+        """From the file's path or from its content."""
+        model = json.loads(_read(source) if isinstance(source, str) else source)["model"]
         to_byte = {c: b for b, c in _byte_letters().items()}
         ids = model["vocab"]
         self.ids: dict[bytes, int] = {}
@@ -166,8 +168,8 @@ class PrefixTable:
 class Encoder:
     """Texts to ids with the caches described above."""
 
-    def __init__(self, path: str, pattern: str) -> None:
-        self.vocab = Vocabulary(path)
+    def __init__(self, source: str | bytes, pattern: str) -> None:
+        self.vocab = Vocabulary(source)
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, list[int]] = {}
         self.stretches: dict[str, list[int]] = {}
@@ -213,18 +215,28 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(source: str | bytes, pattern: str) -> Encoder:
     """One encoder per Python worker."""
-    return Encoder(path, pattern)
+    return Encoder(source, pattern)
+
+
+def _read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read(MAX_VOCABULARY + 1)
 
 
 def token_ids(docs: DataFrame, name: str = "byte_bpe_50k", directory: str = DEFAULT_DIR, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids`` of every row, null and empty texts included. Reads two columns, no shuffle."""
-    path = f"{directory}/{name}.json"
-    pattern = _pattern(directory)
+    """``doc_id, ids`` of every row, null and empty texts included. Reads two columns, no shuffle.
+
+    The vocabulary file is read on the driver and sent to the workers, so only the driver needs the folder; more than ``MAX_VOCABULARY`` bytes raise.
+    """
+    content, pattern = _read(f"{directory}/{name}.json"), _pattern(directory)
+    if len(content) > MAX_VOCABULARY:
+        raise ValueError(f"{name}.json has more than {MAX_VOCABULARY} bytes")
+    shared = docs.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode
+        encode = encoder(shared.value, pattern).encode
         for batch in batches:
             lists = [encode(t) for t in batch.column(1).to_pylist()]
             sizes = np.fromiter(map(len, lists), np.int32, len(lists))
@@ -238,10 +250,8 @@ def token_ids(docs: DataFrame, name: str = "byte_bpe_50k", directory: str = DEFA
 
 
 def _pattern(directory: str) -> str:
-    """The vocabulary's pre-splitting pattern, as its package states it."""
-    scope: dict[str, object] = {}
-    with open(f"{directory}/__init__.py", encoding="utf-8") as f:
-        for line in f:
-            if line.startswith("PATTERN"):
-                exec(line, scope)  # noqa: S102 - one constant of the installed package
-    return str(scope["PATTERN"])
+    """The vocabulary's pre-splitting pattern, a constant of the package beside it; read, not run."""
+    for node in ast.parse(_read(f"{directory}/__init__.py")).body:
+        if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "PATTERN" for t in node.targets):
+            return str(ast.literal_eval(node.value))
+    raise ValueError(f"{directory} states no PATTERN")

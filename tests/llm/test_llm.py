@@ -362,6 +362,9 @@ def test_pairs_match_brute_force(spark):
     df = spark.createDataFrame(rows, "k bigint, text string")
     want = {(i, j) for i, a in rows for j, b in rows if i < j and a and b and a != b and _brute_form(a) == _brute_form(b)}
     assert {tuple(r) for r in lookalikes.lookalike_pairs(df, "k").collect()} == want
+    classes = lookalikes.lookalike_classes(df.withColumn("members", F.lit(1)), "k").collect()
+    assert {(min(a["key"], b["key"]), max(a["key"], b["key"])) for a in classes for b in classes if a["class_id"] == b["class_id"] and a["text_id"] != b["text_id"]} == want
+    assert all(r["members"] == sum(x["class_id"] == r["class_id"] for x in classes) and r["ways"] > 1 for r in classes) and len(classes) < len(texts)
     inside = spark.createDataFrame([(1, 7, "abc"), (2, 7, "аbc"), (3, 8, "ａbc"), (2, 7, "аbc")], "k bigint, g bigint, text string")
     assert {tuple(r) for r in lookalikes.lookalike_pairs(inside, "k", within="g").collect()} == {(1, 2)}
     assert lookalikes.lookalike_pairs(df.limit(0), "k").count() == 0
@@ -489,6 +492,15 @@ def test_leak_spans_and_removal(spark):
     clean = {(r["doc_id"], r["text"]) for r in leaks.remove_leaks(docs.where("doc_id = 1 and text like 'Intro%'"), spans).collect()}
     assert clean == {(1, "Intro.  End.")}
     assert {r["doc_id"] for r in leaks.remove_leaks(docs, spans, "document").collect()} == {3, 4, 5}
+    whole = sorted((r["doc_id"], r["text"] or "") for r in leaks.cleaned(docs, items).collect())
+    assert len(whole) == docs.count() and (1, "Intro.  End.") in whole and (1, "again") in whole and (2, "") in whole
+    named = leaks.leak_spans(docs, items.withColumn("item_id", F.concat(F.lit("i"), "item_id")))
+    assert {r["item_id"] for r in named.collect()} == {"i7"}
+    assert leaks.cleaned(docs, items.limit(0)).count() == docs.count()
+    once = docs.where("doc_id <> 1 or text <> 'again'")
+    two = items.unionByName(spark.createDataFrame([(10, "x " * 30, "en")], items.schema))
+    rows = lambda f: sorted((r["doc_id"], r["text"] or "") for r in f.collect())
+    assert rows(leaks.cleaned(once, two, block_chars=1)) == rows(leaks.cleaned(once, two))
     assert leaks.leaked_items(docs, items.limit(0)).count() == 0
     small = {tuple(r) for r in leaks.leaked_items(docs, items, block_chars=1).collect()}
     assert small == {(1, 7), (2, 7), (6, 7)}
