@@ -131,11 +131,12 @@ register_vocab("records", {
     "URL": "URL", "DATE": "DATE", "USERNAME": "USERNAME", "ORGANIZATION": "ORGANIZATION",
 }, "dataset")
 register_vocab("plain8", {x.lower(): x for x in "PERSON EMAIL PHONE ADDRESS URL DATE ACCOUNT SECRET".split()}, "detector", "eight lower-case labels")
+register_vocab("coarse15", {x.lower(): x for x in COARSE}, "detector", "the coarse labels in lower case")
 register_vocab("rules", {
     "EMAIL": "EMAIL", "PHONE": "PHONE", "IP": "IP_ADDRESS", "CARD": "CREDIT_CARD", "URL": "URL", "TOKEN": "API_KEY", "MONEY": "MONEY", "DATE": "DATE",
 }, "detector", "what the built-in rules emit")
 for _d in ("rules_strict", "rules_loose", "coarse_net", "ner_small", "ner_large", "cloud_mask", "hybrid_two", "lex_scan", "pattern_old"):
-    DETECTOR_VOCAB[_d] = "canonical"
+    DETECTOR_VOCAB[_d] = "coarse15" if _d == "coarse_net" else "canonical"
 
 
 def to_canonical(vocab: str, raw: str, level: str = "fine") -> str | None:
@@ -189,10 +190,11 @@ def scope_for(detector: list[str], dataset: list[str], level: str = "coarse", vi
     return {x: y for x, y in project.items() if y in wanted}
 
 
-def scope_table(spark: SparkSession, scopes: dict[str, dict[str, str]]) -> DataFrame:
-    """``detector, src_label, label``: one row per label a detector is scored on (at most 39 per detector)."""
-    rows = [(d, a, b) for d, m in scopes.items() for a, b in m.items()]
-    return spark.createDataFrame(rows, "detector string, src_label string, label string")
+def scope_table(spark: SparkSession, detectors: list[str], dataset: list[str], level: str = "coarse", labels: list[str] | None = None) -> DataFrame:
+    """``view, detector, src_label, label``: what each detector is scored on in either view, at most 39 rows per view and detector."""
+    rows = [
+        (view, d, a, b) for view in ("fair", "raw") for d in detectors for a, b in scope_for(supported_labels(d), dataset, level, view, labels).items()]
+    return spark.createDataFrame(rows, "view string, detector string, src_label string, label string")
 
 
 def labels_table(spark: SparkSession) -> DataFrame:

@@ -118,13 +118,30 @@ def locate(start: Column, end: Column, segments: Column) -> Column:
     return F.filter(segments, lambda s: F.when(start == end, (s["start"] <= start) & (start < s["end"])).otherwise((s["start"] < end) & (s["end"] > start)))
 
 
-def chunk_spans_to_documents(records: DataFrame, spans: DataFrame, documents: DataFrame) -> DataFrame:
-    """``doc_id, start, end, label, where``: spans of chunk records shifted to their document and placed in its segments."""
+def _moved(records: DataFrame, spans: DataFrame, documents: DataFrame) -> DataFrame:
+    """Spans of chunk records shifted to their document, with the segments they touch as ``found``."""
     own = records.where("doc_id is not null and offset is not null").select("id", "doc_id", "offset").distinct()
     moved = spans.join(own, "id").select("doc_id", (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"), "label").distinct()
     placed = moved.join(documents.select("doc_id", "segments"), "doc_id")
-    found = locate(F.col("start"), F.col("end"), F.col("segments"))
-    return placed.select("doc_id", "start", "end", "label", F.size(found).alias("n_segments"), F.try_element_at(found, F.lit(1))["start"].alias("segment_start"))
+    return placed.select("doc_id", "start", "end", "label", locate(F.col("start"), F.col("end"), F.col("segments")).alias("found"))
+
+
+def chunk_spans_to_documents(records: DataFrame, spans: DataFrame, documents: DataFrame) -> DataFrame:
+    """``doc_id, start, end, label, n_segments, segment_start``: spans of chunk records in their document, with the segments they touch."""
+    return _moved(records, spans, documents).select(
+        "doc_id", "start", "end", "label", F.size("found").alias("n_segments"), F.try_element_at("found", F.lit(1))["start"].alias("segment_start"))
+
+
+def format_where(where: Column) -> Column:
+    """A place in words: ``page 3``, ``line 2, part body``; keys in order."""
+    pairs = F.array_sort(F.map_entries(where))
+    return F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(" "), e["value"])), ", ")
+
+
+def span_places(records: DataFrame, spans: DataFrame, documents: DataFrame) -> DataFrame:
+    """``doc_id, start, end, label, segment, place``: one row per segment a span touches, the place in words; ``segment`` counts those of one span from 1."""
+    flat = _moved(records, spans, documents).select("doc_id", "start", "end", "label", F.posexplode("found").alias("k", "s"))
+    return flat.select("doc_id", "start", "end", "label", (F.col("k") + 1).alias("segment"), format_where(F.col("s.where")).alias("place"))
 
 
 def interval_union(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -42,28 +42,37 @@ def stub_client(rule: Callable[[str], object], limit: int | None = None) -> Call
     return build
 
 
-def parse_json(text: str) -> object:
-    """The answer's JSON: the whole text, else a fenced block, else the first value that decodes. Raises ValueError without one."""
+def json_candidates(text: str) -> Iterator[object]:
+    """Values that an answer may mean, likeliest first: the whole text, fenced blocks, then every value that decodes somewhere inside."""
     fenced = re.findall(r"```(?:json)?\s*(.*?)```", text, re.S)
     for candidate in [text, *fenced]:
         try:
-            return json.loads(candidate.strip())
+            yield json.loads(candidate.strip())
         except ValueError:
             continue
     decoder = json.JSONDecoder()
-    for m in re.finditer(r"[\[{]", text):
+    at = 0
+    while (m := re.compile(r"[\[{]").search(text, at)) is not None:
         try:
-            return decoder.raw_decode(text, m.start())[0]
+            value, at = decoder.raw_decode(text, m.start())
+            yield value
         except ValueError:
-            continue
-    raise ValueError("no JSON in the answer")
+            at = m.start() + 1
+
+
+def parse_json(text: str, schema: dict | None = None) -> object:
+    """The first candidate that fits the schema, else the first of all. Raises ValueError without one."""
+    found = list(json_candidates(text))
+    if not found:
+        raise ValueError("no JSON in the answer")
+    return next((v for v in found if schema is None or not problems(v, schema)), found[0])
 
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
 def problems(value: object, schema: dict, path: str = "$") -> list[str]:
-    """Where a value breaks a JSON schema (type, enum, required, properties, additionalProperties, items, anyOf)."""
+    """Where a value breaks a JSON schema (type, enum, const, bounds, lengths, pattern, required, properties, additionalProperties, items, anyOf)."""
     if "anyOf" in schema:
         tried = [problems(value, s, path) for s in schema["anyOf"]]
         return [] if any(not t for t in tried) else [f"{path}: fits no alternative"]
@@ -80,6 +89,17 @@ def problems(value: object, schema: dict, path: str = "$") -> list[str]:
     out = []
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{path}: not one of {schema['enum']}")
+    if "const" in schema and value != schema["const"]:
+        out.append(f"{path}: not {schema['const']!r}")
+    if isinstance(value, int | float) and not isinstance(value, bool):
+        if value < schema.get("minimum", value) or value > schema.get("maximum", value):
+            out.append(f"{path}: out of bounds")
+    if isinstance(value, str | list):
+        short, long = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
+        if not schema.get(short, 0) <= len(value) <= schema.get(long, len(value)):
+            out.append(f"{path}: wrong length {len(value)}")
+    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
+        out.append(f"{path}: does not match {schema['pattern']}")
     if isinstance(value, dict):
         props = schema.get("properties", {})
         out += [f"{path}: {k} is missing" for k in schema.get("required", []) if k not in value]
@@ -94,6 +114,24 @@ def problems(value: object, schema: dict, path: str = "$") -> list[str]:
     return out
 
 
+def minimal(schema: dict) -> object:
+    """The smallest value that fits a schema."""
+    if "const" in schema:
+        return schema["const"]
+    if "enum" in schema:
+        return schema["enum"][0]
+    if "anyOf" in schema:
+        return minimal(schema["anyOf"][0])
+    kind = schema.get("type", "null")
+    kind = kind[0] if isinstance(kind, list) else kind
+    if kind == "object":
+        return {k: minimal(schema.get("properties", {}).get(k, {})) for k in schema.get("required", [])}
+    if kind == "array":
+        return [minimal(schema.get("items", {})) for _ in range(schema.get("minItems", 0))]
+    plain = {"string": "x" * schema.get("minLength", 0), "integer": schema.get("minimum", 0), "number": schema.get("minimum", 0), "boolean": False}
+    return plain.get(kind)
+
+
 def scrub(text: str) -> str:
     """Lone surrogates become the replacement character."""
     return re.sub("[\ud800-\udfff]", "�", text)
@@ -104,10 +142,35 @@ def labels_prompt(text: Column, labels: list[str]) -> Column:
     return F.concat(F.lit("List every value of these kinds in the text as JSON [{\"value\", \"label\"}]: " + ", ".join(labels) + "\nText:\n"), text)
 
 
-def judge_prompt(text: Column, spans: Column) -> Column:
-    """Prompt that asks for a verdict on each pooled span."""
-    shown = F.array_join(F.transform(spans, lambda s, i: F.concat(i.cast("string"), F.lit(": "), s["label"], F.lit(" "), F.substring(text, s["start"] + 1, s["end"] - s["start"]))), "\n")
-    return F.concat(F.lit("Judge each numbered span: correct, wrong_label, boundary or not_pii. Answer as JSON [{\"i\", \"verdict\"}].\nText:\n"), text, F.lit("\nSpans:\n"), shown)
+class CallFailed(Exception):
+    """A call that gave no usable answer; ``truncated`` if a shorter question may help."""
+
+    def __init__(self, message: str, truncated: bool = False) -> None:
+        super().__init__(message)
+        self.truncated = truncated
+
+
+def call_json(client: Client, prompt: str, schema: dict | None = None, retries: int = 1) -> object:
+    """The checked JSON answer to one prompt; a bad answer is asked again with what was wrong. Raises CallFailed."""
+    note, last = "", CallFailed("no answer")
+    for _ in range(retries + 1):
+        try:
+            a = client(scrub(prompt + note))
+        except Exception as e:  # noqa: BLE001 - a client's failure is data
+            last = CallFailed(f"{type(e).__name__}: {e}"[:300])
+            continue
+        if a.error or a.refused or a.truncated:
+            raise CallFailed(a.error or ("refused" if a.refused else "truncated"), a.truncated)
+        try:
+            value = parse_json(a.text or "", schema)
+            bad = problems(value, schema) if schema else []
+        except ValueError as e:
+            bad = [str(e)]
+        if not bad:
+            return value
+        last = CallFailed("; ".join(bad)[:300])
+        note = f"\nThe last answer was not valid: {last}"
+    raise last
 
 
 def ask(df: DataFrame, prompt: Column, client: Callable[[], Client], schema: dict | None = None, key_col: str = "id", retries: int = 1) -> DataFrame:
@@ -119,29 +182,12 @@ def ask(df: DataFrame, prompt: Column, client: Callable[[], Client], schema: dic
         for pdf in batches:
             rows = []
             for key, text in zip(pdf["k"], pdf["p"]):
-                note, row = "", (key, None, "no answer", False)
-                for _ in range(retries + 1):
-                    if text is None:
-                        row = (key, None, "no prompt", False)
-                        break
-                    try:
-                        a = call(scrub(text + note))
-                    except Exception as e:  # noqa: BLE001 - a client's failure is data
-                        row = (key, None, f"{type(e).__name__}: {e}"[:300], False)
-                        continue
-                    if a.error or a.refused:
-                        row = (key, None, a.error or "refused", a.truncated)
-                        break
+                row = (key, None, "no prompt", False)
+                if text is not None:
                     try:
-                        value = parse_json(a.text or "")
-                        bad = problems(value, schema) if schema else []
-                    except ValueError as e:
-                        bad = [str(e)]
-                    if not bad:
-                        row = (key, json.dumps(value, ensure_ascii=False), None, False)
-                        break
-                    row = (key, None, "; ".join(bad)[:300], False)
-                    note = f"\nThe last answer was not valid: {row[2]}"
+                        row = (key, json.dumps(call_json(call, text, schema, retries), ensure_ascii=False), None, False)
+                    except CallFailed as e:
+                        row = (key, None, str(e), e.truncated)
                 rows.append(row)
             yield pd.DataFrame(rows, columns=["id", "response", "error", "truncated"])
 
@@ -158,8 +204,13 @@ def ask_cached(df: DataFrame, prompt: Column, model: str, client: Callable[[], C
     return hit.select("id", "response", F.lit(None).cast("string").alias("error")).unionByName(answered), new.where("error is null").select("key", "response")
 
 
-def halves(text: str, margin: int = 0) -> list[tuple[int, int]]:
-    """Two ranges of a text that was too long for one call, cut at white space near the middle, widened by ``margin``."""
-    mid = len(text) // 2
-    cut = next((mid + d * s for d in range(mid) for s in (1, -1) if 0 < mid + d * s < len(text) and text[mid + d * s].isspace()), mid)
-    return [(0, min(len(text), cut + margin)), (max(0, cut - margin), len(text))]
+def halve(text: str) -> int:
+    """Where to cut a text in two near-equal parts: behind the line break nearest to the middle, else the white space, else in the middle. No part is longer than
+    three quarters."""
+    n = len(text)
+    mid = n // 2
+    for mark in (r"\n", r"\s"):
+        near = [m.end() for m in re.compile(mark).finditer(text, max(n // 4 - 1, 0), n - n // 4) if n // 4 <= m.end() < n and m.end() > 0]
+        if near:
+            return min(near, key=lambda p: (abs(p - mid), p))
+    return mid

@@ -32,10 +32,10 @@ def distinct_records(fixtures: DataFrame) -> DataFrame:
 
 def latest_predictions(predictions: DataFrame) -> DataFrame:
     """One row per record and detector, the one that started last (ties: larger run id). One shuffle, span texts are not read."""
-    body = F.struct(_slim("spans").alias("spans"), "error")
+    body = F.struct(_slim("spans").alias("spans"), "error", "latency_ms")
     return (
         predictions.groupBy("id", "detector").agg(F.max_by(body, F.struct("started_at", "run_id", "ingested_at")).alias("p"))
-        .select("id", "detector", "p.spans", "p.error"))
+        .select("id", "detector", "p.spans", "p.error", "p.latency_ms"))
 
 
 def without_repeats(rows: DataFrame, *keep: str) -> DataFrame:
@@ -67,6 +67,12 @@ def predicted_long(latest: DataFrame, level: str = "coarse") -> DataFrame:
     return flat.select("id", "detector", F.col("p.start").alias("start"), F.col("p.end").alias("end"), label.alias("label")).distinct()
 
 
+def inside_text(pred: DataFrame, records: DataFrame) -> DataFrame:
+    """Predicted spans of known records that lie inside the record's text."""
+    n = distinct_records(records).groupBy("id").agg(F.max("n_chars").alias("n"))
+    return pred.join(n, "id").where(S.within(F.col("start"), F.col("end"), F.col("n"))).drop("n")
+
+
 def coverage(records: DataFrame, latest: DataFrame) -> DataFrame:
     """Per detector: records, scored, errored and missing calls."""
     ids = records.select("id").distinct()

@@ -6,10 +6,17 @@ import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MAX_ROWS = 5000
 
 
+def ranked(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds ``place``: the rows of a dimension (detectors) from the largest value down, ties by name."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(value), name)))
+
+
 def esc(value: object) -> str:
     return str(value).replace("|", "\\|").replace("\n", " ")
 

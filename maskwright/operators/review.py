@@ -177,14 +177,27 @@ def margin(start: Column, end: Column, text: Column, width: int) -> Column:
 def answer_misses(located: DataFrame, reviewed: DataFrame) -> DataFrame:
     """``id, start, end, label, kind, reason`` of the reviewer's own findings (``id, label, start, end, reason`` as located in the text).
 
-    A finding without a place keeps its reason; one that an accepted candidate covers is dropped as ``covered_by_candidate``; one whose
-    exact stretch was judged no personal data as ``judged_not_pii``; of equal findings one counts. All others are misses.
+    A finding without a place keeps its reason. One that an accepted candidate stands for is dropped as ``covered_by_candidate``: the candidate holds all of it, or
+    was judged right in its bounds and overlaps it, or is a ``boundary`` candidate that overlaps it and no candidate with right bounds (an over-long span
+    of another entity covers nothing else). One whose exact stretch was judged no personal data is dropped as ``judged_not_pii``; of equal findings one counts.
+    All others are misses. Candidates without a verdict cover nothing.
     """
-    c = reviewed.select(F.col("id").alias("cid"), F.col("start").alias("cs"), F.col("end").alias("ce"), "verdict")
+    c = reviewed.select(F.col("id").alias("cid"), F.col("start").alias("cs"), F.col("end").alias("ce"), "verdict").distinct()
+    right = c.where(F.col("verdict").isin("correct", "wrong_label")).select(F.col("cid").alias("rid"), F.col("cs").alias("rs"), F.col("ce").alias("re"))
+    wide = c.where("verdict = 'boundary'").join(right, (F.col("cid") == F.col("rid")) & S.overlaps(F.col("cs"), F.col("ce"), F.col("rs"), F.col("re")), "left_semi").select("cid", "cs", "ce", F.lit(True).alias("wide"))
+    c = c.join(wide.distinct(), ["cid", "cs", "ce"], "left")
     once = located.select("id", "start", "end", "label", "reason").distinct()
-    met = once.where("reason is null").join(c, (F.col("id") == F.col("cid")) & (F.col("cs") <= F.col("start")) & (F.col("end") <= F.col("ce")))
-    flags = met.groupBy("id", "start", "end", "label").agg(
-        F.bool_or(F.col("verdict") != "not_pii").alias("covered"), F.bool_or((F.col("verdict") == "not_pii") & (F.col("cs") == F.col("start")) & (F.col("ce") == F.col("end"))).alias("refused"))
+    met = once.where("reason is null").join(c, (F.col("id") == F.col("cid")) & S.overlaps(F.col("cs"), F.col("ce"), F.col("start"), F.col("end")))
+    accepted = F.col("verdict").isin("correct", "wrong_label", "boundary")
+    holds = (F.col("cs") <= F.col("start")) & (F.col("end") <= F.col("ce"))
+    stands = accepted & (holds | (F.col("verdict") != "boundary") | F.col("wide").isNull())
+    refused = (F.col("verdict") == "not_pii") & (F.col("cs") == F.col("start")) & (F.col("ce") == F.col("end"))
+    flags = met.groupBy("id", "start", "end", "label").agg(F.bool_or(stands).alias("covered"), F.bool_or(refused).alias("refused"))
     j = once.join(flags, ["id", "start", "end", "label"], "left")
     reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("covered"), "covered_by_candidate").when(F.col("refused"), "judged_not_pii")
     return j.select("id", "start", "end", "label", F.when(reason.isNull(), "missed").otherwise("dropped").alias("kind"), reason.alias("reason"))
+
+
+def without_failed(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """Rows of the records the reviewer did not fail on."""
+    return rows.join(failed.select("id").distinct(), "id", "left_anti")

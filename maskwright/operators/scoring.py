@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 from maskwright.functions import taxonomy as X
-from maskwright.operators.records import distinct_records
-from maskwright.session import cut_lineage
+from maskwright.operators.records import distinct_records, gold_long
 
 SCHEMAS = ("strict", "exact", "partial", "ent_type")
 
@@ -34,17 +33,28 @@ def answered(records: DataFrame, latest: DataFrame, level: str = "coarse") -> Da
 _PLAIN = "array<struct<start:int,end:int,label:string>>"
 
 
-def scopes(calls: DataFrame) -> DataFrame:
-    """``view, detector, labels``: raw = all labels of the gold side, fair = those the detector also emits. A dimension of some dozen rows."""
-    seen = calls.select("detector", F.array_distinct(F.transform("p", lambda s: s["label"])).alias("p"), F.array_distinct(F.transform("g", lambda s: s["label"])).alias("g"))
-    side = F.explode(F.concat(
-        F.transform("p", lambda x: F.struct(F.lit("p").alias("side"), x.alias("label"))), F.transform("g", lambda x: F.struct(F.lit("g").alias("side"), x.alias("label")))))
-    few = seen.select("detector", side.alias("x")).select("detector", "x.side", "x.label").distinct()
-    own = few.where("side = 'p'").groupBy("detector").agg(F.collect_set("label").alias("own"))
-    all_gold = few.where("side = 'g'").agg(F.collect_set("label").alias("gold"))
-    both = own.withColumn("one", F.lit(1)).join(all_gold.withColumn("one", F.lit(1)), "one")  # one row on the right
-    views = F.array(F.struct(F.lit("raw").alias("view"), F.col("gold").alias("labels")), F.struct(F.lit("fair").alias("view"), F.array_intersect("own", "gold").alias("labels")))
-    return both.select("detector", F.explode(views).alias("v")).select("v.view", "detector", "v.labels")
+MAX_NAMES = 10_000
+
+
+def names_of(df: DataFrame, column: str) -> list[str]:
+    """The values of a dimension (labels, detectors), sorted; more than ``MAX_NAMES`` raise."""
+    found = df.where(F.col(column).isNotNull()).select(column).distinct().limit(MAX_NAMES + 1).collect()
+    if len(found) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} values of {column}")
+    return sorted(r[0] for r in found)
+
+
+def annotated_labels(records: DataFrame, level: str = "coarse") -> list[str]:
+    """Labels of the taxonomy that the gold side uses."""
+    return [x for x in names_of(gold_long(records, level), "label") if X.is_known(x)]
+
+
+def scopes(records: DataFrame, predictions: DataFrame, level: str = "coarse", labels: list[str] | None = None) -> DataFrame:
+    """``view, detector, project``: source label to scored label. raw = all labels of the gold side, fair = those the detector's vocabulary supports,
+    whether it emitted them or not; ``labels`` overrides both. A dimension of two rows per detector, made from the distinct labels and detectors."""
+    spark = records.sparkSession
+    table = X.scope_table(spark, names_of(predictions, "detector"), annotated_labels(records, level), level, labels)
+    return table.groupBy("view", "detector").agg(F.map_from_entries(F.collect_list(F.struct("src_label", "label"))).alias("project"))
 
 
 def judged(p: Column, g: Column) -> Column:
@@ -67,13 +77,14 @@ def judged(p: Column, g: Column) -> Column:
     return F.concat(matched, missed)
 
 
-def outcomes(calls: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """One row per judged span: ``view, detector, id, tag, kind``. Without a given scope the calls are read twice, so they are written once."""
-    if scope is None:
-        calls = cut_lineage(calls)
-        scope = scopes(calls)
-    scoped = calls.join(scope, "detector")
-    inside = lambda c: F.filter(c, lambda s: F.array_contains(F.col("labels"), s["label"]))
+def outcomes(calls: DataFrame, scope: DataFrame) -> DataFrame:
+    """One row per judged span: ``view, detector, id, tag, kind``. Spans are projected into their detector's scope on the row they lie in."""
+    scoped = calls.join(F.broadcast(scope), "detector")  # two rows per detector
+
+    def inside(c: str) -> Column:
+        moved = F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.try_element_at(F.col("project"), s["label"]).alias("label")))
+        return F.array_distinct(F.filter(moved, lambda s: s["label"].isNotNull()))
+
     own = scoped.select("view", "detector", "id", inside("p").alias("p"), inside("g").alias("g"))
     return own.select("view", "detector", "id", F.explode(judged(F.col("p"), F.col("g"))).alias("o")).select("view", "detector", "id", "o.tag", "o.kind")
 
@@ -133,7 +144,8 @@ def errors(calls: DataFrame, records: DataFrame, kind: str, width: int = 30) ->
 
 
 def greedy_matches(calls: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One-to-one greedy matching by IoU within a label, in prediction order: ``detector, label, tp, n_pred, n_gold``.
+    """One-to-one greedy matching by IoU within a label, in prediction order: ``detector, label, tp, n_pred, n_gold, precision, recall, f1``; a threshold of 1
+    asks for equal bounds.
 
     Sequential by nature; runs as a fold inside each record. Matching never crosses labels.
     """
@@ -154,4 +166,6 @@ def greedy_matches(calls: DataFrame, threshold: float = 0.5) -> DataFrame:
     tag = lambda c, what: F.transform(c, lambda s: F.struct(F.lit(what).alias("what"), s["label"].alias("label")))
     hits = F.transform(F.aggregate("p", zero, step)["tp"], lambda x: F.struct(F.lit("tp").alias("what"), x.alias("label")))
     flat = both.select("detector", F.explode(F.concat(hits, tag("p", "n_pred"), tag("g", "n_gold"))).alias("x")).select("detector", "x.what", "x.label")
-    return flat.groupBy("detector", "label").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("tp", "n_pred", "n_gold")])
+    counts = flat.groupBy("detector", "label").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("tp", "n_pred", "n_gold")])
+    p, r = (F.coalesce(S.ratio(F.col("tp"), F.col(n)), F.lit(0.0)) for n in ("n_pred", "n_gold"))
+    return counts.withColumns({"precision": p, "recall": r, "f1": S.f1_of(p, r)})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import taxonomy as X
 from maskwright.operators import models, voting
 from maskwright.operators.locate import locate
-from maskwright.operators.scoring import answered, outcomes, score
+from maskwright.operators.scoring import answered, outcomes, scopes, score
 
 ITEMS = {"type": "array", "items": {"type": "object", "required": ["value", "label"], "properties": {"value": {"type": "string"}, "label": {"type": "string"}}}}
 MODES = ("union", "majority", "intersection")
@@ -70,5 +70,5 @@ def failed(rows: DataFrame) -> DataFrame:
 
 
 def calibrate(records: DataFrame, rows: DataFrame) -> DataFrame:
-    """Scores of each labeler against real gold, both views."""
-    return score(outcomes(answered(records, rows)), ["view", "detector"])
+    """Scores of each labeler against real gold, both views. A labeler may use every label it was asked for."""
+    return score(outcomes(answered(records, rows), scopes(records, rows)), ["view", "detector"])

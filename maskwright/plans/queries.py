@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 from maskwright.functions import taxonomy as X
-from maskwright.operators import detect, documents, locate, records, review, scoring, search, segments, transforms, voting
+from maskwright.operators import detect, documents, judge, locate, records, report, review, scoring, search, segments, transforms, voting
 from maskwright.session import cut_lineage
 from maskwright.streaming.detect import latency_windows
 
@@ -29,20 +29,21 @@ class Run:
     """The tables most queries start from."""
 
     def __init__(self, spark: SparkSession, d: str, level: str = "coarse") -> None:
+        self.level = level
         self.fixtures = t(spark, d, "fixtures")
+        self.predictions = t(spark, d, "predictions")
         self.texts = self.fixtures.select("id", "text").distinct()
         self.records = records.distinct_records(self.fixtures)
-        self.latest = records.latest_predictions(t(spark, d, "predictions"))
+        self.latest = records.latest_predictions(self.predictions)
         self.answered = scoring.answered(self.records, self.latest, level)
         self.gold = records.gold_long(self.records, level)
-        self.calls = self.latest.where("error is null").select("id", "detector")
-        self.pred = records.predicted_long(self.latest, level)
         known = self.records.select("id").distinct()
-        self.calls = self.calls.join(known, "id", "left_semi")
-        self.pred = self.pred.join(known, "id", "left_semi")
+        self.calls = self.latest.where("error is null").select("id", "detector").join(known, "id", "left_semi")
+        self.pred = records.predicted_long(self.latest, level).join(known, "id", "left_semi")
+        self.inside = records.inside_text(records.predicted_long(self.latest, level), self.records)
 
-    def outcomes(self) -> DataFrame:
-        return scoring.outcomes(self.answered)
+    def outcomes(self, labels: list[str] | None = None) -> DataFrame:
+        return scoring.outcomes(self.answered, scoring.scopes(self.records, self.predictions, self.level, labels))
 
 
 # scans, counts, coverage, latency ------------------------------------------------------------------------------------
@@ -171,27 +172,29 @@ def semeval_by_language(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def semeval_fine(spark: SparkSession, d: str) -> DataFrame:
-    """Fine level: fine labels survive where gold and detector both have them, else the parent."""
-    run = Run(spark, d, "fine")
-    gold_fine = run.gold.select("label").distinct()
-    own = run.pred.select("detector", "label").distinct()
-    keep = own.join(gold_fine, "label", "left_semi").withColumn("p", X.parent_col(F.col("label"))).where(F.col("p") != F.col("label")).select("detector", F.col("p").alias("kept")).distinct()
-    up = X.parent_col(F.col("label"))
+    """Fine level: fine labels survive under parents where the gold side and the detector's vocabulary both have them, else the parent counts."""
+    return _rounded(scoring.score(Run(spark, d, "fine").outcomes(), ["view", "detector"]))
 
-    def project(rows: DataFrame) -> DataFrame:
-        kept = keep.withColumnRenamed("detector", "kd")
-        j = rows.withColumn("up", up).join(kept, (F.col("detector") == F.col("kd")) & (F.col("up") == F.col("kept")), "left")
-        return j.select("detector", "id", "start", "end", F.when(F.col("kept").isNotNull(), F.col("label")).otherwise(F.col("up")).alias("label")).distinct()
 
-    pred = project(run.pred)
-    asked = project(run.gold.join(run.calls, "id")).withColumnRenamed("detector", "gd")
-    p = pred.select("id", "detector", F.col("start").alias("ps"), F.col("end").alias("pe"), F.col("label").alias("pl"))
-    g = asked.select(F.col("id").alias("gid"), "gd", F.col("start").alias("gs"), F.col("end").alias("ge"), F.col("label").alias("gl"))
-    bounds = (F.col("ps") == F.col("gs")) & (F.col("pe") == F.col("ge"))
-    met = p.join(g, (F.col("id") == F.col("gid")) & (F.col("detector") == F.col("gd")) & S.overlaps(F.col("ps"), F.col("pe"), F.col("gs"), F.col("ge")))
-    best = met.groupBy("detector", "id", "ps", "pe", "pl").agg(F.min(F.when(bounds & (F.col("pl") == F.col("gl")), 0).when(bounds, 1).otherwise(2)).alias("r"))
-    per = best.groupBy("detector").agg(F.count_if(F.col("r") == 0).alias("exact"), F.count_if(F.col("r") == 1).alias("bounds"), F.count_if(F.col("r") == 2).alias("overlap"))
-    return per
+@query
+def semeval_fine_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(scoring.score(Run(spark, d, "fine").outcomes(), ["view", "detector", "tag"]))
+
+
+@query
+def semeval_of_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Scores on a given label set, which overrides both views; records of one language."""
+    run = Run(spark, d)
+    german = run.records.where(X.normalize_language(F.col("language")) == "de").select("id").distinct()
+    return _rounded(scoring.score(run.outcomes(["PERSON", "EMAIL"]).join(german, "id", "left_semi"), ["view", "detector"]))
+
+
+@query
+def scope_labels(spark: SparkSession, d: str) -> DataFrame:
+    """What each detector is scored on at the fine level, in either view."""
+    run = Run(spark, d, "fine")
+    rows = scoring.scopes(run.records, run.predictions, "fine")
+    return rows.select("view", "detector", F.explode("project").alias("src_label", "label"))
 
 
 @query
@@ -202,19 +205,16 @@ def headline(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def per_label_f1(spark: SparkSession, d: str) -> DataFrame:
-    """Type F1 of four labels per detector, 0.0 where a label has none."""
-    return _f1_by_label(spark, d, ["PERSON", "EMAIL", "PHONE", "ADDRESS"])
-
-
-@query
-def per_label_f1_all(spark: SparkSession, d: str) -> DataFrame:
     """Type F1 of every coarse label per detector, 0.0 where a label has none."""
-    return _f1_by_label(spark, d, list(X.COARSE))
+    rows = scoring.score(Run(spark, d).outcomes(), ["view", "detector", "tag"]).where("view = 'raw' and schema = 'ent_type'")
+    return rows.groupBy("detector").pivot("tag", list(X.COARSE)).agg(F.round(F.max("f1"), 6)).fillna(0.0)
 
 
-def _f1_by_label(spark: SparkSession, d: str, labels: list[str]) -> DataFrame:
-    rows = scoring.score(Run(spark, d).outcomes(), ["view", "detector", "tag"]).where("view = 'raw' and schema = 'ent_type'")
-    return rows.groupBy("detector").pivot("tag", labels).agg(F.round(F.max("f1"), 6)).fillna(0.0)
+@query
+def headline_order(spark: SparkSession, d: str) -> DataFrame:
+    """Detectors of the fair view from the best to the worst type F1."""
+    rows = scoring.headline(scoring.score(Run(spark, d).outcomes(), ["view", "detector"])).where("view = 'fair'")
+    return report.ranked(rows.select("detector", F.round("f1_ent_type", 6).alias("f1")), "f1", "detector")
 
 
 def _rounded(scores: DataFrame) -> DataFrame:
@@ -249,8 +249,12 @@ def errors_boundary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def greedy_prf(spark: SparkSession, d: str) -> DataFrame:
-    run = Run(spark, d)
-    return scoring.greedy_matches(run.answered)
+    return _few(scoring.greedy_matches(Run(spark, d).answered))
+
+
+@query
+def greedy_exact(spark: SparkSession, d: str) -> DataFrame:
+    return _few(scoring.greedy_matches(Run(spark, d).answered, 1.0))
 
 
 # pooling, voting, ensembles -----------------------------------------------------------------------------------------
@@ -258,10 +262,17 @@ def greedy_prf(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pooled_spans(spark: SparkSession, d: str) -> DataFrame:
-    p = voting.pool(Run(spark, d).pred)
+    p = voting.pool(Run(spark, d).inside)
     return p.select("id", "start", "end", "label", F.array_join("detectors", ",").alias("detectors"), "n")
 
 
+@query
+def pooled_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with the size of its pool."""
+    run = Run(spark, d)
+    return voting.pool_records(run.inside, run.records).select("id", F.size("spans").alias("n_spans"))
+
+
 @query
 def pooled_fine(spark: SparkSession, d: str) -> DataFrame:
     return voting.pool_fine(Run(spark, d).latest).select("id", "start", "end", "label", "fine_label", "n")
@@ -270,7 +281,7 @@ def pooled_fine(spark: SparkSession, d: str) -> DataFrame:
 @query
 def detector_agreement(spark: SparkSession, d: str) -> DataFrame:
     run = Run(spark, d)
-    rows = voting.agreement(run.pred, run.calls)
+    rows = voting.agreement(run.latest, run.calls)
     return rows.select("a", "b", "records", "n_a", "n_b", "same", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -299,6 +310,13 @@ def silver_spans(spark: SparkSession, d: str) -> DataFrame:
     return voting.resolve_overlaps(voting.merge_votes(run.pred, run.calls, "majority"))
 
 
+@query
+def silver_fine(spark: SparkSession, d: str) -> DataFrame:
+    """Majority merge with the fine label most of the agreeing detectors give."""
+    run = Run(spark, d)
+    return voting.merge_fine(run.latest, voting.merge_votes(run.pred, run.calls, "majority")).select("id", "start", "end", "label", "fine_label", "votes")
+
+
 def _label_scores(run: Run) -> DataFrame:
     return scoring.score(run.outcomes(), ["view", "detector", "tag"]).where("view = 'fair'")
 
@@ -319,6 +337,23 @@ def ensemble_spans(spark: SparkSession, d: str) -> DataFrame:
     return voting.apply_recipe(run.pred, voting.recipe(_label_scores(run)))
 
 
+@query
+def ensemble_calls(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record of the composite detector."""
+    run = Run(spark, d)
+    chosen = cut_lineage(voting.recipe(_label_scores(run)))
+    rows = voting.ensemble_calls(run.latest, voting.apply_recipe(run.pred, chosen), chosen, run.records)
+    return rows.select("id", "detector", F.size("spans").alias("n_spans"), F.round("latency_ms", 3).alias("latency_ms"), "error")
+
+
+@query
+def skipped_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Annotated labels that no detector of the recipe finds."""
+    run = Run(spark, d)
+    gold = run.gold.select("label").distinct()
+    return gold.join(voting.recipe(_label_scores(run)).select("label"), "label", "left_anti")
+
+
 @query
 def raw_label_hit_rate(spark: SparkSession, d: str) -> DataFrame:
     run = Run(spark, d)
@@ -328,7 +363,8 @@ def raw_label_hit_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def label_redundancy(spark: SparkSession, d: str) -> DataFrame:
-    return voting.redundancy(Run(spark, d).pred)
+    run = Run(spark, d, "fine")
+    return voting.redundancy(run.pred, run.gold)
 
 
 # rewriting ----------------------------------------------------------------------------------------------------------
@@ -382,16 +418,8 @@ def service_replace(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def service_spans(spark: SparkSession, d: str) -> DataFrame:
-    return _replaced_spans(transforms.replace(*_requests(spark, d)).where("coalesce(mode, 'label') in ('label', 'redact', 'label_number')"))
-
-
-@query
-def service_spans_all(spark: SparkSession, d: str) -> DataFrame:
     """The spans of the requests of every mode; an unknown mode counts as label."""
-    return _replaced_spans(transforms.replace(*_requests(spark, d)))
-
-
-def _replaced_spans(rows: DataFrame) -> DataFrame:
+    rows = transforms.replace(*_requests(spark, d))
     return rows.select("request_id", F.explode("detected_spans").alias("s")).select("request_id", "s.label", "s.start", "s.end", "s.text", "s.replacement", "s.replaced")
 
 
@@ -402,19 +430,25 @@ def token_collisions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def detect_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of three rules with offsets, long form."""
-    return _rule_spans(spark, d, ["email", "ip", "money"])
+    """Spans of all rules with offsets, long form."""
+    found = detect.detect_rules(t(spark, d, "requests").where("text is not null"))
+    return found.select("request_id", F.explode("spans").alias("s")).select("request_id", "s.label", "s.start", "s.end", "s.text")
 
 
 @query
-def detect_rules_all(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of all rules with offsets, long form."""
-    return _rule_spans(spark, d, None)
+def trimmed_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The service's spans without white space and punctuation at their ends."""
+    rows = t(spark, d, "detected_spans").select("request_id", "start", "end").distinct().join(t(spark, d, "requests").select("request_id", "text"), "request_id")
+    inside = rows.where(S.in_bounds(F.col("start"), F.col("end"), F.col("text")))
+    cut = detect.trim_boundaries(F.col("text"), F.col("start"), F.col("end"))
+    return inside.withColumn("t", cut).select("request_id", "start", "end", F.col("t.start").alias("trimmed_start"), F.col("t.end").alias("trimmed_end"))
 
 
-def _rule_spans(spark: SparkSession, d: str, rules: list[str] | None) -> DataFrame:
-    found = detect.detect_rules(t(spark, d, "requests").where("text is not null"), rules)
-    return found.select("request_id", F.explode("spans").alias("s")).select("request_id", "s.label", "s.start", "s.end", "s.text")
+@query
+def routed_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The language each record's model is asked in, of five supported ones."""
+    lang = detect.route_by_language(F.col("language"), ["en", "de", "fr", "es", "it"])
+    return t(spark, d, "fixtures").groupBy(lang.alias("asked_in")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -426,17 +460,7 @@ def detect_compare(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def masked_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """Thirty code points around each request's first span, with spans masked, and whether anything is left."""
-    requests, spans = _requests(spark, d)
-    j = requests.join(spans, "request_id").withColumn("f", F.try_element_at("spans", F.lit(1))).where(S.in_bounds(F.col("f.start"), F.col("f.end"), F.col("text")))
-    lo, hi = F.greatest(F.col("f.start") - 30, F.lit(0)), F.least(F.col("f.end") + 30, F.length("text"))
-    out = transforms.mask(j, "spans", lo, hi)
-    return out.select("request_id", "masked", S.nothing_left(F.col("masked")).alias("nothing_left"))
-
-
-@query
-def masked_contexts_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same around every span within the bounds of its request: one row per request, start, end and label."""
+    """Thirty code points around every span within the bounds of its request, with spans masked: one row per request, start, end and label."""
     requests, spans = _requests(spark, d)
     j = requests.select("request_id", "text").join(spans, "request_id").withColumn("spans", transforms.clean_spans(F.col("spans"), F.col("text")))
     j = j.withColumn("f", F.explode("spans"))
@@ -476,6 +500,13 @@ def spans_in_documents(spark: SparkSession, d: str) -> DataFrame:
     return documents.chunk_spans_to_documents(t(spark, d, "fixtures"), run.gold, t(spark, d, "documents").where("text is not null"))
 
 
+@query
+def span_places(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment a gold span touches, with its place written out, in document order."""
+    run = Run(spark, d)
+    return documents.span_places(t(spark, d, "fixtures"), run.gold, t(spark, d, "documents").where("text is not null"))
+
+
 @query
 def interval_union(spark: SparkSession, d: str) -> DataFrame:
     return documents.interval_union(Run(spark, d).pred, ["id"])
@@ -501,7 +532,7 @@ def located_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reviewed(run: Run) -> tuple[DataFrame, DataFrame]:
-    pooled = voting.pool(run.pred)
+    pooled = voting.pool(run.inside)
     return review.judge_from_gold(pooled, run.gold), review.missed_from_gold(pooled, run.gold)
 
 
@@ -537,13 +568,13 @@ def review_missed(spark: SparkSession, d: str) -> DataFrame:
 @query
 def classifier_summary(spark: SparkSession, d: str) -> DataFrame:
     run = Run(spark, d)
-    return _few(review.classifier_summary(review.classifier_rows(voting.pool(run.pred), run.gold)))
+    return _few(review.classifier_summary(review.classifier_rows(voting.pool(run.inside), run.gold)))
 
 
 @query
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     run = Run(spark, d)
-    return _few(review.threshold_sweep(review.classifier_rows(voting.pool(run.pred), run.gold), run.gold, [0.1, 0.3, 0.5, 0.7, 0.9]))
+    return _few(review.threshold_sweep(review.classifier_rows(voting.pool(run.inside), run.gold), run.gold, [0.1, 0.3, 0.5, 0.7, 0.9]))
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -556,17 +587,99 @@ def residual_rate(spark: SparkSession, d: str) -> DataFrame:
     return _few(review.residual_rate(run.records, run.pred, run.gold, run.calls))
 
 
+def _segments(run: Run) -> DataFrame:
+    return segments.segments(segments.calls_by_record(run.answered, run.texts))
+
+
 @query
 def residual_segments(spark: SparkSession, d: str) -> DataFrame:
     """Per detector: segments left after masking, trivial ones and those that still hold a gold span."""
     run = Run(spark, d)
-    texts = run.texts
-    rows = segments.segments(run.answered.select("id", "detector", F.col("p").alias("spans")).join(texts, "id"))
-    marked = segments.residual_segments(rows, run.gold, run.pred)
+    marked = segments.residual_segments(_segments(run), run.gold, run.pred)
     return marked.groupBy("detector").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("trivial").alias("trivial"), F.count_if("residual").alias("residual"))
 
 
+@query
+def segment_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Per record: no segment is longer than allowed unless a span is, none overlaps another, none cuts a detector's span, and all letters and digits lie in one."""
+    run = Run(spark, d)
+    own = segments.calls_by_record(run.answered, run.texts)
+    first = segments.segments(own).groupBy("id", "detector").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s")).groupBy("id").agg(F.min("s").alias("s"))
+    j = first.join(own, "id").withColumn("spans", F.flatten(F.transform("calls", lambda c: c["spans"])))
+    s = F.col("s")
+    inside = F.aggregate(F.transform(s, lambda x: S.slice_text(F.col("text"), x["start"], x["end"])), F.lit(0), lambda n, x: n + F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")))
+    seen = lambda a, b: S.slice_text(F.col("text"), a, b).rlike(r"\S")  # noqa: E731 - white space at the ends is trimmed, not cut
+    cuts = lambda p: F.exists(s, lambda x: ((p["start"] < x["start"]) & (x["start"] < p["end"]) & seen(p["start"], x["start"]))
+                              | ((p["start"] < x["end"]) & (x["end"] < p["end"]) & seen(x["end"], p["end"])))
+    return j.select(
+        "id", F.forall(F.transform(s, lambda x, i: (i == 0) | (x["start"] >= F.get(s, i - 1)["end"])), lambda ok: ok).alias("in_order"),
+        (~F.exists("spans", cuts)).alias("uncut"), (inside == F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))).alias("covered"))
+
+
+def _pooled_texts(run: Run) -> DataFrame:
+    return voting.pool_records(run.inside, run.records).join(run.texts, "id")
+
+
+def _at_sign(candidate: dict) -> str:
+    """A judge by rule for the test tables: e-mail addresses have an at-sign, phone numbers and accounts a digit."""
+    need = {"EMAIL": "@", "PHONE": "0123456789", "ACCOUNT": "0123456789"}.get(candidate["label"])
+    return "correct" if need is None or any(c in candidate["value"] for c in need) else "not_pii"
+
+
+def _likely(request: dict) -> dict:
+    """A classifier by rule for the test tables."""
+    text = request["state"]["text"]
+    if "residual" in request["questions"]:
+        left = any(c.isdigit() for c in text)
+        return {"residual": judge.noul(0.8 if left else 0.1), "residual_type": judge.choice({"ACCOUNT": 0.8 if left else 0.1, judge.NONE: 0.2 if left else 0.9})}
+    value, label = text.split("[[", 1)[1].split("]]", 1)[0], request["state"]["label"]
+    return {
+        "is_pii": judge.noul(0.9 if len(value) > 3 else 0.3), "label_ok": judge.noul(0.8 if ("@" in value) == (label == "EMAIL") else 0.2),
+        "label": judge.choice({label: 0.9, judge.NOT_PII: 0.1})}
+
+
+@query
+def judge_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """A judge by rule over the pooled spans of every record: verdicts per label."""
+    rows = judge.judge(_pooled_texts(Run(spark, d)), judge.rule_judge(_at_sign, limit=3))
+    return rows.where("kind = 'span'").groupBy("label", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def judge_dry_run(spark: SparkSession, d: str) -> DataFrame:
+    """The reviewer that finds everything correct: what a review would judge."""
+    rows = judge.judge(_pooled_texts(Run(spark, d)), judge.dry_run())
+    return rows.groupBy("kind", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def judge_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall per detector as the judge by rule sees them; it reports every at-sign word that no candidate covers."""
+    run = Run(spark, d)
+    words = lambda asked: [{"value": w, "label": "EMAIL", "context": None} for w in asked["text"].split() if "@" in w]
+    rows = cut_lineage(judge.judge(_pooled_texts(run), judge.rule_judge(_at_sign, words)))
+    spans = rows.where("kind = 'span'")
+    missed = review.answer_misses(rows.where("kind = 'found'"), spans).where("kind = 'missed'")
+    calls = review.without_failed(run.calls, rows.where("kind = 'error'"))
+    return _few(review.summarize(spans, missed, calls))
+
+
+@query
+def classifier_spans(spark: SparkSession, d: str) -> DataFrame:
+    """A classifier by rule asked about every pooled span: per detector."""
+    rows = judge.classify_spans(_pooled_texts(Run(spark, d)), lambda: judge.RuleBackend(_likely))
+    return _few(review.classifier_summary(rows.where("error is null")))
+
+
+@query
+def classifier_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The same asked about what masking leaves: estimated against true residual rate per detector and threshold."""
+    run = Run(spark, d)
+    marked = segments.residual_segments(_segments(run), run.gold, run.pred)
+    return _few(judge.residual_sweep(judge.classify_segments(marked, lambda: judge.RuleBackend(_likely)), [0.1, 0.5, 0.9]))
+
+
 @query
 def plan_calls(spark: SparkSession, d: str) -> DataFrame:
     return review.plan_calls(Run(spark, d).records)
@@ -577,19 +690,19 @@ def plan_calls(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out prompts as queries over all documents."""
-    q = t(spark, d, "eval_items").select(F.col("prompt").alias("text")).distinct().withColumn("query_id", F.md5("text"))
-    return search.bm25(t(spark, d, "documents").select("doc_id", "text"), q, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "place")
-
-
-@query
-def search_bm25_rows(spark: SparkSession, d: str) -> DataFrame:
     """The texts of all documents whose id is divisible by 20 as queries over all documents."""
     docs = t(spark, d, "documents").select("doc_id", "text")
     q = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
     return search.bm25_many(docs, q, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "place")
 
 
+@query
+def search_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out prompts as queries over all documents, through the inverted index."""
+    q = t(spark, d, "eval_items").select(F.col("prompt").alias("text")).distinct().withColumn("query_id", F.md5("text"))
+    return search.bm25(t(spark, d, "documents").select("doc_id", "text"), q, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "place")
+
+
 @query
 def search_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Frequency of search words in the rewritten requests."""
@@ -599,20 +712,19 @@ def search_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Three words as queries; relevant are all requests that hold the word."""
-    req = t(spark, d, "requests").where("text is not null").select(F.col("request_id").alias("doc_id"), "text")
-    words = F.array(F.lit("passport"), F.lit("invoice"), F.lit("tenant"))
-    q = spark.range(1).select(F.explode(words).alias("text")).withColumn("query_id", F.col("text"))
-    rel = req.select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term")).join(q.select(F.col("text").alias("term"), "query_id"), "term")
-    relevant = rel.groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
-    queries = q.join(relevant, "query_id").select("query_id", "text", "relevant")
-    return _few(search.retrieval_quality(search.bm25(req, q, 10), queries))
+    """Average precision and recall per rewriting mode: the requests whose id is divisible by 20 as queries over all requests,
+    both rewritten in that mode. The tables judge no relevance, so relevant are the ten hits of the plain texts."""
+    quality, _ = _retrieval(spark, d)
+    return _few(quality.groupBy("mode").agg(F.count(F.lit(1)).alias("queries"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall")))
 
 
 @query
-def retrieval_quality_modes(spark: SparkSession, d: str) -> DataFrame:
-    """Average precision and recall per rewriting mode: the requests whose id is divisible by 20 as queries over all requests,
-    both rewritten in that mode. The tables judge no relevance, so relevant are the ten hits of the plain texts."""
+def retrieval_by_query(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of every query in every mode."""
+    return _few(_retrieval(spark, d)[0])
+
+
+def _retrieval(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     requests, spans = _requests(spark, d)
     rows = transforms.render_modes(requests.join(spans, "request_id", "left"), "spans")
 
@@ -626,4 +738,4 @@ def retrieval_quality_modes(spark: SparkSession, d: str) -> DataFrame:
     quality = per[0]
     for more in per[1:]:
         quality = quality.unionByName(more)
-    return _few(quality.groupBy("mode").agg(F.count(F.lit(1)).alias("queries"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall")))
+    return quality, relevant

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,8 @@ def local_session(cores: int | str = "*", app: str = "maskwright", **conf: str)
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g").config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
+        .config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "maskwright-checkpoints"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true").config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
@@ -43,13 +47,17 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes a small intermediate table that a plan reads several times, and reads it back.
+    """Writes an intermediate table that a plan reads several times, and reads it back.
 
     ``checkpoint()`` keeps its files in the shared folder that the session names in ``spark.checkpoint.dir``; all executors can
-    read them, so losing one costs nothing. A folder of our own is set only where the session names none (tests).
+    read them, so losing one costs nothing. A session on one machine (``local[...]``, as in tests) may name none and gets a folder of its own; on a
+    cluster that raises.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(sc._temp_dir, "checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or os.path.join(sc._temp_dir, "checkpoints"))
     return df.checkpoint(eager=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 from maskwright.functions import taxonomy as X
-from maskwright.operators import detect, documents, models, records, review, scoring, segments, silver, transforms, voting
+from maskwright.operators import detect, documents, judge, models, records, review, scoring, segments, silver, transforms, voting
 from maskwright.sources import fixtures
 
 SP = "id string, text string, spans array<struct<start:int,end:int,label:string>>"
@@ -121,7 +121,7 @@ def _tables(spark, text, gold, pred):
 
 def _score(spark, gold, pred):
     rec, latest = _tables(spark, "x" * 60, gold, pred)
-    out = scoring.outcomes(scoring.answered(rec, latest))
+    out = scoring.outcomes(scoring.answered(rec, latest), scoring.scopes(rec, latest))
     return {r["schema"]: r for r in scoring.score(out, ["view", "detector"]).where("view = 'raw'").collect()}
 
 
@@ -142,11 +142,46 @@ def test_touching_spans_do_not_overlap(spark):
     assert (s["strict"]["mis"], s["strict"]["spu"]) == (1, 1)
 
 
+def test_fair_scope_counts_supported_labels_that_are_never_found(spark):
+    rec, latest = _tables(spark, "x" * 60, [(0, 5, "PERSON"), (10, 15, "PHONE"), (20, 25, "MONEY")], [(0, 5, "PERSON")])
+    X.DETECTOR_VOCAB["d"] = "plain8"  # supports PHONE and never finds one; knows no MONEY
+    try:
+        out = scoring.outcomes(scoring.answered(rec, latest), scoring.scopes(rec, latest))
+        missed = {r["view"]: r["mis"] for r in scoring.score(out, ["view", "detector"]).where("schema = 'strict'").collect()}
+        assert missed == {"fair": 1, "raw": 2}
+        given = scoring.score(scoring.outcomes(scoring.answered(rec, latest), scoring.scopes(rec, latest, labels=["MONEY"])), ["view"]).where("schema = 'strict'").collect()
+        assert {r["mis"] for r in given} == {1}
+    finally:
+        del X.DETECTOR_VOCAB["d"]
+
+
+def test_fine_level_collapses_what_a_detector_cannot_split(spark):
+    span = lambda a, b, label, fine: (label, fine, None, a, b, None)
+    kind = S.SPANS.simpleString()
+    rec = spark.createDataFrame([("r", "x" * 60, "en", [span(0, 5, "ADDRESS", "CITY"), span(10, 15, "ADDRESS", "CITY")])], f"id string, text string, language string, gold_spans {kind}")
+    calls = spark.createDataFrame(
+        [("r", "whole", [span(0, 5, "ADDRESS", None)], None), ("r", "split", [span(0, 5, "ADDRESS", None), span(10, 15, "ADDRESS", "CITY")], None)], f"id string, detector string, spans {kind}, error string")
+    X.DETECTOR_VOCAB["whole"] = "coarse15"
+    try:
+        out = scoring.outcomes(scoring.answered(rec, calls, "fine"), scoring.scopes(rec, calls, "fine"))
+        rows = {r["detector"]: r for r in scoring.score(out, ["view", "detector"]).where("schema = 'strict' and view = 'fair'").collect()}
+        assert (rows["whole"]["cor"], rows["whole"]["inc"], rows["whole"]["mis"]) == (1, 0, 1)
+        # the coarse parent of a fine gold label is one incorrect span, not a miss
+        assert (rows["split"]["cor"], rows["split"]["inc"], rows["split"]["mis"]) == (1, 1, 0)
+    finally:
+        del X.DETECTOR_VOCAB["whole"]
+
+
 def test_agreement_of_two_empty_detectors_is_one(spark):
-    p = spark.createDataFrame([], "id string, detector string, start int, end int, label string")
+    kind = S.SPANS.simpleString()
     calls = spark.createDataFrame([("r", "a"), ("r", "b")], "id string, detector string")
-    row = voting.agreement(p, calls).first()
+    none = spark.createDataFrame([], f"id string, detector string, spans {kind}, error string")
+    row = voting.agreement(none, calls).first()
     assert (row["a"], row["b"], row["f1"]) == ("a", "b", 1.0)
+    span = ("PERSON", None, None, 0, 4, None)
+    twice = spark.createDataFrame([("r", "a", [span, span], None), ("r", "b", [span], None)], none.schema)
+    row = voting.agreement(twice, calls).first()
+    assert (row["same"], row["n_a"], row["n_b"], row["precision"], row["recall"]) == (1, 2, 1, 1.0, 0.5)
 
 
 def test_majority_of_two_needs_both(spark):
@@ -208,6 +243,63 @@ def test_entities_are_never_merged_by_a_long_span():
     assert review.group_entities(spans) == [0, 0, 1, 1, 2, 2, 1]
 
 
+def test_entities_match_a_plain_search():
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 9), rng.choice(["correct", "boundary", "wrong_label"])) for a in (rng.randrange(30) for _ in range(rng.randint(1, 9)))]
+        got = review.group_entities(spans)
+        sure = [i for i, s in enumerate(spans) if s[2] == "correct"]
+        near = lambda i, j: spans[i][0] < spans[j][1] and spans[j][0] < spans[i][1]
+        reach = {i: {i} for i in sure}
+        for _ in sure:
+            reach = {i: {j for k in r for j in sure if near(k, j)} | r for i, r in reach.items()}
+        assert all((got[i] == got[j]) == (j in reach[i]) for i in sure for j in sure)
+        for i, s in enumerate(spans):
+            if s[2] != "correct":
+                mates = [j for j in sure if got[j] == got[i]]
+                assert bool(mates) <= any(near(i, j) for j in sure) and (not any(near(i, j) for j in sure) or mates)
+
+
+def test_judge_splits_and_answers(spark):
+    pooled = [(0, 3, "PERSON", ["a"]), (4, 9, "EMAIL", ["a", "b"]), (10, 12, "PHONE", ["b"])]
+    kind = "array<struct<start:int,end:int,label:string,detectors:array<string>>>"
+    df = spark.createDataFrame([("r", "Ann a@b.c 12 and Bo Lee", pooled), ("e", "x y", []), ("n", None, []), ("b", "  ", [])], f"id string, text string, spans {kind}")
+    rule = judge.rule_judge(lambda c: "boundary" if c["label"] == "PERSON" else "correct", lambda asked: [{"value": "Bo Lee", "label": "PERSON"}, {"value": "Zed", "label": "PERSON"}], limit=1)
+    rows = judge.judge(df, rule).collect()
+    spans = {r["label"]: r for r in rows if r["kind"] == "span"}
+    assert {k: r["verdict"] for k, r in spans.items()} == {"PERSON": "boundary", "EMAIL": "correct", "PHONE": "correct"} and spans["PERSON"]["calls"] == 5
+    assert [(r["id"], r["start"], r["text"]) for r in rows if r["kind"] == "found"] == [("r", 17, "Bo Lee")]
+    assert {(r["id"], r["value"], r["reason"]) for r in rows if r["kind"] == "dropped"} == {("r", "Zed", "not_found"), ("e", "Bo Lee", "not_found"), ("e", "Zed", "not_found")}
+    assert not [r for r in rows if r["id"] in ("n", "b")]
+    bad = judge.judge(df, judge.rule_judge(lambda c: "perhaps")).collect()
+    assert [(r["id"], r["kind"]) for r in bad if r["id"] == "r"] == [("r", "error")]
+    none = judge.judge(df, lambda: lambda prompt: models.Answer('{"verdicts": []}')).where("kind = 'span'").collect()
+    assert {r["verdict"] for r in none} == {"unjudged"}
+
+
+def test_classifier_runs(spark):
+    kind = "array<struct<start:int,end:int,label:string,detectors:array<string>>>"
+    df = spark.createDataFrame([("r", "Ann a@b.c", [(0, 3, "PERSON", ["a"]), (4, 9, "EMAIL", ["b"]), (4, 99, "EMAIL", ["b"])]), ("n", None, [])], f"id string, text string, spans {kind}")
+
+    def respond(request):
+        if "[[Ann]]" in request["state"]["text"]:
+            raise ValueError("no")
+        return {"is_pii": 0.7, "label_ok": judge.noul(0.6), "label": judge.choice({"EMAIL": 0.9, "NOT_PII": 0.1})}
+
+    rows = {r["label"]: r for r in judge.classify_spans(df, lambda: judge.RuleBackend(respond)).collect()}
+    assert rows["PERSON"]["error"] == "ValueError: no" and (rows["EMAIL"]["p_pii"], rows["EMAIL"]["best_label"], rows["EMAIL"]["error"]) == (0.7, "EMAIL", None)
+    even = judge.classify_spans(df, judge.RuleBackend).collect()
+    assert len(even) == 2 and all(r["p_pii"] == 0.5 and r["error"] is None for r in even)
+    calls = spark.createDataFrame([("r", "Ann left. a@b.c 12", [("d", [(0, 3, "PERSON"), (10, 15, "EMAIL")]), ("e", [(0, 99, "PERSON")])])], "id string, text string, calls array<struct<detector:string,spans:array<struct<start:int,end:int,label:string>>>>")
+    segs = segments.segments(calls)
+    asked = judge.classify_segments(segs, lambda: judge.RuleBackend(lambda q: {"residual": 0.9, "residual_type": judge.choice({"NONE": 1.0})}))
+    got = {(r["detector"], r["masked"]): (r["p_residual"], r["trivial"]) for r in asked.collect()}
+    assert got == {("d", "[PERSON] left."): (0.9, False), ("d", "[EMAIL] 12"): (0.9, False), ("e", "Ann left."): (0.9, False), ("e", "a@b.c 12"): (0.9, False)}
+    broken = judge.classify_segments(segs, lambda: judge.RuleBackend(lambda q: {}))
+    assert broken.where("error like 'KeyError%'").count() == 4
+    assert {r["residual_rate"] for r in judge.residual_summary(asked).collect()} == {1.0}
+
+
 def test_segments_never_cut_spans():
     text = "Dr. Ann Lee came. She left at 5 p.m. today! Id\n12 34 is hers. " + "x" * 30 + " tail"
     got = [text[a:b] for a, b in segments.split(text, 25, [(44, 52)])]
@@ -233,7 +325,13 @@ def test_models(spark):
     cache = spark.createDataFrame([], "key string, response string")
     answers, new = models.ask_cached(df.where("id in ('1', '4')"), prompt, "m", client, cache, schema)
     assert answers.count() == 2 and new.count() == 1
-    assert models.halves("aaa bbb") == [(0, 3), (3, 7)]
+    assert models.halve("aaa bbb") == 4 and models.halve("aa bb\ncc dd") == 6 and models.halve("x" * 10) == 5
+    assert models.parse_json('see [1] or {"a": 1}', {"type": "object"}) == {"a": 1}
+    rules = {"type": "object", "required": ["n", "s"], "properties": {"n": {"type": "integer", "minimum": 1, "maximum": 3}, "s": {"type": "string", "minLength": 2, "pattern": "^a"}, "c": {"const": 7}}}
+    assert models.problems({"n": 2, "s": "ab", "c": 7}, rules) == [] and len(models.problems({"n": 9, "s": "b", "c": 8}, rules)) == 4
+    assert models.minimal(rules) == {"n": 1, "s": "xx"} and models.problems(models.minimal({"type": "array", "minItems": 2, "items": {"enum": ["q"]}}), {"type": "array"}) == []
+    failing = models.stub_client(lambda p: 1 / 0)
+    assert models.ask(df.where("id = '1'"), prompt, failing).first()["error"].startswith("ZeroDivisionError")
 
 
 def test_fixtures(spark, tmp_path):
@@ -280,6 +378,9 @@ def test_silver(spark):
 
 def test_answer_misses(spark):
     located = spark.createDataFrame([("r", 0, 3, "PERSON", None), ("r", 0, 3, "PERSON", None), ("r", 5, 7, "EMAIL", None), ("r", 9, 12, "PHONE", None), ("r", None, None, "DATE", "not_found")], "id string, start int, end int, label string, reason string")
-    seen = spark.createDataFrame([("r", 0, 4, "correct"), ("r", 5, 7, "not_pii")], "id string, start int, end int, verdict string")
+    seen = spark.createDataFrame([("r", 0, 4, "correct"), ("r", 5, 7, "not_pii"), ("s", 0, 5, "correct"), ("s", 3, 12, "boundary"), ("u", 0, 9, "unjudged"), ("v", 0, 9, "boundary")], "id string, start int, end int, verdict string")
+    more = spark.createDataFrame([("s", 10, 14, "EMAIL", None), ("u", 0, 9, "EMAIL", None), ("v", 8, 12, "EMAIL", None)], located.schema)
+    kinds = {r["id"]: r["kind"] for r in review.answer_misses(more, seen).collect()}
+    assert kinds == {"s": "missed", "u": "missed", "v": "dropped"}  # an over-long span of another entity covers nothing
     got = {(r["label"], r["kind"], r["reason"]) for r in review.answer_misses(located, seen).collect()}
     assert got == {("PERSON", "dropped", "covered_by_candidate"), ("EMAIL", "dropped", "judged_not_pii"), ("PHONE", "missed", None), ("DATE", "dropped", "not_found")}

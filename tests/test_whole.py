@@ -1,4 +1,4 @@
-"""Queries that do the whole job beside a narrower one with SQL, against plain Python."""
+"""Queries against plain Python, beside their SQL."""
 
 import re
 
@@ -34,7 +34,7 @@ def test_masked_contexts_of_every_span(spark, data, tmp_path):
     text = "Kim of Acme wrote to Lee about the lease of the red house near the river, then Lee left."
     rows = [(1, 90, 99, "PERSON"), (1, 0, 3, "PERSON"), (1, 7, 11, "ORGANIZATION"), (1, 21, 24, "PERSON"), (1, 21, 24, "PERSON"), (1, 79, 82, "PERSON"), (2, -1, 2, "PERSON"), (2, 1, 3, "EMAIL")]
     d = write(spark, tmp_path, requests=([(1, text, None, None), (2, "a b@c", None, None), (3, "none", None, None)], REQUESTS), detected_spans=([(r, x, s, e) for r, s, e, x in rows], SPANS))
-    got = {(r["request_id"], r["start"], r["end"], r["label"]): r["masked"] for r in QUERIES["masked_contexts_all"](spark, d).collect()}
+    got = {(r["request_id"], r["start"], r["end"], r["label"]): r["masked"] for r in QUERIES["masked_contexts"](spark, d).collect()}
     assert set(got) == {(1, 0, 3, "PERSON"), (1, 7, 11, "ORGANIZATION"), (1, 21, 24, "PERSON"), (1, 79, 82, "PERSON"), (2, 1, 3, "EMAIL")}
     texts = dict(zip(*pq.read_table(f"{data}/requests.parquet", columns=["request_id", "text"]).to_pydict().values()))
     spans = {}
@@ -46,7 +46,7 @@ def test_masked_contexts_of_every_span(spark, data, tmp_path):
             if texts.get(k) is not None and 0 <= s < e <= len(texts[k]):
                 out = masked(texts[k], found, s, e)
                 want[k, s, e, label] = out, not any(c.isalnum() for c in re.sub(r"\[[A-Z_]+\]", "", out))
-    rows = QUERIES["masked_contexts_all"](spark, data).collect()
+    rows = QUERIES["masked_contexts"](spark, data).collect()
     assert {tuple(r)[:4]: tuple(r)[4:] for r in rows} == want and len(rows) == len(want) > len(spans)
 
 
@@ -55,7 +55,7 @@ def test_service_spans_of_every_mode(spark, tmp_path):
     d = write(
         spark, tmp_path, requests=([(k, "Kim met Lee", None, m) for k, m in enumerate(modes)], REQUESTS),
         detected_spans=([(k, "PERSON", s, e) for k in range(len(modes)) for s, e in ((0, 3), (8, 11), (9, 11))], SPANS))
-    got = {(r["request_id"], r["start"]): r for r in QUERIES["service_spans_all"](spark, d).collect()}
+    got = {(r["request_id"], r["start"]): r for r in QUERIES["service_spans"](spark, d).collect()}
     assert len(got) == 3 * len(modes) and {k: r["replaced"] for k, r in got.items()} == {k: k[1] != 9 for k in got}
     texts = QUERIES["service_replace"](spark, d).collect()
     for r in texts:
@@ -73,12 +73,12 @@ def test_rows_divisible_by_20_as_queries(spark, data):
         got = {(r["query_id"], r["place"]): (r["doc_id"], r["score"]) for r in search.bm25_many(docs, queries, 10, **small).collect()}
         assert got.keys() == want.keys() and len({k[0] for k in got}) > 3
         assert all(got[k] == (d, pytest.approx(s, abs=2e-6)) for k, (d, s) in want.items())
-    asked = {r["query_id"] for r in QUERIES["search_bm25_rows"](spark, data).collect()}
+    asked = {r["query_id"] for r in QUERIES["search_bm25"](spark, data).collect()}
     assert asked == {r["query_id"] for r in queries.where(F.size(search.tokens(F.col("text"))) > 0).collect()}
 
 
 def test_retrieval_quality_of_every_mode(spark, data):
-    rows = {r["mode"]: r for r in QUERIES["retrieval_quality_modes"](spark, data).collect()}
+    rows = {r["mode"]: r for r in QUERIES["retrieval_quality"](spark, data).collect()}
     assert set(rows) == {"plain", "redact", "label", "label_number", "label_token"}
     assert rows["plain"]["precision"] == rows["plain"]["recall"] == 1 and len({r["queries"] for r in rows.values()}) == 1
     assert all(0 < r["recall"] <= 1 for r in rows.values())
@@ -99,7 +99,7 @@ def test_spans_of_every_rule(spark, tmp_path):
             for m in re.finditer(pattern, text or ""):
                 if name != "digits" or len(m[0]) == 16 and luhn(m[0]):
                     want.add((k, label, m.start(), m.end(), m[0]))
-    rows = [tuple(r) for r in QUERIES["detect_rules_all"](spark, d).collect()]
+    rows = [tuple(r) for r in QUERIES["detect_rules"](spark, d).collect()]
     assert set(rows) == want and len(rows) == len(want)
     assert {r[1] for r in rows} == {label for label, _, _ in detect.RULES.values()}
 
@@ -110,7 +110,7 @@ def test_f1_of_every_label(spark, data, tmp_path):
         turned = F.transform(column, lambda s: s.withField("label", F.when(s["label"] == "ADDRESS", F.lit("USERNAME")).when(s["label"] == "USERNAME", F.lit("ADDRESS")).otherwise(s["label"])))
         table.withColumn(column, turned).write.parquet(f"{tmp_path}/{name}.parquet")
     before = {r["detector"]: r for r in QUERIES["per_label_f1"](spark, data).collect()}
-    found = QUERIES["per_label_f1_all"](spark, str(tmp_path))
+    found = QUERIES["per_label_f1"](spark, str(tmp_path))
     assert set(found.columns) == {"detector", *X.COARSE}
     rows = {r["detector"]: r for r in found.collect()}
     assert rows.keys() == before.keys() and any(r["ADDRESS"] for r in before.values())
