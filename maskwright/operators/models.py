@@ -23,11 +23,24 @@ class Answer:
     error: str | None = None
     truncated: bool = False
     refused: bool = False
+    fallback: str | None = None  # the model that answered in place of the one asked
 
 
 Client = Callable[[str], Answer]
 
 
+def remote_allowed(setting: str | None) -> bool:
+    """May texts leave the machine? Not set: yes; any value that is not a clear yes: no."""
+    return setting is None or setting.strip().lower() in ("1", "true", "yes", "on", "allow")
+
+
+def guarded(client: Callable[[], Client], remote: bool, setting: str | None) -> Callable[[], Client]:
+    """The client's factory, unless it is remote and remote calls are switched off."""
+    if remote and not remote_allowed(setting):
+        raise PermissionError("remote models are switched off")
+    return client
+
+
 def stub_client(rule: Callable[[str], object], limit: int | None = None) -> Callable[[], Client]:
     """A factory of clients that answer ``rule(prompt)`` as JSON, and truncate prompts longer than ``limit``."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import spans as S
 from maskwright.functions import taxonomy as X
 from maskwright.operators import detect, documents, judge, models, records, review, scoring, segments, silver, transforms, voting
+from maskwright.operators.locate import Found, Located, assign, without_overlaps
 from maskwright.sources import fixtures
 
 SP = "id string, text string, spans array<struct<start:int,end:int,label:string>>"
@@ -370,7 +371,9 @@ def test_silver(spark):
     # "Bo Lee" and "Lee" agree (IoU 0.5); of the two the longer one is kept
     assert spans == {"1": [(0, 3, "PERSON"), (8, 14, "PERSON")], "2": [], "3": []}
     n = {r["detector"]: r for r in silver.counters(rows).collect()}
-    assert n["a"]["n_dropped"] == 2 and n["a"]["n_errors"] == 1 and [r["id"] for r in silver.failed(rows).collect()] == ["3"]
+    assert n["a"]["n_dropped"] == 2 and n["a"]["n_errors"] == 0 and silver.failed(rows).count() == 0
+    broken = silver.generate(rec, {"x": models.stub_client(lambda p: 1 / 0)})[1]
+    assert [r["id"] for r in silver.failed(broken).orderBy("id").collect()] == ["1", "2"]
     with pytest.raises(ValueError):
         silver.check_labels(["NOPE"])
     gold = rec.withColumn("gold_spans", F.expr(f"cast(array(named_struct('label','PERSON','fine_label','PERSON','raw_label','p','start',0,'end',3,'text','Ann')) as {S.SPANS.simpleString()})")).where("id = '1'")
@@ -378,6 +381,49 @@ def test_silver(spark):
     assert best["f1"] == 1.0
 
 
+def test_long_texts_are_labelled_in_pieces(spark):
+    names = [f"Name{i:03d}" for i in range(60)]
+    text = "\n".join(f"{n} wrote a line of some length about it" for n in names)
+    shown = []
+
+    def rule(prompt):
+        body = prompt.split("Text:\n", 1)[1]
+        shown.append(len(body))
+        return [{"value": n, "label": "PERSON"} for n in names if n[:5] in body]
+
+    client = models.stub_client(rule, limit=700)()
+    kept, dropped = silver.label_text(client, text, ["PERSON"], max_chars=900, min_split=50)
+    assert [text[f.start : f.end] for f in kept] == names and max(shown) <= 700
+    assert not [d for d in dropped if d["reason"] != "not_found"]
+    with pytest.raises(models.CallFailed):
+        silver.label_text(models.stub_client(rule, limit=80)(), text, ["PERSON"], max_chars=900, min_split=200)
+    assert silver.label_text(client, " \n", ["PERSON"]) == ([], []) and silver.pieces("abc", 10) == [(0, 3)]
+    assert silver.cut_at_edge("see Ann Lee now", (0, 7), "Ann Lee") and not silver.cut_at_edge("see Ann Lee now", (0, 11), "Ann Lee")
+    other = lambda: lambda p: models.Answer("[]", fallback="small")
+    row = silver.counters(silver.label_records(spark.createDataFrame([("1", "x")], "id string, text string"), "a", other)).first()
+    assert (row["n_fallback"], row["n_errors"]) == (1, 0)
+    assert models.remote_allowed(None) and not models.remote_allowed("perhaps")
+    with pytest.raises(PermissionError):
+        models.guarded(other, True, "off")
+
+
+def test_contexts_pin_places():
+    doc = Located("Ann met Bo. Then Ann left, said Annabel; ANN too")
+    cut = lambda items, mode: [(f.start, f.label) for f in sorted(assign(doc, items, None, mode)[0])]
+    ann = {"value": "Ann", "label": "PERSON"}
+    assert cut([ann | {"context": "Then Ann left"}], "all") == [(17, "PERSON")]
+    assert cut([ann], "all") == [(0, "PERSON"), (17, "PERSON")]
+    assert cut([ann, ann | {"context": "Ann met"}], "listed") == [(0, "PERSON"), (17, "PERSON")]
+    assert assign(doc, [ann, ann, ann], None, "listed")[1] == [(2, "over_listed")]
+    assert assign(doc, [{"value": " ", "label": "PERSON"}, {"value": "Ann", "label": "NOPE"}, {"value": "Zed", "label": "PERSON"}])[1] == [(0, "empty"), (1, "label"), (2, "not_found")]
+    assert [p[:2] for p in doc.find("annabel")] == [(32, 39)] and doc.find("ANN")[0].start == 41
+    nfd = Located("Zoe\u0308 und Rene\u0301e")
+    assert [p[:2] for p in nfd.find("Zo\u00eb")] == [(0, 4)] and [p[:2] for p in nfd.find("Ren\u00e9e")] == [(9, 15)]
+    assert [p[:2] for p in Located("x a  b").find("a b")] == [(2, 6)] and Located("王小明在").find("小明")[0].start == 1
+    kept, lost = without_overlaps([Found(0, 5, "A", 0, 0, False), Found(0, 5, "B", 1, 0, True), Found(3, 4, "A", 2, 0, True), Found(0, 5, "B", 3, 0, True)], 9)
+    assert [f.label for f in kept] == ["B"] and len(lost) == 2
+
+
 def test_answer_misses(spark):
     located = spark.createDataFrame([("r", 0, 3, "PERSON", None), ("r", 0, 3, "PERSON", None), ("r", 5, 7, "EMAIL", None), ("r", 9, 12, "PHONE", None), ("r", None, None, "DATE", "not_found")], "id string, start int, end int, label string, reason string")
     seen = spark.createDataFrame([("r", 0, 4, "correct"), ("r", 5, 7, "not_pii"), ("s", 0, 5, "correct"), ("s", 3, 12, "boundary"), ("u", 0, 9, "unjudged"), ("v", 0, 9, "boundary")], "id string, start int, end int, verdict string")
