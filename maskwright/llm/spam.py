@@ -141,17 +141,18 @@ def collocation_counts(pages: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def collocation_scores(counts: DataFrame, rare: int = 3) -> DataFrame:
-    """``pair, n, score`` of every collocation that is not rare: pointwise mutual information, times its preference of order."""
+    """``pair, n, score`` of every collocation that is not rare: pointwise mutual information, times its preference of order. ``counts`` is read five
+    times, so it should be written before."""
     left = counts.groupBy("x").agg(F.sum("n").alias("nx"))
     right = counts.groupBy("y").agg(F.sum("n").alias("ny"))
-    total = counts.agg(F.sum("n").alias("total"))  # one row
+    total = counts.agg(F.sum("n")).first()[0] or 1  # one number of the counts as written
     turned = counts.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("n").alias("back"))
-    often = counts.where(F.col("n") >= rare).join(turned, ["x", "y"], "left").join(left, "x").join(right, "y").withColumn("one", F.lit(1))
+    often = counts.where(F.col("n") >= rare).join(turned, ["x", "y"], "left").join(left, "x").join(right, "y")
     log = lambda c: F.log(F.col(c).cast("double"))
-    pmi = F.greatest(log("n") + log("total") - log("nx") - log("ny"), F.lit(0.0))
+    pmi = F.greatest(log("n") + F.log(F.lit(float(total))) - log("nx") - log("ny"), F.lit(0.0))
     back = F.coalesce("back", F.lit(0))
     order = 1 - F.least("n", back) / F.greatest("n", back)
-    return often.join(F.broadcast(total.withColumn("one", F.lit(1))), "one").select("pair", "n", (pmi * order).alias("score"))
+    return often.select("pair", "n", (pmi * order).alias("score"))
 
 
 _LISTED = np.concatenate([pair_codes(np.array([a]), np.array([b])) for a in (_LINK, _TAG) for b in (_LINK, _TAG)])
