@@ -76,12 +76,10 @@ def inside_text(pred: DataFrame, records: DataFrame) -> DataFrame:
 def coverage(records: DataFrame, latest: DataFrame) -> DataFrame:
     """Per detector: records, scored, errored and missing calls."""
     ids = records.select("id").distinct()
-    total = ids.agg(F.count(F.lit(1)).alias("n"))
+    total = ids.agg(F.count(F.lit(1))).scalar()
     per = latest.join(ids, "id", "left_semi").groupBy("detector").agg(
         F.count_if(F.col("error").isNull()).alias("scored"), F.count_if(F.col("error").isNotNull()).alias("errors"))
-    # the one-row total is joined by a literal key: it stays one row at any size
-    return per.withColumn("k", F.lit(1)).join(F.broadcast(total.withColumn("k", F.lit(1))), "k").select(
-        "detector", "n", "scored", "errors", (F.col("n") - F.col("scored") - F.col("errors")).alias("missing"))
+    return per.withColumn("n", total).select("detector", "n", "scored", "errors", (F.col("n") - F.col("scored") - F.col("errors")).alias("missing"))
 
 
 def span_counts(latest: DataFrame) -> DataFrame:

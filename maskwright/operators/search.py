@@ -36,11 +36,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     """
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     words = docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
-    stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))  # one row
+    stats = words.agg(F.struct(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))).scalar()
     hit = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
     post = hit.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     df_t = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = post.join(df_t, "term").join(q, "term").withColumn("one", F.lit(1)).join(F.broadcast(stats.withColumn("one", F.lit(1))), "one")
+    rows = post.join(df_t, "term").join(q, "term").withColumn("s", stats).select("*", "s.n_docs", "s.avgdl")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))

@@ -356,6 +356,23 @@ y AS (SELECT *, length(t) - length(regexp_replace(t, '^[ \\t\\n\\r\\f\\v.,;:!?]+
 SELECT request_id, s AS "start", e AS "end", s + a AS trimmed_start, greatest(e - b, s + a) AS trimmed_end FROM y"""
 ORACLES["routed_languages"] = f"""SELECT CASE WHEN {_LANG} IN ('en', 'de', 'fr', 'es', 'it') THEN {_LANG} ELSE 'en' END AS asked_in, count(*) AS n FROM fixtures GROUP BY 1"""
 
+# reading and writing --------------------------------------------------------------------------------------------------
+
+_KEPT = f"""list_filter(coalesce(gold_spans, []), lambda g: coalesce(g['label'] IN {_in(ALL_LABELS)} AND g['start'] >= 0 AND g['start'] < g['end'] AND g['end'] <= length(text), false))"""
+_CAME_BACK = f"""kept AS (SELECT id, text, language, {_KEPT} AS k FROM fixtures WHERE text IS NOT NULL),
+back AS (SELECT DISTINCT id, sha1(text) AS text_sha1, len(k)::INTEGER AS n_spans, coalesce(list_sum(list_transform(k, lambda g: g['start'] + g['end'])), 0)::INTEGER AS places, {_LANG} AS language FROM kept)"""
+ORACLES["io_jsonl"] = f"WITH {_CAME_BACK} SELECT DISTINCT b.id, b.text_sha1, b.n_spans, b.places, l.language FROM back b JOIN (SELECT DISTINCT id, language FROM back) l ON b.id = l.id"
+ORACLES["io_parquet"] = f"WITH {_CAME_BACK} SELECT DISTINCT id, text_sha1, n_spans, places FROM back"
+ORACLES["io_csv_spans"] = f"WITH {_CAME_BACK} SELECT DISTINCT id, text_sha1, n_spans, places FROM back WHERE text_sha1 <> sha1('')"
+ORACLES["io_bio"] = """WITH w AS (SELECT request_id, regexp_extract_all(text, '[^ \\t\\n\\r]+', 0) AS ws FROM requests WHERE text IS NOT NULL),
+f AS (SELECT request_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+p AS (SELECT request_id, i, contains(ws[i], '@') AS m, (i = 1 OR NOT contains(ws[i - 1], '@')) AS fresh, (i = len(ws) OR NOT contains(ws[i + 1], '@')) AS ends,
+    coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x) + 1)), 0) AS s, length(ws[i]) AS n FROM f),
+c AS (SELECT request_id, count(*) FILTER (m AND fresh) AS k, coalesce(sum(s) FILTER (m AND fresh), 0) + coalesce(sum(s + n) FILTER (m AND ends), 0) AS places FROM p GROUP BY 1)
+SELECT w.request_id::VARCHAR AS id, sha1(array_to_string(ws, ' ')) AS text_sha1, coalesce(k, 0)::INTEGER AS n_spans, coalesce(places, 0)::INTEGER AS places FROM w LEFT JOIN c ON w.request_id = c.request_id"""
+ORACLES["io_texts"] = """SELECT format('text-{:04d}', row_number() OVER (ORDER BY request_id)) AS id, sha1(text) AS text_sha1, 'en' AS language FROM requests QUALIFY trim(text, ' ') <> ''"""
+ORACLES["io_run"] = f"WITH {_LATEST} SELECT detector, count(*) AS n, sum(coalesce(len(spans), 0))::BIGINT AS n_spans FROM latest WHERE detector IN ('ner_small', 'lex_scan') GROUP BY 1"
+
 # documents ------------------------------------------------------------------------------------------------------------
 
 ORACLES["line_segments"] = """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),

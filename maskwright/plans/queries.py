@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from maskwright.functions import spans as S
 from maskwright.functions import taxonomy as X
 from maskwright.operators import detect, documents, judge, locate, records, report, review, scoring, search, segments, transforms, voting
-from maskwright.session import cut_lineage
+from maskwright.session import cut_lineage, shared_folder
+from maskwright.sources import readers, store
 from maskwright.streaming.detect import latency_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,8 +107,7 @@ def reuse_missing(spark: SparkSession, d: str) -> DataFrame:
     run = Run(spark, d)
     ids = run.records.select("id").distinct()
     have = run.latest.join(ids, "id", "left_semi").groupBy("detector").agg(F.count(F.lit(1)).alias("have"))
-    total = ids.agg(F.count(F.lit(1)).alias("n"))  # one row
-    return have.withColumn("k", F.lit(1)).join(F.broadcast(total.withColumn("k", F.lit(1))), "k").select("detector", (F.col("n") - F.col("have")).alias("missing")).where("missing > 0")
+    return have.withColumn("n", ids.agg(F.count(F.lit(1))).scalar()).select("detector", (F.col("n") - F.col("have")).alias("missing")).where("missing > 0")
 
 
 @query
@@ -150,6 +150,71 @@ def annotated_labels(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("parent", X.parent_col(F.col("label")))
 
 
+# reading and writing: each table goes out in a format and comes back through its reader ------------------------------
+
+
+def _seen(rows: DataFrame) -> DataFrame:
+    """What came back of labelled records."""
+    return rows.select("id", F.sha1("text").alias("text_sha1"), F.size("gold_spans").alias("n_spans"), F.aggregate("gold_spans", F.lit(0), lambda n, s: n + s["start"] + s["end"]).alias("places"))
+
+
+@query
+def io_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Fixtures as JSON lines under other key names, read by the span loader: unknown labels and spans out of the text are dropped."""
+    span = lambda s: F.struct(s["label"].alias("kind"), s["start"].alias("begin"), s["end"].alias("stop"))
+    rows = t(spark, d, "fixtures").select(F.col("id").alias("uid"), F.col("text").alias("body"), F.col("language").alias("lang"), F.transform("gold_spans", span).alias("pii"))
+    path = shared_folder(spark, "fixtures.jsonl")
+    store.write_jsonl(rows, path)
+    back = readers.spans_dataset(readers.read_raw(spark, path, "jsonl", "uid string, body string, lang string, pii array<struct<kind:string,begin:int,stop:int>>"), "canonical")
+    return _seen(back).join(back.select("id", "language").distinct(), "id").distinct()
+
+
+@query
+def io_parquet(spark: SparkSession, d: str) -> DataFrame:
+    """Fixtures as a privacy mask in Parquet."""
+    span = lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("value"))
+    rows = t(spark, d, "fixtures").select("id", F.col("text").alias("source_text"), "language", F.transform("gold_spans", span).alias("privacy_mask"))
+    path = shared_folder(spark, "masks.parquet")
+    rows.write.mode("overwrite").parquet(path)
+    return _seen(readers.privacy_mask_dataset(readers.read_raw(spark, path), "canonical")).distinct()
+
+
+@query
+def io_csv_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Fixtures as CSV with a JSON column of spans."""
+    span = lambda s: F.struct(s["label"].alias("type"), s["start"].alias("start_char"), s["end"].alias("end_char"))
+    rows = t(spark, d, "fixtures").where("text <> ''").select("id", "text", F.to_json(F.transform("gold_spans", span)).alias("spans"))
+    path = shared_folder(spark, "records.csv")
+    rows.write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
+    return _seen(readers.csv_dataset(spark, path, "canonical")).distinct()
+
+
+@query
+def io_bio(spark: SparkSession, d: str) -> DataFrame:
+    """Requests as token and tag lists: words with an at-sign are tagged, neighbouring ones are one span."""
+    words = F.regexp_extract_all("text", F.lit("[^ \\t\\n\\r]+"), F.lit(0))
+    rows = t(spark, d, "requests").where("text is not null").select(F.col("request_id").cast("string").alias("id"), words.alias("tokens"))
+    tags = F.transform("tokens", lambda w: F.when(F.contains(w, F.lit("@")), "I-EMAIL").otherwise("O"))
+    return _seen(readers.bio_dataset(rows.withColumn("tags", tags), "canonical"))
+
+
+@query
+def io_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Request texts in order as numbered records; blank ones are left out but keep their number."""
+    rows = readers.from_texts(t(spark, d, "requests").select("request_id", "text"), order_col="request_id", language="en")
+    return rows.select("id", F.sha1("text").alias("text_sha1"), "language")
+
+
+@query
+def io_run(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions as a run folder, one part per detector: rows and spans that come back of two of them."""
+    path = shared_folder(spark, "run")
+    latest = Run(spark, d).latest
+    latest.write.mode("overwrite").partitionBy("detector").parquet(path)
+    back = spark.read.parquet(path).where(F.col("detector").isin("ner_small", "lex_scan"))
+    return back.groupBy("detector").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("spans"), F.lit(0)).cast("bigint")).alias("n_spans"))
+
+
 # scoring ------------------------------------------------------------------------------------------------------------
 
 

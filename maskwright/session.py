@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +54,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     read them, so losing one costs nothing. A session on one machine (``local[...]``, as in tests) may name none and gets a folder of its own; on a
     cluster that raises.
     """
-    spark = df.sparkSession
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session's checkpoints go to."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(folder or os.path.join(sc._temp_dir, "checkpoints"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path beneath the checkpoint folder, for tables that are written and read again."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}/{name}"

@@ -81,7 +81,8 @@ def spans_dataset(raw: DataFrame, vocab: str | X.Vocab = "records", text_key: st
     name = spans_key or next((k for k in SPAN_KEYS if k in schema.fieldNames()), None)
     base = raw.where(text.isNotNull())
     if name is not None and isinstance(schema[name].dataType, T.StringType):
-        base = base.withColumn(name, F.from_json(name, "array<struct<label:string,type:string,kind:string,start:int,begin:int,end:int,stop:int>>"))
+        keys = ",".join([*(f"`{k}`:string" for k in LABEL_KEYS), *(f"`{k}`:int" for k in (*START_KEYS, *END_KEYS))])
+        base = base.withColumn(name, F.from_json(name, f"array<struct<{keys}>>"))
         schema = base.schema
     if name is None:
         spans = F.array().cast(SPAN_DDL)
@@ -131,29 +132,32 @@ def csv_dataset(spark: SparkSession, path: str, vocab: str | X.Vocab = "records"
 
 
 def bio_spans(tokens: Column, tags: Column, whitespace: Column | None = None) -> Column:
-    """struct<text, spans> of a token and tag list (BIO, BIOES, BILOU). ``I-`` that continues nothing starts a span; a bare label counts as ``I-``."""
-    zero = F.struct(
-        F.lit("").alias("text"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("start"), F.lit(0).alias("end"),
-        F.array().cast("array<struct<label:string,start:int,end:int>>").alias("spans"))
-    items = F.arrays_zip(tokens.alias("tok"), tags.alias("tag"), (whitespace if whitespace is not None else F.transform(tokens, lambda t: F.lit(True))).alias("ws"))
-
-    def closed(acc: Column) -> Column:
-        return F.when(acc["open"].isNotNull(), F.concat(acc["spans"], F.array(F.struct(acc["open"].alias("label"), acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["spans"])
-
-    def step(acc: Column, x: Column) -> Column:
-        tag = F.coalesce(x["tag"], F.lit("O"))
+    """struct<text, spans> of a token and tag list (BIO, BIOES, BILOU). ``I-`` that continues nothing starts a span; a bare label counts as ``I-``. Missing tags
+    are outside, missing white space flags are a space."""
+    space = F.transform(F.coalesce(whitespace, F.array().cast("array<boolean>")) if whitespace is not None else F.array().cast("array<boolean>"), lambda w: F.coalesce(w, F.lit(True)))
+    text = F.array_join(F.transform(tokens, lambda t, i: F.concat(t, F.when(F.coalesce(F.get(space, i), F.lit(True)), F.lit(" ")).otherwise(F.lit("")))), "")
+    starts = S.running_starts(F.transform(tokens, lambda t, i: F.length(t) + F.when(F.coalesce(F.get(space, i), F.lit(True)), 1).otherwise(0)))
+
+    def item(t: Column, i: Column) -> Column:
+        tag = F.coalesce(F.get(tags, i), F.lit("O"))
         has = tag.rlike("^[BIESLUbieslu][-_].")
-        prefix = F.when(has, F.upper(F.substring(tag, 1, 1))).otherwise(F.lit("I"))
-        label = F.when(tag.isin("O", "o", ""), F.lit(None).cast("string")).when(has, F.substring(tag, 3, 10_000)).otherwise(tag)
-        begin = F.length(acc["text"])
-        end = begin + F.length(x["tok"])
-        goes_on = label.isNotNull() & acc["open"].eqNullSafe(label) & prefix.isin("I", "E", "L")
-        spans = F.when(goes_on, acc["spans"]).otherwise(closed(acc))
         return F.struct(
-            F.concat(acc["text"], x["tok"], F.when(F.coalesce(x["ws"], F.lit(True)), F.lit(" ")).otherwise(F.lit(""))).alias("text"),
-            label.alias("open"), F.when(goes_on, acc["start"]).otherwise(begin).alias("start"), end.alias("end"), spans.alias("spans"))
-
-    return F.aggregate(items, zero, step, lambda acc: F.struct(F.rtrim(acc["text"]).alias("text"), closed(acc).alias("spans")))
+            F.when(has, F.upper(F.substring(tag, 1, 1))).otherwise(F.lit("I")).alias("prefix"),
+            F.when(tag.isin("O", "o", ""), F.lit(None).cast("string")).when(has, F.substring(tag, 3, 10_000)).otherwise(tag).alias("label"), F.length(t).alias("n"))
+
+    placed = F.arrays_zip(F.transform(tokens, item).alias("x"), starts.alias("at"))
+    outside = F.struct(F.struct(F.lit("O").alias("prefix"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("n")).alias("x"), F.lit(0).alias("at"))
+    zero = F.struct(F.lit(None).cast("string").alias("label"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+
+    def step(open_: Column, p: Column) -> tuple[Column, Column]:
+        x, end = p["x"], p["at"] + p["x"]["n"]
+        goes_on = x["label"].isNotNull() & open_["label"].eqNullSafe(x["label"]) & x["prefix"].isin("I", "E", "L")
+        after = F.struct(x["label"].alias("label"), F.when(goes_on, open_["start"]).otherwise(p["at"]).alias("start"), end.alias("end"))
+        return after, F.when(~goes_on & open_["label"].isNotNull(), open_)  # the span that ends before this token
+
+    # one token outside at the end closes the last span
+    closed = S.scan(F.concat(placed, F.array(outside)), zero, step, "struct<label:string,start:int,end:int>")
+    return F.struct(F.rtrim(text).alias("text"), F.filter(closed, lambda s: s.isNotNull()).alias("spans"))
 
 
 def bio_dataset(raw: DataFrame, vocab: str | X.Vocab = "records", tokens: str = "tokens", tags: str = "tags", whitespace: str | None = None, tag_names: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import shutil
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +64,28 @@ class RunStore:
         write_json(self.manifest_path, manifest)
         return manifest
 
+    def clear(self) -> list[str]:
+        """Removes what runs write (rows, manifest, reviews, reports), nothing else in the folder; returns what was removed."""
+        gone = []
+        for name in sorted(os.listdir(self.path)) if os.path.isdir(self.path) else []:
+            if name in ("raw", "manifest.json", "report.md") or name.startswith("review_") or name.endswith(".tmp"):
+                full = os.path.join(self.path, name)
+                shutil.rmtree(full) if os.path.isdir(full) else os.remove(full)
+                gone.append(name)
+        return gone
+
+    def review_path(self, name: str) -> str:
+        """Where the rows of a reviewer lie."""
+        return os.path.join(self.path, f"review_{re.sub(r'[^A-Za-z0-9.-]+', '_', name)}")
+
+    def reviews(self, name: str | None = None) -> DataFrame:
+        """Rows of a review; without a name the only one there is. Raises if there is none, or more than one to choose from."""
+        found = sorted(x for x in os.listdir(self.path) if x.startswith("review_")) if os.path.isdir(self.path) else []
+        path = self.review_path(name) if name else os.path.join(self.path, found[0]) if len(found) == 1 else None
+        if path is None or not os.path.exists(path):
+            raise FileNotFoundError(f"no review {name or ''} in {self.path}; there are {found}")
+        return self.spark.read.parquet(path)
+
     def results(self, detectors: list[str] | None = None) -> DataFrame:
         """Result rows; the detector list prunes partitions."""
         rows = self.spark.read.parquet(self.raw)
@@ -77,6 +101,39 @@ class RunStore:
         return new
 
 
+def export_baseline(run: RunStore, records: DataFrame, path: str) -> dict:
+    """Writes the run's rows with the hash of every record's text, so that other runs can start from them."""
+    known = run.manifest()
+    run.results().write.mode("overwrite").partitionBy("detector").parquet(os.path.join(path, "raw"))
+    records.select("id", F.sha1("text").alias("text_sha1")).distinct().write.mode("overwrite").parquet(os.path.join(path, "hashes"))
+    meta = {k: known.get(k) for k in ("dataset", "detectors", "detector_options", "n_examples")}
+    write_json(os.path.join(path, "baseline.json"), meta)
+    return meta
+
+
+def find_baseline(folder: str, dataset: str, options: dict) -> str | None:
+    """The baseline of a dataset with the same detector options."""
+    for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
+        meta = read_json(os.path.join(folder, name, "baseline.json"))
+        if meta and meta["dataset"] == dataset and (meta.get("detector_options") or {}) == options:
+            return os.path.join(folder, name)
+    return None
+
+
+def seed_run(run: RunStore, baseline: str, records: DataFrame, dataset: str, labels: Iterable[str], options: dict | None = None) -> bool:
+    """Takes the baseline's rows over if its options are the same and it covers every record with the same text; else changes nothing."""
+    meta = read_json(os.path.join(baseline, "baseline.json"))
+    if not meta or (meta.get("detector_options") or {}) != (options or {}):
+        return False
+    hashes = run.spark.read.parquet(os.path.join(baseline, "hashes"))
+    own = records.select("id", F.sha1("text").alias("text_sha1")).distinct()
+    if own.join(hashes, (own["id"] == hashes["id"]) & own["text_sha1"].eqNullSafe(hashes["text_sha1"]), "left_anti").limit(1).count():
+        return False
+    rows = run.spark.read.parquet(os.path.join(baseline, "raw")).join(own.select("id"), "id", "left_semi")
+    run.write(rows, records, dataset, labels, options)
+    return True
+
+
 def cache_key(*parts: Column) -> Column:
     """Key of a model call: a SHA-256 over everything that shapes its answer."""
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts]), 256)
