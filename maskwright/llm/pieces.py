@@ -210,7 +210,9 @@ def split_oversized(docs: DataFrame, limits: DataFrame, key_col: str = "doc_id",
     return over.mapInArrow(run, _FIELDS.format(k=key_kind))
 
 
-_BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u000b\u001c-\u001f\u0085]+"
+# White space as Python sees it, for expressions of the JVM.
+_WHITE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u000b\u001c-\u001f\u0085"
+BLANK, VISIBLE, TRIMMED = f"[{_WHITE}]+", f"[^{_WHITE}]", f"(?s)^[^{_WHITE}](.*[^{_WHITE}])?$"
 
 
 def piece_properties(split: DataFrame, docs: DataFrame, limits: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +220,7 @@ def piece_properties(split: DataFrame, docs: DataFrame, limits: DataFrame, key_c
     allowed overlap with the one before, own texts follow each other, and together they hold every code point that is not white space."""
     p = F.col("pieces")
     own = F.transform(p, lambda x: F.substring(F.col(text_col), x["body"] + 1, x["end"] - x["body"]))
-    visible = lambda c: F.regexp_replace(c, _BLANK, "")
+    visible = lambda c: F.regexp_replace(c, BLANK, "")
     bounds = limits.groupBy("kind").agg(F.min("max_chars").alias("max_chars"), F.coalesce(F.min("overlap_chars"), F.lit(0)).alias("overlap_chars"))
     rows = split.join(docs.select(F.col(key_col).alias("doc_id"), text_col), "doc_id").join(bounds, "kind")
     return rows.select(

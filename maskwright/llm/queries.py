@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import consensus, languages, leaks, lookalikes, pieces, pii, quantiles, sentences, spam, tokens
@@ -47,6 +47,16 @@ def p1_words(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("confidence", F.round("confidence", 6))
 
 
+def p1_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Per document: its stretches follow each other inside the text, neighbours differ in language, confidences are shares."""
+    rows = p1_languages(spark, d)
+    one = F.struct("start_pos", "end_pos", "lang", "confidence")
+    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("start_pos").isNotNull(), one))).alias("s"))
+    s = F.col("s")
+    follows = F.transform(s, lambda x, i: (x["start_pos"] < x["end_pos"]) & ((i == 0) | ((x["start_pos"] >= F.get(s, i - 1)["end_pos"]) & (x["lang"] != F.get(s, i - 1)["lang"]))))
+    return per.select("doc_id", F.forall(follows, lambda ok: ok).alias("in_order"), F.forall(s, lambda x: x["confidence"].between(0, 1)).alias("shares"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     requests = _table(spark, d, "requests")
     return pii.find_mentions(requests, pii.train_on(requests, _table(spark, d, "detected_spans"))).distinct()
@@ -57,6 +67,22 @@ def p2_replaced(spark: SparkSession, d: str) -> DataFrame:
     return pii.replace_mentions(requests, pii.train_on(requests, _table(spark, d, "detected_spans")))
 
 
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every request with its placeholders turned back into the mentions: all other text must be as it was."""
+    rows = p2_replaced(spark, d)
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("shift"))
+
+    def step(acc: Column, m: Column) -> Column:
+        # the placeholder stands where the mention began, moved by what was put in before
+        start = m["start"] + acc["shift"]
+        gap = F.substring(F.col("replaced_text"), acc["at"] + 1, start - acc["at"])
+        longer = F.length(m["replacement"]) - (m["end"] - m["start"])
+        return F.struct(F.concat(acc["out"], gap, m["text"]).alias("out"), (start + F.length(m["replacement"])).alias("at"), (acc["shift"] + longer).alias("shift"))
+
+    text = F.aggregate("mentions", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("replaced_text"), acc["at"] + 1, F.length("replaced_text"))))
+    return rows.select("request_id", F.sha1(text).alias("text_sha1"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_rows(_prose(spark, d))
 
@@ -69,6 +95,17 @@ def p3_units(spark: SparkSession, d: str) -> DataFrame:
         sentences.place_in_segments(F.col("u.start"), F.col("u.end"), F.col("segments")).alias("segments"))
 
 
+def p3_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Per document with visible text: units follow each other, hold no white space at their ends, and together every visible code point."""
+    docs = sentences.with_sentence_units(_table(spark, d, "documents").where(F.col("text").rlike(pieces.VISIBLE)).select("doc_id", "text"))
+    u, text = F.col("units"), F.col("text")
+    own = F.transform(u, lambda x: F.substring(text, x["start"] + 1, x["end"] - x["start"]))
+    visible = lambda c: F.regexp_replace(c, pieces.BLANK, "")
+    return docs.select(
+        "doc_id", F.forall(F.transform(u, lambda x, i: (i == 0) | (x["start"] >= F.get(u, i - 1)["end"])), lambda ok: ok).alias("in_order"),
+        F.forall(own, lambda t: t.rlike(pieces.TRIMMED)).alias("trimmed"), (visible(F.array_join(own, "")) == visible(text)).alias("covered"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus(_table(spark, d, "annotations")).select("item_id", "label", "start_pos", "end_pos")
 
@@ -77,6 +114,11 @@ def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus(_table(spark, d, "annotations"))
 
 
+def p4_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Votes that count and the share of agreeing pairs per item."""
+    return consensus.consensus(_table(spark, d, "annotations")).select("item_id", "n_votes", F.round("agreement", 6).alias("agreement"))
+
+
 def p4_reliability(spark: SparkSession, d: str) -> DataFrame:
     return consensus.annotator_reliability(_table(spark, d, "annotations"))
 
@@ -148,6 +190,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(_table(spark, d, "documents"))
 
 
+def p8_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the ids stand for."""
+    return tokens.decoded(p8_ids(spark, d)).select("doc_id", F.sha1("text").alias("text_sha1"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
 
@@ -162,6 +209,11 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_spans(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
 
 
+def p9_after(spark: SparkSession, d: str) -> DataFrame:
+    """How many passages are left once the leaked spans are cut."""
+    return leaks.leaked_items(p9_cleaned(spark, d), _table(spark, d, "eval_items")).agg(F.count(F.lit(1)).alias("leaks"))
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").where(F.col("kind").isin(*PAGES))
 
@@ -174,11 +226,19 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.score_pages(_pages(spark, d))
 
 
+def p10_ways(spark: SparkSession, d: str) -> DataFrame:
+    """The scores with broadcast information against those of the shuffle join: how many pages there are and how many differ."""
+    a, b = (spam.score_pages(_pages(spark, d), most_pairs=m).select("doc_id", F.round("marked", 9).alias("marked")) for m in (2_000_000, 0))
+    both = a.withColumnRenamed("marked", "ma").join(b.withColumnRenamed("marked", "mb"), "doc_id", "full")
+    return both.agg(F.count(F.lit(1)).alias("pages"), F.count_if(~F.col("ma").eqNullSafe(F.col("mb"))).alias("different"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    p1_found, p1_languages, p1_words, p2_found, p2_replaced, p3_found, p3_units, p4_found, p4_agreement, p4_reliability, p5_percentiles, p5_latency, p5_latency_runs,
-    p5_latency_days, p5_ranks, p6_found, p6_classes, p6_forms, p7_found, p7_pieces, p7_properties, p8_ids, p9_found, p9_cleaned, p9_spans, p10_found, p10_scores)}
+    p1_found, p1_languages, p1_words, p1_properties, p2_found, p2_replaced, p2_restored, p3_found, p3_units, p3_properties, p4_found, p4_agreement, p4_votes, p4_reliability, p5_percentiles, p5_latency, p5_latency_runs,
+    p5_latency_days, p5_ranks, p6_found, p6_classes, p6_forms, p7_found, p7_pieces, p7_properties, p8_ids, p8_texts, p9_found, p9_cleaned, p9_spans, p9_after, p10_found, p10_scores, p10_ways)}
 
-# None of these operators is plain SQL over whole tables; tests/llm holds brute-force versions instead.
+# The operators are not plain SQL over whole tables: tests/llm holds brute-force versions, and the SQL here checks properties that every right result has.
+_WHITE = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F\x85"
 ORACLES: dict[str, str] = {
     "p7_found": """
         WITH over AS (
@@ -188,6 +248,17 @@ ORACLES: dict[str, str] = {
             WHEN list_max(list_transform(regexp_split_to_array(text, '[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B\\x1C-\\x1F\\x85.!?…。！？।؟]+'), lambda x: length(x))) <= max_chars THEN 'inside'
             ELSE 'hard' END AS cut
         FROM over""",
+    "p1_properties": "SELECT doc_id, true AS in_order, true AS shares FROM documents",
+    "p2_restored": "SELECT request_id, sha1(text) AS text_sha1 FROM requests",
+    "p3_properties": f"SELECT doc_id, true AS in_order, true AS trimmed, true AS covered FROM documents WHERE regexp_matches(text, '[^{_WHITE}]')",
+    "p4_votes": """
+        WITH v AS (SELECT item_id, annotator, arg_max({'label': label, 's': "start", 'e': "end"}, {'at': labelled_at, 'label': label, 's': "start", 'e': "end"}) AS v
+            FROM annotations WHERE label IS NOT NULL AND item_id IS NOT NULL AND annotator IS NOT NULL GROUP BY 1, 2),
+        c AS (SELECT item_id, v['label'] AS label, count(*) AS c FROM v GROUP BY 1, 2), n AS (SELECT item_id, sum(c)::INTEGER AS n, sum(c * (c - 1)) AS same FROM c GROUP BY 1)
+        SELECT item_id, n AS n_votes, CASE WHEN n > 1 THEN round(same::DOUBLE / (n * (n - 1)), 6) END AS agreement FROM n""",
+    "p8_texts": "SELECT doc_id, sha1(coalesce(text, '')) AS text_sha1 FROM documents",
+    "p9_after": "SELECT 0::BIGINT AS leaks",
+    "p10_ways": "SELECT count(*) AS pages, 0::BIGINT AS different FROM documents WHERE kind IN ('html', 'md')",
     "p5_ranks": """
         SELECT detector, q, count(*) AS n, true AS within
         FROM predictions, (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]::DOUBLE[]) AS q)

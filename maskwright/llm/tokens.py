@@ -255,3 +255,22 @@ def _pattern(directory: str) -> str:
         if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "PATTERN" for t in node.targets):
             return str(ast.literal_eval(node.value))
     raise ValueError(f"{directory} states no PATTERN")
+
+
+def decoded(ids: DataFrame, name: str = "byte_bpe_50k", directory: str = DEFAULT_DIR) -> DataFrame:
+    """``doc_id, text`` of id lists: the tokens' bytes in a row. Ids that are not in the vocabulary raise."""
+    shared = ids.sparkSession.sparkContext.broadcast(_read(f"{directory}/{name}.json"))
+    kind = ids.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = {i: t for t, i in _vocabulary(shared.value).ids.items()}
+        for batch in batches:
+            texts = [b"".join(map(back.__getitem__, row or [])).decode("utf-8", "replace") for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+
+
+@functools.cache
+def _vocabulary(source: bytes) -> Vocabulary:
+    return Vocabulary(source)
