@@ -380,6 +380,7 @@ f AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l),
 o AS (SELECT doc_id, i AS line, sum(length(ls[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(ls[i]) - 1 AS s, ls[i] AS t FROM f)
 SELECT doc_id, line, s::BIGINT AS "start", (s + length(t))::BIGINT AS "end" FROM o WHERE trim(t, ' ') <> ''"""
 ORACLES["documents_rebuilt"] = "SELECT doc_id, sha1(text) AS text_sha1, true AS complete FROM documents WHERE text <> ''"
+ORACLES["chunk_properties"] = "SELECT doc_id, true AS within_limit, true AS uncut FROM documents WHERE text <> ''"
 ORACLES["document_map"] = """SELECT doc_id, count(*) AS n_chunks, max("offset" + length(text)) AS length FROM (
     SELECT DISTINCT r.id, r.text, r.language, r.gold_spans, f.doc_id, f."offset" FROM (SELECT DISTINCT id, text, language, gold_spans FROM fixtures) r
     JOIN (SELECT DISTINCT id, doc_id, "offset" FROM fixtures) f ON r.id = f.id) WHERE doc_id IS NOT NULL GROUP BY 1"""

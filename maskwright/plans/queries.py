@@ -548,6 +548,18 @@ def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "k", "offset", F.length("text").alias("n_chars"))
 
 
+@query
+def chunk_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Per document with a text: no chunk is longer than allowed, and no segment that fits is cut."""
+    docs = t(spark, d, "documents")
+    cut = documents.chunks(docs).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("offset").alias("start"), (F.col("offset") + F.length("text")).alias("end"))).alias("c"))
+    j = cut.join(docs.select("doc_id", "segments"), "doc_id")
+    fits = F.filter(F.coalesce("segments", F.array()), lambda s: (s["end"] - s["start"] <= 4000) & (s["start"] < s["end"]))
+    return j.select(
+        "doc_id", F.forall("c", lambda c: c["end"] - c["start"] <= 4000).alias("within_limit"),
+        F.forall(fits, lambda s: F.exists("c", lambda c: (c["start"] <= s["start"]) & (s["end"] <= c["end"]))).alias("uncut"))
+
+
 @query
 def documents_rebuilt(spark: SparkSession, d: str) -> DataFrame:
     back = documents.rebuild(documents.chunks(t(spark, d, "documents")))
