@@ -290,16 +290,21 @@ class _Trainer:
         hot = np.zeros((len(y), N_TAGS), np.float32)
         hot[np.arange(len(y)), y] = 1
         adam = Adam(0.06)
+        columns = [np.ascontiguousarray(short[:, j]) for j in range(short.shape[1])]
+        em, row = np.zeros((len(y), N_TAGS), np.float32), np.empty((len(y), N_TAGS), np.float32)
+        tops = [bounds[hi] if hi < len(bounds) else len(owner) for hi in runs[1:]]
+        gathered = np.empty((max((t - bounds[lo] for lo, t in zip(runs, tops)), default=0), N_TAGS), np.float32)
         for _ in range(iterations):
-            em = np.zeros((len(y), N_TAGS), np.float32)
-            for j in range(short.shape[1]):
-                em += params["w"][short[:, j]]
+            em[:] = 0
+            for column in columns:
+                em += np.take(params["w"], column, axis=0, out=row, mode="clip")  # into a held buffer: no new memory each time
             post, _, pairs, _ = forward_backward(em, layout, params["t"] + self.legal, params["s"] + self.start_legal, want_pairs=True)
             grad = np.zeros_like(params["w"])
             miss = hot - post
             for lo, hi in zip(runs, runs[1:]):
                 end = bounds[hi] if hi < len(bounds) else len(owner)
-                grad[seen[lo:hi]] = np.add.reduceat(miss[owner[bounds[lo] : end]], bounds[lo:hi] - bounds[lo], axis=0) / often[lo:hi]
+                part = np.take(miss, owner[bounds[lo] : end], axis=0, out=gathered[: end - bounds[lo]], mode="clip")
+                grad[seen[lo:hi]] = np.add.reduceat(part, bounds[lo:hi] - bounds[lo], axis=0) / often[lo:hi]
             adam.step(params, {
                 "w": grad - 0.05 * params["w"], "t": ((gold_t - pairs - 0.1 * params["t"]) / len(firsts)).astype(np.float32),
                 "s": ((gold_s - post[firsts].sum(axis=0)) / len(firsts)).astype(np.float32)})
