@@ -46,6 +46,7 @@ def forward_backward(
     e = np.exp(e - top)
     a, ab = np.exp(trans), np.exp(trans_break if trans_break is not None else trans)
     flags = breaks[o] if breaks is not None else None
+    broken = np.logical_or.reduceat(flags, layout.k0).tolist() if flags is not None else [False] * layout.steps  # has a step any break?
     alpha = np.empty((n, m), e.dtype)
     scale = np.empty(n, e.dtype)
     k, k0 = layout.k.tolist(), layout.k0.tolist()
@@ -57,13 +58,12 @@ def forward_backward(
         lo, c = k0[t], k[t]
         prev = alpha[k0[t - 1] : k0[t - 1] + c]
         x = prev @ a
-        if flags is not None:
+        if broken[t]:
             f = flags[lo : lo + c]
-            if f.any():
-                x[f] = prev[f] @ ab
+            x[f] = prev[f] @ ab
         x *= e[lo : lo + c]
         s = x.sum(axis=1)
-        s[s == 0] = 1e-30
+        np.maximum(s, 1e-30, out=s)
         alpha[lo : lo + c] = x / s[:, None]
         scale[lo : lo + c] = s
     log_z = float(np.log(scale).sum() + top.sum())
@@ -74,8 +74,8 @@ def forward_backward(
         lo, c, lp = k0[t], k[t], k0[t - 1]
         w = beta[lo : lo + c] * e[lo : lo + c] / scale[lo : lo + c, None]
         back = w @ a.T
-        f = flags[lo : lo + c] if flags is not None else None
-        if f is not None and f.any():
+        f = flags[lo : lo + c] if broken[t] else None
+        if f is not None:
             back[f] = w[f] @ ab.T
         beta[lp : lp + c] = back
         if want_pairs:

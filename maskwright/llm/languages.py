@@ -230,6 +230,8 @@ def fit(texts: list[str], labels: list[str], iterations: int = 22, rounds: int =
         scores = lexicon(y)[inv] * tokens.weight[:, None]
         votes = np.add.reduceat(scores, unit_first, axis=0)
         y = votes.argmax(axis=1)[unit_of]
+    order = np.argsort(inv, kind="stable")
+    word_first = np.searchsorted(inv[order], np.arange(len(uniq)))
     used = np.unique(fid)
     short = np.searchsorted(used, fid)
     for turn in range(rounds):
@@ -252,8 +254,7 @@ def fit(texts: list[str], labels: list[str], iterations: int = 22, rounds: int =
             post, _, pt, ptb = forward_backward(
                 table[inv], layout, params["t"], params["s"], tokens.breaks, params["tb"], want_pairs=True)
             exp_w = np.zeros((len(uniq), m), np.float32)
-            order = np.argsort(inv, kind="stable")
-            exp_w[:] = np.add.reduceat(post[order], np.searchsorted(inv[order], np.arange(len(uniq))), axis=0)
+            exp_w[:] = np.add.reduceat(np.take(post, order, axis=0), word_first, axis=0)
             diff = (gold_w - exp_w) / np.sqrt(occurs)[:, None]
             grad = np.stack([np.bincount(short, diff[wid, j], minlength=len(used)) for j in range(m)], axis=1)
             adam.step(params, {
