@@ -133,9 +133,9 @@ def latency_summary(predictions: DataFrame) -> DataFrame:
     return got.select("detector", "n", ((F.col("lo") + F.col("hi")) / 2).alias("p50"), "p95", "p99")
 
 
-def validate(fixtures: DataFrame) -> DataFrame:
-    """One row per issue: ``id, severity, issue, n``. Errors: missing or repeated id, missing text, offsets out of the text; warnings:
-    label outside the taxonomy, repeated span, overlapping gold."""
+def validate(fixtures: DataFrame, unlabeled: bool = False) -> DataFrame:
+    """One row per issue: ``id, severity, issue, n``. Errors: missing or repeated id, missing text, offsets out of the text, chunk without a sound offset; warnings:
+    label outside the taxonomy, repeated span, overlapping gold, and with ``unlabeled`` any gold."""
     rows = fixtures.select("id", "text", "gold_spans")
     none = rows.where(F.col("id").isNull() | (F.col("id") == "")).select(F.col("id"), F.lit("error").alias("severity"), F.lit("missing id").alias("issue"))
     twice = rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id", F.lit("error").alias("severity"), F.lit("repeated id").alias("issue"))
@@ -147,10 +147,29 @@ def validate(fixtures: DataFrame) -> DataFrame:
     sorted_spans = F.array_sort(F.transform("gold_spans", lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"))))
     pairs = rows.select("id", sorted_spans.alias("s")).select("id", "s", F.size(F.filter("s", lambda x, i: (i > 0) & (x["start"] < F.get(F.col("s"), i - 1)["end"]))).alias("k"))
     overlap = pairs.where("k > 0").select("id", F.lit("warning").alias("severity"), F.lit("overlapping gold").alias("issue"))
+    once = F.array_distinct(F.transform("gold_spans", lambda g: F.struct(g["label"], g["start"], g["end"])))
+    again = rows.where(F.size("gold_spans") > F.size(once)).select("id", F.lit("warning").alias("severity"), F.lit("repeated span").alias("issue"))
+    overlap = overlap.unionByName(again)
+    if {"doc_id", "offset"} <= set(fixtures.columns):
+        loose = fixtures.where("doc_id is not null and coalesce(offset, -1) < 0")
+        overlap = overlap.unionByName(loose.select("id", F.lit("error").alias("severity"), F.lit("chunk without an offset").alias("issue")))
+    if unlabeled:
+        overlap = overlap.unionByName(rows.where(F.size("gold_spans") > 0).select("id", F.lit("warning").alias("severity"), F.lit("gold in unlabeled records").alias("issue")))
     every = none.unionByName(twice).unionByName(empty).unionByName(out).unionByName(label).unionByName(overlap)
     return every.groupBy("id", "severity", "issue").agg(F.count(F.lit(1)).alias("n"))
 
 
+def validate_jsonl(lines: DataFrame) -> DataFrame:
+    """``line, issue`` of JSON lines (``line, value``) that are no record: ``bad JSON``, ``no object``, ``text is no string``, ``id is no string``. Blank lines are no issue."""
+    v = lines.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+    whole = F.schema_of_variant("v")
+    issue = (
+        F.when(F.col("v").isNull(), "bad JSON").when(~whole.startswith("OBJECT"), "no object").when(~kind("$.text").eqNullSafe(F.lit("STRING")), "text is no string")
+        .when(~kind("$.id").eqNullSafe(F.lit("STRING")), "id is no string"))
+    return v.select("line", issue.alias("issue")).where("issue is not null")
+
+
 def sample(records: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
     """The first n records in the order of a seeded hash: samples of one seed nest as prefixes. Top-n, not a full sort."""
     return records.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key))), key).limit(n)

@@ -77,6 +77,12 @@ def chosen_detectors(present: list[str], wanted: Iterable[str] | str | None) ->
     return [d for d in present if d in names]
 
 
+def side_by_side(rows: Iterable[dict], modes: Iterable[str], width: int = 60) -> str:
+    """Renderings of a few texts next to each other, one row per text, cut to ``width`` for display."""
+    cut = lambda t: t if t is None or len(t) <= width else t[: width - 1] + "…"
+    return md_table([{"plain": cut(r.get("plain")), **{m: cut(r.get(m)) for m in modes}} for r in rows])
+
+
 def run_labels(dataset: list[str] | None, sidecar: list[str] | None, observed: Iterable[str]) -> list[str]:
     """Labels of a run: the dataset's, else the sidecar's, else those that were observed."""
     found = next((x for x in (dataset, sidecar) if x), None) or observed

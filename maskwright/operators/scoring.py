@@ -119,8 +119,9 @@ def headline(scores: DataFrame) -> DataFrame:
         *[pick(s, "f1").alias(f"f1_{s}") for s in SCHEMAS], pick("strict", "precision").alias("precision"), pick("strict", "recall").alias("recall"))
 
 
-def errors(calls: DataFrame, records: DataFrame, kind: str, width: int = 30) -> DataFrame:
-    """Error rows of one kind: missed, spurious, mislabeled (same bounds, other label), boundary (overlap, same label, other bounds)."""
+def errors(calls: DataFrame, records: DataFrame, kind: str, width: int = 30, labels: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Error rows of one kind: missed, spurious, mislabeled (same bounds, other label), boundary (overlap, same label, other bounds), of the given gold or
+    predicted labels; ``limit`` is for display and takes the first by record and place."""
     p, g = F.col("p"), F.col("g")
     over = lambda x, y: S.overlaps(x["start"], x["end"], y["start"], y["end"])
     row = lambda x, gold, own: F.struct(x["start"].alias("start"), x["end"].alias("end"), gold.alias("gold_label"), own.alias("label"))
@@ -140,7 +141,10 @@ def errors(calls: DataFrame, records: DataFrame, kind: str, width: int = 30) ->
     # the texts join before the rows multiply: one row per call, not per error
     rows = calls.withColumn("found", found).where(F.size("found") > 0).select("id", "detector", "found").join(records.select("id", "text"), "id")
     flat = rows.select("id", "detector", "text", F.explode("found").alias("e")).select("id", "detector", "text", "e.*")
-    return flat.select("id", "detector", "start", "end", "gold_label", "label", S.context(F.col("text"), F.col("start"), F.col("end"), width, None).alias("context"))
+    if labels is not None:
+        flat = flat.where(F.coalesce("gold_label", "label").isin(labels))
+    out = flat.select("id", "detector", "start", "end", "gold_label", "label", S.context(F.col("text"), F.col("start"), F.col("end"), width, None).alias("context"))
+    return out if limit is None else out.orderBy("id", "detector", "start", "end", "label").limit(limit)
 
 
 def greedy_matches(calls: DataFrame, threshold: float = 0.5) -> DataFrame:

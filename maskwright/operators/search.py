@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -162,6 +162,25 @@ def _scan(spark, rows, n_docs, avgdl, k, k1, b, kind, cells):  # noqa: ANN001, A
     return run
 
 
+# The made-up addresses of the demonstration corpus.
+DEMO_QUERIES = ["alice@example.com", "charlie@example.com"]
+
+
+def demo_corpus(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, text`` of 130 short texts, ``query_id, text, relevant``): five texts name one address, three another, the rest names other people's
+    addresses or none. Made by rule from the number of the text."""
+    n = F.col("doc_id")
+    other = lambda k: F.concat(F.lit("user"), (n * 7 + k).cast("string"), F.lit("@mail.example"))
+    text = (
+        F.when(n < 5, F.concat(F.lit("Please forward item "), n.cast("string"), F.lit(f" to {DEMO_QUERIES[0]} before noon")))
+        .when(n < 8, F.concat(F.lit("Invoice "), n.cast("string"), F.lit(f" was sent to {DEMO_QUERIES[1]} today")))
+        .when(n < 48, F.concat(F.lit("Team list: "), other(1), F.lit(", "), other(2), F.lit(" and "), other(3)))
+        .when(n < 128, F.concat(F.lit("Reply to "), other(1), F.lit(" about room "), n.cast("string")))
+        .otherwise(F.lit("The office is closed on Monday")))
+    queries = spark.createDataFrame([(0, DEMO_QUERIES[0], list(range(5))), (1, DEMO_QUERIES[1], [5, 6, 7])], "query_id bigint, text string, relevant array<bigint>")
+    return spark.range(130).withColumnRenamed("id", "doc_id").select("doc_id", text.alias("text")), queries
+
+
 def retrieval_quality(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, precision, recall`` of retrieved against relevant documents."""
     got = hits.groupBy("query_id").agg(F.collect_set("doc_id").alias("got"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
+from maskwright.functions import taxonomy as X
 
 MODES = ("redact", "label", "label_number", "label_token")
 
@@ -95,6 +96,34 @@ def render_modes(df: DataFrame, spans_col: str, text_col: str = "text") -> DataF
     return out.withColumn("plain", F.col(text_col))
 
 
+def problems(requests: DataFrame) -> DataFrame:
+    """``request_id, problem``: requests with a mode or a category that the service does not know."""
+    mode = F.when(F.col("mode").isNotNull() & ~F.col("mode").isin(*MODES), F.concat(F.lit("unknown mode "), "mode"))
+    unknown = F.transform(F.filter("categories", lambda c: c.isNotNull() & ~c.isin(X.ALL_LABELS)), lambda c: F.concat(F.lit("unknown category "), c))
+    found = F.concat(F.filter(F.array(mode), lambda x: x.isNotNull()), F.coalesce(unknown, F.array().cast("array<string>")))
+    return requests.select("request_id", F.explode(found).alias("problem"))
+
+
+def vault_tokens(spans: DataFrame, labels: list[str] | None = None, secret: str = "maskwright") -> DataFrame:
+    """``label, text, token`` of the distinct pairs, as a vault would give them in one batch; labels without a column in the vault have no token."""
+    once = spans.where(F.col("text").isNotNull()).select("label", "text").distinct()
+    known = once if labels is None else once.where(F.col("label").isin(labels))
+    return known.withColumn("token", S.token_of(F.col("label"), F.col("text"), secret))
+
+
+def rewrite_with_vault(df: DataFrame, spans_col: str, tokens: DataFrame, key: str = "request_id", text_col: str = "text") -> DataFrame:
+    """``key, replaced_text``: spans become ``[LABEL_token]`` by a table of tokens, ``[LABEL]`` where it has none. Span values join the table by (label, text);
+    texts do not move for that."""
+    text = F.col(text_col)
+    df = df.withColumn("_s", clean_spans(F.col(spans_col), text))
+    flat = df.select(key, F.explode("_s").alias("s"), text.alias("_t")).select(key, "s", F.col("s.label").alias("label"), S.slice_text(F.col("_t"), F.col("s.start"), F.col("s.end")).alias("text"))
+    met = flat.join(tokens.select("label", "text", "token"), ["label", "text"], "left")
+    shown = F.when(F.col("token").isNull(), F.concat(F.lit("["), "label", F.lit("]"))).otherwise(F.concat(F.lit("["), "label", F.lit("_"), "token", F.lit("]")))
+    parts = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s.start", "s.end", "label", shown.alias("replacement")))).alias("_p"))
+    none = F.array().cast("array<struct<start:int,end:int,label:string,replacement:string>>")
+    return df.join(parts, key, "left").select(key, S.splice(text, F.coalesce("_p", none)).alias("replaced_text"))
+
+
 def token_collisions(spans: DataFrame) -> DataFrame:
     """Tokens of one label that stand for more than one text: ``label, token, n``. ``spans`` holds label and text."""
     return spans.select("label", "text").distinct().withColumn("token", S.token_of(F.col("label"), F.col("text"))).groupBy("label", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

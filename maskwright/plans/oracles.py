@@ -102,6 +102,8 @@ e AS (
     UNION ALL SELECT id, 'error', 'missing text' FROM fixtures WHERE text IS NULL
     UNION ALL SELECT id, 'error', 'offsets out of the text' FROM flat WHERE NOT coalesce(g."start" >= 0 AND g."start" < g."end" AND g."end" <= length(text), false)
     UNION ALL SELECT id, 'warning', 'label outside the taxonomy' FROM flat WHERE NOT coalesce(g.label IN {_in(ALL_LABELS)}, false)
+    UNION ALL SELECT id, 'warning', 'repeated span' FROM fixtures WHERE len(gold_spans) > len(list_distinct(list_transform(gold_spans, lambda g: {{'l': coalesce(g['label'], ''), 's': g['start'], 'e': g['end']}})))
+    UNION ALL SELECT id, 'error', 'chunk without an offset' FROM fixtures WHERE doc_id IS NOT NULL AND coalesce("offset", -1) < 0
     UNION ALL SELECT id, 'warning', 'overlapping gold' FROM o WHERE len(list_filter(x, lambda v, i: i > 1 AND v['s'] < x[i - 1]['e'])) > 0)
 SELECT id, severity, issue, count(*) AS n FROM e GROUP BY 1, 2, 3"""
 ORACLES["sample_records"] = "SELECT id FROM (SELECT DISTINCT id FROM fixtures) ORDER BY md5('42:' || id), id LIMIT 100"
@@ -210,6 +212,12 @@ ORACLES["errors_mislabeled"] = _error("""SELECT DISTINCT p.id, p.detector, p.s A
 ORACLES["errors_boundary"] = _error("""SELECT DISTINCT p.id, p.detector, p.s AS "start", p.e AS "end", g.label AS gold_label, p.label FROM pred p JOIN gold g ON p.id = g.id
     AND NOT (p.s = g.s AND p.e = g.e) AND p.label = g.label AND p.s < g.e AND g.s < p.e""", _ES, _EE)
 
+ORACLES["errors_missed_of_label"] = f"SELECT * FROM ({ORACLES['errors_missed']}) WHERE gold_label = 'PHONE'"
+ORACLES["taxonomy_labels"] = "SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{PARENT.get(x, x)}', {'true' if x in PARENT else 'false'}, {i})" for i, x in enumerate(ALL_LABELS)) + ") v(name, parent, is_fine, ord)"
+ORACLES["supported_labels"] = f"""WITH {_LAB}, dets AS (SELECT DISTINCT detector FROM predictions UNION ALL SELECT 'ensemble_all')
+SELECT detector, label, parent FROM dets, lab WHERE detector <> 'coarse_net' OR label = parent"""
+ORACLES["request_types"] = "SELECT * FROM (VALUES (1::BIGINT, 'EMAIL', 'EMAIL'), (2, 'PHONE', 'PHONE'), (3, 'IP', 'URL'), (4, 'URL', 'URL')) v(place, raw_label, label)"
+
 # voting ---------------------------------------------------------------------------------------------------------------
 
 ORACLES["pooled_spans"] = f"""WITH {_BASE}, {_INSIDE} SELECT id, s AS "start", e AS "end", label, string_agg(DISTINCT detector, ',' ORDER BY detector) AS detectors, count(DISTINCT detector) AS n FROM inside GROUP BY 1, 2, 3, 4"""
@@ -334,6 +342,12 @@ ORACLES["token_collisions"] = f"""WITH d AS (SELECT DISTINCT label, text AS txt
 SELECT label, token, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) > 1"""
 
 
+ORACLES["replace_with_vault"] = f"""{_walk("CASE WHEN label = 'ADDRESS' THEN '[ADDRESS]' ELSE " + _REPS['label_token'] + ' END')} SELECT q.request_id, if({_OUT}) AS replaced_text
+FROM requests q JOIN fin ON q.request_id = fin.request_id"""
+ORACLES["service_problems"] = f"""SELECT request_id, 'unknown mode ' || mode AS problem FROM requests WHERE mode NOT IN ('redact', 'label', 'label_number', 'label_token')
+UNION ALL SELECT request_id, 'unknown category ' || c FROM (SELECT request_id, unnest(categories) AS c FROM requests) WHERE c NOT IN {_in(ALL_LABELS)}"""
+
+
 def _luhn(v: str) -> str:
     digit = f"(substr({v}, i::INTEGER, 1)::INTEGER * (1 + i % 2))"
     return f"list_sum(list_transform(range(1, 17), lambda i: CASE WHEN {digit} > 9 THEN {digit} - 9 ELSE {digit} END)) % 10 = 0"

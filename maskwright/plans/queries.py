@@ -215,6 +215,28 @@ def io_run(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("detector").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("spans"), F.lit(0)).cast("bigint")).alias("n_spans"))
 
 
+@query
+def taxonomy_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every label with its parent."""
+    return X.labels_table(spark)
+
+
+@query
+def supported_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The labels each detector's vocabulary supports, as coarse ones and as they are."""
+    names = scoring.names_of(t(spark, d, "predictions"), "detector")
+    rows = [(n, x, X.parent(x)) for n in [*names, "ensemble_all"] for x in X.supported_labels(n)]
+    return spark.createDataFrame(rows, "detector string, label string, parent string")
+
+
+@query
+def request_types(spark: SparkSession, d: str) -> DataFrame:
+    """Raw labels to ask a vocabulary for, restricted to three target labels, in the vocabulary's order; and their coarse view."""
+    view = X.coarse_view("rules")
+    rows = [(i, raw, view[raw]) for i, raw in enumerate(X.prompts_for("rules", ["EMAIL", "PHONE", "URL"]), 1)]
+    return spark.createDataFrame(rows, "place bigint, raw_label string, label string")
+
+
 # scoring ------------------------------------------------------------------------------------------------------------
 
 
@@ -312,6 +334,12 @@ def errors_boundary(spark: SparkSession, d: str) -> DataFrame:
     return _errors(spark, d, "boundary")
 
 
+@query
+def errors_missed_of_label(spark: SparkSession, d: str) -> DataFrame:
+    run = Run(spark, d)
+    return scoring.errors(run.answered, run.texts, "missed", labels=["PHONE"])
+
+
 @query
 def greedy_prf(spark: SparkSession, d: str) -> DataFrame:
     return _few(scoring.greedy_matches(Run(spark, d).answered))
@@ -488,6 +516,21 @@ def service_spans(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("request_id", F.explode("detected_spans").alias("s")).select("request_id", "s.label", "s.start", "s.end", "s.text", "s.replacement", "s.replaced")
 
 
+@query
+def service_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Requests that ask for a mode or a category the service does not know."""
+    return transforms.problems(t(spark, d, "requests"))
+
+
+@query
+def replace_with_vault(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens from a table of the distinct values, in place of the digest on the spot; addresses have no column in the vault."""
+    requests, spans = _requests(spark, d)
+    j = requests.join(spans, "request_id", "left").select("request_id", "text", "spans")
+    values = j.select("text", F.explode(transforms.clean_spans(F.col("spans"), F.col("text"))).alias("s")).select("s.label", S.slice_text(F.col("text"), F.col("s.start"), F.col("s.end")).alias("text"))
+    return transforms.rewrite_with_vault(j, "spans", transforms.vault_tokens(values, [x for x in X.ALL_LABELS if x != "ADDRESS"]))
+
+
 @query
 def token_collisions(spark: SparkSession, d: str) -> DataFrame:
     return transforms.token_collisions(t(spark, d, "detected_spans").select("label", "text"))
@@ -787,6 +830,24 @@ def search_tokens(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.explode(search.tokens(F.col("replaced_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def demo_search(spark: SparkSession, d: str) -> DataFrame:
+    """The made-up corpus and its two address queries, searched in every rewriting mode: averages of precision and recall."""
+    docs, queries = search.demo_corpus(spark)
+    both = docs.select("doc_id", "text").unionByName(queries.select((-1 - F.col("query_id")).alias("doc_id"), "text"))
+    rows = transforms.render_modes(detect.detect_rules(both, ["email"]), "spans")
+    parts = []
+    for m in ("plain", *transforms.MODES):
+        texts = rows.select("doc_id", F.col(m).alias("text"))
+        asked = texts.where("doc_id < 0").select((-1 - F.col("doc_id")).alias("query_id"), "text")
+        found = search.bm25(texts.where("doc_id >= 0"), asked, 5)
+        parts.append(search.retrieval_quality(found, queries).withColumn("mode", F.lit(m)))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return _few(every.groupBy("mode").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall")))
+
+
 @query
 def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
     """Average precision and recall per rewriting mode: the requests whose id is divisible by 20 as queries over all requests,

@@ -68,8 +68,11 @@ def _row_id(df: DataFrame) -> DataFrame:
     return df.withColumn("_row", F.monotonically_increasing_id())
 
 
-def spans_dataset(raw: DataFrame, vocab: str | X.Vocab = "records", text_key: str | None = None, spans_key: str | None = None, id_key: str | None = None) -> DataFrame:
-    """Records from rows that hold a span list under any of the known key names."""
+def spans_dataset(
+    raw: DataFrame, vocab: str | X.Vocab = "records", text_key: str | None = None, spans_key: str | None = None, id_key: str | None = None, keep_unmapped: bool = False,
+) -> DataFrame:
+    """Records from rows that hold a span list under any of the known key names. Labels that the vocabulary does not know are dropped with their span, or
+    with ``keep_unmapped`` kept in upper case."""
     v = X.VOCABS[vocab] if isinstance(vocab, str) else vocab
     raw = _row_id(raw)
     schema = raw.schema
@@ -93,7 +96,7 @@ def spans_dataset(raw: DataFrame, vocab: str | X.Vocab = "records", text_key: st
         def span(s: Column) -> Column:
             raw_label = _string(_first(element, LABEL_KEYS, lambda k: s[k]))
             a, b = (as_int(_first(element, keys, lambda k: s[k])) for keys in (START_KEYS, END_KEYS))
-            fine = v.lookup_col(raw_label)
+            fine = F.coalesce(v.lookup_col(raw_label), F.upper(raw_label)) if keep_unmapped else v.lookup_col(raw_label)
             return F.struct(
                 X.parent_col(fine).alias("label"), fine.alias("fine_label"), raw_label.alias("raw_label"), a.alias("start"), b.alias("end"), S.slice_text(text.cast("string"), a, b).alias("text"))
 

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
-from maskwright.operators import report, silver
+from maskwright.operators import records, report, silver
 from maskwright.operators.models import stub_client
+from maskwright.plans.queries import QUERIES
 from maskwright.sources import readers as R
 from maskwright.sources.store import RunStore, export_baseline, find_baseline, seed_run
 
@@ -93,6 +94,24 @@ def test_bio_schemes(spark):
     assert [s["text"] for s in R.spans_dataset(text, "canonical").first()["gold_spans"]] == ["Ann"]
 
 
+def test_lines_that_are_no_records(spark):
+    lines = ['{"id": "a", "text": "x"}', "{bad", '{"id": "b", "text": 5}', '{"id": 7, "text": "x"}', "[1]", " ", '{"text": "x"}', '{"id": "c", "text": null}']
+    df = spark.createDataFrame(list(enumerate(lines)), "line int, value string")
+    got = {r["line"]: r["issue"] for r in records.validate_jsonl(df).collect()}
+    assert got == {1: "bad JSON", 2: "text is no string", 3: "id is no string", 4: "no object", 6: "id is no string", 7: "text is no string"}
+    made = spark.createDataFrame([("a", "xy", [span(0, 1, "PERSON"), span(0, 1, "PERSON")], 1, None)], f"id string, text string, gold_spans {SPAN}, doc_id bigint, offset int")
+    assert {r["issue"] for r in records.validate(made, unlabeled=True).collect()} == {"repeated span", "overlapping gold", "chunk without an offset", "gold in unlabeled records"}
+    kept = R.spans_dataset(spark.createDataFrame([("1", "Ann", [("weird", 0, 3)])], "id string, text string, spans array<struct<label:string,start:int,end:int>>"), "canonical", keep_unmapped=True).first()
+    assert [s["label"] for s in kept["gold_spans"]] == ["WEIRD"]
+
+
+def test_demonstration_search(spark):
+    rows = {r["mode"]: r for r in QUERIES["demo_search"](spark, "").collect()}
+    assert rows["plain"]["recall"] == 1.0 and rows["label_token"]["recall"] == 1.0 and rows["label"]["recall"] < 0.5 and rows["redact"]["recall"] < 0.5
+    table = report.side_by_side([{"plain": "x" * 80, "label": "[A]"}], ["label"], 10)
+    assert table.splitlines()[2] == "| " + "x" * 9 + "… | [A] |"
+
+
 def test_silver_report(spark, tables):
     fixtures, predictions = tables
     labelers = {"a": stub_client(lambda p: [{"value": "Ann", "label": "PERSON"}] if "Ann" in p else [])}
