@@ -424,6 +424,30 @@ rv AS (SELECT p.*, CASE WHEN r = 0 THEN 'correct' WHEN r IN (1, 3) THEN 'wrong_l
 lost AS (SELECT * FROM gold g WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.id = g.id AND p.s < g.e AND g.s < p.e))"""
 ORACLES["review_verdicts"] = f"WITH {_REVIEW} SELECT verdict, count(*) AS n FROM rv GROUP BY 1"
 ORACLES["review_missed"] = f'WITH {_REVIEW} SELECT id, s AS "start", e AS "end", label FROM lost'
+# entities: islands of correct spans, then the others one by one in order of place; the state is the record's list of extents
+_ENTITIES = f"""{_REVIEW},
+c0 AS (SELECT id, s, e, label, detectors, max(e) OVER (PARTITION BY id ORDER BY s, e, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM rv WHERE verdict = 'correct'),
+c1 AS (SELECT *, (sum(CASE WHEN top IS NULL OR s >= top THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s, e, label))::BIGINT AS ent FROM c0),
+ex AS (SELECT id, list({{'s': s0, 'e': e0}} ORDER BY ent) AS ext FROM (SELECT id, ent, min(s) AS s0, max(e) AS e0 FROM c1 GROUP BY 1, 2) GROUP BY 1),
+n0 AS (SELECT id, s, e, verdict, detectors, row_number() OVER (PARTITION BY id ORDER BY s, e, label) AS rn FROM rv WHERE verdict NOT IN ('correct', 'not_pii')),
+walk(id, rn, ext, ent) AS (
+    SELECT q.id, 0::BIGINT, coalesce(ex.ext, []), 0::BIGINT FROM (SELECT DISTINCT id FROM n0) q LEFT JOIN ex ON ex.id = q.id
+    UNION ALL SELECT id, rn, CASE WHEN b IS NULL THEN list_append(ext, {{'s': s, 'e': e}}) ELSE ext END, coalesce(b, len(ext) + 1) FROM (
+        SELECT w.id, n.rn, w.ext, n.s, n.e, (SELECT i FROM (SELECT unnest(range(1, len(w.ext) + 1)) AS i) r WHERE least(w.ext[i]['e'], n.e) > greatest(w.ext[i]['s'], n.s)
+            ORDER BY least(w.ext[i]['e'], n.e) - greatest(w.ext[i]['s'], n.s) DESC, i LIMIT 1) AS b
+        FROM walk w JOIN n0 n ON n.id = w.id AND n.rn = w.rn + 1)),
+ents AS (SELECT id, ent, 'correct' AS verdict, detectors FROM c1 UNION ALL SELECT walk.id, walk.ent, n0.verdict, n0.detectors FROM walk JOIN n0 ON n0.id = walk.id AND n0.rn = walk.rn)"""
+ORACLES["review_entities"] = f"WITH RECURSIVE {_ENTITIES}, k AS (SELECT id, ent, count(*) AS spans FROM ents GROUP BY 1, 2) SELECT spans, count(*) AS n FROM k GROUP BY 1"
+ORACLES["review_summary"] = f"""WITH RECURSIVE {_ENTITIES},
+j AS (SELECT detector, count(*) AS n_spans, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'wrong_label') AS wrong_label,
+    count(*) FILTER (verdict = 'boundary') AS boundary, count(*) FILTER (verdict = 'not_pii') AS not_pii FROM (SELECT verdict, unnest(detectors) AS detector FROM rv) GROUP BY 1),
+k AS (SELECT id, count(DISTINCT ent) AS k FROM ents GROUP BY 1), f AS (SELECT id, detector, count(DISTINCT ent) AS f FROM (SELECT id, ent, unnest(detectors) AS detector FROM ents WHERE verdict = 'correct') GROUP BY 1, 2),
+m AS (SELECT id, count(*) AS lost FROM lost GROUP BY 1),
+z AS (SELECT c.detector, count(*) AS n_records, coalesce(sum(k), 0)::BIGINT AS n_entities, coalesce(sum(f), 0)::BIGINT AS n_found, coalesce(sum(lost), 0)::BIGINT AS missed_by_all
+    FROM calls c LEFT JOIN k ON c.id = k.id LEFT JOIN f ON c.id = f.id AND c.detector = f.detector LEFT JOIN m ON c.id = m.id GROUP BY 1),
+y AS (SELECT z.*, coalesce(n_spans, 0) AS n_spans, coalesce(correct, 0) AS correct, coalesce(wrong_label, 0) AS wrong_label, coalesce(boundary, 0) AS boundary, coalesce(not_pii, 0) AS not_pii FROM z LEFT JOIN j ON z.detector = j.detector),
+x AS (SELECT *, correct::DOUBLE / nullif(n_spans, 0) AS p, n_found::DOUBLE / nullif(n_entities + missed_by_all, 0) AS r FROM y)
+SELECT detector, n_records, n_spans, correct, wrong_label, boundary, not_pii, n_entities, missed_by_all, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / nullif(p + r, 0), 6) AS f1 FROM x"""
 ORACLES["review_disagreements"] = f"""WITH {_REVIEW}, x AS (SELECT id, s AS "start", e AS "end", label, verdict, 0 AS part FROM rv WHERE verdict <> 'correct'
     UNION ALL SELECT id, s, e, label, 'missed', 1 FROM lost)
 SELECT x.*, CASE WHEN greatest("start" - 30, 0) > 0 THEN '…' ELSE '' END || substr(text, greatest("start" - 30, 0) + 1, "start" - greatest("start" - 30, 0)) || '⟦' || substr(text, "start" + 1, "end" - "start") || '⟧'
