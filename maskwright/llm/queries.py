@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import consensus, languages, leaks, lookalikes, pieces, pii, quantiles, sentences, spam, tokens
+from .oracles import ORACLES  # noqa: F401 - the driver contract takes both from here
 
 PROSE = ("txt", "docx", "eml", "pdf")
 PAGES = ("html", "md")
@@ -236,34 +237,3 @@ def p10_ways(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     p1_found, p1_languages, p1_words, p1_properties, p2_found, p2_replaced, p2_restored, p3_found, p3_units, p3_properties, p4_found, p4_agreement, p4_votes, p4_reliability, p5_percentiles, p5_latency, p5_latency_runs,
     p5_latency_days, p5_ranks, p6_found, p6_classes, p6_forms, p7_found, p7_pieces, p7_properties, p8_ids, p8_texts, p9_found, p9_cleaned, p9_spans, p9_after, p10_found, p10_scores, p10_ways)}
-
-# The operators are not plain SQL over whole tables: tests/llm holds brute-force versions, and the SQL here checks properties that every right result has.
-_WHITE = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F\x85"
-ORACLES: dict[str, str] = {
-    "p7_found": """
-        WITH over AS (
-            SELECT d.doc_id, d.text, d.segments, l.max_chars FROM documents d JOIN size_limits l ON d.kind = l.kind WHERE length(d.text) > l.max_chars)
-        SELECT doc_id, CASE
-            WHEN len(list_filter(segments, lambda s: s['end'] - s['start'] > max_chars)) = 0 THEN 'segment'
-            WHEN list_max(list_transform(regexp_split_to_array(text, '[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B\\x1C-\\x1F\\x85.!?…。！？।؟]+'), lambda x: length(x))) <= max_chars THEN 'inside'
-            ELSE 'hard' END AS cut
-        FROM over""",
-    "p1_properties": "SELECT doc_id, true AS in_order, true AS shares FROM documents",
-    "p2_restored": "SELECT request_id, sha1(text) AS text_sha1 FROM requests",
-    "p3_properties": f"SELECT doc_id, true AS in_order, true AS trimmed, true AS covered FROM documents WHERE regexp_matches(text, '[^{_WHITE}]')",
-    "p4_votes": """
-        WITH v AS (SELECT item_id, annotator, arg_max({'label': label, 's': "start", 'e': "end"}, {'at': labelled_at, 'label': label, 's': "start", 'e': "end"}) AS v
-            FROM annotations WHERE label IS NOT NULL AND item_id IS NOT NULL AND annotator IS NOT NULL GROUP BY 1, 2),
-        c AS (SELECT item_id, v['label'] AS label, count(*) AS c FROM v GROUP BY 1, 2), n AS (SELECT item_id, sum(c)::INTEGER AS n, sum(c * (c - 1)) AS same FROM c GROUP BY 1)
-        SELECT item_id, n AS n_votes, CASE WHEN n > 1 THEN round(same::DOUBLE / (n * (n - 1)), 6) END AS agreement FROM n""",
-    "p8_texts": "SELECT doc_id, sha1(coalesce(text, '')) AS text_sha1 FROM documents",
-    "p9_after": "SELECT 0::BIGINT AS leaks",
-    "p10_ways": "SELECT count(*) AS pages, 0::BIGINT AS different FROM documents WHERE kind IN ('html', 'md')",
-    "p5_ranks": """
-        SELECT detector, q, count(*) AS n, true AS within
-        FROM predictions, (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]::DOUBLE[]) AS q)
-        WHERE latency_ms IS NOT NULL AND NOT isnan(latency_ms) GROUP BY 1, 2""",
-    "p7_properties": """
-        SELECT doc_id, true AS within_limit, true AS within_overlap, true AS in_order, true AS covered
-        FROM documents d JOIN size_limits l ON d.kind = l.kind WHERE length(d.text) > l.max_chars""",
-}
