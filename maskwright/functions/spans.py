@@ -128,21 +128,6 @@ def token_of(label: Column, text: Column, secret: str = "maskwright", length: in
     return F.concat(*parts)
 
 
-def merge_intervals(spans: Column) -> Column:
-    """Union of overlapping intervals of an array sorted by (start, end); touching ones stay apart."""
-    zero = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(
-            F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
-            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        fresh = F.concat(acc, F.array(F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["end"]), joined).otherwise(fresh)
-
-    return F.aggregate(spans, zero, step)
-
-
 def context(text: Column, start: Column, end: Column, width: int = 30, marks: tuple[str, str] | None = ("⟦", "⟧")) -> Column:
     """The span with ``width`` code points on either side, marked, with ellipses where text was left out."""
     lo = F.greatest(start - width, F.lit(0))

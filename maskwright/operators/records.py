@@ -104,12 +104,12 @@ def raw_label_counts(latest: DataFrame, vocab: str = "canonical") -> DataFrame:
     return few.withColumn("canonical", X.to_canonical_col(vocab, F.col("raw_label"), "coarse"))
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, ranks: dict[str, Column], buckets_per_e: int = 200) -> DataFrame:
+def exact_quantiles(df: DataFrame, group: str, value: str, ranks: dict[str, Column], buckets_per_e: int = 200, parts: int = 4096) -> DataFrame:
     """Exact order statistics of non-negative values per group, at any size.
 
     ``ranks`` maps a result column to an expression of the count ``n`` that gives the wanted 0-based rank. Buckets on the logarithm of
-    the value are counted first; only the values of the buckets that hold a wanted rank are looked at again, as value counts. No
-    group ever comes into one task: windows run over bucket counts (bounded by the range of doubles) and over one bucket's distinct values.
+    the value are counted first; the buckets that hold a wanted rank are cut into ``parts`` equal parts and counted again; only the values of the part that holds it are
+    sorted, as value counts. No group ever comes into one task: windows run over bucket counts (bounded by the range of doubles), part counts and one part's distinct values.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
     rows = rows.withColumn("b", F.floor(F.log1p("v") * buckets_per_e))
@@ -119,9 +119,18 @@ def exact_quantiles(df: DataFrame, group: str, value: str, ranks: dict[str, Colu
     spans = spans.withColumn("before", F.coalesce("before", F.lit(0)))
     wanted = spans.select("g", "b", "c", "n", "before", F.explode(F.create_map(*[x for k, e in ranks.items() for x in (F.lit(k), e.cast("bigint"))])).alias("k", "rank"))
     wanted = wanted.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))).select("g", "b", "n", "before", "k", "rank")
-    values = rows.join(wanted.select("g", "b").distinct(), ["g", "b"], "left_semi").groupBy("g", "b", "v").agg(F.count(F.lit(1)).alias("m"))
-    upto = values.withColumn("upto", F.sum("m").over(Window.partitionBy("g", "b").orderBy("v")))
-    hit = upto.join(wanted, ["g", "b"]).where((F.col("rank") < F.col("before") + F.col("upto")) & (F.col("rank") >= F.col("before") + F.col("upto") - F.col("m")))
+    # a bucket may still hold very many values: it is cut into equal parts between its ends, and only the part of the wanted rank is sorted
+    inside = rows.join(wanted.select("g", "b").distinct(), ["g", "b"], "left_semi")
+    ends = inside.groupBy("g", "b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    part = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * parts), F.lit(0))
+    inside = inside.join(ends, ["g", "b"]).select("g", "b", "v", part.alias("p"))
+    small = Window.partitionBy("g", "b")
+    sizes = inside.groupBy("g", "b", "p").agg(F.count(F.lit(1)).alias("c")).withColumn("first", F.sum("c").over(small.orderBy("p")) - F.col("c"))
+    wanted = sizes.join(wanted, ["g", "b"]).withColumn("before", F.col("before") + F.col("first")).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c")))
+    wanted = wanted.select("g", "b", "p", "n", "before", "k", "rank")
+    values = inside.join(wanted.select("g", "b", "p").distinct(), ["g", "b", "p"], "left_semi").groupBy("g", "b", "p", "v").agg(F.count(F.lit(1)).alias("m"))
+    upto = values.withColumn("upto", F.sum("m").over(Window.partitionBy("g", "b", "p").orderBy("v")))
+    hit = upto.join(wanted, ["g", "b", "p"]).where((F.col("rank") < F.col("before") + F.col("upto")) & (F.col("rank") >= F.col("before") + F.col("upto") - F.col("m")))
     return hit.groupBy(F.col("g").alias(group)).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in ranks])
 
 

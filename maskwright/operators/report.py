@@ -47,14 +47,6 @@ def md_table(rows: DataFrame | Iterable[dict], columns: list[str] | None = None)
     return "\n".join([*lines, *("| " + " | ".join(_cell(r.get(c)) for c in columns) + " |" for r in rows)])
 
 
-def build_report(title: str, sections: dict[str, DataFrame], notes: list[str] | None = None) -> str:
-    """Markdown of named tables, in order."""
-    parts = [f"# {title}", *(f"> {n}" for n in notes or [])]
-    for name, table in sections.items():
-        parts += [f"## {name}", md_table(table)]
-    return "\n\n".join(parts) + "\n"
-
-
 def safe_name(name: str) -> str:
     """A name as part of a file name: letters, digits, dots and dashes."""
     return re.sub(r"[^A-Za-z0-9.-]+", "_", name).strip("_.") or "unnamed"

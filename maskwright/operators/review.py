@@ -169,11 +169,6 @@ def plan_calls(records: DataFrame, max_chars: int = 4000) -> DataFrame:
         F.count(F.lit(1)).alias("records"), F.sum(n.cast("bigint")).alias("chars"), F.sum(F.ceil(n / max_chars)).cast("bigint").alias("calls"))
 
 
-def margin(start: Column, end: Column, text: Column, width: int) -> Column:
-    """struct<start, end> widened by ``width`` and clipped to the text."""
-    return F.struct(F.greatest(start - width, F.lit(0)).alias("start"), F.least(end + width, F.length(text)).alias("end"))
-
-
 def answer_misses(located: DataFrame, reviewed: DataFrame) -> DataFrame:
     """``id, start, end, label, kind, reason`` of the reviewer's own findings (``id, label, start, end, reason`` as located in the text).
 

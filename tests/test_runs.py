@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
+from maskwright.functions import taxonomy as X
 from maskwright.operators import records, report, silver
 from maskwright.operators.models import stub_client
 from maskwright.plans.queries import QUERIES
+from maskwright.sources import documents as D
 from maskwright.sources import readers as R
 from maskwright.sources.store import RunStore, export_baseline, find_baseline, seed_run
 
@@ -112,6 +114,42 @@ def test_demonstration_search(spark):
     assert table.splitlines()[2] == "| " + "x" * 9 + "… | [A] |"
 
 
+def test_command_line(spark, tables, tmp_path, data, capsys):
+    from maskwright.__main__ import main
+
+    fixtures, predictions = tables
+    fixtures.write.parquet(str(tmp_path / "f"))
+    predictions.write.parquet(str(tmp_path / "r"))
+    assert main(["report", str(tmp_path / "f"), str(tmp_path / "r"), str(tmp_path / "report.md")]) == 0 and "## Coverage" in (tmp_path / "report.md").read_text()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("hello")
+    assert main(["parse", str(tmp_path / "in"), str(tmp_path / "docs")]) == 0 and spark.read.parquet(str(tmp_path / "docs")).count() == 1
+    (tmp_path / "x.jsonl").write_text('{"id": "a", "text": "x"}\n{bad\n')
+    assert main(["validate", str(tmp_path / "x.jsonl")]) == 1 and main(["language_counts", data, str(tmp_path / "q")]) == 0
+    assert main(["detectors"]) == 0 and "regex_strict" in capsys.readouterr().out and main([]) == 2 and main(["nothing", "x"]) == 2
+
+
+def test_registries(spark, tmp_path):
+    rows = spark.createDataFrame([("toy", "Who", "PERSON", 1), ("toy", "where", "CITY", 2), ("other", "x", "EMAIL", 1)], "vocab_key string, raw string, canonical string, ord int")
+    v = X.vocab_from_rows(rows, "toy")
+    X.bind_detector("toy_net", "toy")
+    try:
+        assert v.lookup("B-who") == "PERSON" and X.supported_labels("toy_net") == ["PERSON", "CITY"] and X.children("SECRET") == ["PASSWORD", "API_KEY"]
+        with pytest.raises(KeyError):
+            X.bind_detector("y", "none")
+        with pytest.raises(ValueError):
+            X.register_vocab("toy", {})
+    finally:
+        del X.VOCABS["toy"], X.DETECTOR_VOCAB["toy_net"]
+    spark.createDataFrame([("1", "Ann")], "id string, text string").write.parquet(str(tmp_path / "d.parquet"))
+    R.register_dataset(R.Dataset("toy", str(tmp_path / "d.parquet")), replace=True)
+    assert R.load_dataset(spark, "toy").count() == 1
+    with pytest.raises(ValueError):
+        R.register_dataset(R.Dataset("toy", "x"))
+    doc = D.from_text("one\r\n\n two")
+    assert doc["text"] == "one\n\n two" and [(s["start"], s["end"]) for s in doc["segments"]] == [(0, 3), (5, 9)] and doc["id"].endswith(":pasted")
+
+
 def test_silver_report(spark, tables):
     fixtures, predictions = tables
     labelers = {"a": stub_client(lambda p: [{"value": "Ann", "label": "PERSON"}] if "Ann" in p else [])}

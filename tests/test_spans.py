@@ -226,8 +226,6 @@ def test_chunks_cover_and_rebuild(spark):
 def test_interval_union_keeps_touching_apart(spark):
     df = spark.createDataFrame([("a", 0, 4), ("a", 2, 6), ("a", 6, 8), ("b", 1, 2)], "id string, start int, end int")
     assert sorted(tuple(r) for r in documents.interval_union(df, ["id"]).collect()) == [("a", 0, 6), ("a", 6, 8), ("b", 1, 2)]
-    row = df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s")).where("id = 'a'").select(S.merge_intervals(F.col("s")).alias("m")).first()
-    assert [tuple(x) for x in row["m"]] == [(0, 6), (6, 8)]
 
 
 def test_review_summary_nulls(spark):
