@@ -652,7 +652,7 @@ def located_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reviewed(run: Run) -> tuple[DataFrame, DataFrame]:
-    pooled = voting.pool(run.inside)
+    pooled = cut_lineage(voting.pool(run.inside))  # identical spans once; both sides of a review read it
     return review.judge_from_gold(pooled, run.gold), review.missed_from_gold(pooled, run.gold)
 
 
@@ -664,7 +664,8 @@ def review_verdicts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def review_summary(spark: SparkSession, d: str) -> DataFrame:
     run = Run(spark, d)
-    return _few(review.summarize(*_reviewed(run), run.calls))
+    reviewed, missed = _reviewed(run)
+    return _few(review.summarize(cut_lineage(reviewed), missed, run.calls))  # the summary reads the verdicts twice
 
 
 @query
