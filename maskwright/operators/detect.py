@@ -96,6 +96,37 @@ def select_detectors(names: list[str]) -> list[str]:
     return out
 
 
+def register_token_classifier(name: str, model: str, vocab: str = "canonical", threshold: float = 0.7, tags: tuple[str, ...] = (), replace: bool = False) -> DetectorSpec:
+    """Registers a token-classification model by its id; it is available where ``transformers`` and ``torch`` are, and loads once per worker."""
+
+    def load() -> Callable[..., list[dict]]:
+        from transformers import pipeline  # noqa: PLC0415 - only where it is installed
+
+        run, names = pipeline("token-classification", model=model, aggregation_strategy="simple"), X.VOCABS[vocab]
+        return lambda text, **_: [made for e in run(text) if (made := model_span(names, e["entity_group"], e["start"], e["end"], text, e["score"]))]
+
+    return register(DetectorSpec(name, vocab, load=load, requires=("transformers", "torch"), tags=("model", *tags), threshold=threshold, options={"model": model}), replace)
+
+
+def register_prompted_model(name: str, model: str, vocab: str = "canonical", targets: list[str] | None = None, threshold: float = 0.7, replace: bool = False) -> DetectorSpec:
+    """Registers a model that is asked for named kinds of spans: the vocabulary's raw labels whose coarse label is a target."""
+    asked = X.prompts_for(vocab, targets or list(X.COARSE))
+
+    def load() -> Callable[..., list[dict]]:
+        import gliner  # noqa: PLC0415 - only where it is installed
+
+        net, names = gliner.GLiNER.from_pretrained(model), X.VOCABS[vocab]
+        return lambda text, **_: [made for e in net.predict_entities(text, asked, threshold=threshold) if (made := model_span(names, e["label"], e["start"], e["end"], text, e["score"]))]
+
+    return register(DetectorSpec(name, vocab, load=load, requires=("gliner",), tags=("model",), threshold=threshold, options={"model": model}), replace)
+
+
+def model_span(vocab: X.Vocab, raw: str, start: int, end: int, text: str, score: float = 1.0, keep_unmapped: bool = False) -> dict | None:
+    """A span of a model's raw label; None if the vocabulary does not know it, or the label in upper case with ``keep_unmapped``."""
+    fine = vocab.lookup(raw) or (raw.upper() if keep_unmapped else None)
+    return fine and {"label": X.parent(fine), "fine_label": fine, "raw_label": raw, "start": int(start), "end": int(end), "text": text[start:end], "score": float(score)}
+
+
 register(DetectorSpec("regex_strict", "rules", column=lambda t: rule_spans(t, ["email", "ip", "phone", "digits", "token"]), tags=("rules",)))
 register(DetectorSpec("regex_loose", "rules", column=lambda t: rule_spans(t, ["email", "phone", "money", "date", "url", "digits"], luhn=False), tags=("rules",)))
 

@@ -69,6 +69,14 @@ def chosen_detectors(present: list[str], wanted: Iterable[str] | str | None) ->
     return [d for d in present if d in names]
 
 
+def text_bars(rows: Iterable[dict], name: str, value: str, width: int = 40) -> str:
+    """A bar per row in plain text, scaled to the largest value; rows without a value have none."""
+    rows = list(rows)
+    top = max((r[value] for r in rows if r[value] is not None), default=0) or 1
+    pad = max((len(str(r[name])) for r in rows), default=0)
+    return "\n".join(f"{str(r[name]):<{pad}} {'█' * round(width * max(r[value] or 0, 0) / top)} {_cell(r[value])}" for r in rows)
+
+
 def side_by_side(rows: Iterable[dict], modes: Iterable[str], width: int = 60) -> str:
     """Renderings of a few texts next to each other, one row per text, cut to ``width`` for display."""
     cut = lambda t: t if t is None or len(t) <= width else t[: width - 1] + "…"

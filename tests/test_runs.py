@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 from maskwright.functions import taxonomy as X
-from maskwright.operators import records, report, silver
+from maskwright.operators import detect, records, report, silver
 from maskwright.operators.models import stub_client
 from maskwright.plans.queries import QUERIES
 from maskwright.sources import documents as D
@@ -150,6 +150,22 @@ def test_registries(spark, tmp_path):
     assert doc["text"] == "one\n\n two" and [(s["start"], s["end"]) for s in doc["segments"]] == [(0, 3), (5, 9)] and doc["id"].endswith(":pasted")
 
 
+def test_model_families(spark):
+    a = detect.register_token_classifier("toy_tagger", "some/model", replace=True)
+    b = detect.register_prompted_model("toy_prompted", "some/other", "rules", ["EMAIL"], replace=True)
+    try:
+        assert not a.available and set(a.missing()) <= {"transformers", "torch"} and b.missing() == ["gliner"]
+        with pytest.raises(RuntimeError):
+            detect.detect(spark.createDataFrame([("1", "x")], "id string, text string"), "toy_tagger")
+        v = X.VOCABS["canonical"]
+        assert detect.model_span(v, "B-city", 0, 3, "Ely now", 0.9) == {"label": "ADDRESS", "fine_label": "CITY", "raw_label": "B-city", "start": 0, "end": 3, "text": "Ely", "score": 0.9}
+        assert detect.model_span(v, "odd", 0, 1, "x") is None and detect.model_span(v, "odd", 0, 1, "x", keep_unmapped=True)["label"] == "ODD"
+    finally:
+        del detect.REGISTRY["toy_tagger"], detect.REGISTRY["toy_prompted"]
+    bars = report.text_bars([{"d": "a", "f": 0.5}, {"d": "bb", "f": 1.0}, {"d": "c", "f": None}], "d", "f", 4)
+    assert bars.splitlines() == ["a  ██ 0.500", "bb ████ 1.000", "c   –"] and report.text_bars([], "d", "f") == ""
+
+
 def test_silver_report(spark, tables):
     fixtures, predictions = tables
     labelers = {"a": stub_client(lambda p: [{"value": "Ann", "label": "PERSON"}] if "Ann" in p else [])}
