@@ -46,6 +46,7 @@ _NUMBERS = re.compile(r"[+(]?\d(?:[\d ().\-/]*\d)?")
 _CODE = re.compile(r"[A-Za-z0-9]+(?:[.\-/ ][A-Za-z0-9]+)*")
 _FIELD_NAME = re.compile(r"[^\W\d_]{1,12}\s?[=:：]\s?|[^\W\d_㐀-鿿]{0,3}[㐀-鿿]{1,8}\W?[是为：]\W?")  # "id=", "Home: ", "身份证号是"
 _CHUNK = re.compile(r"\S+")
+_NO_NUMBER = re.compile(r"(?<=[㐀-鿿])[，,、]\s?[㐀-鿿]{1,4}\Z")
 _CJK = re.compile(r"[㐀-鿿぀-ヿ]")
 # Titles in front of names.
 TITLES = frozenset("""
@@ -369,7 +370,7 @@ def plausible(label: str, text: str) -> bool:
     if label == "PHONE":
         return 7 <= digits <= 15 and letters == 0
     if label == "GOV_ID":
-        return digits >= 5 and letters <= 8
+        return digits >= 5 and letters <= 9  # an Italian tax code has nine
     if label == "STREET_ADDRESS":
         return digits >= 1 and letters >= 2 and "@" not in text
     if digits or letters < 2 or "@" in text:
@@ -433,6 +434,9 @@ def _settle(v: str, a: int, b: int, label: str, mails: list[tuple[int, int]]) ->
             a += 1
         if not _CJK.match(v, a):
             a = _after_name(v, a, b)
+        tail = _NO_NUMBER.search(v, a, b)
+        if tail and tail.start() > a:
+            b = tail.start()  # what follows the last comma of a Han address without a number is the next field's name
         while b > a and (v[b - 1].isspace() or v[b - 1] in ",;:(。，、"):
             b -= 1
     else:

@@ -130,6 +130,9 @@ def test_settle():
     w = "id=KX5065030;Home: 12 Elm St 我的身份证号是998634197205134217，"
     own = lambda part, label: (lambda r: r and w[r[0] : r[1]])(pii._settle(w, w.index(part), w.index(part) + len(part), label, []))
     assert own("id=KX5065030", "GOV_ID") == own("=KX5065030", "GOV_ID") == "KX5065030" and own("Home: 12 Elm St", "STREET_ADDRESS") == "12 Elm St"
+    w = "住在青溪市清河路139号2单元，电话010，codice FMGDZZ14C45D739Y,"
+    assert own("青溪市清河路139号2单元，电话", "STREET_ADDRESS") == "青溪市清河路139号2单元" and own("FMGDZZ14C45D739Y", "GOV_ID") == "FMGDZZ14C45D739Y"
+    w = "id=KX5065030;Home: 12 Elm St 我的身份证号是998634197205134217，"
     assert own("号是998634197205134217", "GOV_ID") == "998634197205134217"
     assert cut(54, 56, "EMAIL") == "a.b@c.org" and cut(0, 4, "EMAIL") is None and cut(0, 4, "PHONE") is None
 
