@@ -4,7 +4,7 @@ Corpus counts of neighbouring words give each collocation its pointwise mutual i
 least 0. It counts as far as the pair prefers its order: listed words come in either order alike, words of sentences do not, so the
 information is multiplied by ``1 - min(n(xy), n(yx)) / max(n(xy), n(yx))``. A stretch of text is marked where the mean over a window of neighbouring words is
 below ``salad`` times the mean of the corpus (word salad), or where the same collocation keeps coming back within a few dozen words
-(excessive repetition: link lists, product tags). A page is flagged if the marked words hold most of the
+(excessive repetition: link lists, product tags). What a repeated collocation says counts less by ``stale``, so that both signs add up. A page is flagged if the marked words hold most of the
 characters of all its words.
 
 Words are runs of letters and digits of any length. Links, e-mail addresses, numbers and hash tags count as one word each by class; scripts without
@@ -180,23 +180,31 @@ class Rule:
     mean: float
     below: float
     repetition: float
+    stale: float
     min_words: int
 
-    def repeated(self, pair: np.ndarray) -> np.ndarray:
+    def signs(self, pair: np.ndarray) -> np.ndarray:
+        """Per pair 1 if marked by repetition, plus 2 if it occurs again near by."""
+        again = repeats(pair)
+        return (self._repeated(pair, again) + 2 * again).astype(np.uint8)
+
+    def _repeated(self, pair: np.ndarray, again: np.ndarray) -> np.ndarray:
         """Pairs marked by repetition; in fewer than ``min_words`` words also neighbouring links and tags."""
         if len(pair) + 1 < self.min_words:
             _, kind, n = np.unique(pair, return_inverse=True, return_counts=True)
             return (_smooth((n[kind] >= 3).astype(float)) > self.repetition) | np.isin(pair, _LISTED)
-        return _smooth(repeats(pair)) > self.repetition
+        return _smooth(again) > self.repetition
 
-    def judge(self, score: np.ndarray, repeated: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    def judge(self, score: np.ndarray, signs: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
         """(mean information, share of the words' characters in marked stretches) of a page."""
-        marked = repeated if len(score) + 1 < self.min_words else repeated | (_smooth(score) < self.below)
+        repeated = (signs & 1).astype(bool)
+        fresh = score * (1 - self.stale * (signs >> 1))
+        marked = repeated if len(score) + 1 < self.min_words else repeated | (_smooth(fresh) < self.below)
         return float(score.mean()), float((weight * marked).sum() / weight.sum())
 
 
 def score_pages(
-    pages: DataFrame, key_col: str = "doc_id", text_col: str = "text", salad: float = 0.66, repetition: float = 0.85,
+    pages: DataFrame, key_col: str = "doc_id", text_col: str = "text", salad: float = 0.62, repetition: float = 0.85, stale: float = 0.3,
     rare: int = 3, min_words: int = 12, most_pairs: int = 2_000_000,
 ) -> DataFrame:
     """``doc_id, coherence, marked`` of every page.
@@ -208,7 +216,7 @@ def score_pages(
     counts = cut_lineage(collocation_counts(pages, text_col))  # one pass over the texts; the scores read the counts four times
     scores = cut_lineage(collocation_scores(counts, rare))
     size, mean = scores.agg(F.count(F.lit(1)), F.try_divide(F.sum(F.col("n") * F.col("score")), F.sum("n"))).first()
-    rule = Rule(mean or 0.0, salad * (mean or 0.0), repetition, min_words)
+    rule = Rule(mean or 0.0, salad * (mean or 0.0), repetition, stale, min_words)
     source = pages.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text"))
     fields = f"doc_id {kind}, coherence double, marked double"
     return (_score_in_place if size <= most_pairs else _score_by_join)(source, scores.select("pair", "score"), fields, rule)
@@ -220,12 +228,12 @@ def _result(keys: list, key_type: pa.DataType, found: list[tuple[float, float] |
 
 
 def _page(words: _Words, text: str | None, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """(pair codes, pairs apart, marked by repetition, weights) of a page with at least two words."""
+    """(pair codes, pairs apart, signs of repetition, weights) of a page with at least two words."""
     codes, lengths, touching = words(text)
     if len(codes) < 2:
         return None
     pair = pair_codes(codes[:-1], codes[1:])
-    return pair, ~touching[1:], rule.repeated(pair), (lengths[:-1] + lengths[1:]).astype(np.int32)
+    return pair, ~touching[1:], rule.signs(pair), (lengths[:-1] + lengths[1:]).astype(np.int32)
 
 
 def _score_in_place(source: DataFrame, scores: DataFrame, fields: str, rule: Rule) -> DataFrame:
@@ -242,13 +250,13 @@ def _score_in_place(source: DataFrame, scores: DataFrame, fields: str, rule: Rul
                 if page is None:
                     found.append(None)
                     continue
-                pair, apart, repeated, weight = page
+                pair, apart, signs, weight = page
                 score = np.full(len(pair), rule.mean)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
                     hit = (keys[at] == pair) & apart
                     score[hit] = values[at[hit]]
-                found.append(rule.judge(score, repeated, weight))
+                found.append(rule.judge(score, signs, weight))
             yield _result(batch.column(0).to_pylist(), batch.schema.field(0).type, found)
 
     return source.mapInArrow(run, fields)
@@ -270,10 +278,10 @@ def _score_by_join(source: DataFrame, scores: DataFrame, fields: str, rule: Rule
             key_type = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = _page(words, text, rule)
-                pair, apart, repeated, weight = page or (np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.int32))
+                pair, apart, signs, weight = page or (np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint8), np.zeros(0, np.int32))
                 at = np.flatnonzero(apart)
                 n = len(at)
-                head = weight.tobytes() + repeated.astype(np.uint8).tobytes()
+                head = weight.tobytes() + signs.tobytes()
                 # a head meets no score: its code only spreads it over the partitions
                 spread = np.array([(number * 0x9E3779B97F4A7C15 + 1) & 0x7FFFFFFFFFFFFFFF], np.int64)
                 yield pa.RecordBatch.from_arrays([
@@ -296,7 +304,7 @@ def _score_by_join(source: DataFrame, scores: DataFrame, fields: str, rule: Rule
                 n = len(body) // 5
                 x = np.full(n, rule.mean)
                 x[at[a + 1 : b]] = score[a + 1 : b].astype(np.float32)
-                found.append(rule.judge(x, np.frombuffer(body, np.uint8, n, 4 * n).astype(bool), np.frombuffer(body, np.int32, n)) if n else None)
+                found.append(rule.judge(x, np.frombuffer(body, np.uint8, n, 4 * n), np.frombuffer(body, np.int32, n)) if n else None)
             return _result(keys, key_type, found)
 
         for batch in batches:
